@@ -1,0 +1,140 @@
+"""Registered queries: one per operator of SURVEY §2, each (spark, sf_dir) -> DataFrame.
+
+Every query reads the provided tables (or tables derived from them by Spark) in full.
+Column names match the oracle SQL in plans/oracle.py; doubles are rounded to 6 digits.
+"""
+
+from __future__ import annotations
+
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lingua_spark import constants as K
+from lingua_spark.functions import keys as FK
+from lingua_spark.functions import text as FT
+from lingua_spark.sources import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def _docs(spark, sf):
+    return T.read(spark, sf, "documents")
+
+
+# ---------------------------------------------------------------- FN: scalar functions
+@query("fn1_normalize_text")
+def fn1(spark, sf):
+    d = _docs(spark, sf).withColumn("n", FT.normalize_text("text"))
+    return d.select("doc_id", FT.char_len("n").alias("norm_len"), F.sha2("n", 256).alias("norm_hash"))
+
+
+@query("fn2_truncate_text")
+def fn2(spark, sf):
+    d = _docs(spark, sf).withColumn("t", FT.truncate_text("text", 100))
+    return d.select("doc_id", FT.char_len("t").alias("trunc_len"), F.sha2("t", 256).alias("trunc_hash"))
+
+
+@query("fn3_estimate_tokens")
+def fn3(spark, sf):
+    c = T.read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", FT.estimate_tokens("text").alias("tokens"))
+
+
+@query("fn4_split_paragraphs")
+def fn4(spark, sf):
+    # documents hold single newlines only: widen each into a blank line with stray spaces
+    d = _docs(spark, sf).withColumn("p", FT.split_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n \n\n"))))
+    return d.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"),
+                    F.sha2(F.array_join("p", "|"), 256).alias("paragraphs_hash"))
+
+
+@query("fn5_is_mostly_latin")
+def fn5(spark, sf):
+    return _docs(spark, sf).select("doc_id", FT.is_mostly_latin("text").alias("mostly_latin"))
+
+
+@query("fn6_normalize_language")
+def fn6(spark, sf):
+    d = _docs(spark, sf)
+    raw = F.concat(F.lit("  "), F.upper("lang"), F.when(F.col("doc_id") % 3 == 0, F.lit(""))
+                   .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-"), F.upper("source")))
+                   .otherwise(F.lit("-br ")))
+    return d.select("doc_id", raw.alias("raw_code"), FT.normalize_language(raw).alias("code"))
+
+
+@query("fn7_cache_key")
+def fn7(spark, sf):
+    from lingua_spark.plans.translate import keyed_requests
+    keyed, _ = keyed_requests(T.requests_from_documents(spark, sf), T.glossary(spark, sf))
+    return keyed.select("request_id", "key_hash")
+
+
+@query("fn8_mask_for_log")
+def fn8(spark, sf):
+    c = T.read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", FT.mask_for_log(FT.normalize_text("text")).alias("masked"),
+                    FT.mask_for_log(F.col("role")).alias("masked_role"))
+
+
+def _durations(spark, sf):
+    e = T.read(spark, sf, "events")
+    whole = F.floor("value").cast("long").cast("string")
+    cents = F.lpad((F.round(F.col("value") * 100).cast("long") % 100).cast("string"), 2, "0")
+    d = (F.when(F.col("event_type") == "click", F.concat(F.col("user_id").cast("string"), F.lit("h"), whole, F.lit("m")))
+         .when(F.col("event_type") == "view", F.concat(whole, F.lit("."), cents, F.lit("s")))
+         .when(F.col("event_type") == "purchase", F.concat(F.lit("-"), whole, F.lit("ms"), cents, F.lit("us")))
+         .when(F.col("event_type") == "signup", F.when(F.col("user_id") % 2 == 0, F.lit("")).otherwise(F.lit("0")))
+         .otherwise(F.concat(whole, F.lit("x"))))
+    return e.select("event_id", d.alias("duration"))
+
+
+@query("fn9_ttl_seconds")
+def fn9(spark, sf):
+    d = _durations(spark, sf)
+    return d.select("event_id", "duration", F.round(FK.ttl_seconds("duration", 60.0), 6).alias("ttl_s"))
+
+
+@query("fn10_first_nonempty")
+def fn10(spark, sf):
+    d = _docs(spark, sf)
+    a = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang"))
+    b = F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("source"))
+    return d.select("doc_id", FT.first_nonempty(a, b, F.lit("none")).alias("pick"),
+                    FT.first_nonempty(F.lit(""), F.lit(None).cast("string")).alias("empty_pick"))
+
+
+@query("fn11_validate_requests")
+def fn11(spark, sf):
+    from lingua_spark.operators.validate import validate_requests
+    v = validate_requests(T.requests_from_documents(spark, sf))
+    return v.select("request_id", FT.char_len("text").alias("norm_len"), "error")
+
+
+# ---------------------------------------------------------------- BT-5 flagship
+def flagship(spark, sf):
+    """BT-5 over every document: key, dedup, cache (derived from labels), glossary, mock engine."""
+    from lingua_spark.operators.engines import has_engine, mock_engine, register_engine
+    from lingua_spark.plans.translate import translate
+    if not has_engine("mock"):
+        register_engine("mock", mock_engine(), kind="native")
+    reqs = T.requests_from_documents(spark, sf)
+    gl = T.glossary(spark, sf)
+    cache = T.cache_from_labels(spark, sf, gl)
+    res = translate(reqs, engine="mock", glossary=gl, cache=cache, as_of=F.expr(T.AS_OF))
+    a = res.answers
+    return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
+                    "source_language", "target_language", "provider", "model", "cached",
+                    F.round("confidence", 6).alias("confidence"),
+                    FT.estimate_tokens("translation").alias("est_output_tokens"), "error")
+
+
+QUERIES["bt5_translate"] = flagship

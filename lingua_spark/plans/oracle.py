@@ -1,0 +1,149 @@
+"""DuckDB oracle SQL for the registered queries (same column names as plans/catalog.py)."""
+
+from __future__ import annotations
+
+from lingua_spark.plans import sqlfrag as Q
+
+ORACLE: dict[str, str] = {}
+
+
+def sql(name: str, body: str, ctes: tuple = ()):
+    head = Q.derived_ctes(set(ctes))
+    ORACLE[name] = (f"WITH {head}\n{body}" if head else body).strip()
+
+
+sql("fn1_normalize_text", f"""
+SELECT doc_id, CAST(length(n) AS BIGINT) AS norm_len, sha256(n) AS norm_hash
+FROM (SELECT doc_id, {Q.norm('text')} AS n FROM documents)""")
+
+sql("fn2_truncate_text", """
+SELECT doc_id, CAST(length(t) AS BIGINT) AS trunc_len, sha256(t) AS trunc_hash
+FROM (SELECT doc_id, substring(text, 1, 100) AS t FROM documents)""")
+
+sql("fn3_estimate_tokens", f"SELECT conv_id, turn, {Q.tokens('text')} AS tokens FROM conversations")
+
+sql("fn4_split_paragraphs", f"""
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n_paragraphs, sha256(array_to_string(p, '|')) AS paragraphs_hash
+FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10) || ' ' || chr(10) || chr(10)), chr(10) || chr(10)),
+      lambda x: {Q.trim_u('x')}), lambda x: x <> '') AS p FROM documents)""")
+
+sql("fn5_is_mostly_latin", """
+SELECT doc_id, CASE WHEN letters = 0 THEN true ELSE latin / letters > 0.5 END AS mostly_latin
+FROM (SELECT doc_id, len(regexp_extract_all(text, '\\p{Latin}')) AS latin,
+             len(regexp_extract_all(text, '\\p{L}')) AS letters FROM documents)""")
+
+sql("fn6_normalize_language", f"""
+SELECT doc_id, raw_code, {Q.lang('raw_code')} AS code
+FROM (SELECT doc_id, '  ' || upper(lang) || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '-' || upper(source)
+      ELSE '-br ' END AS raw_code FROM documents)""")
+
+KEYED = f"""
+valid AS (
+  SELECT r.*, {Q.norm('text')} AS ntext FROM requests_d r),
+keyed AS (
+  SELECT request_id, ts, ntext AS text, {Q.lang('source_lang')} AS source_lang, {Q.lang('target_lang')} AS target_lang,
+         {Q.first_nonempty('valid.provider', "'openai'")} AS provider_name, valid.model AS model_in,
+         {Q.first_nonempty('valid.model', 'p.default_model')} AS model, context, tone, use_cache, (SELECT v FROM gl_version) AS glossary_version
+  FROM valid LEFT JOIN providers_d p ON p.provider = {Q.first_nonempty('valid.provider', "'openai'")}
+  WHERE ntext <> '' AND length(ntext) <= 10000),
+keyed2 AS (
+  SELECT *, {Q.key('text', 'source_lang', 'target_lang', 'provider_name', 'model', 'context', 'tone', 'glossary_version')} AS key_hash
+  FROM keyed)"""
+
+sql("fn7_cache_key", f""", {KEYED.strip()}
+SELECT request_id, key_hash FROM keyed2""".replace("WITH ", "WITH ", 1), ("requests_d", "gl_version", "providers_d"))
+
+sql("fn8_mask_for_log", f"""
+SELECT conv_id, turn,
+  CASE WHEN length(n) <= 8 THEN '***' ELSE substring(n, 1, 3) || '...' || substring(n, length(n) - 2, 3) END AS masked,
+  CASE WHEN length(role) <= 8 THEN '***' ELSE substring(role, 1, 3) || '...' || substring(role, length(role) - 2, 3) END AS masked_role
+FROM (SELECT conv_id, turn, role, {Q.norm('text')} AS n FROM conversations)""")
+
+DURATIONS = """
+durations AS (
+  SELECT event_id, CASE
+    WHEN event_type = 'click' THEN CAST(user_id AS VARCHAR) || 'h' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'm'
+    WHEN event_type = 'view' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(round(value * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') || 's'
+    WHEN event_type = 'purchase' THEN '-' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'ms' || lpad(CAST(CAST(round(value * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') || 'us'
+    WHEN event_type = 'signup' THEN CASE WHEN user_id % 2 = 0 THEN '' ELSE '0' END
+    ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'x' END AS duration
+  FROM events)"""
+
+sql("fn9_ttl_seconds", f"""WITH {DURATIONS.strip()},
+toks AS (
+  SELECT event_id, duration, regexp_extract_all(duration, '((?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:ns|us|µs|μs|ms|h|m|s))', 1) AS t
+  FROM durations),
+secs AS (
+  SELECT event_id, duration, list_sum(list_transform(t, lambda x:
+      CAST(regexp_extract(x, '^([0-9.]+)', 1) AS DOUBLE) *
+      CASE regexp_extract(x, '([a-zµμ]+)$', 1) WHEN 'h' THEN 3600.0 WHEN 'm' THEN 60.0 WHEN 's' THEN 1.0
+           WHEN 'ms' THEN 0.001 WHEN 'ns' THEN 1e-9 ELSE 1e-6 END)) AS total
+  FROM toks)
+SELECT event_id, duration, round(CASE
+    WHEN duration IS NULL OR duration IN ('', '0') THEN 60.0
+    WHEN regexp_full_match(duration, '[+-]?(?:(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:ns|us|µs|μs|ms|h|m|s))+')
+      THEN CASE WHEN starts_with(duration, '-') THEN -coalesce(total, 0.0) ELSE coalesce(total, 0.0) END
+    ELSE 60.0 END, 6) AS ttl_s
+FROM secs""")
+
+sql("fn10_first_nonempty", f"""
+SELECT doc_id, {Q.first_nonempty("CASE WHEN lang = 'en' THEN '' ELSE lang END", "CASE WHEN doc_id % 2 = 0 THEN NULL ELSE source END", "'none'")} AS pick,
+       {Q.first_nonempty("''", "CAST(NULL AS VARCHAR)")} AS empty_pick
+FROM documents""")
+
+sql("fn11_validate_requests", f"""
+SELECT request_id, CAST(length(n) AS BIGINT) AS norm_len,
+  CASE WHEN n = '' THEN 'invalid input: text is empty'
+       WHEN length(n) > 10000 THEN 'invalid input: text exceeds max length' END AS error
+FROM (SELECT request_id, {Q.norm('text')} AS n FROM requests_d)""", ("requests_d",))
+
+# BT-5 flagship ------------------------------------------------------------------------
+GLOSS_BY_TARGET = f"""
+targets AS (SELECT DISTINCT target_lang FROM keyed2),
+gl_keys AS (SELECT target_lang, target_lang AS gl_key FROM targets UNION ALL SELECT target_lang, '' FROM targets),
+gl_ranked AS (
+  SELECT k.target_lang, g.source_term AS term, g.translation,
+         CAST(row_number() OVER (PARTITION BY k.target_lang ORDER BY strlen(g.source_term) DESC, g.entry_no) - 1 AS INTEGER) AS rank,
+         {Q.pattern('g.source_term', 'g.case_sensitive')} AS pattern
+  FROM gl_keys k JOIN glossary_d g ON g.target_lang = k.gl_key),
+gl_lists AS (
+  SELECT target_lang, list(struct_pack(p := pattern, ph := '__TERM_' || CAST(rank AS VARCHAR) || '__', tr := translation,
+         term := term, rank := rank) ORDER BY rank) AS gl
+  FROM gl_ranked GROUP BY target_lang)"""
+
+CACHE_D = f"""
+cache_d AS (
+  SELECT k.key_hash, 'cached:' || CAST(k.request_id AS VARCHAR) AS c_translation, k.source_lang AS c_source,
+         k.target_lang AS c_target, k.provider_name AS c_provider, k.model AS c_model, 1.0 AS c_confidence,
+         TIMESTAMP '2024-01-01 00:00:00' AS created_at,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(CASE WHEN l.quality = 1 THEN 24 ELSE 1 END) AS expires_at,
+         1 + l.toxic AS tier, k.request_id
+  FROM keyed2 k JOIN labels l ON l.doc_id = k.request_id),
+cache_live AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY created_at DESC) AS rn
+                 FROM cache_d WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2024-01-01 06:00:00') WHERE rn = 1)"""
+
+sql("bt5_translate", f""", {KEYED.strip()},
+{CACHE_D.strip()},
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY ts NULLS FIRST, request_id) AS rn FROM keyed2)
+  WHERE rn = 1),
+{GLOSS_BY_TARGET.strip()},
+engine AS (
+  SELECT f.key_hash, f.source_lang, f.target_lang, f.provider_name, f.model, coalesce(g.gl, []) AS gl,
+         'translated:' || list_reduce(coalesce(g.gl, []), lambda acc, e: regexp_replace(acc, e.p, e.ph, 'g'), f.text) AS raw
+  FROM firsts f LEFT JOIN gl_lists g ON g.target_lang = f.target_lang
+  WHERE f.key_hash NOT IN (SELECT key_hash FROM cache_live)),
+by_key AS (
+  SELECT key_hash, list_reduce(gl, lambda acc, e: replace(acc, e.ph, e.tr), raw) AS translation,
+         source_lang AS source_language, target_lang AS target_language, provider_name AS provider, model,
+         false AS hit, 0.9 AS confidence, CAST(NULL AS VARCHAR) AS error
+  FROM engine
+  UNION ALL
+  SELECT key_hash, c_translation, c_source, c_target, c_provider, c_model, true, c_confidence, NULL
+  FROM cache_live WHERE key_hash IN (SELECT key_hash FROM firsts))
+SELECT k.request_id, k.key_hash, sha256(b.translation) AS translation_hash, b.source_language, b.target_language,
+       b.provider, b.model, b.hit OR k.rn > 1 AS cached, round(b.confidence, 6) AS confidence,
+       {Q.tokens('b.translation')} AS est_output_tokens, b.error
+FROM (SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY ts NULLS FIRST, request_id) AS rn FROM keyed2) k
+JOIN by_key b ON b.key_hash = k.key_hash""", ("requests_d", "gl_version", "providers_d", "glossary_d"))
