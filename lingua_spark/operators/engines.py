@@ -22,6 +22,8 @@ ENGINE_OUTPUT = ("key_hash string, translation string, source_language string, c
 ENGINE_COLUMNS = ["key_hash", "translation", "source_language", "confidence", "input_tokens", "output_tokens",
                   "error"]
 DETECTOR_OUTPUT = "row_key string, language string, confidence double"
+WORK_COLUMNS = ["key_hash", "text", "source_lang", "target_lang", "provider", "model", "context", "tone",
+                "alternatives"]
 
 _ENGINES: dict[str, tuple[str, Callable]] = {}
 _DETECTORS: dict[str, Callable] = {}
@@ -40,18 +42,33 @@ def has_engine(name: str) -> bool:
 
 
 def run_engine(work: DataFrame, name: str) -> DataFrame:
-    """UD-1: run a registered engine over (already deduplicated) work rows."""
+    """UD-1: run a registered engine over (already deduplicated) work rows.
+
+    The result keeps every input column and adds the answer columns, so callers never
+    join the engine output back to its input (no second evaluation of the input).
+    Native engines must keep unknown columns; pandas engines return one row per input
+    row, in input order.
+    """
     if name not in _ENGINES:
         raise KeyError(f"{K.ERR_NOT_FOUND}: engine {name}")
     kind, fn = _ENGINES[name]
+    answer_cols = [c for c in ENGINE_COLUMNS if c != "key_hash"]
+    base = work.drop(*[c for c in answer_cols if c in work.columns])
     if kind == "native":
-        return fn(work).select(*ENGINE_COLUMNS)
+        out = fn(base)
+        return out.select(*base.columns, *answer_cols)
+    from pyspark.sql.types import StructType
+    out_schema = StructType(list(base.schema.fields) + [
+        f for f in StructType.fromDDL(ENGINE_OUTPUT).fields if f.name != "key_hash"])
+    cols = base.columns
 
     def batches(it):
+        import pandas as pd
         for pdf in it:
-            out = fn(pdf)
-            yield out[ENGINE_COLUMNS]
-    return work.mapInPandas(batches, ENGINE_OUTPUT)
+            ans = fn(pdf[[c for c in WORK_COLUMNS if c in pdf.columns]]).reset_index(drop=True)
+            ans = ans.reindex(columns=answer_cols)
+            yield pd.concat([pdf[cols].reset_index(drop=True), ans], axis=1)
+    return base.mapInPandas(batches, out_schema)
 
 
 def mock_engine(dictionary: DataFrame | None = None, fails: bool = False) -> Callable[[DataFrame], DataFrame]:
@@ -63,23 +80,24 @@ def mock_engine(dictionary: DataFrame | None = None, fails: bool = False) -> Cal
     """
     def run(work: DataFrame) -> DataFrame:
         if fails:
-            return work.select("key_hash", F.lit(None).cast("string").alias("translation"),
-                               F.col("source_lang").alias("source_language"),
-                               F.lit(None).cast("double").alias("confidence"),
-                               F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"),
-                               F.lit("mock failure").alias("error"))
+            return (work.withColumn("translation", F.lit(None).cast("string"))
+                    .withColumn("source_language", F.col("source_lang"))
+                    .withColumn("confidence", F.lit(None).cast("double"))
+                    .withColumn("input_tokens", F.lit(0).cast("long"))
+                    .withColumn("output_tokens", F.lit(0).cast("long"))
+                    .withColumn("error", F.lit("mock failure")))
         w = work
         if dictionary is not None:
             d = dictionary.select(F.col("source_text").alias("_src"), F.col("translation").alias("_dict"))
-            w = w.join(d, w["text"] == d["_src"], "left")
+            w = w.join(d, w["text"] == d["_src"], "left").drop("_src")
         else:
             w = w.withColumn("_dict", F.lit(None).cast("string"))
-        return w.select("key_hash",
-                        F.coalesce(F.col("_dict"), F.concat(F.lit("translated:"), F.col("text"))).alias("translation"),
-                        F.col("source_lang").alias("source_language"),
-                        F.lit(K.MOCK_CONFIDENCE).alias("confidence"),
-                        F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"),
-                        F.lit(None).cast("string").alias("error"))
+        return (w.withColumn("translation", F.coalesce(F.col("_dict"), F.concat(F.lit("translated:"), F.col("text"))))
+                .withColumn("source_language", F.col("source_lang"))
+                .withColumn("confidence", F.lit(K.MOCK_CONFIDENCE))
+                .withColumn("input_tokens", F.lit(0).cast("long"))
+                .withColumn("output_tokens", F.lit(0).cast("long"))
+                .withColumn("error", F.lit(None).cast("string")).drop("_dict"))
     return run
 
 

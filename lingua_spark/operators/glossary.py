@@ -125,22 +125,17 @@ def glossary_version_at(requests: DataFrame, glossary: DataFrame, ts_col: str =
 
     Adds with a null time count as added before everything; a request without a time sees
     the whole glossary. Adds collapse to one cumulative step per distinct add time; the
-    steps form one sorted array whose size is bounded by the glossary (checked before it
-    is broadcast) and each request takes the last step at or before its time.
+    sorted steps (bounded by the glossary size) reach every request as a scalar subquery,
+    so there is no join; each request takes the last step at or before its time.
     """
-    n = glossary.count()
-    if n > MAX_BROADCAST_ENTRIES:
-        raise ValueError(f"glossary of {n} entries exceeds the broadcast bound {MAX_BROADCAST_ENTRIES}")
     per_t = glossary.groupBy(F.col("added_at").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     steps = (per_t.withColumn("v", F.sum("n").over(
         Window.orderBy(F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
-        .agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_steps"),
-             F.sum("n").alias("_total"))
-        .withColumn("_k", F.lit(0)))
+        .agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_steps")))
+    total = glossary.agg(F.count(F.lit(1)).alias("_total"))
     ts = F.col(ts_col)
     last = F.aggregate(F.col("_steps"), F.lit(0).cast("long"),
                        lambda acc, st: F.when(st["t"].isNull() | (st["t"] <= ts), st["v"]).otherwise(acc))
-    return (requests.withColumn("_k", F.lit(0)).join(F.broadcast(steps), "_k", "left")
-            .withColumn(out_col, F.coalesce(F.when(ts.isNull(), F.col("_total")).otherwise(last), F.lit(0))
-                        .cast("long"))
-            .drop("_k", "_steps", "_total"))
+    ver = F.when(ts.isNull(), F.col("_total")).otherwise(last)
+    return (requests.withColumn("_steps", steps.scalar()).withColumn("_total", total.scalar())
+            .withColumn(out_col, F.coalesce(ver, F.lit(0)).cast("long")).drop("_steps", "_total"))

@@ -20,10 +20,11 @@ from lingua_spark import constants as K
 from lingua_spark.functions.keys import cache_key
 from lingua_spark.functions.text import first_nonempty, normalize_language
 from lingua_spark.operators import engines as E
-from lingua_spark.operators.cache import cache_lookup, dedup_first
+from lingua_spark.operators.cache import dedup_first, fresh, latest_by_key
 from lingua_spark.operators.chain import chain_array, providers_table, resolve_model
 from lingua_spark.operators.glossary import glossary_for, glossary_version_at, mask_terms, restore_terms
 from lingua_spark.operators.validate import split_valid, validate_requests
+from lingua_spark.session import cut_lineage
 
 ANSWER_COLUMNS = ["request_id", "key_hash", "translation", "source_language", "target_language", "provider",
                   "model", "cached", "confidence", "input_tokens", "output_tokens", "error"]
@@ -68,6 +69,32 @@ def keyed_requests(requests: DataFrame, glossary: DataFrame | None = None, provi
     return ok, rejected
 
 
+def _answer_rows(res: DataFrame, error: "F.Column") -> DataFrame:
+    """Per-key answer rows of an engine result (or of rows with no provider left)."""
+    cols = set(res.columns)
+    ok = error.isNull()
+
+    def c(name, dtype):
+        return F.col(name) if name in cols else F.lit(None).cast(dtype)
+    translation = F.when(c("_masked", "boolean"), restore_terms(c("translation", "string"), F.col("gloss"))) \
+        .otherwise(c("translation", "string"))
+    src = c("source_language", "string")
+    return res.select(
+        "key_hash",
+        F.when(ok, translation).alias("translation"),
+        F.when(ok, F.when(F.coalesce(src, F.lit("")).isin("", "auto"), F.col("source_lang")).otherwise(src))
+        .alias("source_language"),
+        F.col("target_lang").alias("target_language"),
+        F.when(ok, c("chain_provider", "string")).alias("provider"),
+        F.when(ok, c("model", "string")).alias("model"),
+        F.lit(False).alias("hit"),
+        F.when(ok, c("confidence", "double")).alias("confidence"),
+        F.when(ok, c("input_tokens", "long")).alias("input_tokens"),
+        F.when(ok, c("output_tokens", "long")).alias("output_tokens"),
+        error.alias("error"),
+        (ok & F.col("use_cache")).alias("store"))
+
+
 def _engine_for(provider_engines: dict[str, str] | None, default_engine: str):
     def pick(p):
         return (provider_engines or {}).get(p, default_engine)
@@ -79,8 +106,8 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
               known: list[str] | None = None, fallback: list[str] | None = None,
               default_provider: str = K.DEFAULT_PROVIDER, providers: DataFrame | None = None,
               max_len: int = K.MAX_TEXT_LENGTH, ttl_seconds: float = K.DEFAULT_TTL_SECONDS, now=None,
-              detected: DataFrame | None = None, tm: DataFrame | None = None, use_tm: bool = False
-              ) -> TranslateResult:
+              detected: DataFrame | None = None, tm: DataFrame | None = None, use_tm: bool = False,
+              materialize: bool = True) -> TranslateResult:
     """BT-5. `engine` names a registered engine (UD-1) used for every provider unless
     `provider_engines` maps a provider to another one. `known` = configured providers
     (default: the catalogue), `fallback` = fallback order (default: none)."""
@@ -89,14 +116,17 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     known = known if known is not None else [r[0] for r in K.PROVIDERS]
     fallback = fallback or []
     keyed, rejected = keyed_requests(requests, glossary, providers, default_provider, max_len, detected)
-    keyed = dedup_first(keyed)
+    # One shuffle on key_hash (dedup window); the keyed table has several consumers below,
+    # so it is written once to the shared checkpoint folder instead of being recomputed.
+    keyed = cut_lineage(dedup_first(keyed)) if materialize else dedup_first(keyed)
 
     firsts = keyed.filter("is_first").drop("is_first")
+    hit_answers = None
     if cache is not None and as_of is not None:
-        use = firsts.filter(F.col("use_cache"))
-        hits, misses = cache_lookup(use, cache, as_of)
-        misses = misses.unionByName(firsts.filter(~F.col("use_cache")))
-        hit_answers = hits.select(
+        live = latest_by_key(fresh(cache, as_of), "key_hash", [F.col("created_at").desc_nulls_last()])
+        looked = firsts.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
+        is_hit = F.col("use_cache") & F.col("cached_response").isNotNull()
+        hit_answers = looked.filter(is_hit).select(
             "key_hash", F.col("cached_response.translation").alias("translation"),
             F.col("cached_response.source_language").alias("source_language"),
             F.col("cached_response.target_language").alias("target_language"),
@@ -105,8 +135,9 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
             F.col("cached_response.input_tokens").alias("input_tokens"),
             F.col("cached_response.output_tokens").alias("output_tokens"),
             F.lit(None).cast("string").alias("error"), F.lit(False).alias("store"))
+        misses = looked.filter(~is_hit).drop("cached_response")
     else:
-        misses, hit_answers = firsts, None
+        misses = firsts
 
     if use_tm and tm is not None:
         from lingua_spark.operators.memory import tm_exact
@@ -132,51 +163,48 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     pmeta = providers.select(F.col("provider").alias("chain_provider"), F.col("default_model").alias("_pm"),
                              F.col("uses_glossary").alias("_ug"))
     pick = _engine_for(provider_engines, engine)
-    answered = None
+    ranks = 1 + len(fallback)
+    unavailable = F.lit(f"{K.ERR_PROVIDER_UNAVAILABLE}: no provider available")
+    parts: list[DataFrame] = []
     pending = work.withColumn("last_error", F.lit(None).cast("string"))
-    for rank in range(1 + len(fallback)):
-        step = (pending.filter(F.size("chain") > rank).withColumn("chain_provider", F.col("chain")[rank])
-                .join(F.broadcast(pmeta), "chain_provider", "left"))
-        step = step.withColumn("_model", first_nonempty(F.col("model_in"), F.col("_pm")))
-        step = step.withColumn("_masked", F.coalesce(F.col("_ug"), F.lit(True)))
+    for rank in range(ranks):
+        last = rank == ranks - 1
+        step = pending.withColumn("chain_provider", F.col("chain")[rank])
+        if rank > 0 or not any(f in known for f in fallback):
+            # rows whose chain ends before this rank (at rank 0 only possible without a known fallback)
+            exhausted = step.filter(F.col("chain_provider").isNull())
+            parts.append(_answer_rows(exhausted, F.coalesce(F.col("last_error"), unavailable)))
+        step = (step.filter(F.col("chain_provider").isNotNull()).join(F.broadcast(pmeta), "chain_provider", "left")
+                .withColumn("_masked", F.coalesce(F.col("_ug"), F.lit(True)))
+                .withColumnRenamed("text", "req_text").withColumnRenamed("provider", "req_provider")
+                .withColumnRenamed("model", "key_model")
+                .withColumn("text", F.when(F.col("_masked"), F.col("masked")).otherwise(F.col("req_text")))
+                .withColumn("provider", F.col("chain_provider"))
+                .withColumn("model", first_nonempty(F.col("model_in"), F.col("_pm"))))
         outs = []
         for eng in sorted({pick(p) for p in known}):
             provs = [p for p in known if pick(p) == eng]
-            sub = step.filter(F.col("chain_provider").isin(provs))
-            w = sub.select("key_hash", F.when(F.col("_masked"), F.col("masked")).otherwise(F.col("text")).alias("text"),
-                           "source_lang", "target_lang", F.col("chain_provider").alias("provider"),
-                           F.col("_model").alias("model"), "context", "tone", "alternatives")
-            outs.append(E.run_engine(w, eng))
-        out = outs[0]
+            outs.append(E.run_engine(step.filter(F.col("chain_provider").isin(provs)), eng))
+        res = outs[0]
         for o in outs[1:]:
-            out = out.unionByName(o)
-        res = step.join(out, "key_hash", "left")
-        empty_err = F.when(F.col("error").isNull() & (F.coalesce(F.col("translation"), F.lit("")) == ""),
-                           F.lit(K.ERR_EMPTY_TRANSLATION)).otherwise(F.col("error"))
-        res = res.withColumn("error", empty_err)
-        good = res.filter(F.col("error").isNull()).select(
-            "key_hash",
-            F.when(F.col("_masked"), restore_terms(F.col("translation"), F.col("gloss")))
-            .otherwise(F.col("translation")).alias("translation"),
-            F.when(F.coalesce(F.col("source_language"), F.lit("")).isin("", "auto"), F.col("source_lang"))
-            .otherwise(F.col("source_language")).alias("source_language"),
-            F.col("target_lang").alias("target_language"), F.col("chain_provider").alias("provider"),
-            F.col("_model").alias("model"), F.lit(False).alias("hit"), "confidence", "input_tokens", "output_tokens",
-            F.lit(None).cast("string").alias("error"), F.col("use_cache").alias("store"))
-        answered = good if answered is None else answered.unionByName(good)
-        failed = res.filter(F.col("error").isNotNull()).select("key_hash", F.col("error").alias("_e"))
-        pending = (pending.join(good.select("key_hash"), "key_hash", "left_anti")
-                   .join(failed, "key_hash", "left")
-                   .withColumn("last_error", F.coalesce(F.col("_e"), F.col("last_error"))).drop("_e"))
-    unresolved = pending.select(
-        "key_hash", F.lit(None).cast("string").alias("translation"), F.lit(None).cast("string").alias("source_language"),
-        F.col("target_lang").alias("target_language"), F.lit(None).cast("string").alias("provider"),
-        F.lit(None).cast("string").alias("model"), F.lit(False).alias("hit"),
-        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("input_tokens"),
-        F.lit(None).cast("long").alias("output_tokens"),
-        F.coalesce(F.col("last_error"), F.lit(f"{K.ERR_PROVIDER_UNAVAILABLE}: no provider available")).alias("error"),
-        F.lit(False).alias("store"))
-    by_key = answered.unionByName(unresolved)
+            res = res.unionByName(o)
+        res = res.withColumn("error", F.when(F.col("error").isNull() & (F.coalesce(F.col("translation"), F.lit("")) == ""),
+                                             F.lit(K.ERR_EMPTY_TRANSLATION)).otherwise(F.col("error")))
+        if last:
+            parts.append(_answer_rows(res, F.col("error")))
+        else:
+            # the engine result feeds two branches: materialise it once (no second engine call)
+            res = cut_lineage(res)
+            parts.append(_answer_rows(res.filter(F.col("error").isNull()), F.col("error")))
+            pending = (res.filter(F.col("error").isNotNull()).withColumn("last_error", F.col("error"))
+                       .drop("error", "translation", "source_language", "confidence", "input_tokens",
+                             "output_tokens", "_pm", "_ug", "_masked", "chain_provider", "text", "provider", "model")
+                       .withColumnRenamed("req_text", "text").withColumnRenamed("req_provider", "provider")
+                       .withColumnRenamed("key_model", "model"))
+    answered = parts[0]
+    for p_ in parts[1:]:
+        answered = answered.unionByName(p_)
+    by_key = answered
     if hit_answers is not None:
         by_key = by_key.unionByName(hit_answers)
 
