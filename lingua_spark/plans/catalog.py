@@ -138,3 +138,190 @@ def flagship(spark, sf):
 
 
 QUERIES["bt5_translate"] = flagship
+
+
+# ---------------------------------------------------------------- glossary
+def _valid_requests(spark, sf):
+    from lingua_spark.operators.validate import split_valid, validate_requests
+    ok, _ = split_valid(validate_requests(T.requests_from_documents(spark, sf)))
+    return ok.withColumn("target_lang", FT.normalize_language("target_lang"))
+
+
+@query("jn1_glossary_for")
+def jn1(spark, sf):
+    from lingua_spark.operators.glossary import ranked_entries
+    targets = T.requests_from_documents(spark, sf).select(FT.normalize_language("target_lang").alias("target_lang"))
+    r = ranked_entries(targets, T.glossary(spark, sf))
+    return r.select("target_lang", F.col("rank").cast("long").alias("rank"), "placeholder", "term", "translation")
+
+
+@query("jn2_glossary_mask")
+def jn2(spark, sf):
+    from lingua_spark.operators.glossary import glossary_for, mask_terms, restore_terms
+    g = glossary_for(_valid_requests(spark, sf), T.glossary(spark, sf))
+    g = g.withColumn("masked", mask_terms(F.col("text"), F.col("gloss")))
+    return g.select("request_id", F.sha2("masked", 256).alias("masked_hash"),
+                    F.regexp_count("masked", F.lit("__TERM_[0-9]+__")).cast("long").alias("n_placeholders"),
+                    F.sha2(restore_terms(F.col("masked"), F.col("gloss")), 256).alias("restored_hash"))
+
+
+@query("se1_glossary_get")
+def se1(spark, sf):
+    from lingua_spark.operators.glossary import glossary_get
+    g = T.glossary(spark, sf)
+    outs = [glossary_get(g, t).select(F.lit(t).alias("query_target"), "entry_no", "source_term", "translation")
+            for t in ("es", "fr", "")]
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
+@query("ag7_glossary_version_at")
+def ag7(spark, sf):
+    from lingua_spark.operators.glossary import glossary_version_at
+    r = glossary_version_at(T.timed_requests(spark, sf), T.timed_glossary(spark, sf), "ts", "glossary_version")
+    return r.select("request_id", "glossary_version")
+
+
+def _prompt_requests(spark, sf):
+    r = _valid_requests(spark, sf)
+    return (r.withColumn("context", F.when(F.col("request_id") % 4 == 0, F.lit("medical")).otherwise(F.lit("")))
+            .withColumn("tone", F.when(F.col("request_id") % 5 == 0, F.lit("formal")).otherwise(F.lit("neutral")))
+            .withColumn("alternatives", (F.col("request_id") % 2).cast("int")))
+
+
+@query("fn12_prepare_prompts")
+def fn12(spark, sf):
+    from lingua_spark.operators.validate import prepare_prompts
+    p = prepare_prompts(_prompt_requests(spark, sf), T.glossary(spark, sf))
+    return p.select("request_id", F.sha2("prompt", 256).alias("prompt_hash"), "max_tokens",
+                    F.size("gloss").cast("long").alias("n_entries"))
+
+
+PROVIDER_CYCLE = ["openai", "anthropic", "deepl", "google", "ollama", "libretranslate", "custom", "openrouter",
+                  "nosuch"]
+
+
+@query("fn13_resolve_model")
+def fn13(spark, sf):
+    from lingua_spark.operators.chain import providers_table, resolve_model
+    d = _docs(spark, sf).select(
+        F.col("doc_id").alias("request_id"),
+        F.element_at(F.lit(PROVIDER_CYCLE), (F.col("doc_id") % 9 + 1).cast("int")).alias("provider_name"),
+        F.when(F.col("lang") == "de", F.lit("my-model")).otherwise(F.lit("")).alias("model"))
+    return resolve_model(d, providers_table(spark)).select("request_id", "provider_name", "model")
+
+
+# ---------------------------------------------------------------- sources
+@query("src1_load_requests")
+def src1(spark, sf):
+    from lingua_spark.sources.requests import apply_request_defaults
+    d = _docs(spark, sf).select(
+        F.col("doc_id").alias("request_id"), F.col("text"),
+        F.when(F.col("lang") == "en", F.lit(None)).otherwise(F.col("lang")).alias("source_lang"),
+        F.lit("es").alias("target_lang"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.lit("formal")).alias("tone"))
+    r = apply_request_defaults(d)
+    return r.select("request_id", "source_lang", "target_lang", "tone", "use_cache",
+                    F.col("alternatives").cast("long").alias("alternatives"), "provider", "model", "context")
+
+
+@query("src2_load_glossary")
+def src2(spark, sf):
+    from lingua_spark.operators.glossary import load_glossary
+    ok, bad = load_glossary(T.glossary_raw(spark, sf).drop("entry_no"))
+    return (ok.select("entry_no", "source_term", "target_lang", "translation", F.lit(None).cast("string").alias("error"))
+            .unionByName(bad.select(F.lit(None).cast("long").alias("entry_no"), "source_term", "target_lang",
+                                    "translation", "error")))
+
+
+DOC_FORMATS = ["markdown", "plain", "html", "xml", "json", "rst"]
+
+
+@query("src4_load_documents")
+def src4(spark, sf):
+    from lingua_spark.sources.requests import documents_with_status
+    d = _docs(spark, sf).select(
+        "doc_id", F.when(F.col("n_chars") < 100, F.lit("")).otherwise(F.col("text")).alias("content"),
+        F.element_at(F.lit(DOC_FORMATS), (F.col("doc_id") % 6 + 1).cast("int")).alias("format"),
+        F.lit("es").alias("target_lang"), F.lit(None).cast("string").alias("source_lang"))
+    return documents_with_status(d).select("doc_id", "format", "source_lang", "error")
+
+
+def _keyed(spark, sf):
+    from lingua_spark.plans.translate import keyed_requests
+    k, _ = keyed_requests(T.requests_from_documents(spark, sf), T.glossary(spark, sf))
+    return k
+
+
+@query("src5_cache_upsert")
+def src5(spark, sf):
+    from lingua_spark.operators.cache import cache_upsert
+    gl = T.glossary(spark, sf)
+    cache = T.cache_from_labels(spark, sf, gl).drop("request_id")
+    k = _keyed(spark, sf).filter(F.col("source_lang") != "en")
+    new = k.select(
+        "key_hash",
+        F.struct(F.concat(F.lit("new:"), F.col("request_id").cast("string")).alias("translation"),
+                 F.col("source_lang").alias("source_language"), F.col("target_lang").alias("target_language"),
+                 F.col("provider_name").alias("provider"), "model", F.lit(False).alias("cached"),
+                 F.lit(0.9).alias("confidence"), F.lit(None).cast("array<string>").alias("alternatives"),
+                 F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
+        .alias("response"),
+        (F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'") + F.make_dt_interval(secs=F.col("request_id").cast("int")))
+        .alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("expires_at"), F.lit(1).alias("tier"))
+    u = cache_upsert(cache, new)
+    return u.select("key_hash", F.col("response.translation").alias("translation"),
+                    F.when(F.col("expires_at").isNull(), "new").otherwise("old").alias("generation"))
+
+
+@query("src6_write_responses")
+def src6(spark, sf):
+    from lingua_spark.operators.cache import response_to_json
+    c = T.cache_from_labels(spark, sf, T.glossary(spark, sf))
+    resp = c.select("key_hash", F.col("response").withField("alternatives", F.array(F.col("response.target_language")))
+                    .alias("r"))
+    return resp.select("key_hash", response_to_json(F.col("r")).alias("json"))
+
+
+# ---------------------------------------------------------------- cache joins
+@query("jn3_cache_lookup")
+def jn3(spark, sf):
+    from lingua_spark.operators.cache import cache_lookup
+    gl = T.glossary(spark, sf)
+    hits, misses = cache_lookup(_keyed(spark, sf), T.cache_from_labels(spark, sf, gl).drop("request_id"),
+                                F.expr(T.AS_OF))
+    return (hits.select("request_id", F.lit(True).alias("hit"), F.col("cached_response.translation").alias("translation"))
+            .unionByName(misses.select("request_id", F.lit(False).alias("hit"),
+                                       F.lit(None).cast("string").alias("translation"))))
+
+
+def _tiers(spark, sf):
+    c = T.cache_from_labels(spark, sf, T.glossary(spark, sf)).drop("request_id")
+    durable = c.withColumn("tier", F.lit(3)).withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
+    return c.unionByName(durable)
+
+
+@query("jn4_tiered_lookup")
+def jn4(spark, sf):
+    from lingua_spark.operators.cache import tiered_lookup
+    hits, backfill = tiered_lookup(_keyed(spark, sf), _tiers(spark, sf), F.expr(T.AS_OF))
+    return (hits.select(F.lit("hit").alias("kind"), "request_id", "key_hash", F.col("hit_tier").cast("long").alias("tier"))
+            .unionByName(backfill.select(F.lit("backfill").alias("kind"), F.lit(None).cast("long").alias("request_id"),
+                                         "key_hash", F.col("tier").cast("long").alias("tier"))))
+
+
+@query("jn7_language_names")
+def jn7(spark, sf):
+    from lingua_spark.operators.chain import language_names
+    r = _docs(spark, sf).select(F.col("doc_id").alias("request_id"), FT.normalize_language("lang").alias("src"),
+                                 F.concat(F.col("lang"), F.lit("-x")).alias("raw"))
+    r = language_names(r, "src", "source_name")
+    r = language_names(r, "raw", "raw_name")
+    return r.select("request_id", "source_name", "raw_name")
+
+
+@query("jn8_dedup_then_join")
+def jn8(spark, sf):
+    from lingua_spark.operators.cache import dedup_first
+    d = dedup_first(_keyed(spark, sf))
+    return d.select("request_id", "key_hash", (~F.col("is_first")).alias("cached"))

@@ -115,8 +115,8 @@ CACHE_D = f"""
 cache_d AS (
   SELECT k.key_hash, 'cached:' || CAST(k.request_id AS VARCHAR) AS c_translation, k.source_lang AS c_source,
          k.target_lang AS c_target, k.provider_name AS c_provider, k.model AS c_model, 1.0 AS c_confidence,
-         TIMESTAMP '2024-01-01 00:00:00' AS created_at,
-         TIMESTAMP '2024-01-01 00:00:00' + to_hours(CASE WHEN l.quality = 1 THEN 24 ELSE 1 END) AS expires_at,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(k.request_id AS BIGINT)) AS created_at,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(k.request_id AS BIGINT)) + to_hours(CASE WHEN l.quality = 1 THEN 24 ELSE 1 END) AS expires_at,
          1 + l.toxic AS tier, k.request_id
   FROM keyed2 k JOIN labels l ON l.doc_id = k.request_id),
 cache_live AS (
@@ -147,3 +147,155 @@ SELECT k.request_id, k.key_hash, sha256(b.translation) AS translation_hash, b.so
        {Q.tokens('b.translation')} AS est_output_tokens, b.error
 FROM (SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY ts NULLS FIRST, request_id) AS rn FROM keyed2) k
 JOIN by_key b ON b.key_hash = k.key_hash""", ("requests_d", "gl_version", "providers_d", "glossary_d"))
+
+# glossary ------------------------------------------------------------------------------
+VALID = f"""
+vreq AS (
+  SELECT request_id, ts, {Q.norm('text')} AS text, source_lang, {Q.lang('target_lang')} AS target_lang,
+         provider, model, context, tone, use_cache, alternatives
+  FROM requests_d WHERE {Q.norm('text')} <> '' AND length({Q.norm('text')}) <= 10000)"""
+
+GLOSS_RANK = f"""
+gl_keys AS (SELECT target_lang, target_lang AS gl_key FROM targets UNION ALL SELECT target_lang, '' FROM targets),
+gl_ranked AS (
+  SELECT k.target_lang, g.source_term AS term, g.translation, g.entry_no,
+         CAST(row_number() OVER (PARTITION BY k.target_lang ORDER BY strlen(g.source_term) DESC, g.entry_no) - 1 AS BIGINT) AS rank,
+         {Q.pattern('g.source_term', 'g.case_sensitive')} AS pattern
+  FROM gl_keys k JOIN glossary_d g ON g.target_lang = k.gl_key),
+gl_lists AS (
+  SELECT target_lang, list(struct_pack(p := pattern, ph := '__TERM_' || CAST(rank AS VARCHAR) || '__', tr := translation) ORDER BY rank) AS gl
+  FROM gl_ranked GROUP BY target_lang)"""
+
+sql("jn1_glossary_for", f""",
+targets AS (SELECT DISTINCT {Q.lang('target_lang')} AS target_lang FROM requests_d),
+{GLOSS_RANK.strip()}
+SELECT target_lang, rank, '__TERM_' || CAST(rank AS VARCHAR) || '__' AS placeholder, term, translation FROM gl_ranked""",
+    ("requests_d", "glossary_d"))
+
+sql("jn2_glossary_mask", f""", {VALID.strip()},
+targets AS (SELECT DISTINCT target_lang FROM vreq),
+{GLOSS_RANK.strip()},
+m AS (
+  SELECT v.request_id, coalesce(g.gl, []) AS gl,
+         list_reduce(coalesce(g.gl, []), lambda acc, e: regexp_replace(acc, e.p, e.ph, 'g'), v.text) AS masked
+  FROM vreq v LEFT JOIN gl_lists g ON g.target_lang = v.target_lang)
+SELECT request_id, sha256(masked) AS masked_hash,
+       CAST(len(regexp_extract_all(masked, '__TERM_[0-9]+__')) AS BIGINT) AS n_placeholders,
+       sha256(list_reduce(gl, lambda acc, e: replace(acc, e.ph, e.tr), masked)) AS restored_hash
+FROM m""", ("requests_d", "glossary_d"))
+
+sql("se1_glossary_get", """,
+q AS (SELECT * FROM (VALUES ('es'), ('fr'), ('')) t(query_target))
+SELECT q.query_target, g.entry_no, g.source_term, g.translation
+FROM q JOIN glossary_d g ON g.target_lang IN ('', q.query_target)""", ("glossary_d",))
+
+sql("ag7_glossary_version_at", """,
+tg AS (SELECT entry_no, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(entry_no AS INTEGER)) AS added_at FROM glossary_d),
+tr AS (SELECT request_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(request_id * 10 AS INTEGER)) AS ts FROM requests_d)
+SELECT tr.request_id, CAST(count(tg.entry_no) AS BIGINT) AS glossary_version
+FROM tr LEFT JOIN tg ON tg.added_at <= tr.ts GROUP BY tr.request_id""", ("requests_d", "glossary_d"))
+
+sql("fn12_prepare_prompts", f""", {VALID.strip()},
+pr AS (SELECT request_id, text, target_lang,
+              CASE WHEN request_id % 4 = 0 THEN 'medical' ELSE '' END AS context,
+              CASE WHEN request_id % 5 = 0 THEN 'formal' ELSE 'neutral' END AS tone,
+              CAST(request_id % 2 AS INTEGER) AS alternatives FROM vreq),
+targets AS (SELECT DISTINCT target_lang FROM pr),
+{GLOSS_RANK.strip()},
+m AS (
+  SELECT pr.*, coalesce(g.gl, []) AS gl, coalesce(l.name, pr.target_lang) AS lname,
+         list_reduce(coalesce(g.gl, []), lambda acc, e: regexp_replace(acc, e.p, e.ph, 'g'), pr.text) AS masked
+  FROM pr LEFT JOIN gl_lists g ON g.target_lang = pr.target_lang LEFT JOIN languages_d l ON l.code = pr.target_lang)
+SELECT request_id,
+  sha256('You are a professional translator. Translate the following text accurately into ' || lname || '. ' ||
+    CASE WHEN context <> '' THEN 'Context: ' || context || '. ' ELSE '' END ||
+    CASE WHEN tone NOT IN ('', 'neutral') THEN 'Tone: ' || tone || '. ' ELSE '' END ||
+    CASE WHEN len(gl) > 0 THEN 'Preserve the following placeholders exactly as they appear and do not translate them: '
+         || array_to_string(list_transform(gl, lambda e: e.ph || ' -> ' || e.tr), '; ') || '. ' ELSE '' END ||
+    'Return ONLY a JSON object with keys: translation (string), source_language (string), confidence (number 0-1).' ||
+    CASE WHEN alternatives > 0 THEN ' Also include alternatives (array of strings).' ELSE '' END ||
+    chr(10) || chr(10) || 'Text: ' || masked) AS prompt_hash,
+  CAST(greatest(512, length(masked) * 4 + 256) AS BIGINT) AS max_tokens,
+  CAST(len(gl) AS BIGINT) AS n_entries
+FROM m""", ("requests_d", "glossary_d", "languages_d"))
+
+sql("fn13_resolve_model", f""",
+d AS (SELECT doc_id AS request_id,
+             ['openai','anthropic','deepl','google','ollama','libretranslate','custom','openrouter','nosuch'][doc_id % 9 + 1] AS provider_name,
+             CASE WHEN lang = 'de' THEN 'my-model' ELSE '' END AS model FROM documents)
+SELECT d.request_id, d.provider_name, {Q.first_nonempty('d.model', 'p.default_model')} AS model
+FROM d LEFT JOIN providers_d p ON p.provider = d.provider_name""", ("providers_d",))
+
+# sources -------------------------------------------------------------------------------
+sql("src1_load_requests", """
+SELECT doc_id AS request_id, CASE WHEN lang = 'en' OR lang IS NULL OR lang = '' THEN 'auto' ELSE lang END AS source_lang,
+       'es' AS target_lang, CASE WHEN doc_id % 3 = 0 THEN 'neutral' ELSE 'formal' END AS tone, true AS use_cache,
+       CAST(0 AS BIGINT) AS alternatives, '' AS provider, '' AS model, '' AS context
+FROM documents""")
+
+sql("src2_load_glossary", f""",
+g AS (SELECT source_term, target_lang, translation FROM glossary_raw),
+ok AS (SELECT * FROM g WHERE source_term <> '' AND target_lang <> '' AND translation <> '')
+SELECT CAST(row_number() OVER (ORDER BY source_term, target_lang, translation) AS BIGINT) AS entry_no,
+       source_term, CASE WHEN target_lang = '' THEN '' ELSE {Q.lang('target_lang')} END AS target_lang, translation,
+       CAST(NULL AS VARCHAR) AS error FROM ok
+UNION ALL
+SELECT NULL, source_term, target_lang, translation,
+       'invalid input: source_term, target_language and translation required'
+FROM g WHERE NOT (source_term <> '' AND target_lang <> '' AND translation <> '')""", ("glossary_raw",))
+
+sql("src4_load_documents", """
+SELECT doc_id, format, 'auto' AS source_lang,
+  CASE WHEN content = '' OR format = '' THEN 'invalid input: content, format and target_language required'
+       WHEN format NOT IN ('markdown', 'plain', 'json', 'html', 'xml') THEN 'invalid input: unsupported format ' || format
+  END AS error
+FROM (SELECT doc_id, CASE WHEN n_chars < 100 THEN '' ELSE text END AS content,
+             ['markdown','plain','html','xml','json','rst'][doc_id % 6 + 1] AS format FROM documents)""")
+
+KEYED_FULL = f""", {KEYED.strip()}"""
+
+sql("src5_cache_upsert", f"""{KEYED_FULL},
+{CACHE_D.strip()},
+newr AS (
+  SELECT key_hash, 'new:' || CAST(request_id AS VARCHAR) AS translation,
+         TIMESTAMP '2024-01-02 00:00:00' + to_seconds(CAST(request_id AS BIGINT)) AS created_at, 'new' AS generation
+  FROM keyed2 WHERE source_lang <> 'en'),
+allr AS (
+  SELECT key_hash, c_translation AS translation, created_at, 'old' AS generation, 0 AS src FROM cache_d
+  UNION ALL SELECT key_hash, translation, created_at, generation, 1 FROM newr)
+SELECT key_hash, translation, generation FROM (
+  SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY src DESC, created_at DESC) AS rn FROM allr) WHERE rn = 1""",
+    ("requests_d", "gl_version", "providers_d"))
+
+sql("src6_write_responses", f"""{KEYED_FULL},
+{CACHE_D.strip()}
+SELECT key_hash, to_json(struct_pack(translation := c_translation, source_language := c_source,
+       target_language := c_target, provider := c_provider, model := c_model, cached := false,
+       confidence := CAST(c_confidence AS DOUBLE), alternatives := [c_target], input_tokens := CAST(0 AS BIGINT),
+       output_tokens := CAST(0 AS BIGINT)))::VARCHAR AS json
+FROM cache_d""", ("requests_d", "gl_version", "providers_d"))
+
+sql("jn3_cache_lookup", f"""{KEYED_FULL},
+{CACHE_D.strip()}
+SELECT k.request_id, c.key_hash IS NOT NULL AS hit, c.c_translation AS translation
+FROM keyed2 k LEFT JOIN cache_live c ON c.key_hash = k.key_hash""", ("requests_d", "gl_version", "providers_d"))
+
+sql("jn4_tiered_lookup", f"""{KEYED_FULL},
+{CACHE_D.strip()},
+tiers AS (SELECT key_hash, tier, expires_at FROM cache_d UNION ALL SELECT key_hash, 3, NULL FROM cache_d),
+best AS (SELECT key_hash, min(tier) AS hit_tier FROM tiers
+         WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2024-01-01 06:00:00' GROUP BY key_hash),
+hitk AS (SELECT DISTINCT b.key_hash, b.hit_tier FROM best b JOIN keyed2 k ON k.key_hash = b.key_hash)
+SELECT 'hit' AS kind, k.request_id, k.key_hash, CAST(b.hit_tier AS BIGINT) AS tier FROM keyed2 k JOIN best b ON b.key_hash = k.key_hash
+UNION ALL
+SELECT 'backfill', NULL, key_hash, CAST(unnest(generate_series(1, hit_tier - 1)) AS BIGINT) FROM hitk WHERE hit_tier > 1""",
+    ("requests_d", "gl_version", "providers_d"))
+
+sql("jn7_language_names", f""",
+r AS (SELECT doc_id AS request_id, {Q.lang('lang')} AS src, lang || '-x' AS raw FROM documents)
+SELECT r.request_id, coalesce(a.name, r.src) AS source_name, coalesce(b.name, r.raw) AS raw_name
+FROM r LEFT JOIN languages_d a ON a.code = r.src LEFT JOIN languages_d b ON b.code = r.raw""", ("languages_d",))
+
+sql("jn8_dedup_then_join", f"""{KEYED_FULL}
+SELECT request_id, key_hash, row_number() OVER (PARTITION BY key_hash ORDER BY ts NULLS FIRST, request_id) > 1 AS cached
+FROM keyed2""", ("requests_d", "gl_version", "providers_d"))

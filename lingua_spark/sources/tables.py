@@ -88,14 +88,14 @@ def call_log_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_from_labels(spark: SparkSession, sf_dir: str, glossary_df: DataFrame | None) -> DataFrame:
     """A cache written before the run: one answer per labelled document, keyed like the
-    translate job keys it. Fresh for 24h when quality = 1, else only 1h (expired at AS_OF).
+    translate job keys it, written request_id seconds after the epoch day. Fresh for 24h when quality = 1, else only 1h (expired at AS_OF).
     Tier 1 + toxic (for the tiered lookup)."""
     from lingua_spark.plans.translate import keyed_requests
     labels = read(spark, sf_dir, "labels")
     reqs = requests_from_documents(spark, sf_dir).join(
         labels.withColumnRenamed("doc_id", "request_id"), "request_id")
     keyed, _ = keyed_requests(reqs, glossary_df)
-    created = F.expr(EPOCH_DAY)
+    created = F.expr(EPOCH_DAY) + F.make_dt_interval(secs=F.col("request_id").cast("int"))
     hours = F.when(F.col("quality") == 1, F.lit(24)).otherwise(F.lit(1))
     return keyed.select(
         "key_hash",
@@ -108,3 +108,15 @@ def cache_from_labels(spark: SparkSession, sf_dir: str, glossary_df: DataFrame |
         .alias("response"),
         created.alias("created_at"), (created + F.make_dt_interval(hours=hours)).alias("expires_at"),
         (F.lit(1) + F.col("toxic")).cast("int").alias("tier"), "request_id")
+
+
+def timed_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived glossary with add times: entry n added n hours after the epoch day."""
+    return glossary(spark, sf_dir).withColumn(
+        "added_at", F.expr(EPOCH_DAY) + F.make_dt_interval(hours=F.col("entry_no").cast("int")))
+
+
+def timed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document requests stamped ten minutes apart by doc_id."""
+    return requests_from_documents(spark, sf_dir).withColumn(
+        "ts", F.expr(EPOCH_DAY) + F.make_dt_interval(mins=(F.col("request_id") * 10).cast("int")))
