@@ -325,3 +325,85 @@ def jn8(spark, sf):
     from lingua_spark.operators.cache import dedup_first
     d = dedup_first(_keyed(spark, sf))
     return d.select("request_id", "key_hash", (~F.col("is_first")).alias("cached"))
+
+
+# ---------------------------------------------------------------- metrics (call log from events)
+def _log(spark, sf):
+    return T.call_log_from_events(spark, sf)
+
+
+@query("ag1_request_counts")
+def ag1(spark, sf):
+    from lingua_spark.operators.metrics import request_counts
+    return request_counts(_log(spark, sf))
+
+
+@query("ag2_latency_histogram")
+def ag2(spark, sf):
+    from lingua_spark.operators.metrics import latency_histogram
+    h = latency_histogram(_log(spark, sf))
+    return h.withColumn("latency_sum", F.round("latency_sum", 6))
+
+
+@query("ag3_cache_hits")
+def ag3(spark, sf):
+    from lingua_spark.operators.metrics import cache_hits
+    return cache_hits(_log(spark, sf)).withColumn("hit_ratio", F.round("hit_ratio", 6))
+
+
+@query("ag4_provider_calls")
+def ag4(spark, sf):
+    from lingua_spark.operators.metrics import provider_calls
+    return provider_calls(_log(spark, sf))
+
+
+@query("ag5_token_totals")
+def ag5(spark, sf):
+    from lingua_spark.operators.metrics import token_totals
+    return token_totals(_log(spark, sf))
+
+
+@query("ag6_provider_status")
+def ag6(spark, sf):
+    from lingua_spark.operators.metrics import provider_status
+    return provider_status(_log(spark, sf))
+
+
+# ---------------------------------------------------------------- windows
+@query("wn1_latest_by_key")
+def wn1(spark, sf):
+    from lingua_spark.operators.cache import latest_by_key
+    l = latest_by_key(_log(spark, sf), "key_hash", [F.col("ts").desc(), F.col("call_id").desc()])
+    return l.select("key_hash", "call_id", "tool")
+
+
+@query("wn2_cap_entries")
+def wn2(spark, sf):
+    from lingua_spark.operators.cache import cap_entries, latest_by_key
+    l = latest_by_key(_log(spark, sf), "key_hash", [F.col("ts").desc(), F.col("call_id").desc()])
+    c = l.select("key_hash", "call_id", F.col("ts").alias("created_at"),
+                 (F.col("ts") + F.when(F.col("ok"), F.expr("INTERVAL 24 HOURS")).otherwise(F.expr("INTERVAL 1 HOURS")))
+                 .alias("expires_at"))
+    return cap_entries(c, 25, F.expr("TIMESTAMP_NTZ'2024-01-29 00:00:00'")).select("key_hash", "call_id")
+
+
+@query("wn3_ttl_dedup")
+def wn3(spark, sf):
+    from pyspark.sql.types import TimestampNTZType
+    from lingua_spark.operators.cache import ttl_dedup
+    l = _log(spark, sf).withColumn("ts_us", FK.epoch_micros("ts", TimestampNTZType()))
+    return ttl_dedup(l, 86400.0, key="key_hash", ts_micros="ts_us", id_col="call_id").select("call_id", "action")
+
+
+@query("wn4_failure_runs")
+def wn4(spark, sf):
+    from lingua_spark.operators.windows import failure_runs
+    return failure_runs(_log(spark, sf), 3).select("call_id", "provider", "run_len", "tripped")
+
+
+@query("wn5_over_rate")
+def wn5(spark, sf):
+    from pyspark.sql.types import TimestampNTZType
+    from lingua_spark.operators.windows import over_rate
+    l = _log(spark, sf).withColumn("t_us", FK.epoch_micros("ts", TimestampNTZType()))
+    return over_rate(l, 1 / 3600, 2, 3600.0).select("call_id", "in_window", "over")

@@ -299,3 +299,71 @@ FROM r LEFT JOIN languages_d a ON a.code = r.src LEFT JOIN languages_d b ON b.co
 sql("jn8_dedup_then_join", f"""{KEYED_FULL}
 SELECT request_id, key_hash, row_number() OVER (PARTITION BY key_hash ORDER BY ts NULLS FIRST, request_id) > 1 AS cached
 FROM keyed2""", ("requests_d", "gl_version", "providers_d"))
+
+# metrics -------------------------------------------------------------------------------
+sql("ag1_request_counts", ", x AS (SELECT 1)\nSELECT tool, CAST(count(*) AS BIGINT) AS requests FROM call_log GROUP BY tool",
+    ("call_log",))
+
+_LES = ["0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1.0", "2.5", "5.0", "10.0"]
+_LE_VALUES = ", ".join(f"('{x}', {x})" for x in _LES) + ", ('+Inf', 'Infinity'::DOUBLE)"
+sql("ag2_latency_histogram", f""",
+les AS (SELECT * FROM (VALUES {_LE_VALUES}) t(le, v)),
+tot AS (SELECT tool, round(sum(latency_s), 6) AS latency_sum, CAST(count(*) AS BIGINT) AS latency_count FROM call_log GROUP BY tool)
+SELECT t.tool, les.le, CAST(count(c.tool) AS BIGINT) AS cumulative_count, t.latency_sum, t.latency_count
+FROM tot t CROSS JOIN les LEFT JOIN call_log c ON c.tool = t.tool AND c.latency_s <= les.v
+GROUP BY t.tool, les.le, t.latency_sum, t.latency_count""", ("call_log",))
+
+sql("ag3_cache_hits", """, x AS (SELECT 1)
+SELECT tool, CAST(count_if(cached) AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS calls,
+       round(count_if(cached) / count(*), 6) AS hit_ratio FROM call_log GROUP BY tool""", ("call_log",))
+
+sql("ag4_provider_calls", """, x AS (SELECT 1)
+SELECT provider, CAST(count_if(ok AND NOT cached) AS BIGINT) AS calls, CAST(count_if(NOT ok) AS BIGINT) AS errors
+FROM call_log GROUP BY provider""", ("call_log",))
+
+sql("ag5_token_totals", f""", x AS (SELECT 1)
+SELECT provider, CAST(sum({Q.tokens(Q.norm("coalesce(input_text, '')"))}) AS BIGINT) AS input_tokens,
+       CAST(sum({Q.tokens("coalesce(output_text, '')")}) AS BIGINT) AS output_tokens
+FROM call_log WHERE ok AND NOT cached GROUP BY provider""", ("call_log",))
+
+sql("ag6_provider_status", """, x AS (SELECT 1)
+SELECT provider, CASE WHEN ok THEN 'healthy' ELSE 'unhealthy: ' || coalesce(error, '') END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, call_id DESC) AS rn FROM call_log) WHERE rn = 1""",
+    ("call_log",))
+
+# windows -------------------------------------------------------------------------------
+sql("wn1_latest_by_key", """, x AS (SELECT 1)
+SELECT key_hash, call_id, tool FROM (
+  SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY ts DESC, call_id DESC) AS rn FROM call_log) WHERE rn = 1""",
+    ("call_log",))
+
+sql("wn2_cap_entries", """,
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY ts DESC, call_id DESC) AS rn FROM call_log) WHERE rn = 1),
+c AS (SELECT key_hash, call_id, ts AS created_at, ts + CASE WHEN ok THEN INTERVAL 24 HOURS ELSE INTERVAL 1 HOURS END AS expires_at FROM l)
+SELECT key_hash, call_id FROM c WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2024-01-29 00:00:00'
+ORDER BY created_at DESC, key_hash LIMIT 25""", ("call_log",))
+
+ORACLE["wn3_ttl_dedup"] = "WITH RECURSIVE " + Q.derived_ctes({"call_log"}) + """,
+o AS (SELECT key_hash, call_id, epoch_us(ts) AS t,
+             row_number() OVER (PARTITION BY key_hash ORDER BY epoch_us(ts), call_id) AS rn FROM call_log),
+r AS (
+  SELECT key_hash, call_id, t, rn, t AS anchor, 'write' AS action FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.key_hash, o.call_id, o.t, o.rn,
+         CASE WHEN o.t > r.anchor + 86400000000 THEN o.t ELSE r.anchor END,
+         CASE WHEN o.t > r.anchor + 86400000000 THEN 'write' ELSE 'hit' END
+  FROM r JOIN o ON o.key_hash = r.key_hash AND o.rn = r.rn + 1)
+SELECT call_id, action FROM r"""
+
+sql("wn4_failure_runs", """,
+s AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS island
+      FROM call_log),
+f AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY provider, island ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS run_len
+      FROM s)
+SELECT call_id, provider, CAST(run_len AS BIGINT) AS run_len, (NOT ok) AND run_len = 3 AS tripped FROM f""", ("call_log",))
+
+sql("wn5_over_rate", """,
+c AS (SELECT call_id, provider, epoch_us(ts) AS t FROM call_log)
+SELECT call_id, CAST(count(*) OVER (PARTITION BY provider ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window,
+       count(*) OVER (PARTITION BY provider ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) > 3.0 AS over
+FROM c""", ("call_log",))
