@@ -407,3 +407,73 @@ def wn5(spark, sf):
     from lingua_spark.operators.windows import over_rate
     l = _log(spark, sf).withColumn("t_us", FK.epoch_micros("ts", TimestampNTZType()))
     return over_rate(l, 1 / 3600, 2, 3600.0).select("call_id", "in_window", "over")
+
+
+# ---------------------------------------------------------------- translation memory
+ASCII_FOLD = "[^ -~]"
+
+
+def _fold(c):
+    return F.regexp_replace(c, ASCII_FOLD, "?")
+
+
+def tm_queries(spark, sf):
+    """Queries for the TM search: every conversation turn, and per benchmark passage one
+    copy with a single substituted character, its first half and its first word."""
+    c = T.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+                                                  F.col("text"))
+    b = T.read(spark, sf, "benchmark")
+    half = (F.char_length("text") / 2).cast("int")
+    edited = b.select((F.lit(1000000) + F.col("item_id")).alias("query_id"),
+                      F.concat(F.substring("text", 1, half), F.lit("x"),
+                               F.expr("substring(text, CAST(char_length(text) / 2 AS INT) + 2)")).alias("text"))
+    head = b.select((F.lit(2000000) + F.col("item_id")).alias("query_id"), F.substring("text", 1, half).alias("text"))
+    word = b.select((F.lit(3000000) + F.col("item_id")).alias("query_id"),
+                    F.regexp_extract("text", r"^(\S*)", 1).alias("text"))
+    return c.unionByName(edited).unionByName(head).unionByName(word).withColumn("text", _fold(F.col("text")))
+
+
+def _tm_folded(spark, sf):
+    return T.tm_from_benchmark(spark, sf).withColumn("source_text", _fold(F.col("source_text")))
+
+
+@query("jn5_tm_search")
+def jn5(spark, sf):
+    from lingua_spark.operators.memory import tm_search
+    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.8)
+    return r.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("so1_rank_results")
+def so1(spark, sf):
+    from lingua_spark.operators.memory import tm_search
+    from lingua_spark.operators.windows import rank_results
+    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.5)
+    return rank_results(r).select("query_id", "id", "result_rank")
+
+
+@query("jn6_tm_exact")
+def jn6(spark, sf):
+    from lingua_spark.operators.memory import tm_exact
+    b = T.read(spark, sf, "benchmark").select(
+        (F.lit(1000000) + F.col("item_id")).alias("query_id"),
+        F.concat(F.lit("  "), F.col("text"), F.lit("\t")).alias("text"))
+    c = T.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    q = b.unionByName(c).withColumn("source_lang", F.lit("en")).withColumn("target_lang", F.lit("es"))
+    r = tm_exact(q, T.tm_from_benchmark(spark, sf))
+    return r.select("query_id", "tm_id", F.sha2("target_text", 256).alias("target_hash"))
+
+
+@query("src3_append_tm")
+def src3(spark, sf):
+    from lingua_spark.operators.memory import append_tm
+    tm = T.tm_from_benchmark(spark, sf)
+    c = T.read(spark, sf, "conversations")
+    new = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("source_text"),
+                   F.when(F.col("role") == "user", F.concat(F.lit("translated:"), F.col("text"))).otherwise(F.lit(""))
+                   .alias("target_text"), F.lit("en").alias("source_lang"), F.lit("es").alias("target_lang"))
+    tm2, rejected = append_tm(tm, new, created_at=F.expr(T.EPOCH_DAY))
+    return (tm2.select("id", F.sha2("source_text", 256).alias("source_hash"), F.lit("ok").alias("status"))
+            .unionByName(rejected.select(F.lit(None).cast("long").alias("id"),
+                                         F.sha2("source_text", 256).alias("source_hash"),
+                                         F.lit("rejected").alias("status"))))

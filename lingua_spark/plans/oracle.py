@@ -367,3 +367,53 @@ c AS (SELECT call_id, provider, epoch_us(ts) AS t FROM call_log)
 SELECT call_id, CAST(count(*) OVER (PARTITION BY provider ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window,
        count(*) OVER (PARTITION BY provider ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) > 3.0 AS over
 FROM c""", ("call_log",))
+
+# translation memory ---------------------------------------------------------------------
+TMQ = f"""
+tmq AS (
+  SELECT conv_id * 1000 + turn AS query_id, text FROM conversations
+  UNION ALL SELECT 1000000 + item_id, substring(text, 1, CAST(length(text) / 2 AS INTEGER)) || 'x' ||
+                   substring(text, CAST(length(text) / 2 AS INTEGER) + 2) FROM benchmark
+  UNION ALL SELECT 2000000 + item_id, substring(text, 1, CAST(length(text) / 2 AS INTEGER)) FROM benchmark
+  UNION ALL SELECT 3000000 + item_id, regexp_extract(text, '^(\\S*)', 1) FROM benchmark),
+qa AS (SELECT query_id, lower({Q.trim_u("regexp_replace(text, '[^ -~]', '?', 'g')")}) AS a FROM tmq),
+tb AS (SELECT CAST(item_id + 1 AS BIGINT) AS id, lower(regexp_replace(text, '[^ -~]', '?', 'g')) AS b FROM benchmark)"""
+
+
+def _tm_pairs(t: float) -> str:
+    return f"""
+pairs AS (
+  SELECT query_id, id, CASE WHEN a = b THEN 1.0 WHEN contains(b, a) THEN 0.95
+         WHEN greatest(strlen(a), strlen(b)) = 0 THEN 1.0
+         ELSE 1.0 - levenshtein(a, b) / greatest(strlen(a), strlen(b)) END AS score
+  FROM qa, tb
+  WHERE a = b OR contains(b, a)
+     OR abs(length(a) - length(b)) <= floor({1 - t} * greatest(strlen(a), strlen(b)) + 1e-9))"""
+
+
+sql("jn5_tm_search", f"""WITH {TMQ.strip()}, {_tm_pairs(0.8).strip()}
+SELECT query_id, CAST(id AS BIGINT) AS id, round(score, 6) AS score FROM pairs WHERE score >= 0.8""")
+
+sql("so1_rank_results", f"""WITH {TMQ.strip()}, {_tm_pairs(0.5).strip()}
+SELECT query_id, CAST(id AS BIGINT) AS id,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS result_rank
+FROM pairs WHERE score >= 0.5""")
+
+sql("jn6_tm_exact", f""",
+q AS (SELECT 1000000 + item_id AS query_id, '  ' || text || chr(9) AS text FROM benchmark
+      UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations),
+j AS (SELECT q.query_id, t.id AS tm_id, t.target_text,
+             row_number() OVER (PARTITION BY q.query_id, q.text ORDER BY t.id DESC) AS rn
+      FROM q JOIN tm_d t ON lower({Q.trim_u('q.text')}) = lower(t.source_text) AND t.source_lang = 'en' AND t.target_lang = 'es')
+SELECT query_id, tm_id, sha256(target_text) AS target_hash FROM j WHERE rn = 1""", ("tm_d",))
+
+sql("src3_append_tm", """,
+mx AS (SELECT coalesce(max(id), 0) AS m FROM tm_d),
+newr AS (SELECT conv_id * 1000 + turn AS seq, text AS source_text,
+                CASE WHEN role = 'user' THEN 'translated:' || text ELSE '' END AS target_text FROM conversations)
+SELECT id, sha256(source_text) AS source_hash, 'ok' AS status FROM tm_d
+UNION ALL
+SELECT CAST((SELECT m FROM mx) + row_number() OVER (ORDER BY seq) AS BIGINT), sha256(source_text), 'ok'
+FROM newr WHERE source_text <> '' AND target_text <> ''
+UNION ALL
+SELECT NULL, sha256(source_text), 'rejected' FROM newr WHERE source_text = '' OR target_text = ''""", ("tm_d",))
