@@ -60,6 +60,27 @@ def term_pattern(term: Column, case_sensitive: Column) -> Column:
     return F.concat(flag, F.lit(ASCII_BOUNDARY), quoted, F.lit(ASCII_BOUNDARY))
 
 
+# The only non-ASCII letters that case-fold onto ASCII letters (long s, dotless i, Kelvin
+# sign, dotted capital I). Without them, a case-insensitive match of an ASCII word run is an
+# ASCII word run of the lowered text, i.e. one of its tokens.
+SPECIALS = "\u017f\u0131\u212a\u0130"
+
+
+def prune_fold(c: Column) -> Column:
+    """Lower case with the special letters mapped onto ASCII, so a case-insensitive term
+    match implies that the folded term key is a substring of the folded text."""
+    lowered = F.regexp_replace(F.lower(c), "\u0307", "")
+    return F.translate(lowered, "\u017f\u0131\u212a", "sik")
+
+
+def term_key(term: Column) -> Column:
+    """Longest ASCII word run of the lowered term; '' (never pruned) when the term has none
+    or holds a special letter."""
+    runs = F.regexp_extract_all(F.lower(term), F.lit("([a-z0-9_]+)"), 1)
+    longest = F.aggregate(runs, F.lit(""), lambda acc, r: F.when(F.length(r) > F.length(acc), r).otherwise(acc))
+    return F.when(term.rlike(f"[{SPECIALS}]"), F.lit("")).otherwise(longest)
+
+
 def placeholder(rank: Column) -> Column:
     return F.concat(F.lit(K.PLACEHOLDER_PREFIX), rank.cast("string"), F.lit(K.PLACEHOLDER_SUFFIX))
 
@@ -79,7 +100,7 @@ def ranked_entries(targets: DataFrame, glossary: DataFrame) -> DataFrame:
     return (joined.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
             .select("target_lang", "rank", placeholder(F.col("rank")).alias("placeholder"),
                     term_pattern(F.col("source_term"), F.col("case_sensitive")).alias("pattern"),
-                    F.col("source_term").alias("term"), "translation"))
+                    F.col("source_term").alias("term"), "translation", term_key(F.col("source_term")).alias("key")))
 
 
 def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss") -> DataFrame:
@@ -91,7 +112,7 @@ def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss
     """
     ranked = ranked_entries(requests, glossary)
     arrays = (ranked.groupBy("target_lang")
-              .agg(F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern", "term", "translation")))
+              .agg(F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern", "term", "translation", "key")))
                    .alias(out_col)))
     n = glossary.count()
     arrays = F.broadcast(arrays) if n <= MAX_BROADCAST_ENTRIES else arrays
@@ -99,19 +120,40 @@ def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss
             .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(arrays.schema[out_col].dataType))))
 
 
-def mask_terms(text: Column, gloss: Column) -> Column:
-    """JN-2 mask: replace each entry's whole-word matches by its placeholder, in rank order."""
-    return F.aggregate(gloss, text, lambda acc, e: F.regexp_replace(acc, e["pattern"], e["placeholder"]))
+def candidates(gloss: Column, tokens: Column, folded: Column) -> Column:
+    """Entries that can match a row (exact pre-filter): key '' or, for rows without special
+    letters, key is one of the row's tokens (`tokens`: map token -> true); for rows with
+    special letters, key is a substring of the folded text (`folded`)."""
+    return F.filter(gloss, lambda e: (e["key"] == "") | F.when(
+        tokens.isNotNull(), F.map_contains_key(tokens, e["key"])).otherwise(F.instr(folded, e["key"]) > 0))
+
+
+def mask_terms(text: Column, gloss: Column, tokens: Column | None = None, folded: Column | None = None) -> Column:
+    """JN-2 mask: replace each entry's whole-word matches by its placeholder, in rank order.
+    With `tokens` / `folded` (columns of their own, see glossary_mask) only candidates run."""
+    entries = candidates(gloss, tokens, folded) if tokens is not None else gloss
+    return F.aggregate(entries, text, lambda acc, e: F.regexp_replace(acc, e["pattern"], e["placeholder"]))
 
 
 def restore_terms(text: Column, gloss: Column) -> Column:
-    """JN-2 restore: literal placeholder -> translation, in rank order."""
-    return F.aggregate(gloss, text, lambda acc, e: F.replace(acc, e["placeholder"], e["translation"]))
+    """JN-2 restore: literal placeholder -> translation, in rank order (entries whose
+    placeholder does not occur are skipped; replacing them would be a no-op)."""
+    present = F.filter(gloss, lambda e: F.instr(text, e["placeholder"]) > 0)
+    return F.aggregate(present, text, lambda acc, e: F.replace(acc, e["placeholder"], e["translation"]))
 
 
 def glossary_mask(df: DataFrame, text_col: str = "text", gloss_col: str = "gloss",
                   out_col: str = "masked") -> DataFrame:
-    return df.withColumn(out_col, mask_terms(F.col(text_col), F.col(gloss_col)))
+    """JN-2 mask with the exact candidate pre-filter (token map or folded text per row)."""
+    text = F.col(text_col)
+    special = text.rlike(f"[{SPECIALS}]")
+    toks = F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
+    tok_map = F.map_from_arrays(toks, F.transform(toks, lambda _: F.lit(True)))
+    return (df.withColumn("_special", special)
+            .withColumn("_tok", F.when(~F.col("_special"), tok_map))
+            .withColumn("_fold", F.when(F.col("_special"), prune_fold(text)))
+            .withColumn(out_col, mask_terms(text, F.col(gloss_col), F.col("_tok"), F.col("_fold")))
+            .drop("_special", "_tok", "_fold"))
 
 
 def glossary_restore(df: DataFrame, text_col: str = "translation", gloss_col: str = "gloss",

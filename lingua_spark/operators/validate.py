@@ -45,13 +45,13 @@ def build_prompt(language_name: Column, context: Column, tone: Column, gloss: Co
 def prepare_prompts(df: DataFrame, glossary: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """FN-12: mask (when a glossary is given), build the prompt and the output budget."""
     from lingua_spark.operators.chain import language_names
-    from lingua_spark.operators.glossary import glossary_for, mask_terms
+    from lingua_spark.operators.glossary import glossary_for, glossary_mask
     if glossary is not None:
         d = glossary_for(df, glossary)
     else:
         d = df.withColumn("gloss", F.array().cast(
-            "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string>>"))
-    d = d.withColumn("masked", mask_terms(F.col(text_col), F.col("gloss")))
+            "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"))
+    d = glossary_mask(d, text_col, "gloss", "masked")
     d = language_names(d, "target_lang", "_lname")
     alts = F.col("alternatives") if "alternatives" in d.columns else F.lit(0)
     ctx = F.col("context") if "context" in d.columns else F.lit("")
