@@ -477,3 +477,79 @@ def src3(spark, sf):
             .unionByName(rejected.select(F.lit(None).cast("long").alias("id"),
                                          F.sha2("source_text", 256).alias("source_hash"),
                                          F.lit("rejected").alias("status"))))
+
+
+# ---------------------------------------------------------------- documents
+FENCE_TAIL = "\n```\ncode\n```\ntail"
+
+
+def _md_docs(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.concat(F.col("text"), F.lit(FENCE_TAIL)).alias("content"),
+                                   F.lit("markdown").alias("format"))
+
+
+def _html_docs(spark, sf):
+    return T.read(spark, sf, "pages").select((F.lit(1000000) + F.col("page_id")).alias("doc_id"),
+                                             F.col("html").alias("content"), F.lit("html").alias("format"))
+
+
+def _json_docs(spark, sf):
+    return _docs(spark, sf).select(
+        "doc_id", F.to_json(F.struct("lang", F.struct("text").alias("body"))).alias("content"),
+        F.lit("json").alias("format"))
+
+
+def segment_translator(target: str = "es"):
+    """translate_fn for documents: BT-5 with the mock engine over the distinct segments."""
+    from lingua_spark.operators.engines import has_engine, mock_engine, register_engine
+    from lingua_spark.plans.translate import translate
+    if not has_engine("mock"):
+        register_engine("mock", mock_engine(), kind="native")
+
+    def fn(segs):
+        reqs = segs.select(F.lit(0).cast("long").alias("request_id"), F.lit(None).cast("timestamp").alias("ts"),
+                           F.col("segment").alias("text"), F.col("segment"), F.lit("auto").alias("source_lang"),
+                           F.lit(target).alias("target_lang"), F.lit("").alias("provider"), F.lit("").alias("model"),
+                           F.lit("").alias("context"), F.lit("neutral").alias("tone"), F.lit(True).alias("use_cache"),
+                           F.lit(0).alias("alternatives"))
+        res = translate(reqs, engine="mock", carry=["segment"])
+        ok = res.answers.select("segment", "translation", "error")
+        bad = res.rejected.select("segment", F.lit(None).cast("string").alias("translation"), "error")
+        return ok.unionByName(bad)
+    return fn
+
+
+@query("dc1_segment_markdown")
+def dc1(spark, sf):
+    from lingua_spark.operators.documents import segment_markdown
+    s = segment_markdown(_md_docs(spark, sf))
+    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), "kind", F.sha2("segment", 256).alias("seg_hash"))
+
+
+@query("dc2_segment_tagged")
+def dc2(spark, sf):
+    from lingua_spark.operators.documents import segment_tagged
+    s = segment_tagged(_html_docs(spark, sf))
+    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), "kind", F.sha2("segment", 256).alias("seg_hash"))
+
+
+@query("dc3_segment_json")
+def dc3(spark, sf):
+    from lingua_spark.operators.documents import segment_json
+    s = segment_json(_json_docs(spark, sf))
+    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), "kind", F.sha2("segment", 256).alias("seg_hash"))
+
+
+@query("dc4_reassemble")
+def dc4(spark, sf):
+    from lingua_spark.operators.documents import reassemble, segment_tagged
+    s = segment_tagged(_html_docs(spark, sf)).withColumn("out", F.col("segment"))
+    return reassemble(s, "doc_id", "").select("doc_id", F.sha2("output", 256).alias("output_hash"))
+
+
+@query("dc5_translate_documents")
+def dc5(spark, sf):
+    from lingua_spark.operators.documents import translate_documents
+    docs = _md_docs(spark, sf).unionByName(_html_docs(spark, sf))
+    r = translate_documents(docs, segment_translator("es"))
+    return r.select("doc_id", F.sha2("output", 256).alias("output_hash"), "error")

@@ -417,3 +417,49 @@ SELECT CAST((SELECT m FROM mx) + row_number() OVER (ORDER BY seq) AS BIGINT), sh
 FROM newr WHERE source_text <> '' AND target_text <> ''
 UNION ALL
 SELECT NULL, sha256(source_text), 'rejected' FROM newr WHERE source_text = '' OR target_text = ''""", ("tm_d",))
+
+# documents ------------------------------------------------------------------------------
+FENCE = "(?s)(```(?:[^\\n]*\\n)?(.*?)```)"
+TAG = "(<[^>]+>)"
+MD_DOCS = f"""md AS (SELECT doc_id, text || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || 'tail' AS content FROM documents),
+mdp AS (SELECT doc_id, regexp_split_to_array(content, '{FENCE}') AS segs, regexp_extract_all(content, '{FENCE}', 1) AS m FROM md)"""
+HTML_DOCS = f"""hd AS (SELECT 1000000 + page_id AS doc_id, html AS content FROM pages),
+hdp AS (SELECT doc_id, content, regexp_split_to_array(content, '{TAG}') AS parts, regexp_extract_all(content, '{TAG}', 1) AS tags FROM hd)"""
+
+sql("dc1_segment_markdown", f"""WITH {MD_DOCS},
+pieces AS (SELECT doc_id, unnest(flatten(list_transform(range(1, len(segs) + 1), lambda i:
+    [struct_pack(pos := 2 * (i - 1), kind := 'text', s := segs[i])] ||
+    CASE WHEN i <= len(m) THEN [struct_pack(pos := 2 * (i - 1) + 1, kind := 'keep', s := m[i])] ELSE [] END))) AS p FROM mdp)
+SELECT doc_id, CAST(p.pos AS BIGINT) AS pos, p.kind AS kind, sha256(p.s) AS seg_hash FROM pieces WHERE p.kind = 'keep' OR p.s <> ''""")
+
+sql("dc2_segment_tagged", f"""WITH {HTML_DOCS},
+pieces AS (SELECT doc_id, unnest(flatten(list_transform(range(1, len(parts) + 1), lambda i:
+    [struct_pack(pos := 2 * (i - 1), kind := CASE WHEN parts[i] <> '' AND NOT starts_with(parts[i], '<') THEN 'text' ELSE 'keep' END, s := parts[i])] ||
+    CASE WHEN i <= len(tags) THEN [struct_pack(pos := 2 * (i - 1) + 1, kind := 'keep', s := tags[i])] ELSE [] END))) AS p FROM hdp)
+SELECT doc_id, CAST(p.pos AS BIGINT) AS pos, p.kind AS kind, sha256(p.s) AS seg_hash FROM pieces""")
+
+sql("dc4_reassemble", f"""WITH {HTML_DOCS}
+SELECT doc_id, sha256(content) AS output_hash FROM hdp""")
+
+
+def _tr(x: str) -> str:
+    return f"(CASE WHEN {Q.norm(x)} = '' THEN {x} ELSE 'translated:' || {Q.norm(x)} END)"
+
+
+def _too_long(x: str) -> str:
+    return f"(length({Q.norm(x)}) > 10000)"
+
+
+sql("dc5_translate_documents", f"""WITH {MD_DOCS}, {HTML_DOCS},
+mdo AS (SELECT doc_id,
+    array_to_string(flatten(list_transform(range(1, len(segs) + 1), lambda i:
+      (CASE WHEN segs[i] <> '' THEN [{_tr('segs[i]')}] ELSE [] END) || (CASE WHEN i <= len(m) THEN [m[i]] ELSE [] END))),
+      chr(10) || chr(10)) AS output,
+    list_bool_or(list_transform(segs, lambda s: s <> '' AND {_too_long('s')})) AS bad FROM mdp),
+hdo AS (SELECT doc_id,
+    array_to_string(list_transform(range(1, len(parts) + 1), lambda i:
+      (CASE WHEN parts[i] = '' OR starts_with(parts[i], '<') THEN parts[i] ELSE {_tr('parts[i]')} END) || coalesce(tags[i], '')), '') AS output,
+    list_bool_or(list_transform(parts, lambda s: s <> '' AND NOT starts_with(s, '<') AND {_too_long('s')})) AS bad FROM hdp)
+SELECT doc_id, CASE WHEN coalesce(bad, false) THEN NULL ELSE sha256(output) END AS output_hash,
+       CASE WHEN coalesce(bad, false) THEN 'invalid input: text exceeds max length' END AS error
+FROM (SELECT * FROM mdo UNION ALL SELECT * FROM hdo)""")

@@ -107,7 +107,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
               default_provider: str = K.DEFAULT_PROVIDER, providers: DataFrame | None = None,
               max_len: int = K.MAX_TEXT_LENGTH, ttl_seconds: float = K.DEFAULT_TTL_SECONDS, now=None,
               detected: DataFrame | None = None, tm: DataFrame | None = None, use_tm: bool = False,
-              materialize: bool = True) -> TranslateResult:
+              materialize: bool = True, carry: list[str] | None = None) -> TranslateResult:
     """BT-5. `engine` names a registered engine (UD-1) used for every provider unless
     `provider_engines` maps a provider to another one. `known` = configured providers
     (default: the catalogue), `fallback` = fallback order (default: none)."""
@@ -169,7 +169,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     pending = work.withColumn("last_error", F.lit(None).cast("string"))
     for rank in range(ranks):
         last = rank == ranks - 1
-        step = pending.withColumn("chain_provider", F.col("chain")[rank])
+        step = pending.withColumn("chain_provider", F.get(F.col("chain"), rank))
         if rank > 0 or not any(f in known for f in fallback):
             # rows whose chain ends before this rank (at rank 0 only possible without a known fallback)
             exhausted = step.filter(F.col("chain_provider").isNull())
@@ -208,9 +208,10 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     if hit_answers is not None:
         by_key = by_key.unionByName(hit_answers)
 
-    answers = (keyed.select("request_id", "key_hash", "is_first").join(by_key, "key_hash")
+    carry = carry or []
+    answers = (keyed.select("request_id", "key_hash", "is_first", *carry).join(by_key, "key_hash")
                .withColumn("cached", F.col("hit") | ~F.col("is_first"))
-               .select(*ANSWER_COLUMNS))
+               .select(*ANSWER_COLUMNS, *carry))
     ts_now = F.current_timestamp() if now is None else F.lit(now)
     updates = by_key.filter(F.col("store") & F.col("error").isNull()).select(
         "key_hash",
@@ -220,4 +221,4 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
                  F.col("output_tokens")).alias("response"),
         ts_now.alias("created_at"), (ts_now + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"),
         F.lit(1).alias("tier"))
-    return TranslateResult(answers, rejected.select("request_id", "error"), updates)
+    return TranslateResult(answers, rejected.select("request_id", "error", *carry), updates)
