@@ -553,3 +553,137 @@ def dc5(spark, sf):
     docs = _md_docs(spark, sf).unionByName(_html_docs(spark, sf))
     r = translate_documents(docs, segment_translator("es"))
     return r.select("doc_id", F.sha2("output", 256).alias("output_hash"), "error")
+
+
+# ---------------------------------------------------------------- detection
+@query("ld1_train_language_profiles")
+def ld1(spark, sf):
+    from lingua_spark.operators.detect import train_language_profiles
+    return train_language_profiles(_docs(spark, sf)).select("lang", "gram", "cnt", "rank")
+
+
+@query("ld2_detect_language")
+def ld2(spark, sf):
+    from lingua_spark.operators.detect import detect_language, train_language_profiles
+    prof = train_language_profiles(_docs(spark, sf))
+    c = T.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    d = detect_language(c, prof)
+    return d.select("row_id", "language", F.round("confidence", 6).alias("confidence"))
+
+
+def _heuristic_detector(pdf):
+    """UD-3 example detector (pandas batch): marks of German, Spanish, French, else English."""
+    import pandas as pd
+    t = pdf["text"].fillna("")
+    lang = pd.Series("en", index=pdf.index)
+    lang = lang.mask(t.str.contains("[éèêàç]", regex=True), "fr")
+    lang = lang.mask(t.str.contains("[ñ¿¡]", regex=True), "es")
+    lang = lang.mask(t.str.contains("[äöüß]", regex=True), "de")
+    return pd.DataFrame({"row_key": pdf["row_key"], "language": lang, "confidence": 0.97})
+
+
+@query("ud3_register_detector")
+def ud3(spark, sf):
+    from lingua_spark.operators.engines import register_detector, run_detector
+    register_detector("marks", _heuristic_detector)
+    d = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("row_key"), "text")
+    r = run_detector(d, "marks")
+    return r.select(F.col("row_key").cast("long").alias("doc_id"), "language",
+                    F.round("confidence", 6).alias("confidence"))
+
+
+# ---------------------------------------------------------------- engines
+def _work(spark, sf):
+    k = _keyed(spark, sf)
+    return k.select("key_hash", "text", "source_lang", "target_lang", F.col("provider_name").alias("provider"),
+                    "model", "context", "tone", "alternatives").dropDuplicates(["key_hash"])
+
+
+def _py_engine(pdf):
+    """UD-1 example engine (pandas batch): prefixes the text."""
+    import pandas as pd
+    return pd.DataFrame({"key_hash": pdf["key_hash"], "translation": "py:" + pdf["text"],
+                         "source_language": pdf["source_lang"], "confidence": 0.8, "input_tokens": 0,
+                         "output_tokens": 0, "error": None})
+
+
+@query("ud1_run_engine")
+def ud1(spark, sf):
+    from lingua_spark.operators.engines import register_engine, run_engine
+    register_engine("py_prefix", _py_engine, kind="pandas")
+    r = run_engine(_work(spark, sf), "py_prefix")
+    return r.select("key_hash", F.sha2("translation", 256).alias("translation_hash"),
+                    F.round("confidence", 6).alias("confidence"), "error")
+
+
+@query("ud2_mock_engine")
+def ud2(spark, sf):
+    from lingua_spark.operators.engines import mock_engine
+    b = T.read(spark, sf, "benchmark")
+    dictionary = b.select(F.col("text").alias("source_text"),
+                          F.concat(F.lit("dict:"), F.col("item_id").cast("string")).alias("translation"))
+    c = T.read(spark, sf, "conversations").select("text")
+    work = (b.select("text").unionByName(c).distinct()
+            .select(F.sha2("text", 256).alias("key_hash"), "text", F.lit("en").alias("source_lang"),
+                    F.lit("es").alias("target_lang")))
+    r = mock_engine(dictionary)(work)
+    return r.select("key_hash", F.sha2("translation", 256).alias("translation_hash"),
+                    F.round("confidence", 6).alias("confidence"))
+
+
+# ---------------------------------------------------------------- batch and chain
+@query("bt1_batch_one_to_many")
+def bt1(spark, sf):
+    from lingua_spark.operators.chain import batch_one_to_many
+    d = _docs(spark, sf).select(
+        "doc_id", "text",
+        F.when(F.col("n_chars") > 19000, F.array_repeat(F.lit("es"), 51))
+        .when(F.col("lang") == "fr", F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("es"), F.lit("fr"), F.lit("de"))).alias("targets"))
+    b = batch_one_to_many(d)
+    return b.select("doc_id", F.col("item_pos").cast("long").alias("item_pos"), "target_lang", "error")
+
+
+@query("bt2_batch_many_to_one")
+def bt2(spark, sf):
+    from lingua_spark.operators.chain import batch_many_to_one
+    c = T.read(spark, sf, "conversations")
+    items = c.groupBy("conv_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", "text", "role"))),
+        lambda x: F.struct(x["text"].alias("text"),
+                           F.when(x["role"] == "assistant", F.lit("fr")).otherwise(F.lit("")).alias("target_lang")))
+        .alias("items")).withColumn("target_lang", F.lit("es"))
+    b = batch_many_to_one(items)
+    return b.select("conv_id", F.col("item_pos").cast("long").alias("item_pos"),
+                    F.sha2("text", 256).alias("text_hash"), "target_lang", "error")
+
+
+FALLBACK = ["deepl", "openai", "nosuch", "google"]
+
+
+def _chain(spark, sf):
+    from lingua_spark.operators.chain import resolve_chain
+    lab = T.read(spark, sf, "labels")
+    req = lab.select("doc_id", "quality", "toxic",
+                     F.element_at(F.lit(PROVIDER_CYCLE), (F.col("doc_id") % 9 + 1).cast("int")).alias("provider"))
+    return resolve_chain(req, [p for p, _, _ in K.PROVIDERS], FALLBACK)
+
+
+@query("bt3_resolve_chain")
+def bt3(spark, sf):
+    return _chain(spark, sf).select("doc_id", F.col("rank").cast("long").alias("rank"),
+                                    F.col("chain_provider").alias("provider"))
+
+
+@query("bt4_first_success")
+def bt4(spark, sf):
+    from lingua_spark.operators.chain import first_success
+    ch = _chain(spark, sf)
+    p = F.col("chain_provider")
+    fails = (((p == "openai") & (F.col("quality") == 0)) | ((p == "deepl") & (F.col("toxic") == 1))
+             | ((p == "google") & (F.col("doc_id") % 2 == 0)) | (p == "anthropic"))
+    outcomes = ch.select("doc_id", "chain_provider", (~fails).alias("ok"),
+                         F.when(~fails, F.concat(p, F.lit(":"), F.col("doc_id").cast("string"))).alias("translation"),
+                         F.when(fails, F.concat(p, F.lit(" failed"))).alias("error"))
+    r = first_success(ch, outcomes, key="doc_id")
+    return r.select("doc_id", "provider", "translation", "error")

@@ -463,3 +463,83 @@ hdo AS (SELECT doc_id,
 SELECT doc_id, CASE WHEN coalesce(bad, false) THEN NULL ELSE sha256(output) END AS output_hash,
        CASE WHEN coalesce(bad, false) THEN 'invalid input: text exceeds max length' END AS error
 FROM (SELECT * FROM mdo UNION ALL SELECT * FROM hdo)""")
+
+# detection ------------------------------------------------------------------------------
+PROFILES = f"""
+g AS (SELECT lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
+      FROM (SELECT {Q.lang('lang')} AS lang, lower(substring(text, 1, 2000)) AS t FROM documents)),
+cnts AS (SELECT lang, gram, CAST(count(*) AS BIGINT) AS cnt FROM g GROUP BY lang, gram),
+prof AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) AS BIGINT) AS rank
+         FROM cnts) WHERE rank <= 300)"""
+
+sql("ld1_train_language_profiles", f"WITH {PROFILES.strip()}\nSELECT lang, gram, cnt, rank FROM prof")
+
+sql("ld2_detect_language", f"""WITH {PROFILES.strip()},
+rows_ AS (SELECT conv_id * 1000 + turn AS row_id, lower(substring(text, 1, 2000)) AS t FROM conversations),
+rg AS (SELECT row_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram FROM rows_),
+per AS (SELECT row_id, gram, count(*) AS k FROM rg GROUP BY row_id, gram),
+hits AS (SELECT per.row_id, prof.lang, sum(per.k) AS hits FROM per JOIN prof ON prof.gram = per.gram GROUP BY per.row_id, prof.lang),
+best AS (SELECT row_id, arg_min(lang, struct_pack(h := -hits, l := lang)) AS lang, max(hits) AS top, sum(hits) AS total
+         FROM hits GROUP BY row_id)
+SELECT r.row_id, coalesce(b.lang, 'auto') AS language, round(coalesce(b.top / b.total, 0.0), 6) AS confidence
+FROM rows_ r LEFT JOIN best b ON b.row_id = r.row_id""")
+
+sql("ud3_register_detector", """
+SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[äöüß]') THEN 'de'
+                    WHEN regexp_matches(coalesce(text, ''), '[ñ¿¡]') THEN 'es'
+                    WHEN regexp_matches(coalesce(text, ''), '[éèêàç]') THEN 'fr' ELSE 'en' END AS language,
+       0.97 AS confidence
+FROM documents""")
+
+# engines --------------------------------------------------------------------------------
+sql("ud1_run_engine", f"""{KEYED_FULL}
+SELECT DISTINCT key_hash, sha256('py:' || text) AS translation_hash, 0.8 AS confidence, CAST(NULL AS VARCHAR) AS error
+FROM keyed2""", ("requests_d", "gl_version", "providers_d"))
+
+sql("ud2_mock_engine", """
+WITH work AS (SELECT DISTINCT text FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)),
+d AS (SELECT text AS source_text, 'dict:' || CAST(item_id AS VARCHAR) AS translation FROM benchmark)
+SELECT sha256(w.text) AS key_hash, sha256(coalesce(d.translation, 'translated:' || w.text)) AS translation_hash,
+       0.9 AS confidence
+FROM work w LEFT JOIN d ON d.source_text = w.text""")
+
+# batch and chain -------------------------------------------------------------------------
+sql("bt1_batch_one_to_many", """
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS item_pos, ['es', 'fr', 'de'][i] AS target_lang, CAST(NULL AS VARCHAR) AS error
+FROM documents, range(1, 4) r(i) WHERE NOT (n_chars > 19000) AND lang IS DISTINCT FROM 'fr'
+UNION ALL
+SELECT doc_id, NULL, NULL, CASE WHEN n_chars > 19000 THEN 'invalid input: too many targets' ELSE 'invalid input: targets required' END
+FROM documents WHERE n_chars > 19000 OR lang = 'fr'""")
+
+sql("bt2_batch_many_to_one", """
+WITH c AS (SELECT conv_id, turn, text, role, count(*) OVER (PARTITION BY conv_id) AS n,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
+SELECT conv_id, CAST(pos AS BIGINT) AS item_pos, sha256(coalesce(text, '')) AS text_hash,
+       CASE WHEN role = 'assistant' THEN 'fr' ELSE 'es' END AS target_lang, CAST(NULL AS VARCHAR) AS error
+FROM c WHERE n <= 50
+UNION ALL
+SELECT DISTINCT conv_id, NULL, NULL, 'es', 'invalid input: too many items' FROM c WHERE n > 50""")
+
+_KNOWN = "[" + ", ".join(f"'{p}'" for p, _, _ in __import__('lingua_spark.constants', fromlist=['x']).PROVIDERS) + "]"
+CHAIN = f"""
+req AS (SELECT doc_id, quality, toxic,
+               ['openai','anthropic','deepl','google','ollama','libretranslate','custom','openrouter','nosuch'][doc_id % 9 + 1] AS requested
+        FROM labels),
+ch AS (SELECT doc_id, quality, toxic, list_concat(CASE WHEN list_contains({_KNOWN}, requested) THEN [requested] ELSE [] END,
+              list_filter(['deepl', 'openai', 'nosuch', 'google'], lambda f: list_contains({_KNOWN}, f) AND f <> requested)) AS chain
+       FROM req),
+chain_rows AS (SELECT doc_id, quality, toxic, CAST(i - 1 AS BIGINT) AS rank, chain[i] AS provider
+               FROM ch, range(1, 6) r(i) WHERE i <= len(chain))"""
+
+sql("bt3_resolve_chain", f"WITH {CHAIN.strip()}\nSELECT doc_id, rank, provider FROM chain_rows")
+
+sql("bt4_first_success", f"""WITH {CHAIN.strip()},
+o AS (SELECT *, NOT ((provider = 'openai' AND quality = 0) OR (provider = 'deepl' AND toxic = 1)
+                    OR (provider = 'google' AND doc_id % 2 = 0) OR provider = 'anthropic') AS ok FROM chain_rows),
+agg AS (SELECT doc_id, arg_min(CASE WHEN ok THEN provider END, CASE WHEN ok THEN rank END) AS p_ok,
+               arg_max(CASE WHEN NOT ok THEN provider END, CASE WHEN NOT ok THEN rank END) AS p_err,
+               bool_or(ok) AS any_ok FROM o GROUP BY doc_id)
+SELECT doc_id, CASE WHEN any_ok THEN p_ok END AS provider,
+       CASE WHEN any_ok THEN p_ok || ':' || CAST(doc_id AS VARCHAR) END AS translation,
+       CASE WHEN NOT any_ok THEN coalesce(p_err || ' failed', 'provider unavailable: no provider available') END AS error
+FROM agg""")
