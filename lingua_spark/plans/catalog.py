@@ -687,3 +687,94 @@ def bt4(spark, sf):
                          F.when(fails, F.concat(p, F.lit(" failed"))).alias("error"))
     r = first_success(ch, outcomes, key="doc_id")
     return r.select("doc_id", "provider", "translation", "error")
+
+
+# ---------------------------------------------------------------- streaming
+def _log_stream_cols(s):
+    """call_log columns over an events stream (same derivation as sources.tables)."""
+    from pyspark.sql.types import TimestampNTZType
+    return s.select(
+        F.col("event_id").alias("call_id"), "ts", F.col("event_type").alias("tool"),
+        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("provider"),
+        F.sha2(F.concat_ws("\u0000", F.col("user_id").cast("string"), F.col("event_type")), 256).alias("key_hash"),
+        (F.col("event_type") != "error").alias("ok"),
+        FK.epoch_micros("ts", TimestampNTZType()).alias("t_us"))
+
+
+@query("st1_stream_translate")
+def st1(spark, sf):
+    from lingua_spark.operators.engines import has_engine, mock_engine, register_engine
+    from lingua_spark.streaming.streams import stream_translate, table_stream
+    if not has_engine("mock"):
+        register_engine("mock", mock_engine(), kind="native")
+    gl = T.glossary(spark, sf)
+    cache = T.cache_from_labels(spark, sf, gl)
+
+    def to_requests(d):
+        return d.select(
+            F.col("doc_id").alias("request_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+            F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang"), F.lit("")).alias("source_lang"),
+            F.when(F.col("lang") == "es", "fr").otherwise("es").alias("target_lang"),
+            F.lit("").alias("provider"), F.lit("").alias("model"), F.lit("").alias("context"),
+            F.lit("neutral").alias("tone"), F.lit(True).alias("use_cache"), F.lit(0).alias("alternatives"))
+    a = stream_translate(table_stream(spark, f"{sf}/documents.parquet"), to_requests,
+                         dict(engine="mock", glossary=gl, cache=cache, as_of=F.expr(T.AS_OF)))
+    return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
+                    "source_language", "target_language", "provider", "model", "cached",
+                    F.round("confidence", 6).alias("confidence"),
+                    FT.estimate_tokens("translation").alias("est_output_tokens"), "error")
+
+
+@query("st2_stream_cache_upsert")
+def st2(spark, sf):
+    from lingua_spark.plans.translate import keyed_requests
+    from lingua_spark.streaming.streams import stream_cache_upsert, table_stream
+    gl = T.glossary(spark, sf)
+    cache = T.cache_from_labels(spark, sf, gl).drop("request_id")
+
+    def to_rows(d):
+        reqs = d.select(
+            F.col("doc_id").alias("request_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+            F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang"), F.lit("")).alias("source_lang"),
+            F.when(F.col("lang") == "es", "fr").otherwise("es").alias("target_lang"),
+            F.lit("").alias("provider"), F.lit("").alias("model"), F.lit("").alias("context"),
+            F.lit("neutral").alias("tone"), F.lit(True).alias("use_cache"), F.lit(0).alias("alternatives"))
+        k, _ = keyed_requests(reqs, gl)
+        k = k.filter(F.col("source_lang") != "en")
+        return k.select(
+            "key_hash",
+            F.struct(F.concat(F.lit("new:"), F.col("request_id").cast("string")).alias("translation"),
+                     F.col("source_lang").alias("source_language"), F.col("target_lang").alias("target_language"),
+                     F.col("provider_name").alias("provider"), "model", F.lit(False).alias("cached"),
+                     F.lit(0.9).alias("confidence"), F.lit(None).cast("array<string>").alias("alternatives"),
+                     F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
+            .alias("response"),
+            (F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'") + F.make_dt_interval(secs=F.col("request_id").cast("int")))
+            .alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("expires_at"), F.lit(1).alias("tier"))
+    u = stream_cache_upsert(table_stream(spark, f"{sf}/documents.parquet"), cache, to_rows)
+    return u.select("key_hash", F.col("response.translation").alias("translation"),
+                    F.when(F.col("expires_at").isNull(), "new").otherwise("old").alias("generation"))
+
+
+@query("st3_stream_dedup")
+def st3(spark, sf):
+    from lingua_spark.streaming.streams import stream_dedup, table_stream
+    s = _log_stream_cols(table_stream(spark, f"{sf}/events.parquet")).withColumn("ets", F.timestamp_micros("t_us"))
+    return stream_dedup(s, "key_hash", "ets", "24 hours").select("call_id", "key_hash")
+
+
+@query("st4_stream_counts")
+def st4(spark, sf):
+    from lingua_spark.streaming.streams import stream_counts, table_stream
+    s = _log_stream_cols(table_stream(spark, f"{sf}/events.parquet")).withColumn("ets", F.timestamp_micros("t_us"))
+    c = stream_counts(s, "ets", "tool", "1 day", "1 day")
+    return c.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "tool", "calls")
+
+
+@query("st5_stream_failure_runs")
+def st5(spark, sf):
+    from lingua_spark.streaming.streams import stream_failure_runs, table_stream
+    s = _log_stream_cols(table_stream(spark, f"{sf}/events.parquet"))
+    return stream_failure_runs(s.select("call_id", "provider", "ok", "t_us"), 3).select(
+        "call_id", "provider", "run_len", "tripped")

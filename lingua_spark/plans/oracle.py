@@ -543,3 +543,11 @@ SELECT doc_id, CASE WHEN any_ok THEN p_ok END AS provider,
        CASE WHEN any_ok THEN p_ok || ':' || CAST(doc_id AS VARCHAR) END AS translation,
        CASE WHEN NOT any_ok THEN coalesce(p_err || ' failed', 'provider unavailable: no provider available') END AS error
 FROM agg""")
+
+# streaming (drained with availableNow: one micro-batch over each table) --------------------
+ORACLE["st1_stream_translate"] = ORACLE["bt5_translate"]
+ORACLE["st2_stream_cache_upsert"] = ORACLE["src5_cache_upsert"]
+ORACLE["st5_stream_failure_runs"] = ORACLE["wn4_failure_runs"]
+sql("st4_stream_counts", """
+SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, event_type AS tool, CAST(count(*) AS BIGINT) AS calls
+FROM events GROUP BY 1, 2""")
