@@ -778,3 +778,47 @@ def st5(spark, sf):
     s = _log_stream_cols(table_stream(spark, f"{sf}/events.parquet"))
     return stream_failure_runs(s.select("call_id", "provider", "ok", "t_us"), 3).select(
         "call_id", "provider", "run_len", "tripped")
+
+
+# ---------------------------------------------------------------- landed provider bodies
+INGEST_PROVIDERS = ["openai", "anthropic", "google", "ollama", "deepl", "libretranslate", "openrouter", "custom"]
+
+
+def landed_from_conversations(spark, sf):
+    """One landed body per conversation turn: provider by (conv_id + turn) % 8, HTTP 429 /
+    500 by text length, model output as JSON, fenced JSON or plain text by turn % 3."""
+    c = T.read(spark, sf, "conversations")
+    p = F.element_at(F.lit(INGEST_PROVIDERS), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    obj = F.to_json(F.struct(F.col("text").alias("translation"), F.lit("en").alias("source_language"),
+                             F.lit(0.93).alias("confidence")))
+    out = (F.when(F.col("turn") % 3 == 0, obj)
+           .when(F.col("turn") % 3 == 1, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```")))
+           .otherwise(F.col("text")))
+    usage = F.struct(F.lit(10).alias("prompt_tokens"), F.lit(2).alias("completion_tokens"))
+    body = (F.when(p.isin("openai", "openrouter", "custom"), F.to_json(F.struct(
+        F.array(F.struct(F.struct(out.alias("content")).alias("message"))).alias("choices"), usage.alias("usage"))))
+        .when(p == "anthropic", F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), out.alias("text")))
+                                                   .alias("content"))))
+        .when(p == "google", F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(out.alias("text")))
+                                                                          .alias("parts")).alias("content")))
+                                                .alias("candidates"))))
+        .when(p == "ollama", F.to_json(F.struct(F.struct(out.alias("content")).alias("message"))))
+        .when(p == "deepl", F.to_json(F.struct(F.array(F.struct(F.col("text").alias("text"),
+                                                                F.lit("EN").alias("detected_source_language")))
+                                               .alias("translations"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("translatedText"),
+                                      F.struct(F.lit("en").alias("language"), F.lit(90.0).alias("confidence"))
+                                      .alias("detectedLanguage")))))
+    ln = F.char_length("text")
+    status = F.when(ln % 17 == 0, 429).when(ln % 13 == 0, 500).otherwise(200)
+    return c.select(F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256)
+                    .alias("key_hash"), p.alias("provider"), F.lit("m").alias("model"), status.alias("status"),
+                    body.alias("body"), F.lit("auto").alias("source_lang"), F.lit("es").alias("target_lang"))
+
+
+@query("src7_ingest_responses")
+def src7(spark, sf):
+    from lingua_spark.sources.ingest import ingest_responses
+    r = ingest_responses(landed_from_conversations(spark, sf))
+    return r.select("key_hash", "provider", F.sha2("translation", 256).alias("translation_hash"), "source_language",
+                    F.round("confidence", 6).alias("confidence"), "input_tokens", "output_tokens", "error")
