@@ -54,10 +54,23 @@ def glossary_all(glossary: DataFrame) -> DataFrame:
 
 
 def term_pattern(term: Column, case_sensitive: Column) -> Column:
-    """Whole-word pattern of a literal term: ASCII boundaries, Unicode case folding when insensitive."""
+    """Whole-word pattern of a literal term: ASCII boundaries (Go's \\b), Unicode case folding
+    when insensitive.
+
+    The literal comes first so the matcher fails fast on the first character; the boundary
+    at the start of the match is then checked with fixed-width look-behinds over the
+    term's code-point length L: a word char exactly L+1 back XOR a word char exactly L back.
+    This is the same match set as boundary + literal + boundary.
+    """
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     flag = F.when(case_sensitive, F.lit("")).otherwise(F.lit("(?iu)"))
-    return F.concat(flag, F.lit(ASCII_BOUNDARY), quoted, F.lit(ASCII_BOUNDARY))
+    n = F.char_length(term).cast("string")
+    n1 = (F.char_length(term) - 1).cast("string")
+    before_word = F.concat(F.lit(r"\w[\s\S]{"), n, F.lit("}"))
+    first_word = F.concat(F.lit(r"\w[\s\S]{"), n1, F.lit("}"))
+    start = F.concat(F.lit("(?:(?<="), before_word, F.lit(")(?<!"), first_word, F.lit(")|(?<!"), before_word,
+                     F.lit(")(?<="), first_word, F.lit("))"))
+    return F.concat(flag, quoted, start, F.lit(ASCII_BOUNDARY))
 
 
 # The only non-ASCII letters that case-fold onto ASCII letters (long s, dotless i, Kelvin

@@ -22,6 +22,8 @@ LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+    # text operators are CPU-bound per row: keep small shuffle outputs spread over the cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024),
 }
 
 
@@ -57,5 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Source-side parallelism guard for a freshly read table: a scan with fewer splits
+    than the cluster's default parallelism (e.g. one file with one row group) is spread
+    round-robin, so per-row text work does not run in a handful of tasks. Large tables
+    already have many splits and pass through unchanged."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

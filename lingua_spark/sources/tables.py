@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingua_spark.session import table_path
+from lingua_spark.session import spread, table_path
 
 EPOCH_DAY = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 AS_OF = "TIMESTAMP_NTZ'2024-01-01 06:00:00'"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
 
 
 def requests_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
