@@ -95,14 +95,15 @@ def _ttl_fold(ttl_us: int, key: str, ts_micros: str, id_col: str):
     import pandas as pd
 
     def run(batches):
-        cur_key, anchor = None, None
+        cur, anchor = None, None
         for pdf in batches:
             keys = pdf[key].to_numpy()
+            segs = pdf["_seg"].to_numpy(dtype="int64")
             ts = pdf[ts_micros].to_numpy(dtype="int64")
             write = np.empty(len(pdf), dtype=bool)
             for i in range(len(pdf)):
-                if keys[i] != cur_key:
-                    cur_key, anchor = keys[i], None
+                if cur is None or keys[i] != cur[0] or segs[i] != cur[1]:
+                    cur, anchor = (keys[i], segs[i]), None
                 if anchor is None or ts[i] > anchor + ttl_us:
                     anchor = ts[i]
                     write[i] = True
@@ -114,20 +115,37 @@ def _ttl_fold(ttl_us: int, key: str, ts_micros: str, id_col: str):
 
 
 def ttl_dedup(requests: DataFrame, ttl_seconds: float, key: str = "key_hash", ts_micros: str = "ts_us",
-              id_col: str = "request_id") -> DataFrame:
+              id_col: str = "request_id", bucket_us: int = 3_600_000_000) -> DataFrame:
     """WN-3: per key, a request is a 'write' when no write happened in the previous ttl,
     else a 'hit'. The ttl is anchored at the write (hits do not refresh it); a write at t
     serves requests up to and including t + ttl.
 
-    The rule is a sequential fold per key. Rows are shuffled once by key, sorted inside
-    each partition by (key, time, id) and folded in one streaming pass that carries only
-    the current anchor, so memory stays bounded however many rows a key has.
+    The rule is a sequential fold per key, but it restarts at every request that comes
+    more than ttl after the key's previous request (that one is always a write). Those
+    reset points are found with per-(key, hour) windows plus a carry from per-bucket
+    summaries, so a busy key is not one window partition; each (key, segment) is then
+    folded independently in one streaming pass over rows sorted inside their partition,
+    carrying only the current anchor (bounded memory). A key with no gap longer than ttl
+    is a single segment and is folded by one task.
     """
+    from lingua_spark.operators.windows import bucketed_scan
     ttl_us = int(round(ttl_seconds * 1_000_000))
-    rows = requests.select(F.col(key), F.col(id_col).cast("long"), F.col(ts_micros).cast("long"))
+    rows = (requests.select(F.col(key), F.col(id_col).cast("long").alias(id_col),
+                            F.col(ts_micros).cast("long").alias(ts_micros))
+            .withColumn("_bk", F.floor(F.col(ts_micros) / bucket_us)))
+    order = [F.col(ts_micros), F.col(id_col)]
+    prev_in = F.lag(ts_micros).over(Window.partitionBy(key, "_bk").orderBy(*order))
+    last_of = (rows.groupBy(key, "_bk").agg(F.max(ts_micros).alias("_last"))
+               .withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(key).orderBy("_bk")))
+               .drop("_last"))
+    r = (rows.withColumn("_prev_in", prev_in).join(last_of, [key, "_bk"], "left")
+         .withColumn("_prev", F.coalesce("_prev_in", "_prev_last")))
+    reset = F.col("_prev").isNull() | (F.col(ts_micros) - F.col("_prev") > F.lit(ttl_us))
+    r = bucketed_scan(r, key, "_bk", order, F.when(reset, F.col(ts_micros)), "_seg", "max")
     nparts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(nparts, key).sortWithinPartitions(key, ts_micros, id_col)
-    schema = f"{key} string, {id_col} long, {ts_micros} long, action string"
+    ordered = (r.select(key, id_col, ts_micros, "_seg").repartition(nparts, key, "_seg")
+               .sortWithinPartitions(key, "_seg", ts_micros, id_col))
+    schema = f"{key} {requests.schema[key].dataType.simpleString()}, {id_col} long, {ts_micros} long, action string"
     return ordered.mapInPandas(_ttl_fold(ttl_us, key, ts_micros, id_col), schema)
 
 

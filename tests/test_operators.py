@@ -235,3 +235,25 @@ def test_metrics_status(spark):
         .withColumn("ts", F.current_timestamp())
     got = {r.provider: r.status for r in provider_status(df).collect()}
     assert got == {"a": "healthy", "b": "unhealthy: boom"}
+
+
+def test_ttl_dedup_brute_force(spark):
+    import random
+    from lingua_spark.operators.cache import ttl_dedup
+    rnd = random.Random(3)
+    rows, t = [], {}
+    for i in range(600):
+        k = rnd.choice(["a", "a", "a", "b", "c"])
+        t[k] = t.get(k, 0) + rnd.choice([0, 1, 5, 20, 3600, 7300]) * 1_000_000
+        rows.append((k, i, t[k]))
+    df = spark.createDataFrame(rows, "key_hash string, request_id long, ts_us long")
+    ttl = 3600.0
+    got = {r.request_id: r.action for r in ttl_dedup(df, ttl, bucket_us=1_800_000_000).collect()}
+    exp, anchor = {}, {}
+    for k, i, ts in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if k not in anchor or ts > anchor[k] + ttl * 1_000_000:
+            anchor[k] = ts
+            exp[i] = "write"
+        else:
+            exp[i] = "hit"
+    assert got == exp
