@@ -14,6 +14,8 @@ ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 # Above this many entries the per-target arrays are not broadcast.
 MAX_BROADCAST_ENTRIES = 5000
+# Entries without an ASCII word run reach every row of their target (broadcast); bounded.
+MAX_KEYLESS_ENTRIES = 5000
 
 
 def load_glossary(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,14 +65,16 @@ def term_pattern(term: Column, case_sensitive: Column) -> Column:
     This is the same match set as boundary + literal + boundary.
     """
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    flag = F.when(case_sensitive, F.lit("")).otherwise(F.lit("(?iu)"))
+    # case folding applies to the literal only: inside (?iu) Java's \\w would also fold
+    # (the Kelvin sign would count as a word char), Go's \\b never does
+    lit = F.when(case_sensitive, quoted).otherwise(F.concat(F.lit("(?iu:"), quoted, F.lit(")")))
     n = F.char_length(term).cast("string")
     n1 = (F.char_length(term) - 1).cast("string")
     before_word = F.concat(F.lit(r"\w[\s\S]{"), n, F.lit("}"))
     first_word = F.concat(F.lit(r"\w[\s\S]{"), n1, F.lit("}"))
     start = F.concat(F.lit("(?:(?<="), before_word, F.lit(")(?<!"), first_word, F.lit(")|(?<!"), before_word,
                      F.lit(")(?<="), first_word, F.lit("))"))
-    return F.concat(flag, quoted, start, F.lit(ASCII_BOUNDARY))
+    return F.concat(lit, start, F.lit(ASCII_BOUNDARY))
 
 
 # The only non-ASCII letters that case-fold onto ASCII letters (long s, dotless i, Kelvin
@@ -116,21 +120,69 @@ def ranked_entries(targets: DataFrame, glossary: DataFrame) -> DataFrame:
                     F.col("source_term").alias("term"), "translation", term_key(F.col("source_term")).alias("key")))
 
 
-def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss") -> DataFrame:
-    """JN-1: attach the ranked entry array of each request's target_lang.
+GLOSS_TYPE = "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"
 
-    One array per distinct target; the result is joined back on target_lang. The array
-    table has one row per target language; it is broadcast only while the glossary is
-    within MAX_BROADCAST_ENTRIES (checked), otherwise it is a shuffled join.
+
+def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss", row_id: str | None = None,
+                 text_col: str = "text") -> DataFrame:
+    """JN-1: attach the ranked entries of each request's target_lang as an array.
+
+    Small glossary (<= MAX_BROADCAST_ENTRIES, checked): one array per target, broadcast.
+    Large glossary: no per-target array is built; each row gets only its candidate entries
+    (see glossary_candidates), which needs a unique `row_id` column. The mask result is
+    the same either way.
     """
+    n = glossary.count()
+    if n > MAX_BROADCAST_ENTRIES:
+        if row_id is None:
+            raise ValueError(f"glossary of {n} entries needs row_id for the candidate-join path")
+        return glossary_candidates(requests, glossary, row_id, text_col, out_col)
     ranked = ranked_entries(requests, glossary)
     arrays = (ranked.groupBy("target_lang")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern", "term", "translation", "key")))
                    .alias(out_col)))
-    n = glossary.count()
-    arrays = F.broadcast(arrays) if n <= MAX_BROADCAST_ENTRIES else arrays
-    return (requests.join(arrays, "target_lang", "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(arrays.schema[out_col].dataType))))
+    return (requests.join(F.broadcast(arrays), "target_lang", "left")
+            .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(GLOSS_TYPE))))
+
+
+def glossary_candidates(requests: DataFrame, glossary: DataFrame, row_id: str, text_col: str = "text",
+                        out_col: str = "gloss") -> DataFrame:
+    """JN-1 for large glossaries: per row, only the ranked entries that can match, found with
+    equi joins (the same exact pre-filter as `candidates`, computed relationally):
+      * rows without special letters: the row's distinct ASCII tokens join the entry keys;
+      * rows with special letters: the first 3 characters of the key join the folded
+        text's 1-3 grams, then the whole key is checked as a substring;
+      * entries without a key (no ASCII word run) apply to every row of their target; their
+        number must stay within MAX_KEYLESS_ENTRIES (checked);
+      * placeholders already present in the text keep their entry (restore replaces them).
+    Ranks are the full-glossary ranks (D-4). Candidates are grouped per row_id."""
+    ranked = ranked_entries(requests, glossary)
+    keyed = ranked.filter(F.col("key") != "")
+    keyless = ranked.filter(F.col("key") == "")
+    nk = keyless.count()
+    if nk > MAX_KEYLESS_ENTRIES:
+        raise ValueError(f"{nk} glossary entries without an ASCII word exceed {MAX_KEYLESS_ENTRIES}")
+    text = F.col(text_col)
+    rows = requests.select(row_id, "target_lang", text_col, text.rlike(f"[{SPECIALS}]").alias("_sp"))
+    plain = rows.filter(~F.col("_sp")).select(
+        row_id, "target_lang", F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))).alias("key"))
+    c_plain = plain.join(keyed, ["target_lang", "key"]).drop("key")
+    sp = rows.filter(F.col("_sp")).select(row_id, "target_lang", prune_fold(text).alias("_f"))
+    grams = sp.select(row_id, "target_lang", "_f", F.explode(F.array_distinct(F.flatten(F.array(
+        *[F.regexp_extract_all(F.col("_f"), F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in (1, 2, 3)])))).alias("_g"))
+    c_sp = (grams.join(keyed.withColumn("_g", F.substring("key", 1, 3)), ["target_lang", "_g"])
+            .filter(F.instr(F.col("_f"), F.col("key")) > 0).drop("_g", "_f", "key"))
+    c_keyless = rows.select(row_id, "target_lang").join(F.broadcast(keyless.drop("key")), "target_lang")
+    lit_ph = rows.select(row_id, "target_lang", F.explode(F.regexp_extract_all(
+        text, F.lit("__TERM_([0-9]+)__"), 1)).alias("_rk")).select(
+        row_id, "target_lang", F.col("_rk").cast("int").alias("rank")).distinct()
+    c_lit = lit_ph.join(ranked.drop("key"), ["target_lang", "rank"])
+    cands = c_plain.unionByName(c_sp).unionByName(c_keyless).unionByName(c_lit).withColumn("key", F.lit(""))
+    per_row = cands.distinct().groupBy(row_id).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern", "term", "translation", "key")))
+        .alias(out_col))
+    return (requests.join(per_row, row_id, "left")
+            .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(GLOSS_TYPE))))
 
 
 def candidates(gloss: Column, tokens: Column, folded: Column) -> Column:

@@ -158,7 +158,7 @@ def jn1(spark, sf):
 @query("jn2_glossary_mask")
 def jn2(spark, sf):
     from lingua_spark.operators.glossary import glossary_for, glossary_mask, restore_terms
-    g = glossary_for(_valid_requests(spark, sf), T.glossary(spark, sf))
+    g = glossary_for(_valid_requests(spark, sf), T.glossary(spark, sf), row_id="request_id")
     g = glossary_mask(g, "text", "gloss", "masked")
     return g.select("request_id", F.sha2("masked", 256).alias("masked_hash"),
                     F.regexp_count("masked", F.lit("__TERM_[0-9]+__")).cast("long").alias("n_placeholders"),

@@ -154,7 +154,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     # Engine work: distinct keys only, masked per target, along the provider chain.
     work = misses
     if glossary is not None:
-        work = glossary_for(work, glossary)
+        work = glossary_for(work, glossary, row_id="key_hash")
     else:
         work = work.withColumn("gloss", F.array().cast(
             "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"))

@@ -257,3 +257,39 @@ def test_ttl_dedup_brute_force(spark):
         else:
             exp[i] = "hit"
     assert got == exp
+
+
+def test_large_glossary_path_matches_oracle(spark, monkeypatch):
+    """Force the candidate-join path (bound 5) and compare the JN-2 and BT-5 queries with DuckDB."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from lingua_spark.operators import glossary as G
+    from scripts.check_oracle import TABLES, rows_of
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 5)
+    for name in ("jn2_glossary_mask", "bt5_translate"):
+        df = entry.queries()[name](spark, sf)
+        cur = con.execute(entry.oracle_sql()[name])
+        dcols = [d[0] for d in cur.description]
+        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, cur.fetchall()), name
+
+
+def test_large_glossary_special_letters(spark, monkeypatch):
+    from lingua_spark.operators import glossary as G
+    g = gloss(spark, [("server", "es", "S", False), ("kb", "es", "K", False), ("日本", "es", "J", False)])
+    req = spark.createDataFrame([(0, "the ſerver and server", "es"), (1, "a\u212ab x 日本 a日本", "es"), (2, "__TERM_1__", "es")],
+                                "id long, text string, target_lang string")
+
+    def run():
+        m = G.glossary_mask(G.glossary_for(req, g, row_id="id"), "text", "gloss", "masked")
+        return {r.id: r.masked for r in m.collect()}
+    small = run()
+    monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 0)
+    large = run()
+    assert small == large
+    assert large[0] == "the ſerver and __TERM_0__"
+    assert large[1] == "a__TERM_2__ x 日本 a日本"
