@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from lingua_spark import constants as K
 
 
-def latest_by_key(df: DataFrame, key: str | list, order: list) -> DataFrame:
-    """WN-1: the newest row per key (`order` lists the recency columns, newest first)."""
+def latest_by_key(df: DataFrame, key: str | list, newest_first: list[str]) -> DataFrame:
+    """WN-1: the newest row per key; `newest_first` names the recency columns compared in
+    order, larger = newer, nulls oldest.
+
+    A grouped max_by over the row struct, so map-side partial aggregation collapses a hot
+    key before the shuffle (no window partition per key)."""
     keys = [key] if isinstance(key, str) else key
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*newest_first)).alias("_latest"))
+    return agg.select(*keys, *[F.col("_latest")[c].alias(c) for c in rest])
 
 
 def with_expiry(rows: DataFrame, created_at: Column, ttl_seconds) -> DataFrame:
@@ -33,7 +38,7 @@ def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     cols = cache.columns
     both = (cache.select(*cols).withColumn("_src", F.lit(0))
             .unionByName(new.select(*cols).withColumn("_src", F.lit(1))))
-    return latest_by_key(both, "key_hash", [F.col("_src").desc(), F.col("created_at").desc_nulls_last()]).drop("_src")
+    return latest_by_key(both, "key_hash", ["_src", "created_at"]).drop("_src")
 
 
 def fresh(cache: DataFrame, as_of) -> DataFrame:
@@ -47,7 +52,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, as_of) -> tuple[DataFram
 
     Both are equi joins on key_hash (shuffled; co-partitioned with any later key_hash step).
     """
-    live = latest_by_key(fresh(cache, as_of), "key_hash", [F.col("created_at").desc_nulls_last()])
+    live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
     hits = requests.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash")
     misses = requests.join(live.select("key_hash"), "key_hash", "left_anti")
     return hits, misses
@@ -76,12 +81,18 @@ def tiered_lookup(requests: DataFrame, tiers: DataFrame, as_of,
     return hits, backfill
 
 
-def dedup_first(requests: DataFrame, key: str = "key_hash", order: list | None = None) -> DataFrame:
-    """JN-8 helper: mark the first request of each key (`is_first`); later duplicates are
-    answered from the first one's result and flagged cached."""
-    order = order or [F.col("ts").asc_nulls_first(), F.col("request_id").asc()]
-    w = Window.partitionBy(key).orderBy(*order)
-    return requests.withColumn("is_first", F.row_number().over(w) == 1)
+def dedup_first(requests: DataFrame, key: str = "key_hash", order: list[str] | None = None,
+                id_col: str = "request_id") -> DataFrame:
+    """JN-8 helper: mark the first request of each key (`is_first`, by `order` ascending,
+    nulls first; default ts then request_id); later duplicates are answered from the first
+    one's result and flagged cached.
+
+    The first id per key is a grouped min_by (partial aggregation collapses a hot key
+    map-side); it joins back on the key, where AQE's skew-join handling can split a hot key."""
+    order = order or ["ts", id_col]
+    firsts = requests.groupBy(key).agg(F.min_by(F.col(id_col), F.struct(*order)).alias("_first_id"))
+    return (requests.join(firsts, key).withColumn("is_first", F.col(id_col) == F.col("_first_id"))
+            .drop("_first_id"))
 
 
 def cap_entries(cache: DataFrame, max_entries: int, as_of) -> DataFrame:

@@ -373,14 +373,14 @@ def ag6(spark, sf):
 @query("wn1_latest_by_key")
 def wn1(spark, sf):
     from lingua_spark.operators.cache import latest_by_key
-    l = latest_by_key(_log(spark, sf), "key_hash", [F.col("ts").desc(), F.col("call_id").desc()])
+    l = latest_by_key(_log(spark, sf), "key_hash", ["ts", "call_id"])
     return l.select("key_hash", "call_id", "tool")
 
 
 @query("wn2_cap_entries")
 def wn2(spark, sf):
     from lingua_spark.operators.cache import cap_entries, latest_by_key
-    l = latest_by_key(_log(spark, sf), "key_hash", [F.col("ts").desc(), F.col("call_id").desc()])
+    l = latest_by_key(_log(spark, sf), "key_hash", ["ts", "call_id"])
     c = l.select("key_hash", "call_id", F.col("ts").alias("created_at"),
                  (F.col("ts") + F.when(F.col("ok"), F.expr("INTERVAL 24 HOURS")).otherwise(F.expr("INTERVAL 1 HOURS")))
                  .alias("expires_at"))

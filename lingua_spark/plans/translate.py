@@ -123,7 +123,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     firsts = keyed.filter("is_first").drop("is_first")
     hit_answers = None
     if cache is not None and as_of is not None:
-        live = latest_by_key(fresh(cache, as_of), "key_hash", [F.col("created_at").desc_nulls_last()])
+        live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
         looked = firsts.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
         is_hit = F.col("use_cache") & F.col("cached_response").isNotNull()
         hit_answers = looked.filter(is_hit).select(
