@@ -293,3 +293,36 @@ def test_large_glossary_special_letters(spark, monkeypatch):
     assert small == large
     assert large[0] == "the ſerver and __TERM_0__"
     assert large[1] == "a__TERM_2__ x 日本 a日本"
+
+
+def test_tm_search_language_filters_brute_force(spark):
+    import random
+    from lingua_spark.operators.memory import tm_search
+    rnd = random.Random(11)
+    langs = ["", "en", "fr"]
+    words = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 6))) for _ in range(40)]
+    tm_rows = [(i + 1, w, "t", rnd.choice(["en", "fr"]), rnd.choice(["es", "de"])) for i, w in enumerate(words)]
+    tm = spark.createDataFrame(tm_rows, "id long, source_text string, target_text string, source_lang string, "
+                                        "target_lang string")
+    qs = [(i, rnd.choice(words), rnd.choice(langs), rnd.choice(["", "es", "de"])) for i in range(25)]
+    q = spark.createDataFrame(qs, "query_id long, text string, sl string, tl string")
+    got = {(r.query_id, r.id) for r in tm_search(q, tm, 0.5, source_lang="sl", target_lang="tl").collect()}
+
+    def lev(a, b):
+        prev = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            cur = [i]
+            for j, cb in enumerate(b, 1):
+                cur.append(min(cur[j - 1] + 1, prev[j] + 1, prev[j - 1] + (ca != cb)))
+            prev = cur
+        return prev[-1]
+
+    def score(a, b):
+        if a == b:
+            return 1.0
+        if a in b:
+            return 0.95
+        return 1.0 - lev(a, b) / max(len(a), len(b))
+    exp = {(qi, tid) for qi, text, sl, tl in qs for tid, w, _, tsl, ttl in tm_rows
+           if (sl == "" or sl == tsl) and (tl == "" or tl == ttl) and score(text.strip(), w) >= 0.5}
+    assert got == exp
