@@ -73,15 +73,20 @@ def requote_json(c: Column) -> Column:
     return F.substr(j, F.lit(2), F.length(j) - 2)
 
 
-def reassemble(segments: DataFrame, id_col: str = "doc_id", sep: str = "", text_col: str = "out") -> DataFrame:
-    """DC-4: concatenate pieces in pos order per document with `sep` ('\\n\\n' for markdown).
-    A document with any failed piece (error not null) fails with the first error."""
+def reassemble(segments: DataFrame, id_col: str = "doc_id", sep: str = "", text_col: str = "out",
+               sep_col: str | None = None) -> DataFrame:
+    """DC-4: concatenate pieces in pos order per document with `sep` ('\\n\\n' for markdown),
+    or with the per-row separator in `sep_col`. A document with any failed piece (error not
+    null) fails with the error of its first failed piece."""
     has_err = "error" in segments.columns
+    seps = [F.first(sep_col).alias("_sep")] if sep_col else []
     agg = segments.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.col(text_col).alias("t")))).alias("_ps"),
-        *( [F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error")] if has_err else []))
-    out = agg.select(id_col, F.array_join(F.transform("_ps", lambda s: s["t"]), sep).alias("output"),
-                     *(["error"] if has_err else []))
+        F.array_sort(F.collect_list(F.struct("pos", F.col(text_col).alias("t")))).alias("_ps"), *seps,
+        *([F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error")] if has_err else []))
+    texts = F.transform("_ps", lambda x: x["t"])
+    joined = (F.when(F.col("_sep") == "\n\n", F.array_join(texts, "\n\n")).otherwise(F.array_join(texts, ""))
+              if sep_col else F.array_join(texts, sep))
+    out = agg.select(id_col, joined.alias("output"), *(["error"] if has_err else []))
     if has_err:
         out = out.withColumn("output", F.when(F.col("error").isNull(), F.col("output")))
     return out
@@ -104,19 +109,19 @@ def translate_segments(segments: DataFrame, translate_fn) -> DataFrame:
 
 
 def translate_documents(docs: DataFrame, translate_fn, id_col: str = "doc_id") -> DataFrame:
-    """DC-5: dispatch by format, translate the distinct segments, reassemble per document.
-    docs: (doc_id, content, format). Unsupported formats fail with 'invalid input: ...'."""
-    md = segment_markdown(docs.filter(F.col("format").isin("markdown", "plain")), "content", id_col)
-    tg = segment_tagged(docs.filter(F.col("format").isin("html", "xml")), "content", id_col)
-    js = segment_json(docs.filter(F.col("format") == "json"), "content", id_col)
-    seps = {"md": "\n\n", "tg": "", "js": ""}
-    outs = []
-    for name, seg in (("md", md), ("tg", tg), ("js", js)):
-        tr = translate_segments(seg, translate_fn)
-        if name == "js":
-            tr = tr.withColumn("out", F.when(F.col("kind") == "text", requote_json(F.col("out"))).otherwise(F.col("out")))
-        outs.append(reassemble(tr, id_col, seps[name]))
-    res = outs[0].unionByName(outs[1]).unionByName(outs[2])
+    """DC-5: dispatch by format, translate the distinct segments of all documents in one
+    job, reassemble per document. docs: (doc_id, content, format). Unsupported formats
+    fail with 'invalid input: unsupported format ...'."""
+    md = segment_markdown(docs.filter(F.col("format").isin("markdown", "plain")), "content", id_col) \
+        .withColumn("_sep", F.lit("\n\n")).withColumn("_json", F.lit(False))
+    tg = segment_tagged(docs.filter(F.col("format").isin("html", "xml")), "content", id_col) \
+        .withColumn("_sep", F.lit("")).withColumn("_json", F.lit(False))
+    js = segment_json(docs.filter(F.col("format") == "json"), "content", id_col) \
+        .withColumn("_sep", F.lit("")).withColumn("_json", F.lit(True))
+    tr = translate_segments(md.unionByName(tg).unionByName(js), translate_fn)
+    tr = tr.withColumn("out", F.when(F.col("_json") & (F.col("kind") == "text"), requote_json(F.col("out")))
+                       .otherwise(F.col("out")))
+    res = reassemble(tr, id_col, text_col="out", sep_col="_sep")
     bad = docs.filter(~F.col("format").isin(*K.DOCUMENT_FORMATS)).select(
         id_col, F.lit(None).cast("string").alias("output"),
         F.concat(F.lit(f"{K.ERR_INVALID_INPUT}: unsupported format "), F.col("format")).alias("error"))

@@ -120,7 +120,9 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     # so it is written once to the shared checkpoint folder instead of being recomputed.
     keyed = cut_lineage(dedup_first(keyed)) if materialize else dedup_first(keyed)
 
-    firsts = keyed.filter("is_first").drop("is_first")
+    # exactly one work row per key, even when request ids repeat (the keyed table is already
+    # partitioned by key_hash, so this adds no shuffle)
+    firsts = keyed.filter("is_first").drop("is_first").dropDuplicates(["key_hash"])
     hit_answers = None
     if cache is not None and as_of is not None:
         live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])

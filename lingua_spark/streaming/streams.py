@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingua_spark.session import ensure_checkpoint_dir
+from lingua_spark.session import ensure_checkpoint_dir, spread
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +54,7 @@ def stream_translate(stream: DataFrame, to_requests, translate_kwargs: dict, nam
     out = os.path.join(base, "out")
 
     def fn(bdf):
-        return translate(to_requests(bdf), **translate_kwargs).answers
+        return translate(to_requests(spread(bdf)), **translate_kwargs).answers
     drain(stream.writeStream.foreachBatch(_batch_sink(out, fn)), os.path.join(base, "ckpt"))
     return spark.read.parquet(out)
 
@@ -72,7 +72,7 @@ def stream_cache_upsert(stream: DataFrame, initial_cache: DataFrame, to_rows, na
     def run(bdf: DataFrame, bid: int) -> None:
         prev = os.path.join(base, "v", str(bid - 1))
         cur = spark.read.parquet(prev)
-        cache_upsert(cur, to_rows(bdf)).write.mode("overwrite").parquet(os.path.join(base, "v", str(bid)))
+        cache_upsert(cur, to_rows(spread(bdf))).write.mode("overwrite").parquet(os.path.join(base, "v", str(bid)))
     drain(stream.writeStream.foreachBatch(run), os.path.join(base, "ckpt"))
     versions = sorted(int(v) for v in os.listdir(os.path.join(base, "v")) if v.lstrip("-").isdigit())
     return spark.read.parquet(os.path.join(base, "v", str(versions[-1])))

@@ -326,3 +326,11 @@ def test_tm_search_language_filters_brute_force(spark):
     exp = {(qi, tid) for qi, text, sl, tl in qs for tid, w, _, tsl, ttl in tm_rows
            if (sl == "" or sl == tsl) and (tl == "" or tl == ttl) and score(text.strip(), w) >= 0.5}
     assert got == exp
+
+
+def test_translate_with_repeated_request_ids(spark):
+    E.register_engine("t_mock3", E.mock_engine(), kind="native")
+    r = _reqs(spark, [("hello", "en", "es", ""), ("hello", "en", "es", ""), ("bye", "en", "es", "")])
+    r = r.withColumn("request_id", F.lit(0).cast("long"))
+    a = translate(r, engine="t_mock3").answers
+    assert a.count() == 3 and a.select("key_hash").distinct().count() == 2
