@@ -822,3 +822,13 @@ def src7(spark, sf):
     r = ingest_responses(landed_from_conversations(spark, sf))
     return r.select("key_hash", "provider", F.sha2("translation", 256).alias("translation_hash"), "source_language",
                     F.round("confidence", 6).alias("confidence"), "input_tokens", "output_tokens", "error")
+
+
+@query("jn5_tm_search_parts")
+def jn5_parts(spark, sf):
+    """JN-5 at volume: every part name searched against all part names (t = 0.8)."""
+    from lingua_spark.operators.memory import tm_search
+    p = T.read(spark, sf, "part")
+    q = p.select(F.col("p_partkey").alias("query_id"), _fold(F.col("p_name")).alias("text"))
+    tm = p.select(F.col("p_partkey").alias("id"), _fold(F.col("p_name")).alias("source_text"))
+    return tm_search(q, tm, 0.8).select("query_id", "id", F.round("score", 6).alias("score"))

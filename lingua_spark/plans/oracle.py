@@ -551,3 +551,9 @@ ORACLE["st5_stream_failure_runs"] = ORACLE["wn4_failure_runs"]
 sql("st4_stream_counts", """
 SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, event_type AS tool, CAST(count(*) AS BIGINT) AS calls
 FROM events GROUP BY 1, 2""")
+
+sql("jn5_tm_search_parts", f"""
+WITH qa AS (SELECT p_partkey AS query_id, lower({Q.trim_u("regexp_replace(p_name, '[^ -~]', '?', 'g')")}) AS a FROM part),
+tb AS (SELECT p_partkey AS id, lower(regexp_replace(p_name, '[^ -~]', '?', 'g')) AS b FROM part),
+{_tm_pairs(0.8).strip().replace("FROM qa, tb", "FROM qa, tb")}
+SELECT query_id, id, round(score, 6) AS score FROM pairs WHERE score >= 0.8""")
