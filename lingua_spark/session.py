@@ -41,16 +41,27 @@ def local_session(cores: int | str = "*", app: str = "lingua_spark", extra: dict
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a scratch one only when none is configured.
 
-    On a cluster `spark.checkpoint.dir` names a shared (distributed) folder and is used as is.
+    On a cluster `spark.checkpoint.dir` names a shared (distributed) folder and is used as
+    is (Spark applies it to the context at start-up). Only when it is unset, as in tests, a
+    local scratch folder is set on the context (core configs cannot be changed at runtime).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="lingua-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lingua-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def list_dir(spark: SparkSession, path: str) -> list[str]:
+    """Child names of a folder on any Hadoop file system (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p)]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingua_spark.session import ensure_checkpoint_dir, spread
+from lingua_spark.session import ensure_checkpoint_dir, list_dir, spread
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +74,7 @@ def stream_cache_upsert(stream: DataFrame, initial_cache: DataFrame, to_rows, na
         cur = spark.read.parquet(prev)
         cache_upsert(cur, to_rows(spread(bdf))).write.mode("overwrite").parquet(os.path.join(base, "v", str(bid)))
     drain(stream.writeStream.foreachBatch(run), os.path.join(base, "ckpt"))
-    versions = sorted(int(v) for v in os.listdir(os.path.join(base, "v")) if v.lstrip("-").isdigit())
+    versions = sorted(int(v) for v in list_dir(spark, os.path.join(base, "v")) if v.lstrip("-").isdigit())
     return spark.read.parquet(os.path.join(base, "v", str(versions[-1])))
 
 
@@ -99,7 +99,7 @@ def stream_counts(stream: DataFrame, ts_col: str, by: str, window: str, delay: s
            .agg(F.count(F.lit(1)).alias("calls")))
     drain(agg.writeStream.outputMode("complete").foreachBatch(_batch_sink(out, lambda b: b)),
           os.path.join(base, "ckpt"))
-    batches = sorted(int(p.split("=")[1]) for p in os.listdir(out) if p.startswith("batch="))
+    batches = sorted(int(p.split("=")[1]) for p in list_dir(spark, out) if p.startswith("batch="))
     return spark.read.parquet(os.path.join(out, f"batch={batches[-1]}"))
 
 

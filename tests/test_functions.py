@@ -52,3 +52,20 @@ def test_ttl_seconds(spark):
 def test_first_nonempty(spark):
     df = spark.createDataFrame([("", None, "c"), ("a", "b", "c"), ("", "", "")], "a string, b string, c string")
     assert [r[0] for r in df.select(FT.first_nonempty("a", "b", "c")).collect()] == ["c", "a", ""]
+
+
+def test_supported_languages_and_names(spark):
+    from lingua_spark.operators.chain import language_names, supported_languages
+    langs = [r.code for r in supported_languages(spark).collect()]
+    assert len(langs) == 30 and langs == sorted(langs)
+    df = spark.createDataFrame([("es",), ("unknown",)], "c string")
+    assert [r.language_name for r in language_names(df, "c").orderBy("c").collect()] == ["Spanish", "unknown"]
+
+
+def test_checkpoint_dir_and_listing(spark, tmp_path):
+    from lingua_spark.session import ensure_checkpoint_dir, list_dir
+    d = ensure_checkpoint_dir(spark)
+    assert d
+    (tmp_path / "a=1").mkdir()
+    assert list_dir(spark, "file://" + str(tmp_path)) == ["a=1"]
+    assert list_dir(spark, "file://" + str(tmp_path / "missing")) == []
