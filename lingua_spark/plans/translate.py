@@ -116,19 +116,23 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     known = known if known is not None else [r[0] for r in K.PROVIDERS]
     fallback = fallback or []
     keyed, rejected = keyed_requests(requests, glossary, providers, default_provider, max_len, detected)
-    # One shuffle on key_hash (dedup window); the keyed table has several consumers below,
-    # so it is written once to the shared checkpoint folder instead of being recomputed.
-    keyed = cut_lineage(dedup_first(keyed)) if materialize else dedup_first(keyed)
+    # One shuffle on key_hash: first request per key, and (when a cache is given) the
+    # left join to the live cache rows on the same key. The result has several consumers
+    # below (hits, misses, the answer join), so it is written once to the shared checkpoint
+    # folder; neither the requests nor the cache table are read or shuffled twice.
+    keyed = dedup_first(keyed)
+    use_cache_table = cache is not None and as_of is not None
+    if use_cache_table:
+        live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
+        keyed = keyed.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
+    keyed = cut_lineage(keyed) if materialize else keyed
 
-    # exactly one work row per key, even when request ids repeat (the keyed table is already
-    # partitioned by key_hash, so this adds no shuffle)
+    # exactly one work row per key, even when request ids repeat
     firsts = keyed.filter("is_first").drop("is_first").dropDuplicates(["key_hash"])
     hit_answers = None
-    if cache is not None and as_of is not None:
-        live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
-        looked = firsts.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
+    if use_cache_table:
         is_hit = F.col("use_cache") & F.col("cached_response").isNotNull()
-        hit_answers = looked.filter(is_hit).select(
+        hit_answers = firsts.filter(is_hit).select(
             "key_hash", F.col("cached_response.translation").alias("translation"),
             F.col("cached_response.source_language").alias("source_language"),
             F.col("cached_response.target_language").alias("target_language"),
@@ -137,7 +141,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
             F.col("cached_response.input_tokens").alias("input_tokens"),
             F.col("cached_response.output_tokens").alias("output_tokens"),
             F.lit(None).cast("string").alias("error"), F.lit(False).alias("store"))
-        misses = looked.filter(~is_hit).drop("cached_response")
+        misses = firsts.filter(~is_hit).drop("cached_response")
     else:
         misses = firsts
 
