@@ -62,7 +62,10 @@ def over_rate(log: DataFrame, rate_per_s: float, burst: int, seconds: float, par
     calls = log.withColumn("_d", F.lit(1)).withColumn("_ord", F.col(t_us))
     marks = (log.select(part, (F.col(t_us) + F.lit(w_us)).alias("_ord"))
              .withColumn("_d", F.lit(-1)))
-    both = calls.unionByName(marks, allowMissingColumns=True).withColumn("_bk", F.floor(F.col("_ord") / bucket_us))
+    nparts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # clustered explicitly: windows over a union must not trust the children's partitioning
+    both = (calls.unionByName(marks, allowMissingColumns=True).withColumn("_bk", F.floor(F.col("_ord") / bucket_us))
+            .repartition(nparts, part, "_bk"))
     scanned = bucketed_scan(both, part, "_bk", [F.col("_ord")], F.col("_d"), "in_window", "sum", peers=True)
     limit = burst + rate_per_s * seconds
     return (scanned.filter(F.col("_d") == 1).withColumn("in_window", F.col("in_window").cast("long"))
