@@ -440,7 +440,7 @@ def _tm_folded(spark, sf):
 @query("jn5_tm_search")
 def jn5(spark, sf):
     from lingua_spark.operators.memory import tm_search
-    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.8)
+    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.8, with_entries=False)
     return r.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -448,7 +448,7 @@ def jn5(spark, sf):
 def so1(spark, sf):
     from lingua_spark.operators.memory import tm_search
     from lingua_spark.operators.windows import rank_results
-    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.5)
+    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.5, with_entries=False)
     return rank_results(r).select("query_id", "id", "result_rank")
 
 
@@ -831,4 +831,4 @@ def jn5_parts(spark, sf):
     p = T.read(spark, sf, "part")
     q = p.select(F.col("p_partkey").alias("query_id"), _fold(F.col("p_name")).alias("text"))
     tm = p.select(F.col("p_partkey").alias("id"), _fold(F.col("p_name")).alias("source_text"))
-    return tm_search(q, tm, 0.8).select("query_id", "id", F.round("score", 6).alias("score"))
+    return tm_search(q, tm, 0.8, with_entries=False).select("query_id", "id", F.round("score", 6).alias("score"))

@@ -75,10 +75,12 @@ def spread(df: DataFrame) -> DataFrame:
     than the cluster's default parallelism (e.g. one file with one row group) is spread
     round-robin, so per-row text work does not run in a handful of tasks. Large tables
     already have many splits and pass through unchanged."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
+        return df
+    return df.repartition(n) if parts < n else df
 
 
 def table_path(sf_dir: str, name: str) -> str:
