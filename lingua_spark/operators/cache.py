@@ -172,6 +172,9 @@ def ttl_dedup(requests: DataFrame, ttl_seconds: float, key: str = "key_hash", ts
 
     if hot_rows is None:
         return fold(r)
+    # cheap pre-check: no key above hot_rows means no busy segment (one grouped count)
+    if requests.groupBy(key).count().filter(F.col("count") > hot_rows).isEmpty():
+        return fold(r)
     hot = r.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
     if hot.isEmpty():
         return fold(r)
