@@ -108,3 +108,15 @@ def batch_many_to_one(df: DataFrame, items_col: str = "items", default_target_co
     bad = (base.filter(F.col("error").isNotNull()).drop(items_col)
            .withColumn("item_pos", F.lit(None).cast("int")).withColumn("text", F.lit(None).cast("string")))
     return ok.unionByName(bad, allowMissingColumns=True)
+
+
+def list_languages(requests: DataFrame, known: list[str], provider_col: str = "provider",
+                   default_provider: str = K.DEFAULT_PROVIDER) -> DataFrame:
+    """JN-7 list_languages per request: a configured provider lists the static languages
+    (n_languages); an unknown one gives 'not found: provider <name>' (the anti-join rows)."""
+    p = first_nonempty(F.col(provider_col), F.lit(default_provider))
+    knownc = F.lit(known) if known else F.array().cast("array<string>")
+    ok = F.array_contains(knownc, p)
+    return requests.withColumn("provider_name", p).withColumn(
+        "n_languages", F.when(ok, F.lit(len(K.LANGUAGES)).cast("long"))).withColumn(
+        "error", F.when(~ok, F.concat(F.lit(f"{K.ERR_NOT_FOUND}: provider "), p)))

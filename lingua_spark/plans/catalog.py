@@ -832,3 +832,12 @@ def jn5_parts(spark, sf):
     q = p.select(F.col("p_partkey").alias("query_id"), _fold(F.col("p_name")).alias("text"))
     tm = p.select(F.col("p_partkey").alias("id"), _fold(F.col("p_name")).alias("source_text"))
     return tm_search(q, tm, 0.8, with_entries=False).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("jn7_list_languages")
+def jn7_list(spark, sf):
+    from lingua_spark.operators.chain import list_languages
+    lab = T.read(spark, sf, "labels").select(
+        "doc_id", F.element_at(F.lit(PROVIDER_CYCLE), (F.col("doc_id") % 9 + 1).cast("int")).alias("provider"))
+    r = list_languages(lab, ["openai", "deepl", "google", "custom"])
+    return r.select("doc_id", "provider_name", "n_languages", "error")

@@ -557,3 +557,10 @@ WITH qa AS (SELECT p_partkey AS query_id, lower({Q.trim_u("regexp_replace(p_name
 tb AS (SELECT p_partkey AS id, lower(regexp_replace(p_name, '[^ -~]', '?', 'g')) AS b FROM part),
 {_tm_pairs(0.8).strip().replace("FROM qa, tb", "FROM qa, tb")}
 SELECT query_id, id, round(score, 6) AS score FROM pairs WHERE score >= 0.8""")
+
+sql("jn7_list_languages", """
+SELECT doc_id, p AS provider_name,
+       CASE WHEN p IN ('openai', 'deepl', 'google', 'custom') THEN CAST(30 AS BIGINT) END AS n_languages,
+       CASE WHEN p NOT IN ('openai', 'deepl', 'google', 'custom') THEN 'not found: provider ' || p END AS error
+FROM (SELECT doc_id, ['openai','anthropic','deepl','google','ollama','libretranslate','custom','openrouter','nosuch'][doc_id % 9 + 1] AS p
+      FROM labels)""")

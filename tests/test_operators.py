@@ -360,3 +360,22 @@ def test_documents_edge_cases(spark):
     assert out[4] == "T:text\n```unclosed\ncode"
     # the optional info-string group swallows "a```\n": the first fence is "```a```\n```"
     assert out[5] == "```a```\n```\n\nT:b```"
+
+
+def test_output_budget_golden(spark):
+    from lingua_spark.operators.validate import output_budget
+    df = spark.createDataFrame([("",), ("hello",), ("a" * 65,)], "t string")
+    assert [r[0] for r in df.select(output_budget(F.col("t"))).collect()] == [512, 512, 516]
+
+
+def test_translate_with_detection_and_tm(spark):
+    from lingua_spark.operators.memory import tm_exact  # noqa: F401
+    E.register_engine("t_mock4", E.mock_engine(), kind="native")
+    reqs = _reqs(spark, [("Hallo Welt", "auto", "es", ""), ("hello", "en", "es", "")])
+    detected = spark.createDataFrame([("Hallo Welt", "DE")], "text string, language string")
+    tm = spark.createDataFrame([(1, "HELLO", "hola (tm)", "en", "es")],
+                               "id long, source_text string, target_text string, source_lang string, target_lang string")
+    a = {r.request_id: r for r in translate(reqs, engine="t_mock4", detected=detected.withColumn(
+        "language", F.lower("language")), tm=tm, use_tm=True, materialize=False).answers.collect()}
+    assert a[0].source_language == "de" and a[0].translation == "translated:Hallo Welt"
+    assert a[1].translation == "hola (tm)" and a[1].provider == "memory"
