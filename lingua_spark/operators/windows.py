@@ -73,8 +73,27 @@ def over_rate(log: DataFrame, rate_per_s: float, burst: int, seconds: float, par
 
 
 def rank_results(df: DataFrame, k: int | None = None, part: str = "query_id", score: str = "score",
-                 id_col: str = "id") -> DataFrame:
-    """SO-1: order by score desc, id asc within each query; optional top-k per query."""
-    w = Window.partitionBy(part).orderBy(F.col(score).desc(), F.col(id_col).asc())
-    out = df.withColumn("result_rank", F.row_number().over(w).cast("long"))
-    return out.filter(F.col("result_rank") <= k) if k is not None else out
+                 id_col: str = "id", salts: int = 64) -> DataFrame:
+    """SO-1: result_rank by score desc, id asc within each query; optional top-k per query.
+
+    No query is ranked by a single task: the full ranking is a range-partitioned global
+    sort, local row numbers per (range partition, query) and per-query offsets from a
+    small count table; top-k first keeps the k best per (query, id salt), then ranks the
+    at most salts * k survivors of each query.
+    """
+    if k is not None:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)))
+        w1 = Window.partitionBy(part, "_salt").orderBy(F.col(score).desc(), F.col(id_col).asc())
+        pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
+        w2 = Window.partitionBy(part).orderBy(F.col(score).desc(), F.col(id_col).asc())
+        return (pre.withColumn("result_rank", F.row_number().over(w2).cast("long"))
+                .filter(F.col("result_rank") <= k))
+    ordered = df.sort(F.col(part).asc(), F.col(score).desc(), F.col(id_col).asc()) \
+        .withColumn("_pid", F.spark_partition_id())
+    local = ordered.withColumn("_rn", F.row_number().over(
+        Window.partitionBy("_pid", part).orderBy(F.col(score).desc(), F.col(id_col).asc())))
+    counts = local.groupBy(part, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return (local.join(offsets, [part, "_pid"])
+            .withColumn("result_rank", (F.col("_off") + F.col("_rn")).cast("long")).drop("_pid", "_rn", "_off"))

@@ -379,3 +379,20 @@ def test_translate_with_detection_and_tm(spark):
         "language", F.lower("language")), tm=tm, use_tm=True, materialize=False).answers.collect()}
     assert a[0].source_language == "de" and a[0].translation == "translated:Hallo Welt"
     assert a[1].translation == "hola (tm)" and a[1].provider == "memory"
+
+
+def test_rank_results_full_and_topk(spark):
+    import random
+    from lingua_spark.operators.windows import rank_results
+    rnd = random.Random(5)
+    rows = [(q, i, float(rnd.randint(0, 20)) / 20) for q in range(3) for i in range(rnd.randint(1, 400))]
+    df = spark.createDataFrame(rows, "query_id long, id long, score double").repartition(7)
+    exp = {}
+    for q in range(3):
+        ranked = sorted([r for r in rows if r[0] == q], key=lambda r: (-r[2], r[1]))
+        for pos, r in enumerate(ranked, 1):
+            exp[(q, r[1])] = pos
+    got = {(r.query_id, r.id): r.result_rank for r in rank_results(df).collect()}
+    assert got == exp
+    top = {(r.query_id, r.id): r.result_rank for r in rank_results(df, k=5, salts=4).collect()}
+    assert top == {key: v for key, v in exp.items() if v <= 5}
