@@ -227,15 +227,19 @@ def glossary_restore(df: DataFrame, text_col: str = "translation", gloss_col: st
 
 
 def glossary_version_at(requests: DataFrame, glossary: DataFrame, ts_col: str = "ts",
-                        out_col: str = "glossary_version") -> DataFrame:
+                        out_col: str = "glossary_version", id_col: str = "request_id") -> DataFrame:
     """AG-7: number of glossary adds at or before each request's time (as-of count).
 
     Adds with a null time count as added before everything; a request without a time sees
-    the whole glossary. Adds collapse to one cumulative step per distinct add time; the
-    sorted steps (bounded by the glossary size) reach every request as a scalar subquery,
-    so there is no join; each request takes the last step at or before its time.
+    the whole glossary. Small glossaries (distinct add times <= MAX_BROADCAST_ENTRIES,
+    checked): adds collapse to one cumulative step per add time and the sorted steps reach
+    every request as a scalar subquery, so there is no join. Larger ones: adds and requests
+    are range-sorted together by time and each request takes the running count of adds
+    before it (partition-local counts plus per-partition offsets), joined back by `id_col`.
     """
     per_t = glossary.groupBy(F.col("added_at").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    if per_t.count() > MAX_BROADCAST_ENTRIES:
+        return _version_by_sort(requests, glossary, ts_col, out_col, id_col)
     steps = (per_t.withColumn("v", F.sum("n").over(
         Window.orderBy(F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
         .agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_steps")))
@@ -246,3 +250,26 @@ def glossary_version_at(requests: DataFrame, glossary: DataFrame, ts_col: str =
     ver = F.when(ts.isNull(), F.col("_total")).otherwise(last)
     return (requests.withColumn("_steps", steps.scalar()).withColumn("_total", total.scalar())
             .withColumn(out_col, F.coalesce(ver, F.lit(0)).cast("long")).drop("_steps", "_total"))
+
+
+def _version_by_sort(requests: DataFrame, glossary: DataFrame, ts_col: str, out_col: str, id_col: str) -> DataFrame:
+    """Distributed as-of count for large glossaries (see glossary_version_at)."""
+    adds = glossary.select(F.col("added_at").alias("_t"), F.lit(1).alias("_add"), F.lit(None).cast("long").alias("_rid"))
+    reqs = requests.filter(F.col(ts_col).isNotNull()).select(
+        F.col(ts_col).alias("_t"), F.lit(0).alias("_add"), F.col(id_col).cast("long").alias("_rid"))
+    # adds sort before requests of the same time ("at or before"); null add times first
+    ev = adds.unionByName(reqs).sort(F.col("_t").asc_nulls_first(), F.col("_add").desc(), F.col("_rid")) \
+        .withColumn("_pid", F.spark_partition_id())
+    local = ev.withColumn("_c", F.sum("_add").over(
+        Window.partitionBy("_pid").orderBy(F.col("_t").asc_nulls_first(), F.col("_add").desc(), F.col("_rid"))
+        .rowsBetween(Window.unboundedPreceding, 0)))
+    totals = local.groupBy("_pid").agg(F.sum("_add").alias("_n"))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    versions = (local.filter(F.col("_add") == 0).join(F.broadcast(offsets), "_pid")
+                .select(F.col("_rid").alias(id_col), (F.col("_off") + F.col("_c")).cast("long").alias("_v")))
+    total = glossary.agg(F.count(F.lit(1)).alias("_total"))
+    return (requests.join(versions, id_col, "left").withColumn("_total", total.scalar())
+            .withColumn(out_col, F.coalesce(F.when(F.col(ts_col).isNull(), F.col("_total")).otherwise(F.col("_v")),
+                                            F.lit(0)).cast("long"))
+            .drop("_v", "_total"))

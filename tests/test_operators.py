@@ -396,3 +396,16 @@ def test_rank_results_full_and_topk(spark):
     assert got == exp
     top = {(r.query_id, r.id): r.result_rank for r in rank_results(df, k=5, salts=4).collect()}
     assert top == {key: v for key, v in exp.items() if v <= 5}
+
+
+def test_glossary_version_sort_path(spark, monkeypatch):
+    from lingua_spark.operators import glossary as G
+    g = spark.createDataFrame([(i, f"t{i}", "es", "x", "", False, f"2024-01-01 00:0{i}:00") for i in range(1, 6)] +
+                              [(9, "n", "es", "x", "", False, None)], GL.replace("added_at timestamp", "added_at string")) \
+        .withColumn("added_at", F.to_timestamp("added_at"))
+    req = spark.createDataFrame([(1, "2024-01-01 00:00:30"), (2, "2024-01-01 00:03:00"), (3, None), (4, "2023-12-31 00:00:00")],
+                                "request_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    small = {r.request_id: r.glossary_version for r in G.glossary_version_at(req, g).collect()}
+    monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 1)
+    big = {r.request_id: r.glossary_version for r in G.glossary_version_at(req, g).collect()}
+    assert small == big == {1: 1, 2: 4, 3: 6, 4: 1}
