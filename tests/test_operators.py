@@ -157,10 +157,10 @@ def test_translate_mock_cache_and_fallback(spark):
 
 def test_translate_glossary_restores(spark):
     E.register_engine("t_mock2", E.mock_engine(), kind="native")
-    g = gloss(spark, [("MCP", "es", "MCP", False)])
-    a = translate(_reqs(spark, [("Welcome to MCP", "en", "es", "")]), engine="t_mock2", glossary=g,
+    g = gloss(spark, [("SDK", "es", "SDK", False)])
+    a = translate(_reqs(spark, [("Welcome to SDK", "en", "es", "")]), engine="t_mock2", glossary=g,
                   materialize=False).answers.first()
-    assert "MCP" in a.translation and "__TERM_" not in a.translation
+    assert "SDK" in a.translation and "__TERM_" not in a.translation
 
 
 def test_batches(spark):
