@@ -118,7 +118,11 @@ def translate_documents(docs: DataFrame, translate_fn, id_col: str = "doc_id") -
         .withColumn("_sep", F.lit("")).withColumn("_json", F.lit(False))
     js = segment_json(docs.filter(F.col("format") == "json"), "content", id_col) \
         .withColumn("_sep", F.lit("")).withColumn("_json", F.lit(True))
-    tr = translate_segments(md.unionByName(tg).unionByName(js), translate_fn)
+    # the segment table feeds both the distinct-segment translation and the join back:
+    # written once to the shared checkpoint folder rather than split twice
+    from lingua_spark.session import cut_lineage
+    segs = cut_lineage(md.unionByName(tg).unionByName(js))
+    tr = translate_segments(segs, translate_fn)
     tr = tr.withColumn("out", F.when(F.col("_json") & (F.col("kind") == "text"), requote_json(F.col("out")))
                        .otherwise(F.col("out")))
     res = reassemble(tr, id_col, text_col="out", sep_col="_sep")
