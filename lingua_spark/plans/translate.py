@@ -107,10 +107,14 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
               default_provider: str = K.DEFAULT_PROVIDER, providers: DataFrame | None = None,
               max_len: int = K.MAX_TEXT_LENGTH, ttl_seconds: float = K.DEFAULT_TTL_SECONDS, now=None,
               detected: DataFrame | None = None, tm: DataFrame | None = None, use_tm: bool = False,
-              materialize: bool = True, carry: list[str] | None = None) -> TranslateResult:
+              materialize: bool = True, carry: list[str] | None = None,
+              cache_unique: bool = False) -> TranslateResult:
     """BT-5. `engine` names a registered engine (UD-1) used for every provider unless
     `provider_engines` maps a provider to another one. `known` = configured providers
-    (default: the catalogue), `fallback` = fallback order (default: none)."""
+    (default: the catalogue), `fallback` = fallback order (default: none).
+    `cache_unique=True` declares the cache one row per key_hash (as cache_upsert keeps it),
+    which skips the latest-row aggregation; stored bucketed by key_hash, the cache then
+    joins without being shuffled."""
     spark = requests.sparkSession
     providers = providers if providers is not None else providers_table(spark)
     known = known if known is not None else [r[0] for r in K.PROVIDERS]
@@ -123,7 +127,8 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     keyed = dedup_first(keyed)
     use_cache_table = cache is not None and as_of is not None
     if use_cache_table:
-        live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
+        # a cache maintained by cache_upsert (SRC-5) holds one row per key: no aggregation
+        live = fresh(cache, as_of) if cache_unique else latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
         keyed = keyed.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
     keyed = cut_lineage(keyed) if materialize else keyed
 
