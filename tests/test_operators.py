@@ -409,3 +409,19 @@ def test_glossary_version_sort_path(spark, monkeypatch):
     monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 1)
     big = {r.request_id: r.glossary_version for r in G.glossary_version_at(req, g).collect()}
     assert small == big == {1: 1, 2: 4, 3: 6, 4: 1}
+
+
+def test_translate_cache_hit_unique_cache(spark):
+    from lingua_spark import schemas as S
+    from lingua_spark.plans.translate import keyed_requests
+    E.register_engine("t_mock5", E.mock_engine(), kind="native")
+    reqs = _reqs(spark, [("hello", "en", "es", ""), ("bye", "en", "es", "")])
+    k, _ = keyed_requests(reqs)
+    hk = k.filter("request_id = 0").first().key_hash
+    resp = ("hola (cache)", "en", "es", "openai", "gpt-4o-mini", False, 1.0, None, 0, 0)
+    cache = spark.createDataFrame([(hk, resp, None, None, 1)], S.CACHE)
+    for unique in (False, True):
+        a = {r.request_id: r for r in translate(reqs, engine="t_mock5", cache=cache, as_of=F.current_timestamp(),
+                                                cache_unique=unique, materialize=False).answers.collect()}
+        assert (a[0].translation, a[0].cached) == ("hola (cache)", True)
+        assert (a[1].translation, a[1].cached) == ("translated:bye", False)
