@@ -425,3 +425,32 @@ def test_translate_cache_hit_unique_cache(spark):
                                                 cache_unique=unique, materialize=False).answers.collect()}
         assert (a[0].translation, a[0].cached) == ("hola (cache)", True)
         assert (a[1].translation, a[1].cached) == ("translated:bye", False)
+
+
+def _cache_rows(spark, rows):
+    from lingua_spark import schemas as S
+    resp = lambda t: (t, "en", "es", "p", "m", False, 1.0, None, 0, 0)
+    return spark.createDataFrame([(k, resp(t), c, e, tier) for k, t, c, e, tier in rows], S.CACHE)
+
+
+def test_cache_capacity_expiry_and_tiers(spark):
+    import datetime as dt
+    from lingua_spark.operators.cache import cache_lookup, cap_entries, tiered_lookup
+    t0 = dt.datetime(2024, 1, 1)
+    h = dt.timedelta(hours=1)
+    cache = _cache_rows(spark, [("k1", "a", t0, t0 + h, 1), ("k2", "b", t0 + h, t0 + 2 * h, 1),
+                                ("k3", "c", t0 + 2 * h, None, 1)])
+    # capacity 2 of three keys -> the two newest remain
+    assert sorted(r.key_hash for r in cap_entries(cache, 2, t0).collect()) == ["k2", "k3"]
+    # fresh entry hits; an entry past its expiry misses (expired only when strictly later)
+    reqs = spark.createDataFrame([("k1",), ("k2",), ("k9",)], "key_hash string")
+    hits, misses = cache_lookup(reqs, cache, t0 + h)
+    assert sorted(r.key_hash for r in hits.collect()) == ["k1", "k2"]
+    hits, misses = cache_lookup(reqs, cache, t0 + h + dt.timedelta(seconds=1))
+    assert sorted(r.key_hash for r in hits.collect()) == ["k2"] and sorted(r.key_hash for r in misses.collect()) == ["k1", "k9"]
+    # a value in tiers 2 and 3 is found in tier 2; tier 1 gets a backfill row
+    tiers = _cache_rows(spark, [("k5", "t2", t0, None, 2), ("k5", "t3", t0, None, 3)])
+    hits, backfill = tiered_lookup(spark.createDataFrame([("k5",)], "key_hash string"), tiers, t0)
+    h5 = hits.first()
+    assert (h5.hit_tier, h5.cached_response.translation) == (2, "t2")
+    assert [(r.key_hash, r.tier) for r in backfill.collect()] == [("k5", 1)]
