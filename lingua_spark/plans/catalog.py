@@ -821,7 +821,8 @@ def src7(spark, sf):
     from lingua_spark.sources.ingest import ingest_responses
     r = ingest_responses(landed_from_conversations(spark, sf))
     return r.select("key_hash", "provider", F.sha2("translation", 256).alias("translation_hash"), "source_language",
-                    F.round("confidence", 6).alias("confidence"), "input_tokens", "output_tokens", "error")
+                    F.round("confidence", 6).alias("confidence"), "input_tokens", "output_tokens",
+                    F.regexp_extract("error", r"^([^:]*)", 1).alias("error_kind"))
 
 
 @query("jn5_tm_search_parts")

@@ -564,3 +564,21 @@ SELECT doc_id, p AS provider_name,
        CASE WHEN p NOT IN ('openai', 'deepl', 'google', 'custom') THEN 'not found: provider ' || p END AS error
 FROM (SELECT doc_id, ['openai','anthropic','deepl','google','ollama','libretranslate','custom','openrouter','nosuch'][doc_id % 9 + 1] AS p
       FROM labels)""")
+
+# landed provider bodies (derived from conversations the same way as the Spark query) ----------
+sql("src7_ingest_responses", """
+WITH c AS (
+  SELECT conv_id, turn, text,
+         ['openai','anthropic','google','ollama','deepl','libretranslate','openrouter','custom'][(conv_id + turn) % 8 + 1] AS p,
+         CASE WHEN length(text) % 17 = 0 THEN 429 WHEN length(text) % 13 = 0 THEN 500 ELSE 200 END AS status
+  FROM conversations)
+SELECT sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS key_hash, p AS provider,
+  CASE WHEN status < 400 THEN sha256(text) END AS translation_hash,
+  CASE WHEN status >= 400 THEN NULL WHEN p IN ('deepl', 'libretranslate') THEN 'en'
+       WHEN turn % 3 = 2 THEN 'auto' ELSE 'en' END AS source_language,
+  CAST(CASE WHEN status >= 400 THEN NULL WHEN p = 'deepl' THEN 0.92 WHEN p = 'libretranslate' THEN 0.75
+       WHEN turn % 3 = 2 THEN 0.5 ELSE 0.93 END AS DOUBLE) AS confidence,
+  CASE WHEN status < 400 THEN CAST(CASE WHEN p IN ('openai', 'openrouter', 'custom') THEN 10 ELSE 0 END AS BIGINT) END AS input_tokens,
+  CASE WHEN status < 400 THEN CAST(CASE WHEN p IN ('openai', 'openrouter', 'custom') THEN 2 ELSE 0 END AS BIGINT) END AS output_tokens,
+  CASE WHEN status = 429 THEN 'rate limited' WHEN status >= 400 THEN p || ' translate failed' END AS error_kind
+FROM c""")
