@@ -582,3 +582,13 @@ SELECT sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS key_h
   CASE WHEN status < 400 THEN CAST(CASE WHEN p IN ('openai', 'openrouter', 'custom') THEN 2 ELSE 0 END AS BIGINT) END AS output_tokens,
   CASE WHEN status = 429 THEN 'rate limited' WHEN status >= 400 THEN p || ' translate failed' END AS error_kind
 FROM c""")
+
+# JSON documents {"lang": .., "body": {"text": ..}}: fixed structure pieces + the two string values
+sql("dc3_segment_json", """
+WITH d AS (SELECT doc_id, lang, text FROM documents),
+fixed AS (SELECT * FROM (VALUES (0, 'keep', '{'), (1, 'keep', '"lang":'), (2, 'keep', ''), (4, 'keep', ','),
+                                (5, 'keep', '"body":'), (6, 'keep', '{'), (7, 'keep', '"text":'), (8, 'keep', ''),
+                                (10, 'keep', '}}')) t(pos, kind, s))
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, kind, sha256(s) AS seg_hash FROM d, fixed
+UNION ALL SELECT doc_id, CAST(3 AS BIGINT), 'text', sha256(lang) FROM d
+UNION ALL SELECT doc_id, CAST(9 AS BIGINT), 'text', sha256(text) FROM d""")
