@@ -592,3 +592,5 @@ fixed AS (SELECT * FROM (VALUES (0, 'keep', '{'), (1, 'keep', '"lang":'), (2, 'k
 SELECT doc_id, CAST(pos AS BIGINT) AS pos, kind, sha256(s) AS seg_hash FROM d, fixed
 UNION ALL SELECT doc_id, CAST(3 AS BIGINT), 'text', sha256(lang) FROM d
 UNION ALL SELECT doc_id, CAST(9 AS BIGINT), 'text', sha256(text) FROM d""")
+
+sql("st3_stream_dedup", ", x AS (SELECT 1)\nSELECT DISTINCT key_hash FROM call_log", ("call_log",))
