@@ -51,23 +51,31 @@ def fresh(cache: DataFrame, as_of) -> DataFrame:
     return cache.filter(F.col("expires_at").isNull() | (F.col("expires_at") >= t))
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+def cache_lookup(requests: DataFrame, cache: DataFrame, as_of, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """JN-3: (hits, misses) of `requests` against the fresh rows of `cache` by key_hash.
 
-    Both are equi joins on key_hash (shuffled; co-partitioned with any later key_hash step).
+    One left equi join on key_hash; hits and misses are its two halves. With materialize
+    the joined table is written once to the shared checkpoint folder, so using both
+    outputs does not evaluate the requests and the cache twice.
     """
     live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
-    hits = requests.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash")
-    misses = requests.join(live.select("key_hash"), "key_hash", "left_anti")
+    looked = requests.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
+    if materialize:
+        from lingua_spark.session import cut_lineage
+        looked = cut_lineage(looked)
+    hits = looked.filter(F.col("cached_response").isNotNull())
+    misses = looked.filter(F.col("cached_response").isNull()).drop("cached_response")
     return hits, misses
 
 
 def tiered_lookup(requests: DataFrame, tiers: DataFrame, as_of,
-                  backfill_ttl_seconds: float = K.BACKFILL_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:
+                  backfill_ttl_seconds: float = K.BACKFILL_TTL_SECONDS,
+                  materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """JN-4: first (lowest-numbered) tier holding a fresh row of the key wins.
 
     Returns (hits, backfill): backfill holds one row per faster tier (1 .. tier-1) to write,
-    with the backfill ttl counted from `as_of`.
+    with the backfill ttl counted from `as_of`. Both come from one join of the requests
+    with the per-key best tier (written once when materialize is set).
     """
     t = F.lit(as_of) if not isinstance(as_of, Column) else as_of
     nparts = int(tiers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -78,7 +86,10 @@ def tiered_lookup(requests: DataFrame, tiers: DataFrame, as_of,
             .select("key_hash", F.col("_b.tier").alias("hit_tier"), F.col("_b.response").alias("cached_response"),
                     F.col("_b.created_at").alias("hit_created_at")))
     hits = requests.join(best, "key_hash")
-    keys = best.join(requests.select("key_hash").distinct(), "key_hash", "left_semi")
+    if materialize:
+        from lingua_spark.session import cut_lineage
+        hits = cut_lineage(hits)
+    keys = hits.select("key_hash", "hit_tier", "cached_response", "hit_created_at").dropDuplicates(["key_hash"])
     backfill = (keys.filter(F.col("hit_tier") > 1)
                 .withColumn("tier", F.explode(F.sequence(F.lit(1), F.col("hit_tier") - 1)))
                 .select("key_hash", F.col("cached_response").alias("response"),
