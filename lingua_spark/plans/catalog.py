@@ -846,3 +846,25 @@ def jn7_list(spark, sf):
         "doc_id", F.element_at(F.lit(PROVIDER_CYCLE), (F.col("doc_id") % 9 + 1).cast("int")).alias("provider"))
     r = list_languages(lab, ["openai", "deepl", "google", "custom"])
     return r.select("doc_id", "provider_name", "n_languages", "error")
+
+
+@query("bt5_translate_detect")
+def bt5_detect(spark, sf):
+    """BT-5 with source 'auto' everywhere: LD-2 detects once per distinct normalized text
+    (profiles trained on the labelled documents) and the detected language keys the request."""
+    from lingua_spark.operators.detect import detect_language, train_language_profiles
+    from lingua_spark.operators.engines import has_engine, mock_engine, register_engine
+    from lingua_spark.operators.validate import split_valid, validate_requests
+    from lingua_spark.plans.translate import translate
+    if not has_engine("mock"):
+        register_engine("mock", mock_engine(), kind="native")
+    reqs = T.requests_from_documents(spark, sf).withColumn("source_lang", F.lit("auto"))
+    ok, _ = split_valid(validate_requests(reqs))
+    texts = ok.select("text").distinct().withColumn("row_id", F.sha2("text", 256))
+    det = detect_language(texts, train_language_profiles(_docs(spark, sf)), id_col="row_id")
+    detected = texts.join(det, "row_id").select("text", "language")
+    a = translate(reqs, engine="mock", glossary=T.glossary(spark, sf), detected=detected).answers
+    return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
+                    "source_language", "target_language", "provider", "model", "cached",
+                    F.round("confidence", 6).alias("confidence"),
+                    FT.estimate_tokens("translation").alias("est_output_tokens"), "error")

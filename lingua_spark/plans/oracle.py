@@ -594,3 +594,35 @@ UNION ALL SELECT doc_id, CAST(3 AS BIGINT), 'text', sha256(lang) FROM d
 UNION ALL SELECT doc_id, CAST(9 AS BIGINT), 'text', sha256(text) FROM d""")
 
 sql("st3_stream_dedup", ", x AS (SELECT 1)\nSELECT DISTINCT key_hash FROM call_log", ("call_log",))
+
+sql("bt5_translate_detect", f"""WITH {Q.derived_ctes({"requests_d", "gl_version", "providers_d", "glossary_d"})},
+{PROFILES.strip()},
+vt AS (SELECT DISTINCT {Q.norm('text')} AS t FROM documents
+       WHERE {Q.norm('text')} <> '' AND length({Q.norm('text')}) <= 10000),
+rg AS (SELECT t, unnest(list_transform(range(1, length(lower(substring(t, 1, 2000))) - 1),
+                   lambda i: substring(lower(substring(t, 1, 2000)), i, 3))) AS gram FROM vt),
+per AS (SELECT t, gram, count(*) AS k FROM rg GROUP BY t, gram),
+hits AS (SELECT per.t, prof.lang, sum(per.k) AS hits FROM per JOIN prof ON prof.gram = per.gram GROUP BY per.t, prof.lang),
+det AS (SELECT t, arg_min(lang, struct_pack(h := -hits, l := lang)) AS lang FROM hits GROUP BY t),
+valid AS (SELECT r.*, {Q.norm('text')} AS ntext FROM requests_d r),
+keyed AS (
+  SELECT request_id, ts, ntext AS text, coalesce(det.lang, 'auto') AS source_lang, {Q.lang('target_lang')} AS target_lang,
+         'openai' AS provider_name, {Q.first_nonempty('valid.model', 'p.default_model')} AS model, context, tone,
+         (SELECT v FROM gl_version) AS glossary_version
+  FROM valid LEFT JOIN det ON det.t = valid.ntext LEFT JOIN providers_d p ON p.provider = 'openai'
+  WHERE ntext <> '' AND length(ntext) <= 10000),
+keyed2 AS (
+  SELECT *, {Q.key('text', 'source_lang', 'target_lang', 'provider_name', 'model', 'context', 'tone', 'glossary_version')} AS key_hash,
+         row_number() OVER (PARTITION BY {Q.key('text', 'source_lang', 'target_lang', 'provider_name', 'model', 'context', 'tone', 'glossary_version')}
+                            ORDER BY ts NULLS FIRST, request_id) AS rn
+  FROM keyed),
+targets AS (SELECT DISTINCT target_lang FROM keyed2),
+{GLOSS_RANK.strip()},
+engine AS (
+  SELECT k.key_hash, list_reduce(coalesce(g.gl, []), lambda acc, e: replace(acc, e.ph, e.tr),
+         'translated:' || list_reduce(coalesce(g.gl, []), lambda acc, e: regexp_replace(acc, e.p, e.ph, 'g'), k.text)) AS translation
+  FROM keyed2 k LEFT JOIN gl_lists g ON g.target_lang = k.target_lang WHERE k.rn = 1)
+SELECT k.request_id, k.key_hash, sha256(e.translation) AS translation_hash, k.source_lang AS source_language,
+       k.target_lang AS target_language, k.provider_name AS provider, k.model, k.rn > 1 AS cached,
+       round(0.9, 6) AS confidence, {Q.tokens('e.translation')} AS est_output_tokens, CAST(NULL AS VARCHAR) AS error
+FROM keyed2 k JOIN engine e ON e.key_hash = k.key_hash""")
