@@ -189,8 +189,11 @@ def candidates(gloss: Column, tokens: Column, folded: Column) -> Column:
     """Entries that can match a row (exact pre-filter): key '' or, for rows without special
     letters, key is one of the row's tokens (`tokens`: map token -> true); for rows with
     special letters, key is a substring of the folded text (`folded`)."""
+    # tokens and folded are each referenced twice, so the optimizer keeps them as columns
+    # computed once per row instead of inlining them into the per-entry lambda
     return F.filter(gloss, lambda e: (e["key"] == "") | F.when(
-        tokens.isNotNull(), F.map_contains_key(tokens, e["key"])).otherwise(F.instr(folded, e["key"]) > 0))
+        tokens.isNotNull(), F.map_contains_key(tokens, e["key"])).when(
+        folded.isNotNull(), F.instr(folded, e["key"]) > 0).otherwise(F.lit(False)))
 
 
 def mask_terms(text: Column, gloss: Column, tokens: Column | None = None, folded: Column | None = None) -> Column:
