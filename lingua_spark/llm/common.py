@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lingua_spark.session import cut_lineage, table_path
+from lingua_spark.session import cut_lineage, ensure_checkpoint_dir, table_path
 
 #: Bits of a membership filter: 4 MB, whatever the number of members. A full filter lets everything pass.
 FILTER_BITS = 1 << 25
@@ -16,6 +18,24 @@ def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir."""
+    return ensure_checkpoint_dir(spark)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: its size is then known to the planner."""
+    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this package wrote below `scratch_folder`."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def membership(df: DataFrame, hash_column: str, bits: int = FILTER_BITS) -> Broadcast:
     """One-hash Bloom filter of a long hash column, as a broadcast bitmap of fixed size.
 

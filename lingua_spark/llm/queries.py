@@ -4,15 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lingua_spark.llm.bpe import encode_digests
 from lingua_spark.llm.common import read
 from lingua_spark.llm.decontamination import decontaminate
+from lingua_spark.llm.fingerprints import compare_with_edits
+from lingua_spark.llm.line_dedup import removed_lines
 from lingua_spark.llm.near_dup import near_duplicates
+from lingua_spark.llm.toxicity import toxicity
+from lingua_spark.llm.warc import round_trip
+
+
+def word_tokenizer() -> str:
+    """Place of the public word-level BPE file; any file of its kind may be passed to the operator."""
+    import public_tokenizers
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_bpe(spark, sf_dir: str) -> DataFrame:
+    return encode_digests(read(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    found = removed_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+                        F.size("matched").cast("long").alias("n_matched"), "matched")
+
+
+def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "pages"))
+
+
+def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
+    return compare_with_edits(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -20,13 +53,26 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op6_warc": op6_warc,
+    "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op6_warc": """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, strlen(h) payload_bytes, sha256(h) payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) first from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 100 and page_id > first then first end refers_to
+from f""",
     "op2_minhash": rf"""
 with recursive w as (
   select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') ws from documents),

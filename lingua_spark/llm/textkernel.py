@@ -65,6 +65,7 @@ class Chunk:
     start: np.ndarray      # byte where each word begins
     words: np.ndarray      # uint64 hash of each word
     bounds: np.ndarray     # word index where each document begins (len(rows) + 1)
+    prefixes: list[np.ndarray]  # per asked length: hash of each word's first bytes, 0 for shorter words
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +81,12 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start byte, hash) of the words of the documents laid out in data."""
+def word_scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray, prefixes: tuple[int, ...] = ()
+              ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(start byte, hash, hashes of the first bytes) of the words of the documents laid out in data."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), [np.zeros(0, np.uint64) for _ in prefixes]
     inside = word_class[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -98,18 +100,22 @@ def word_scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray) ->
     value *= _power(_BASE, n)[:n]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    return start, mix((total[end] - total[start]) * _power(_BASE_INV, n)[start])
+    inverse = _power(_BASE_INV, n)[start]
+    words = mix((total[end] - total[start]) * inverse)
+    heads = [np.where(end - start >= k, mix((total[np.minimum(start + k, n)] - total[start]) * inverse + np.uint64(k)), np.uint64(0))
+             for k in prefixes]
+    return start, words, heads
 
 
-def chunks(column: pa.Array, word_class: np.ndarray) -> Iterator[Chunk]:
+def chunks(column: pa.Array, word_class: np.ndarray, prefixes: tuple[int, ...] = ()) -> Iterator[Chunk]:
     """The documents of a text column, as scanned chunks in order."""
     data, offsets = text_buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
         part, off = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-        start, words = word_scan(part, off, word_class)
-        yield Chunk(range(i, j), part, off, start, words, np.searchsorted(start, off))
+        start, words, heads = word_scan(part, off, word_class, prefixes)
+        yield Chunk(range(i, j), part, off, start, words, np.searchsorted(start, off), heads)
         i = j
 
 
