@@ -2,9 +2,11 @@
 
 The words of a partition's batch that have not been seen yet are laid out as one linked list of symbols. An index
 maps every adjacent pair to all its positions; the pairs that have a merge rank are active. Ranks are applied in
-ascending order, each at all of its positions from left to right, and the neighbours' position lists are updated.
-A merge that activates a lower rank than its own puts the remaining positions back, so any merge table gives what
-merging word by word gives. Words that were encoded before come from a bounded cache.
+ascending order, each at all of its positions, and the neighbours' position lists are updated.
+In a trained merge table a merge activates higher ranks only, so a rank's positions are merged at once, as arrays
+(`merge_at_once`). For any other table they are merged from left to right, and a merge that activates a lower rank
+puts the remaining positions back (`merge_in_turn`); that is what merging word by word gives.
+Words that were encoded before come from a bounded cache.
 
 The tokenizer file is a parameter: a `tokenizers` JSON of the kind BPE with an end-of-word suffix, the normalizers
 NFC, white space and Lowercase, and a regular expression of kept pieces as pre-tokenizer. Special tokens inside
@@ -22,12 +24,13 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Entries of the caches of a Python worker; beyond, they start anew. They bound memory and change no result.
-CACHE_WORDS = 200_000
+#: Entries of each of the two generations of a Python worker's cache. They bound memory and change no result.
+CACHE_WORDS = 150_000
 #: Characters whose new words are encoded together.
 BATCH_CHARS = 1 << 22
 
@@ -52,29 +55,114 @@ class PairIndexBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         assert not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.width = max(self.tokens) + 1
-        self.rank: dict[int, int] = {}
-        self.made: list[tuple[int, int, int]] = []
-        for r, m in enumerate(model["merges"]):
+        made = []
+        for m in model["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank[self.vocab[a] * self.width + self.vocab[b]] = r
-            self.made.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
+            made.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
+        self.merges(made, max(self.tokens) + 1)
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pieces).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         #: white-space-free stretch of text -> (tokens, their ids joined, their texts joined)
         self.seen: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+
+    def merges(self, made: list[tuple[int, int, int]], width: int) -> None:
+        """Take over a merge table of (left, right, merged), by rank."""
+        self.made, self.width = made, width
+        self.rank: dict[int, int] = {}
+        for r, (a, b, _) in enumerate(made):
+            self.rank.setdefault(a * width + b, r)
+        self.keys = np.array(sorted(self.rank), np.int64)
+        self.ranks = np.array([self.rank[k] for k in self.keys.tolist()], np.int64)
+        last_made: dict[int, int] = {}
+        for r, (_, _, c) in enumerate(made):
+            last_made[c] = r
+        self.ascending = all(last_made.get(x, -1) < r for r, (a, b, _) in enumerate(made) for x in (a, b))
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each non-empty word, by one pair occurrence index over all of them."""
-        symbol: list[int] = []
-        begins = []
-        inner, last = self.inner, self.last
-        for w in words:
-            begins.append(len(symbol))
-            b = w.encode()
-            symbol += [inner[x] for x in b[:-1]]
-            symbol.append(last[b[-1]])
+        if not words:
+            return []
+        data = [w.encode() for w in words]
+        size = np.array([len(b) for b in data])
+        end = np.cumsum(size)
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        symbol = np.array(self.inner)[raw]
+        symbol[end - 1] = np.array(self.last)[raw[end - 1]]
+        if self.ascending:
+            self.merge_at_once(symbol, end)
+        else:
+            symbol = np.array(self.merge_in_turn(symbol.tolist(), (end - size).tolist()))
+        left = symbol >= 0
+        at = [0, *np.cumsum(left)[end - 1].tolist()]
+        ids = symbol[left].tolist()
+        return [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, -1 without one."""
+        key = left * self.width + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def merge_at_once(self, symbol: np.ndarray, end: np.ndarray) -> None:
+        """Apply the merges in place; symbols merged away become -1."""
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[end - 1] = -1
+        before[end[:-1]] = before[0] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def add(place: np.ndarray, rank: np.ndarray) -> None:
+            have = rank >= 0
+            place, rank = place[have], rank[have]
+            if not len(place):
+                return
+            order = np.argsort(rank, kind="stable")
+            place, rank = place[order], rank[order]
+            cut = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, i, j in zip(rank[np.concatenate(([0], cut))].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(rank)], strict=True):
+                if r in index:
+                    index[r].append(place[i:j])
+                else:
+                    index[r] = [place[i:j]]
+                    heapq.heappush(active, r)
+
+        if len(self.keys):
+            here = np.flatnonzero(after >= 0)
+            add(here, self._rank_of(symbol[here], symbol[here + 1]))
+        while active:
+            r = heapq.heappop(active)
+            a, b, c = self.made[r]
+            found = index.pop(r)
+            p = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+            p = p[symbol[p] == a]
+            q = after[p]
+            good = (q >= 0) & (symbol[q] == b)
+            p, q = p[good], q[good]
+            if a == b and len(p) > 1:  # of overlapping pairs the first, the third, ...
+                chosen, taken = [], -1
+                for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                    if i != taken:
+                        chosen.append((i, j))
+                        taken = j
+                p, q = (np.array(x) for x in zip(*chosen, strict=True))
+            if not len(p):
+                continue
+            k = after[q]
+            symbol[p], symbol[q] = c, -1
+            after[p] = k
+            some = k >= 0
+            before[k[some]] = p[some]
+            h = before[p]
+            any_left = h >= 0
+            k, h, pl = k[some], h[any_left], p[some]
+            add(np.concatenate((pl, h)), self._rank_of(np.concatenate((symbol[pl], symbol[h])), np.concatenate((symbol[k], symbol[after[h]]))))
+
+    def merge_in_turn(self, symbol: list[int], begins: list[int]) -> list[int]:
+        """The same for tables in which a merge may activate a lower rank."""
         n = len(symbol)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
@@ -135,10 +223,7 @@ class PairIndexBpe:
                     index.setdefault(r, []).extend(places[at + 1:])
                     heapq.heappush(active, r)
                     break
-        out = []
-        for s, e in zip(begins, [*begins[1:], n], strict=True):
-            out.append([x for x in symbol[s:e] if x >= 0])
-        return out
+        return symbol
 
     def _stretch_words(self, stretch: str) -> list[str]:
         if not stretch.isascii():
@@ -147,16 +232,24 @@ class PairIndexBpe:
 
     def learn(self, stretches: set[str]) -> None:
         """Encode the stretches that are new, together."""
-        new = [s for s in stretches if s not in self.seen]
+        if len(self.seen) > CACHE_WORDS:
+            self.seen, self.older = {}, self.seen
+        seen, older = self.seen, self.older
+        new = []
+        for s in stretches:
+            if s not in seen:
+                if s in older:
+                    seen[s] = older[s]
+                else:
+                    new.append(s)
         if not new:
             return
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = {s: self.seen[s] for s in stretches if s in self.seen}
         parts = [self._stretch_words(s) for s in new]
         words = list({w for p in parts for w in p})
         coded = {}
+        tokens = self.tokens
         for w, ids in zip(words, self.encode_words(words), strict=True):
-            coded[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
+            coded[w] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
         for s, p in zip(new, parts, strict=True):
             got = [coded[w] for w in p]
             self.seen[s] = got[0] if len(got) == 1 else (
@@ -180,10 +273,8 @@ class PairIndexBpe:
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(token count, ids joined by blanks, decoded text) of each text."""
-        for s, i in self.special.items():
-            self.seen[s] = (1, str(i), s)
         parts = [self.stretches(t) for t in texts]
-        self.learn(set().union(*parts))
+        self.learn(set().union(*parts) - self.special.keys())
         for s, i in self.special.items():
             self.seen[s] = (1, str(i), s)
         seen = self.seen

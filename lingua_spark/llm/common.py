@@ -36,6 +36,17 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def membership(df: DataFrame, hash_column: str, bits: int = FILTER_BITS) -> Broadcast:
     """One-hash Bloom filter of a long hash column, as a broadcast bitmap of fixed size.
 

@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from lingua_spark.llm import textkernel as tk
-from lingua_spark.llm.common import cut_lineage, member, membership
+from lingua_spark.llm.common import cut_lineage, fresh, member, membership
 
 WINDOW = 10
 K = 5
@@ -79,6 +79,12 @@ def fingerprints(words: np.ndarray, short: tuple[int, ...], bitmap: np.ndarray |
     return out
 
 
+def _text_key(data: np.ndarray) -> int:
+    """What Spark's xxhash64(text) gives."""
+    h = xxhash.xxh64_intdigest(data, seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _scan(id_column: str, id_type: pa.DataType, short=(), bitmap=None, item=False):
     fp = pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int32()), ("pos", pa.int32()), ("ctx", pa.list_(pa.int64()))]))
 
@@ -91,7 +97,7 @@ def _scan(id_column: str, id_type: pa.DataType, short=(), bitmap=None, item=Fals
                 for i in range(len(c.rows)):
                     words = c.words[c.bounds[i]:c.bounds[i + 1]]
                     n_words.append(len(words))
-                    keys.append(xxhash.xxh64_intdigest(c.data[c.offsets[i]:c.offsets[i + 1]]) - (1 << 63))
+                    keys.append(_text_key(c.data[c.offsets[i]:c.offsets[i + 1]]))
                     found.append([dict(zip(("h", "m", "pos", "ctx"), x, strict=True))
                                   for x in fingerprints(words, short, bits, item)])
                 yield pa.RecordBatch.from_arrays(
@@ -149,3 +155,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     F.size(F.coalesce("item_ids", F.array().cast("array<string>"))).cast("long").alias("n_items"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
                     F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that hold a benchmark window."""
+    found = decontaminate(docs, benchmark).where("contaminated")
+    key, text = fresh(docs, "hit", "hit_text")
+    hit = found.select(F.col("doc_id").alias(key), F.col("text_key").alias(text)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text)), "left_anti")

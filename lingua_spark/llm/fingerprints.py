@@ -32,6 +32,8 @@ from lingua_spark.llm.common import cut_lineage
 BINS, BITS = 256, 4
 
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
+#: Each bin hashes its value once more, so chance matches of bins that hold the same value are independent.
+_SALT = np.random.default_rng(978).integers(0, 2**63, BINS, dtype=np.uint64)
 #: For each bin, the order in which it tries the others.
 _ORDER = np.argsort(np.random.default_rng(977).random((BINS, BINS)), axis=1)
 
@@ -43,15 +45,16 @@ def fingerprint(words: np.ndarray) -> bytes:
         return b""
     bins = (s >> _SHIFT).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
-    value = np.zeros(BINS, np.uint8)
+    value = np.zeros(BINS, np.uint64)
     filled = np.zeros(BINS, bool)
     filled[bins[first]] = True
-    value[bins[first]] = s[first] & np.uint64((1 << BITS) - 1)
+    value[bins[first]] = s[first]
     empty = np.flatnonzero(~filled)
     if len(empty):
         order = _ORDER[empty]
         value[empty] = value[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
-    return (value[0::2] << 4 | value[1::2]).astype(np.uint8).tobytes()
+    low = (tk.mix(value ^ _SALT) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    return (low[0::2] << 4 | low[1::2]).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:

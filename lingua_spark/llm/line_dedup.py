@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lingua_spark.llm import textkernel as tk
-from lingua_spark.llm.common import cut_lineage, member, membership
+from lingua_spark.llm.common import cut_lineage, fresh, member, membership
 
 THRESHOLD = 75
 #: Slots of the corpus counts that order shingles; a fixed table of 0.5 MB.
@@ -202,14 +202,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def drop_later_lines(docs: DataFrame) -> DataFrame:
-    """docs with their later near-duplicate lines taken out of text; a document left without any line goes."""
-    gone = (later_matches(docs).groupBy("doc").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("__removed")))
+    """docs with their later near-duplicate lines taken out of text; a document left without any line goes.
+
+    Of the columns of documents, n_chars follows the new text; all others stay.
+    """
+    key, gone = fresh(docs, "doc", "removed")
+    found = (later_matches(docs).withColumnRenamed("doc", key).groupBy(key)
+             .agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias(gone)))
     lines = F.split("text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed")), lambda i: F.get(lines, i))
-    out = (docs.join(gone, docs["doc_id"].cast("long") == gone["doc"], "left").drop("doc")
-           .where(F.col("__removed").isNull() | (F.size("__removed") < F.size(lines)))
-           .withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
+    untouched = F.col(gone).isNull()
+    out = (docs.join(found, F.col("doc_id").cast("long") == F.col(key), "left")
+           .where(untouched | (F.size(gone) < F.size(lines)))
+           .withColumn("text", F.when(untouched, F.col("text")).otherwise(F.array_join(left, "\n"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

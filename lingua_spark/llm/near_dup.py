@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lingua_spark.llm import textkernel as tk
-from lingua_spark.llm.common import connected_components, cut_lineage, member, membership
+from lingua_spark.llm.common import connected_components, cut_lineage, fresh, member, membership
 
 #: Jaccard threshold as a fraction of integers: 100 * intersection >= 75 * union.
 THRESHOLD = 75
@@ -251,3 +251,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return (signed.join(by_id.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the documents that are not kept; of rows with the same doc_id, one."""
+    found = cut_lineage(near_duplicates(docs))
+    (key,) = fresh(docs, "gone")
+    gone = found.where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    repeated = cut_lineage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
+    if repeated.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col(key)
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

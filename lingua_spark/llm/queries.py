@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lingua_spark.llm.bpe import encode_digests
+from lingua_spark.llm.chat import conflict_rows, conversation_digests
 from lingua_spark.llm.common import read
 from lingua_spark.llm.decontamination import decontaminate
 from lingua_spark.llm.fingerprints import compare_with_edits
 from lingua_spark.llm.line_dedup import removed_lines
+from lingua_spark.llm.lm_scoring import pseudo_likelihood
 from lingua_spark.llm.near_dup import near_duplicates
+from lingua_spark.llm.secrets import secret_digests
 from lingua_spark.llm.toxicity import toxicity
 from lingua_spark.llm.warc import round_trip
 
@@ -38,10 +41,23 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages"))
 
 
+def op7_secrets(spark, sf_dir: str) -> DataFrame:
+    return secret_digests(read(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(rows.unionByName(conflict_rows(spark)))
+
+
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     return compare_with_edits(read(spark, sf_dir, "documents"))
 
@@ -57,7 +73,10 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_warc": op6_warc,
+    "op7_secrets": op7_secrets,
+    "op8_chat": op8_chat,
     "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
 }
@@ -88,6 +107,22 @@ reach as (select doc_id root, doc_id node from documents
 comp as (select root doc_id, min(node) component_id from reach group by 1)
 select d.doc_id, coalesce(n.n, 0) n_shingles, c.component_id, d.doc_id = c.component_id kept
 from documents d join comp c using (doc_id) left join n using (doc_id)""",
+    "op8_chat": r"""
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+u as (
+  select *, replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '###', '\h') as st,
+    replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '###', '\h'), ':', '\c') as sr,
+    contains(role, ':') or contains(role || chr(10) || text, '</turn>') or contains(role || chr(10) || text, '###')
+      or regexp_matches(role || chr(10) || text, '\\[behc]') as odd
+  from r)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length('### : </turn>') + 1 + case when odd then length(sr) + length(st) else length(role) + length(text) end)::bigint as formatted_chars
+from u group by conv_id""",
     "op10_decontamination": rf"""
 with dw as (
   select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),

@@ -20,7 +20,7 @@ Label, language, source and doc_id never enter a score.
 Defined cases: null and wordless texts get the score of a text without passages; null labels do not count, several
 labels of one doc_id count as their maximum; without labelled rows, or with one class only, every score is the
 share of toxic labels (0 without any); repeated rows each get a row; rows without doc_id are scored and not held out;
-an empty table gives an empty result; extra columns are ignored or kept.
+an empty table gives an empty result; extra columns are ignored, `drop_toxic` keeps them.
 """
 
 from __future__ import annotations
@@ -240,27 +240,41 @@ def _segment_rate(model: Model):
     return run
 
 
+def _curve(x: list[float], m: Model) -> float:
+    return float(1 / (1 + np.exp(-np.clip(np.dot(x, m.curve), -40, 40))))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns with score, and passages: array of (start, end) word positions of significant segments."""
+    """(doc_id, score, passages): passages are (start, end) word positions of the significant segments."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c not in ("score", "passages")]
-    schema = docs.select(*others).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
             scores, passages = [], []
-            for w in _weighed(text, m):
+            for w in _weighed(batch.column(1), m):
                 x, strong = features(w, m.lam, m.log_k)
-                scores.append(float(1 / (1 + np.exp(-np.clip(np.dot(x, m.curve), -40, 40)))))
+                scores.append(_curve(x, m))
                 passages.append([{"start": f, "end": e} for f, e, _ in strong])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64()),
-                 pa.array(passages, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*batch.schema.names, "score", "passages"])
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                ["doc_id", "score", "passages"])
+
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+            .mapInArrow(run, "doc_id long, score double, passages array<struct<start: int, end: int>>"))
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows whose score is REJECT or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([_curve(features(w, m.lam, m.log_k)[0], m) < REJECT for w in _weighed(batch.column(at), m)], pa.bool_()))
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.select(*others).mapInArrow(run, f"{ddl}, score double, passages array<struct<start: int, end: int>>")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out() -> Column:
@@ -270,6 +284,6 @@ def held_out() -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages) per document."""
     model = fit(docs, labels)
-    return (score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    return (score(docs, model)
             .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"),
                     F.size("passages").alias("n_passages")))

@@ -1,0 +1,82 @@
+import random
+
+import numpy as np
+import pytest
+
+from helpers import SCHEMA, components, edge_docs, edge_rows, no_docs, prose, row, shingles
+from lingua_spark.llm import near_dup
+from lingua_spark.llm.common import connected_components
+
+
+def check(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = sorted(map(tuple, near_dup.near_duplicates(docs).collect()), key=str)
+    label = components([(r[0], r[1]) for r in rows])
+    want = sorted(((r[0], len(shingles(r[1])), label.get(r[0]), r[0] is None or label[r[0]] == r[0]) for r in rows), key=str)
+    assert got == want
+    return docs, got
+
+
+def test_edge_documents(spark):
+    docs, got = check(spark, edge_rows())
+    left = near_dup.keep_one_of_each(docs)
+    assert left.columns == docs.columns
+    kept = [r["doc_id"] for r in left.collect()]
+    assert sorted(x for x in kept if x is not None) == sorted({g[0] for g in got if g[3] and g[0] is not None})
+    assert kept.count(None) == 2
+
+
+def test_shared_passages_in_large_buckets(spark, monkeypatch):
+    """Many documents share most of their text without being near copies, with near copies among them."""
+    monkeypatch.setattr(near_dup, "FAN", 2)
+    rng = random.Random(8)
+    passage = prose(rng, 60)
+    rows = [row(i, f"{passage} {prose(rng, 40)}") for i in range(40)]
+    rows += [row(100 + i, rows[i % 5][1] + " " + prose(rng, 4 + i % 7)) for i in range(25)]
+    rng.shuffle(rows)
+    check(spark, rows)
+
+
+def test_chain_of_near_copies(spark):
+    """Neighbours are linked, the ends are not."""
+    rng = random.Random(4)
+    w = prose(rng, 100).split()
+    rows = []
+    for i in range(12):
+        rows.append(row(50 - i, " ".join(w)))
+        w = w[8:] + prose(rng, 8).split()
+    _, got = check(spark, rows)
+    assert {g[2] for g in got} == {39}
+
+
+def test_empty_tables(spark):
+    assert near_dup.near_duplicates(no_docs(spark)).count() == 0
+    assert near_dup.keep_one_of_each(no_docs(spark)).columns == no_docs(spark).columns
+
+
+def test_signature_estimates_jaccard():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    for shared in (200, 500, 800):
+        b = np.concatenate([a[:shared], rng.integers(0, 2**63, 900 - shared, dtype=np.uint64)])
+        same = (near_dup.signature(a, 1024) == near_dup.signature(b, 1024)).mean()
+        assert abs(same - shared / (1800 - shared)) < 0.07
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(None, 5), (7, 7)] + [(1000 + i, 1001 + i) for i in range(64)]
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {x: root(x) for x in list(parent)}

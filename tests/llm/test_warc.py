@@ -1,0 +1,94 @@
+import gzip
+import hashlib
+import random
+import uuid
+
+from lingua_spark.llm import warc
+from lingua_spark.llm.common import scratch_folder
+
+SCHEMA = "page_id long, url string, html string, payload string, digest int"
+
+
+def rec(i, payload, refers=None):
+    return warc.record(i, f"http://a/{i}", payload, hashlib.sha256(payload).hexdigest(), refers)
+
+
+def found(data):
+    return [(f.reason, f.offset, f.length, f.payload) for f in warc.salvage(data)]
+
+
+def test_members_and_plain_records_read_back():
+    payloads = [b"", b"x" * 5000, "é\r\n\r\nWARC/1.1\r\n".encode(), random.Random(1).randbytes(20000)]
+    for pack in (warc.pack, lambda d: d):
+        data = b"".join(pack(rec(i, p)) for i, p in enumerate(payloads))
+        assert [f[3] for f in found(data)] == payloads
+        assert not any(f[0] for f in found(data))
+    whole = b"".join(rec(i, p) for i, p in enumerate(payloads))
+    assert [f[3] for f in found(gzip.compress(whole))] == payloads  # one member for all
+
+
+def test_member_ends_with_zero_and_long_records_are_split():
+    long = b"a" * (1 << 25)
+    data = warc.pack(rec(1, long))
+    assert data[-1] == 0 and data.count(warc._GZIP) >= 3
+    both = data + warc.pack(rec(2, b"next"))
+    assert [f[3] for f in found(both)] == [long, b"next"]
+    assert gzip.decompress(both) == rec(1, long) + rec(2, b"next")
+
+
+def test_salvage_of_damage():
+    rng = random.Random(7)
+    payloads = [rng.randbytes(rng.randrange(50, 3000)) for _ in range(12)]
+    for pack in (warc.pack, lambda d: d):
+        parts = [pack(rec(i, p)) for i, p in enumerate(payloads)]
+        starts = [sum(map(len, parts[:i])) for i in range(13)]
+        for hurt in ({3}, {0}, {11}, {4, 5}, {2, 7}):
+            data = bytearray(b"".join(parts))
+            for k in hurt:
+                at = starts[k] + len(parts[k]) // 2
+                data[at:at + 4] = bytes(255 - x for x in data[at:at + 4])
+            got = found(bytes(data))
+            assert [f[3] for f in got if not f[0]] == [p for i, p in enumerate(payloads) if i not in hurt]
+            gaps = {x for f in got if f[0] for x in range(f[1], f[1] + f[2])}
+            assert gaps == {x for k in hurt for x in range(starts[k], starts[k + 1])}
+        cut = b"".join(parts)[:-5]
+        got = found(cut)
+        assert len([f for f in got if not f[0]]) == 11 and got[-1][0]
+        junk = b"junk" + parts[0] + b"\x1f\x8b\x08 no WARC/1.1\r\nno" + parts[1]
+        got = found(junk)
+        assert [f[3] for f in got if not f[0]] == payloads[:2]
+        assert [(f[1], f[2]) for f in got if f[0]] == [(0, 4), (4 + len(parts[0]), len(junk) - 4 - len(parts[0]) - len(parts[1]))]
+
+
+def test_round_trip(spark):
+    big, other = "<p>ö" * 50, "y" * 99
+    rows = [(5, "http://a/ b\r\nX: 1", big), (3, None, big), (9, "u", big), (9, "u", big), (3, None, big), (4, "u", other), (6, "u", other),
+            (7, "u", None), (8, "u", ""), (None, None, big), (None, None, None), (11, "u", "WARC/1.1\r\n\r\n" * 30), (12, "u", "z" * 200000)]
+    pages = spark.createDataFrame([(*r, "own", 1) for r in rows], SCHEMA).repartition(4)
+    got = sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str)
+    want = []
+    for page, _, html in rows:
+        b = (html or "").encode()
+        first = min((p for p, _, h in rows if p is not None and h == html), default=None)
+        again = len(b) >= 100 and page is not None and page > first
+        want.append((page, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(pages.where("false")).count() == 0
+
+
+def test_read_archives_logs_gaps(spark, tmp_path):
+    path = f"{scratch_folder(spark)}/warc-test-{uuid.uuid4().hex}"
+    pages = spark.createDataFrame([(i, "http://u", f"page {i} " * 40, None, None) for i in range(30)], SCHEMA)
+    warc.write_archives(pages.coalesce(1), path, records_per_file=10)
+    files = sorted(spark.read.format("binaryFile").load(path).select("path", "content").collect())
+    assert len(files) == 3
+    for k, (_, content) in enumerate(files):
+        data = bytearray(content)
+        if k == 1:
+            data[900:906] = b"damage"
+        (tmp_path / f"{k}.warc.gz").write_bytes(data)
+        assert gzip.decompress(content).count(b"WARC/1.1\r\n") == 10
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    gaps = [r for r in got if r["gap"]]
+    assert len(gaps) == 1 and gaps[0]["offset"] <= 900 < gaps[0]["offset"] + gaps[0]["length"]
+    assert len(got) == 30 and {bytes(r["payload"]) for r in got if not r["gap"]} < {f"page {i} ".encode() * 40 for i in range(30)}
