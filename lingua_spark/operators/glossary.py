@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lingua_spark import constants as K
 from lingua_spark.functions.text import normalize_language
-from lingua_spark.operators.ids import sequential_ids
+from lingua_spark.operators.ids import range_sorted, sequential_ids
 
 # ASCII word boundary (Go's \b) for Java regex, whose \b is Unicode-aware.
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -19,7 +19,8 @@ MAX_KEYLESS_ENTRIES = 5000
 
 
 def load_glossary(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC-2: entries need source_term, target_lang and translation; number them in input order.
+    """SRC-2: entries need source_term, target_lang and translation; number them in input order
+    (`added_at` where given, nulls first, then the order of the rows as read).
 
     Stored target languages are normalized ('' stays global), see D-5.
     """
@@ -39,8 +40,10 @@ def load_glossary(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = g.filter(F.col("error").isNull()).drop("error")
     rejected = g.filter(F.col("error").isNotNull())
     if "entry_no" not in ok.columns:
-        ok = sequential_ids(ok, [F.col("added_at").asc_nulls_first(), "source_term", "target_lang", "translation"],
-                            "entry_no", start=1)
+        # the position in the input: unique and ascending over a scan's splits, fixed by the
+        # checkpoint inside sequential_ids
+        ok = ok.withColumn("_in", F.monotonically_increasing_id())
+        ok = sequential_ids(ok, [F.col("added_at").asc_nulls_first(), "_in"], "entry_no", start=1).drop("_in")
     ok = ok.withColumn("target_lang", F.when(F.col("target_lang") == "", "")
                        .otherwise(normalize_language("target_lang")))
     return ok, rejected
@@ -261,8 +264,7 @@ def _version_by_sort(requests: DataFrame, glossary: DataFrame, ts_col: str, out_
     reqs = requests.filter(F.col(ts_col).isNotNull()).select(
         F.col(ts_col).alias("_t"), F.lit(0).alias("_add"), F.col(id_col).cast("long").alias("_rid"))
     # adds sort before requests of the same time ("at or before"); null add times first
-    ev = adds.unionByName(reqs).sort(F.col("_t").asc_nulls_first(), F.col("_add").desc(), F.col("_rid")) \
-        .withColumn("_pid", F.spark_partition_id())
+    ev = range_sorted(adds.unionByName(reqs), [F.col("_t").asc_nulls_first(), F.col("_add").desc(), F.col("_rid")], "_pid")
     local = ev.withColumn("_c", F.sum("_add").over(
         Window.partitionBy("_pid").orderBy(F.col("_t").asc_nulls_first(), F.col("_add").desc(), F.col("_rid"))
         .rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingua_spark.session import cut_lineage
 
-def sequential_ids(df: DataFrame, order_cols: list, id_col: str, start: int | "Column" = 1) -> DataFrame:
+
+def range_sorted(df: DataFrame, order: list, bucket: str) -> DataFrame:
+    """`df` range-sorted by `order`, with the range bucket of each row, written once.
+
+    The bucket is the physical range partition. Its bounds come from a sample that another
+    evaluation may draw differently, so the sorted rows and their buckets are checkpointed:
+    whatever reads the result later sees the same buckets."""
+    return cut_lineage(df.sort(*order).withColumn(bucket, F.spark_partition_id()))
+
+
+def sequential_ids(df: DataFrame, order_cols: list, id_col: str, start: int | Column = 1) -> DataFrame:
     """Number rows 0.. in `order_cols` order, plus `start`, like zipWithIndex.
 
-    The sort is a distributed range sort; each range partition numbers its own rows and a
-    per-partition count table (one row per partition) supplies the offsets.
+    Each range bucket of the sorted rows numbers its own rows, and a table of bucket counts
+    (one row per bucket) supplies the offsets.
     """
-    ordered = df.sort(*order_cols).withColumn("_pid", F.spark_partition_id())
+    ordered = range_sorted(df, order_cols, "_pid")
     local = ordered.withColumn(
         "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
