@@ -2,7 +2,7 @@
 
 The reference asks a remote model; here a profile of the most frequent character n-grams
 per language is trained on labelled rows and each text is scored by integer hit counts.
-Texts are bounded to their first `max_chars` runes before the n-grams are exploded.
+Every rune of every text counts, in training and in detection.
 """
 
 from __future__ import annotations
@@ -13,30 +13,29 @@ from pyspark.sql import functions as F
 from lingua_spark.functions.text import normalize_language
 
 
-def char_ngrams(text: Column, n: int, max_chars: int) -> Column:
-    """array of the overlapping n-rune grams of lower(first max_chars runes)."""
-    t = F.lower(F.substring(text, 1, max_chars))
+def char_ngrams(text: Column, n: int) -> Column:
+    """array of the overlapping n-rune grams of the lowered text."""
     # a zero-width look-ahead match at every position captures the overlapping grams
-    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
 def train_language_profiles(docs: DataFrame, n: int = 3, top: int = 300, text_col: str = "text",
-                            lang_col: str = "lang", max_chars: int = 2000) -> DataFrame:
+                            lang_col: str = "lang") -> DataFrame:
     """LD-1: (lang, gram, cnt, rank): the `top` most frequent grams per language
     (ties by gram). Counting is a grouped aggregate with map-side combine."""
     g = docs.select(normalize_language(lang_col).alias("lang"),
-                    F.explode(char_ngrams(F.col(text_col), n, max_chars)).alias("gram"))
+                    F.explode(char_ngrams(F.col(text_col), n)).alias("gram"))
     counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("lang").orderBy(F.col("cnt").desc(), F.col("gram"))
     return counts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, id_col: str = "row_id", text_col: str = "text",
-                    n: int = 3, max_chars: int = 2000) -> DataFrame:
+                    n: int = 3) -> DataFrame:
     """LD-2: (id, language, confidence). Hits = grams of the text found in a language's
     profile (with multiplicity); best = most hits, ties by code; confidence = best / all hits.
     No hit -> ('auto', 0.0). The profile table (languages x top) is small and broadcast."""
-    grams = df.select(id_col, F.explode(char_ngrams(F.col(text_col), n, max_chars)).alias("gram"))
+    grams = df.select(id_col, F.explode(char_ngrams(F.col(text_col), n)).alias("gram"))
     per = grams.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("k"))
     prof = F.broadcast(profiles.select("lang", "gram"))
     hits = per.join(prof, "gram").groupBy(id_col, "lang").agg(F.sum("k").alias("hits"))

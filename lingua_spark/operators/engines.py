@@ -3,8 +3,8 @@
 An engine maps a DataFrame of distinct work rows
     (key_hash, text, source_lang, target_lang, provider, model, context, tone, alternatives)
 to answers
-    (key_hash, translation, source_language, confidence, input_tokens, output_tokens, error).
-`error` is null on success. Native engines are DataFrame -> DataFrame functions; Python
+    (key_hash, translation, source_language, confidence, alternative_texts, input_tokens, output_tokens, error).
+`error` is null on success; alternative_texts (array of strings) may be left out. Native engines are DataFrame -> DataFrame functions; Python
 engines receive pandas batches through mapInPandas (Arrow), never single rows.
 """
 
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from lingua_spark import constants as K
 
 ENGINE_OUTPUT = ("key_hash string, translation string, source_language string, confidence double, "
-                 "input_tokens long, output_tokens long, error string")
-ENGINE_COLUMNS = ["key_hash", "translation", "source_language", "confidence", "input_tokens", "output_tokens",
-                  "error"]
+                 "alternative_texts array<string>, input_tokens long, output_tokens long, error string")
+ENGINE_COLUMNS = ["key_hash", "translation", "source_language", "confidence", "alternative_texts", "input_tokens",
+                  "output_tokens", "error"]
 DETECTOR_OUTPUT = "row_key string, language string, confidence double"
 WORK_COLUMNS = ["key_hash", "text", "source_lang", "target_lang", "provider", "model", "context", "tone",
                 "alternatives"]
@@ -56,6 +56,8 @@ def run_engine(work: DataFrame, name: str) -> DataFrame:
     base = work.drop(*[c for c in answer_cols if c in work.columns])
     if kind == "native":
         out = fn(base)
+        if "alternative_texts" not in out.columns:
+            out = out.withColumn("alternative_texts", F.lit(None).cast("array<string>"))
         return out.select(*base.columns, *answer_cols)
     from pyspark.sql.types import StructType
     out_schema = StructType(list(base.schema.fields) + [
@@ -66,6 +68,8 @@ def run_engine(work: DataFrame, name: str) -> DataFrame:
         import pandas as pd
         for pdf in it:
             ans = fn(pdf[[c for c in WORK_COLUMNS if c in pdf.columns]]).reset_index(drop=True)
+            if "alternative_texts" not in ans.columns:
+                ans = ans.assign(alternative_texts=None)
             ans = ans.reindex(columns=answer_cols)
             yield pd.concat([pdf[cols].reset_index(drop=True), ans], axis=1)
     return base.mapInPandas(batches, out_schema)

@@ -5,8 +5,8 @@ requests -> FN-11 validate -> (LD-2 detect) -> FN-6 languages -> FN-10/FN-13 pro
 -> JN-1/JN-2 mask -> engine along the BT-3 chain, BT-4 first success -> restore -> join back.
 
 Only the first request of each key reaches the cache and the engine; the other requests
-of that key share its answer (cached=true). The request table is shuffled once on key_hash;
-dedup, the cache join and the answer join reuse that partitioning.
+of that key share its answer (cached=true, unless it is an error). A request with
+use_cache=false neither reads nor feeds the cache nor shares an answer: it is work of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from lingua_spark.operators.validate import split_valid, validate_requests
 from lingua_spark.session import cut_lineage
 
 ANSWER_COLUMNS = ["request_id", "key_hash", "translation", "source_language", "target_language", "provider",
-                  "model", "cached", "confidence", "input_tokens", "output_tokens", "error"]
+                  "model", "cached", "confidence", "alternatives", "input_tokens", "output_tokens", "error"]
 
 
 @dataclass
@@ -39,19 +39,26 @@ class TranslateResult:
 
 def keyed_requests(requests: DataFrame, glossary: DataFrame | None = None, providers: DataFrame | None = None,
                    default_provider: str = K.DEFAULT_PROVIDER, max_len: int = K.MAX_TEXT_LENGTH,
-                   detected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                   detected: DataFrame | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate, normalize languages, pick provider/model and derive key_hash.
 
-    `detected` (optional): (text, language) rows from LD-2 / UD-3 for `auto` sources.
-    Returns (keyed valid requests, rejected).
+    Blank and `auto` source languages are detected: with LD-2 over the LD-1 `profiles`, once per
+    distinct normalized text, or taken from `detected`, (text, language) rows of another
+    detector. Without either they stay `auto`. Returns (keyed valid requests, rejected).
     """
     spark = requests.sparkSession
     providers = providers if providers is not None else providers_table(spark)
     ok, rejected = split_valid(validate_requests(requests, max_len))
     src = F.lower(F.trim(F.col("source_lang")))
+    det = None
     if detected is not None:
-        det = detected.select(F.col("text").alias("_dt"), F.col("language").alias("_dl"))
-        ok = ok.join(det, ok["text"] == det["_dt"], "left")
+        det = detected.select(F.sha2("text", 256).alias("_dt"), F.col("language").alias("_dl")).dropDuplicates(["_dt"])
+    elif profiles is not None:
+        from lingua_spark.operators.detect import detect_language
+        texts = ok.filter(src.isin("", "auto")).select(F.sha2("text", 256).alias("_dt"), "text").dropDuplicates(["_dt"])
+        det = detect_language(texts, profiles, id_col="_dt").select("_dt", F.col("language").alias("_dl"))
+    if det is not None:
+        ok = ok.join(det, F.when(src.isin("", "auto"), F.sha2("text", 256)) == det["_dt"], "left")
         found = F.col("_dl").isNotNull() & ~F.col("_dl").isin("", "auto")
         ok = ok.withColumn("source_lang", F.when(src.isin("", "auto") & found, F.col("_dl"))
                            .otherwise(F.col("source_lang"))).drop("_dt", "_dl")
@@ -80,7 +87,7 @@ def _answer_rows(res: DataFrame, error: "F.Column") -> DataFrame:
         .otherwise(c("translation", "string"))
     src = c("source_language", "string")
     return res.select(
-        "key_hash",
+        "work_key", "key_hash",
         F.when(ok, translation).alias("translation"),
         F.when(ok, F.when(F.coalesce(src, F.lit("")).isin("", "auto"), F.col("source_lang")).otherwise(src))
         .alias("source_language"),
@@ -89,6 +96,7 @@ def _answer_rows(res: DataFrame, error: "F.Column") -> DataFrame:
         F.when(ok, c("model", "string")).alias("model"),
         F.lit(False).alias("hit"),
         F.when(ok, c("confidence", "double")).alias("confidence"),
+        F.when(ok, c("alternative_texts", "array<string>")).alias("alternatives"),
         F.when(ok, c("input_tokens", "long")).alias("input_tokens"),
         F.when(ok, c("output_tokens", "long")).alias("output_tokens"),
         error.alias("error"),
@@ -106,12 +114,14 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
               known: list[str] | None = None, fallback: list[str] | None = None,
               default_provider: str = K.DEFAULT_PROVIDER, providers: DataFrame | None = None,
               max_len: int = K.MAX_TEXT_LENGTH, ttl_seconds: float = K.DEFAULT_TTL_SECONDS, now=None,
-              detected: DataFrame | None = None, tm: DataFrame | None = None, use_tm: bool = False,
+              detected: DataFrame | None = None, profiles: DataFrame | None = None,
+              tm: DataFrame | None = None, use_tm: bool = False,
               materialize: bool = True, carry: list[str] | None = None,
               cache_unique: bool = False) -> TranslateResult:
     """BT-5. `engine` names a registered engine (UD-1) used for every provider unless
     `provider_engines` maps a provider to another one. `known` = configured providers
-    (default: the catalogue), `fallback` = fallback order (default: none).
+    (default: the catalogue), `fallback` = fallback order (default: none). `as_of` = the time at
+    which cache rows must be alive (default: now). `profiles` / `detected`: see keyed_requests.
     `cache_unique=True` declares the cache one row per key_hash (as cache_upsert keeps it),
     which skips the latest-row aggregation; stored bucketed by key_hash, the cache then
     joins without being shuffled."""
@@ -119,30 +129,36 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     providers = providers if providers is not None else providers_table(spark)
     known = known if known is not None else [r[0] for r in K.PROVIDERS]
     fallback = fallback or []
-    keyed, rejected = keyed_requests(requests, glossary, providers, default_provider, max_len, detected)
+    keyed, rejected = keyed_requests(requests, glossary, providers, default_provider, max_len, detected, profiles)
     # One shuffle on key_hash: first request per key, and (when a cache is given) the
     # left join to the live cache rows on the same key. The result has several consumers
     # below (hits, misses, the answer join), so it is written once to the shared checkpoint
     # folder; neither the requests nor the cache table are read or shuffled twice.
-    keyed = dedup_first(keyed)
-    use_cache_table = cache is not None and as_of is not None
+    keyed = keyed.withColumn("use_cache", F.coalesce("use_cache", F.lit(True)))
+    # a request that opted out of the cache shares nothing: it is keyed by its own id too
+    keyed = keyed.withColumn("work_key", F.when(F.col("use_cache"), F.col("key_hash"))
+                             .otherwise(F.concat_ws("#", "key_hash", F.col("request_id").cast("string"))))
+    keyed = dedup_first(keyed, "work_key")
+    use_cache_table = cache is not None
     if use_cache_table:
+        as_of = F.current_timestamp() if as_of is None else as_of
         # a cache maintained by cache_upsert (SRC-5) holds one row per key: no aggregation
         live = fresh(cache, as_of) if cache_unique else latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
         keyed = keyed.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
     keyed = cut_lineage(keyed) if materialize else keyed
 
     # exactly one work row per key, even when request ids repeat
-    firsts = keyed.filter("is_first").drop("is_first").dropDuplicates(["key_hash"])
+    firsts = keyed.filter("is_first").drop("is_first").dropDuplicates(["work_key"])
     hit_answers = None
     if use_cache_table:
         is_hit = F.col("use_cache") & F.col("cached_response").isNotNull()
         hit_answers = firsts.filter(is_hit).select(
-            "key_hash", F.col("cached_response.translation").alias("translation"),
+            "work_key", "key_hash", F.col("cached_response.translation").alias("translation"),
             F.col("cached_response.source_language").alias("source_language"),
             F.col("cached_response.target_language").alias("target_language"),
             F.col("cached_response.provider").alias("provider"), F.col("cached_response.model").alias("model"),
             F.lit(True).alias("hit"), F.col("cached_response.confidence").alias("confidence"),
+            F.col("cached_response.alternatives").alias("alternatives"),
             F.col("cached_response.input_tokens").alias("input_tokens"),
             F.col("cached_response.output_tokens").alias("output_tokens"),
             F.lit(None).cast("string").alias("error"), F.lit(False).alias("store"))
@@ -152,20 +168,20 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
 
     if use_tm and tm is not None:
         from lingua_spark.operators.memory import tm_exact
-        tm_hits = tm_exact(misses.select("key_hash", "text", "source_lang", "target_lang"), tm)
-        misses = misses.join(tm_hits.select("key_hash"), "key_hash", "left_anti")
-        tm_answers = (tm_hits.select("key_hash", F.col("target_text").alias("translation"),
+        tm_hits = tm_exact(misses.select("work_key", "key_hash", "text", "source_lang", "target_lang"), tm)
+        misses = misses.join(tm_hits.select("work_key"), "work_key", "left_anti")
+        tm_answers = (tm_hits.select("work_key", "key_hash", F.col("target_text").alias("translation"),
                               F.col("source_lang").alias("source_language"),
                               F.col("target_lang").alias("target_language"), F.lit("memory").alias("provider"),
                               F.lit("").alias("model"), F.lit(True).alias("hit"), F.lit(1.0).alias("confidence"),
-                              F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"),
+                              F.lit(None).cast("array<string>").alias("alternatives"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"),
                               F.lit(None).cast("string").alias("error"), F.lit(False).alias("store")))
         hit_answers = tm_answers if hit_answers is None else hit_answers.unionByName(tm_answers)
 
     # Engine work: distinct keys only, masked per target, along the provider chain.
     work = misses
     if glossary is not None:
-        work = glossary_for(work, glossary, row_id="key_hash")
+        work = glossary_for(work, glossary, row_id="work_key")
     else:
         work = work.withColumn("gloss", F.array().cast(
             "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"))
@@ -208,7 +224,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
             res = cut_lineage(res)
             parts.append(_answer_rows(res.filter(F.col("error").isNull()), F.col("error")))
             pending = (res.filter(F.col("error").isNotNull()).withColumn("last_error", F.col("error"))
-                       .drop("error", "translation", "source_language", "confidence", "input_tokens",
+                       .drop("error", "translation", "source_language", "confidence", "alternative_texts", "input_tokens",
                              "output_tokens", "_pm", "_ug", "_masked", "chain_provider", "text", "provider", "model")
                        .withColumnRenamed("req_text", "text").withColumnRenamed("req_provider", "provider")
                        .withColumnRenamed("key_model", "model"))
@@ -220,16 +236,15 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
         by_key = by_key.unionByName(hit_answers)
 
     carry = carry or []
-    answers = (keyed.select("request_id", "key_hash", "is_first", *carry).join(by_key, "key_hash")
-               .withColumn("cached", F.col("hit") | ~F.col("is_first"))
+    answers = (keyed.select("request_id", "work_key", "is_first", *carry).join(by_key, "work_key")
+               .withColumn("cached", F.col("error").isNull() & (F.col("hit") | ~F.col("is_first")))
                .select(*ANSWER_COLUMNS, *carry))
     ts_now = F.current_timestamp() if now is None else F.lit(now)
     updates = by_key.filter(F.col("store") & F.col("error").isNull()).select(
         "key_hash",
         F.struct(F.col("translation"), F.col("source_language"), F.col("target_language"), F.col("provider"),
                  F.col("model"), F.lit(False).alias("cached"), F.col("confidence"),
-                 F.lit(None).cast("array<string>").alias("alternatives"), F.col("input_tokens"),
-                 F.col("output_tokens")).alias("response"),
+                 F.col("alternatives"), F.col("input_tokens"), F.col("output_tokens")).alias("response"),
         ts_now.alias("created_at"), (ts_now + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"),
         F.lit(1).alias("tier"))
     return TranslateResult(answers, rejected.select("request_id", "error", *carry), updates)

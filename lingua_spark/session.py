@@ -44,12 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster `spark.checkpoint.dir` names a shared (distributed) folder and is used as
     is (Spark applies it to the context at start-up). Only when it is unset, as in tests, a
     local scratch folder is set on the context (core configs cannot be changed at runtime).
+    A cluster without the setting is refused: a folder of one machine would lose data.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lingua-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="lingua-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
@@ -70,6 +75,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables up to this size are read by as many tasks as they have splits.
+SPREAD_BYTES = 128 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Source-side parallelism guard for a freshly read table: a scan with fewer splits
     than the cluster's default parallelism (e.g. one file with one row group) is spread
@@ -78,9 +87,20 @@ def spread(df: DataFrame) -> DataFrame:
     try:
         n = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()
+        size = sum(f.getLen() for f in _file_statuses(df))
     except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
         return df
-    return df.repartition(n) if parts < n else df
+    return df.repartition(n) if parts < n and size > SPREAD_BYTES else df
+
+
+def _file_statuses(df: DataFrame) -> list:
+    """File statuses of the files a freshly read table consists of."""
+    sc = df.sparkSession.sparkContext
+    out = []
+    for f in df.inputFiles():
+        p = sc._jvm.org.apache.hadoop.fs.Path(f)
+        out.append(p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p))
+    return out
 
 
 def table_path(sf_dir: str, name: str) -> str:
