@@ -71,7 +71,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, as_of, materialize: bool
 def tiered_lookup(requests: DataFrame, tiers: DataFrame, as_of,
                   backfill_ttl_seconds: float = K.BACKFILL_TTL_SECONDS,
                   materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """JN-4: first (lowest-numbered) tier holding a fresh row of the key wins.
+    """JN-4: first (lowest-numbered) tier holding a fresh row of the key wins, there the newest row.
 
     Returns (hits, backfill): backfill holds one row per faster tier (1 .. tier-1) to write,
     with the backfill ttl counted from `as_of`. Both come from one join of the requests
@@ -82,7 +82,7 @@ def tiered_lookup(requests: DataFrame, tiers: DataFrame, as_of,
     # tiers is usually a union of tier tables: cluster it explicitly on the key
     live = fresh(tiers, as_of).repartition(nparts, "key_hash")
     best = (live.groupBy("key_hash")
-            .agg(F.min_by(F.struct("tier", "response", "created_at"), F.col("tier")).alias("_b"))
+            .agg(F.max_by(F.struct("tier", "response", "created_at"), F.struct(-F.col("tier"), "created_at")).alias("_b"))
             .select("key_hash", F.col("_b.tier").alias("hit_tier"), F.col("_b.response").alias("cached_response"),
                     F.col("_b.created_at").alias("hit_created_at")))
     hits = requests.join(best, "key_hash")
@@ -118,140 +118,51 @@ def cap_entries(cache: DataFrame, max_entries: int, as_of) -> DataFrame:
             .limit(max_entries))
 
 
-def _ttl_fold(ttl_us: int, key: str, ts_micros: str, id_col: str):
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        cur, anchor = None, None
-        for pdf in batches:
-            keys = pdf[key].to_numpy()
-            segs = pdf["_seg"].to_numpy(dtype="int64")
-            ts = pdf[ts_micros].to_numpy(dtype="int64")
-            write = np.empty(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if cur is None or keys[i] != cur[0] or segs[i] != cur[1]:
-                    cur, anchor = (keys[i], segs[i]), None
-                if anchor is None or ts[i] > anchor + ttl_us:
-                    anchor = ts[i]
-                    write[i] = True
-                else:
-                    write[i] = False
-            yield pd.DataFrame({key: keys, id_col: pdf[id_col].to_numpy(), ts_micros: ts,
-                                "action": np.where(write, "write", "hit")})
-    return run
-
-
 def ttl_dedup(requests: DataFrame, ttl_seconds: float, key: str = "key_hash", ts_micros: str = "ts_us",
-              id_col: str = "request_id", bucket_us: int = 3_600_000_000,
-              hot_rows: int | None = 5_000_000) -> DataFrame:
+              id_col: str = "request_id") -> DataFrame:
     """WN-3: per key, a request is a 'write' when no write happened in the previous ttl,
     else a 'hit'. The ttl is anchored at the write (hits do not refresh it); a write at t
     serves requests up to and including t + ttl. Request ids must be unique per key.
 
-    The rule is a sequential fold per key, but it restarts at every request that comes
-    more than ttl after the key's previous request (that one is always a write). Those
-    reset points are found with per-(key, hour) windows plus a carry from per-bucket
-    summaries, so a busy key is not one window partition. Each (key, segment) is then
-    folded independently in one streaming pass over rows sorted inside their partition,
-    carrying only the current anchor (bounded memory). Segments with more than `hot_rows`
-    requests (a key that is busy without pause) are not folded by one task: their writes
-    are found in parallel by pointer doubling (see _ttl_writes_by_doubling).
-    """
-    from lingua_spark.operators.windows import bucketed_scan
-    spark = requests.sparkSession
-    ttl_us = int(round(ttl_seconds * 1_000_000))
-    rows = (requests.select(F.col(key), F.col(id_col).cast("long").alias(id_col),
-                            F.col(ts_micros).cast("long").alias(ts_micros))
-            .withColumn("_bk", F.floor(F.col(ts_micros) / bucket_us)))
-    order = [F.col(ts_micros), F.col(id_col)]
-    prev_in = F.lag(ts_micros).over(Window.partitionBy(key, "_bk").orderBy(*order))
-    last_of = (rows.groupBy(key, "_bk").agg(F.max(ts_micros).alias("_last"))
-               .withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(key).orderBy("_bk")))
-               .drop("_last"))
-    r = (rows.withColumn("_prev_in", prev_in).join(last_of, [key, "_bk"], "left")
-         .withColumn("_prev", F.coalesce("_prev_in", "_prev_last")))
-    reset = F.col("_prev").isNull() | (F.col(ts_micros) - F.col("_prev") > F.lit(ttl_us))
-    r = bucketed_scan(r, key, "_bk", order, F.when(reset, F.col(ts_micros)), "_seg", "max") \
-        .select(key, id_col, ts_micros, "_seg")
-    schema = f"{key} {requests.schema[key].dataType.simpleString()}, {id_col} long, {ts_micros} long, action string"
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def fold(df):
-        ordered = df.repartition(nparts, key, "_seg").sortWithinPartitions(key, "_seg", ts_micros, id_col)
-        return ordered.mapInPandas(_ttl_fold(ttl_us, key, ts_micros, id_col), schema)
-
-    if hot_rows is None:
-        return fold(r)
-    # cheap pre-check: no key above hot_rows means no busy segment (one grouped count)
-    if requests.groupBy(key).count().filter(F.col("count") > hot_rows).isEmpty():
-        return fold(r)
-    hot = r.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
-    if hot.isEmpty():
-        return fold(r)
-    from lingua_spark.session import cut_lineage
-    r = cut_lineage(r)
-    hot = cut_lineage(hot)
-    cold = fold(r.join(hot, [key, "_seg"], "left_anti"))
-    busy = r.join(hot, [key, "_seg"])
-    writes = _ttl_writes_by_doubling(busy, ttl_us, key, ts_micros, id_col)
-    labelled = (busy.join(writes.withColumn("_w", F.lit(True)), [key, id_col], "left")
-                .select(key, id_col, ts_micros,
-                        F.when(F.col("_w"), F.lit("write")).otherwise(F.lit("hit")).alias("action")))
-    return cold.unionByName(labelled)
-
-
-def _ttl_writes_by_doubling(rows: DataFrame, ttl_us: int, key: str, ts: str, id_col: str) -> DataFrame:
-    """Writes of busy (key, _seg) segments, in parallel.
-
-    next(e) = the first request of the segment strictly after t_e + ttl; the writes are
-    exactly the path first request -> next -> next ... Every hop crosses at least one
-    ttl-wide bucket, so next(e) is found per (key, segment, bucket): it is the first
-    request of bucket k+1 after t_e + ttl, else the first request of the first non-empty
-    bucket >= k+2 (a small per-bucket table). The path is then marked by pointer doubling:
-    P holds the path positions [0, 2^r), J the 2^r-step jumps; each round adds J(P) and
-    squares J, so a path of L writes needs log2(L) rounds of joins. P and J are written
-    to the shared checkpoint folder each round.
+    The writes of a key are the path first request -> next -> next ..., next(e) being the first
+    request strictly after t_e + ttl, and every request more than ttl after the one before it
+    (a reset) is on the path. Requests and their probes at t + ttl are range-sorted together by
+    (key, time) once; resets and next requests come from running frames per (key, range bucket)
+    and carries between buckets, so no key is one window partition. The paths from all resets are
+    then marked by pointer doubling: P holds the path positions [0, 2^r), J the 2^r-step jumps;
+    each round adds J(P) and squares J, so the longest run of L writes without a reset needs
+    log2(L) rounds of joins, each written to the shared checkpoint folder.
     """
+    from lingua_spark.operators.ids import range_sorted
     from lingua_spark.session import cut_lineage
-    seg = [key, "_seg"]
-    ev = rows.withColumn("_k", F.floor(F.col(ts) / ttl_us))
-    # candidates inside bucket k+1: probes at t + ttl, ordered after requests of equal time
-    probes = ev.select(*seg, (F.col("_k") + 1).alias("_k"), (F.col(ts) + ttl_us).alias("_t"), F.lit(1).alias("_kind"),
-                       F.col(id_col).alias("_src"), F.lit(None).cast("long").alias("_eid"))
-    evs = ev.select(*seg, "_k", F.col(ts).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_src"),
-                    F.col(id_col).alias("_eid"))
-    # nearest later request: a running frame over descending order (linear, not per-row rescans)
-    w = (Window.partitionBy(*seg, "_k").orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_eid").desc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    # explicit repartition: a window straight over a union of two children that are each
-    # hash-partitioned on (key, _seg) was planned without an exchange and saw misaligned
-    # partitions; the union is clustered on the window keys here instead
-    nparts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = (probes.unionByName(evs).repartition(nparts, *seg, "_k")
-            .withColumn("_nx", F.last("_eid", ignorenulls=True).over(w)))
-    in_next = both.filter(F.col("_kind") == 1).select(*seg, F.col("_src").alias(id_col), F.col("_nx"))
-    # fallback: first request of the first non-empty bucket >= k + 2
-    firsts = ev.groupBy(*seg, "_k").agg(F.min_by(F.col(id_col), F.struct(ts, id_col)).alias("_first"))
-    ws = Window.partitionBy(*seg).orderBy("_k")
-    fb = (firsts.withColumn("_k1", F.lead("_k", 1).over(ws)).withColumn("_f1", F.lead("_first", 1).over(ws))
-          .withColumn("_f2", F.lead("_first", 2).over(ws))
-          .select(*seg, "_k", F.when(F.col("_k1") >= F.col("_k") + 2, F.col("_f1")).otherwise(F.col("_f2")).alias("_fb")))
-    jumps = (ev.select(*seg, id_col, "_k").join(in_next, seg + [id_col], "left").join(fb, seg + ["_k"], "left")
-             .select(key, id_col, F.coalesce("_nx", "_fb").alias("_to")))
-    starts = firsts.groupBy(*seg).agg(F.min_by("_first", "_k").alias(id_col)).select(key, id_col)
-    path = cut_lineage(starts)
-    jump = cut_lineage(jumps)
+    ttl_us = int(round(ttl_seconds * 1_000_000))
+    rows = requests.select(F.col(key), F.col(id_col).cast("long").alias(id_col), F.col(ts_micros).cast("long").alias(ts_micros))
+    ev = rows.select(key, F.col(ts_micros).alias("_t"), F.lit(0).alias("_kind"), F.col(id_col).alias("_id"))
+    probes = rows.select(key, (F.col(ts_micros) + ttl_us).alias("_t"), F.lit(1).alias("_kind"), F.col(id_col).alias("_id"))
+    order = ["_t", "_kind", "_id"]  # a probe comes after the requests of its time
+    both = range_sorted(ev.unionByName(probes), [key, *order], "_b")
+    t_ev, id_ev = F.when(F.col("_kind") == 0, F.col("_t")), F.when(F.col("_kind") == 0, F.col("_id"))
+    before = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(key, "_b").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = both.groupBy(key, "_b").agg(F.max(t_ev).alias("_last"), F.min_by(id_ev, F.when(F.col("_kind") == 0, F.struct(*order))).alias("_first"))
+    buckets = Window.partitionBy(key).orderBy("_b")
+    carry = per_bucket.select(key, "_b", F.max("_last").over(buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev0"),
+                              F.first("_first", ignorenulls=True).over(buckets.rowsBetween(1, Window.unboundedFollowing)).alias("_next0"))
+    scanned = cut_lineage(
+        both.withColumn("_prev", F.max(t_ev).over(before)).withColumn("_next", F.last(id_ev, ignorenulls=True).over(after))
+        .join(carry, [key, "_b"]).select(key, "_t", "_kind", F.col("_id").alias(id_col), F.coalesce("_prev", "_prev0").alias("_prev"),
+                                         F.coalesce("_next", "_next0").alias("_to")))
+    path = scanned.filter("_kind = 0").filter(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > ttl_us)).select(key, id_col)
+    jump = scanned.filter("_kind = 1 and _to is not null").select(key, id_col, "_to")
     while True:
-        step = (path.join(jump, [key, id_col]).filter(F.col("_to").isNotNull())
-                .select(key, F.col("_to").alias(id_col)))
-        new = step.join(path, [key, id_col], "left_anti")
+        new = cut_lineage(path.join(jump, [key, id_col]).select(key, F.col("_to").alias(id_col)).join(path, [key, id_col], "left_anti").distinct())
         if new.isEmpty():
-            return path
-        path = cut_lineage(path.unionByName(new).distinct())
-        j2 = jump.select(F.col(key).alias("_key2"), F.col(id_col).alias("_mid"), F.col("_to").alias("_to2"))
-        jump = cut_lineage(jump.join(j2, (F.col(key) == F.col("_key2")) & (F.col("_to") == F.col("_mid")), "left")
-                           .select(key, id_col, F.col("_to2").alias("_to")))
+            break
+        path = cut_lineage(path.unionByName(new))
+        far = jump.select(key, F.col(id_col).alias("_to"), F.col("_to").alias("_far"))
+        jump = cut_lineage(jump.join(far, [key, "_to"]).select(key, id_col, F.col("_far").alias("_to")))
+    return (rows.join(path.withColumn("_w", F.lit(True)), [key, id_col], "left")
+            .select(key, id_col, ts_micros, F.when(F.col("_w"), F.lit("write")).otherwise(F.lit("hit")).alias("action")))
 
 
 def response_to_json(response: Column) -> Column:

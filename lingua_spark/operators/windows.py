@@ -1,8 +1,8 @@
 """Ordered analytics over the call log: WN-4 failure runs, WN-5 over-rate calls, SO-1 ranking.
 
 Running scans (sums / maxima in time order per provider) are computed per
-(provider, time bucket) window plus a carry from a small per-bucket summary, so one busy
-provider is spread over many tasks instead of one.
+(provider, range bucket) window plus a carry from a small per-bucket summary. Buckets are of
+even size, so one provider that holds all calls of a day is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingua_spark.operators.ids import range_sorted
+
+
+def order_buckets(df: DataFrame, part: str, order: list, bucket: str) -> DataFrame:
+    """`df` with buckets that are monotone in `order` within each `part` and of even size, whatever
+    share of the rows one `part` holds: the range buckets of a sort by (part, order)."""
+    return range_sorted(df, [F.col(part), *order], bucket)
+
 
 def bucketed_scan(df: DataFrame, part: str, bucket: str, order: list, value: Column, out: str,
                   how: str = "sum", peers: bool = False) -> DataFrame:
@@ -36,22 +44,27 @@ def bucketed_scan(df: DataFrame, part: str, bucket: str, order: list, value: Col
 
 
 def failure_runs(log: DataFrame, threshold: int, part: str = "provider", id_col: str = "call_id",
-                 bucket_unit: str = "day") -> DataFrame:
+                 start: DataFrame | None = None) -> DataFrame:
     """WN-4: consecutive failures per provider in (ts, id) order, reset by a success;
     `run_len` = failures so far in the current run (0 on success rows); `tripped` marks the
-    row where the run reaches `threshold` (the breaker opens there)."""
-    d = log.withColumn("_bk", F.date_trunc(bucket_unit, F.col("ts")))
+    row where the run reaches `threshold` (the breaker opens there). `start`: (provider, run)
+    carried in from before, for the rows up to a provider's first success."""
     order = [F.col("ts"), F.col(id_col)]
+    d = order_buckets(log, part, order, "_bk")
     d = bucketed_scan(d, part, "_bk", order, F.when(F.col("ok"), 0).otherwise(1), "_fails", "sum")
     d = bucketed_scan(d, part, "_bk", order, F.when(F.col("ok"), F.col("_fails")), "_at_ok", "max")
-    run = (F.col("_fails") - F.coalesce(F.col("_at_ok"), F.lit(0))).cast("long")
+    before = F.lit(0)
+    if start is not None:
+        d = d.join(start.select(part, F.col("run").alias("_run")), part, "left")
+        before = F.coalesce("_run", F.lit(0))
+    run = F.when(F.col("_at_ok").isNotNull(), F.col("_fails") - F.col("_at_ok")).otherwise(F.col("_fails") + before).cast("long")
     return (d.withColumn("run_len", run)
             .withColumn("tripped", ~F.col("ok") & (F.col("run_len") == threshold))
-            .drop("_bk", "_fails", "_at_ok"))
+            .drop("_bk", "_fails", "_at_ok", "_run"))
 
 
 def over_rate(log: DataFrame, rate_per_s: float, burst: int, seconds: float, part: str = "provider",
-              t_us: str = "t_us", bucket_us: int = 86_400_000_000) -> DataFrame:
+              t_us: str = "t_us") -> DataFrame:
     """WN-5: calls whose trailing window (t - seconds, t] holds more than
     burst + rate * seconds calls of the same provider (a token bucket would have delayed them).
 
@@ -62,10 +75,7 @@ def over_rate(log: DataFrame, rate_per_s: float, burst: int, seconds: float, par
     calls = log.withColumn("_d", F.lit(1)).withColumn("_ord", F.col(t_us))
     marks = (log.select(part, (F.col(t_us) + F.lit(w_us)).alias("_ord"))
              .withColumn("_d", F.lit(-1)))
-    nparts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # clustered explicitly: windows over a union must not trust the children's partitioning
-    both = (calls.unionByName(marks, allowMissingColumns=True).withColumn("_bk", F.floor(F.col("_ord") / bucket_us))
-            .repartition(nparts, part, "_bk"))
+    both = order_buckets(calls.unionByName(marks, allowMissingColumns=True), part, [F.col("_ord")], "_bk")
     scanned = bucketed_scan(both, part, "_bk", [F.col("_ord")], F.col("_d"), "in_window", "sum", peers=True)
     limit = burst + rate_per_s * seconds
     return (scanned.filter(F.col("_d") == 1).withColumn("in_window", F.col("in_window").cast("long"))
@@ -77,8 +87,8 @@ def rank_results(df: DataFrame, k: int | None = None, part: str = "query_id", sc
     """SO-1: result_rank by score desc, id asc within each query; optional top-k per query.
 
     No query is ranked by a single task: the full ranking is a range-partitioned global
-    sort, local row numbers per (range partition, query) and per-query offsets from a
-    small count table; top-k first keeps the k best per (query, id salt), then ranks the
+    sort (written once, see ids.range_sorted), local row numbers per (range bucket, query)
+    and per-query offsets from a small count table; top-k first keeps the k best per (query, id salt), then ranks the
     at most salts * k survivors of each query.
     """
     if k is not None:
@@ -88,8 +98,7 @@ def rank_results(df: DataFrame, k: int | None = None, part: str = "query_id", sc
         w2 = Window.partitionBy(part).orderBy(F.col(score).desc(), F.col(id_col).asc())
         return (pre.withColumn("result_rank", F.row_number().over(w2).cast("long"))
                 .filter(F.col("result_rank") <= k))
-    ordered = df.sort(F.col(part).asc(), F.col(score).desc(), F.col(id_col).asc()) \
-        .withColumn("_pid", F.spark_partition_id())
+    ordered = range_sorted(df, [F.col(part).asc(), F.col(score).desc(), F.col(id_col).asc()], "_pid")
     local = ordered.withColumn("_rn", F.row_number().over(
         Window.partitionBy("_pid", part).orderBy(F.col(score).desc(), F.col(id_col).asc())))
     counts = local.groupBy(part, "_pid").agg(F.count(F.lit(1)).alias("_n"))

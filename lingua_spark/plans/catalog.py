@@ -227,7 +227,9 @@ def src1(spark, sf):
 @query("src2_load_glossary")
 def src2(spark, sf):
     from lingua_spark.operators.glossary import load_glossary
-    ok, bad = load_glossary(T.glossary_raw(spark, sf).drop("entry_no"))
+    # added latest entry_no first, so the numbering differs from entry_no and from the alphabet
+    raw = T.glossary_raw(spark, sf).withColumn("added_at", F.expr(T.EPOCH_DAY) - F.make_dt_interval(mins=F.col("entry_no").cast("int")))
+    ok, bad = load_glossary(raw.drop("entry_no"))
     return (ok.select("entry_no", "source_term", "target_lang", "translation", F.lit(None).cast("string").alias("error"))
             .unionByName(bad.select(F.lit(None).cast("long").alias("entry_no"), "source_term", "target_lang",
                                     "translation", "error")))
@@ -308,9 +310,11 @@ def _tiers(spark, sf):
 def jn4(spark, sf):
     from lingua_spark.operators.cache import tiered_lookup
     hits, backfill = tiered_lookup(_keyed(spark, sf), _tiers(spark, sf), F.expr(T.AS_OF))
-    return (hits.select(F.lit("hit").alias("kind"), "request_id", "key_hash", F.col("hit_tier").cast("long").alias("tier"))
+    return (hits.select(F.lit("hit").alias("kind"), "request_id", "key_hash", F.col("hit_tier").cast("long").alias("tier"),
+                        F.col("cached_response.translation").alias("answer"))
             .unionByName(backfill.select(F.lit("backfill").alias("kind"), F.lit(None).cast("long").alias("request_id"),
-                                         "key_hash", F.col("tier").cast("long").alias("tier"))))
+                                         "key_hash", F.col("tier").cast("long").alias("tier"),
+                                         F.col("response.translation").alias("answer"))))
 
 
 @query("jn7_language_names")
@@ -451,8 +455,8 @@ def jn5(spark, sf):
 def so1(spark, sf):
     from lingua_spark.operators.memory import tm_search
     from lingua_spark.operators.windows import rank_results
-    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.5, with_entries=False)
-    return rank_results(r).select("query_id", "id", "result_rank")
+    r = tm_search(tm_queries(spark, sf), _tm_folded(spark, sf), 0.5, with_entries=True)
+    return rank_results(r).select("query_id", "id", "result_rank", F.sha2("target_text", 256).alias("target_hash"))
 
 
 @query("jn6_tm_exact")
@@ -460,9 +464,12 @@ def jn6(spark, sf):
     from lingua_spark.operators.memory import tm_exact
     b = T.read(spark, sf, "benchmark").select(
         (F.lit(1000000) + F.col("item_id")).alias("query_id"),
-        F.concat(F.lit("  "), F.col("text"), F.lit("\t")).alias("text"))
-    c = T.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    q = b.unionByName(c).withColumn("source_lang", F.lit("en")).withColumn("target_lang", F.lit("es"))
+        F.concat(F.lit("  "), F.col("text"), F.lit("\t")).alias("text"),
+        F.when(F.col("item_id") % 3 == 0, "").otherwise("en").alias("source_lang"),
+        F.when(F.col("item_id") % 4 == 0, "").when(F.col("item_id") % 4 == 1, "de").otherwise("es").alias("target_lang"))
+    c = T.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text",
+                                                  F.lit("en").alias("source_lang"), F.lit("es").alias("target_lang"))
+    q = b.unionByName(c)
     r = tm_exact(q, T.tm_from_benchmark(spark, sf))
     return r.select("query_id", "tm_id", F.sha2("target_text", 256).alias("target_hash"))
 
@@ -574,6 +581,13 @@ def ld2(spark, sf):
     return d.select("row_id", "language", F.round("confidence", 6).alias("confidence"))
 
 
+@query("ld2_detect_documents")
+def ld2_documents(spark, sf):
+    from lingua_spark.operators.detect import detect_language, train_language_profiles
+    d = detect_language(_docs(spark, sf).select(F.col("doc_id").alias("row_id"), "text"), train_language_profiles(_docs(spark, sf)))
+    return d.select("row_id", "language", F.round("confidence", 6).alias("confidence"))
+
+
 def _heuristic_detector(pdf):
     """UD-3 example detector (pandas batch): marks of German, Spanish, French, else English."""
     import pandas as pd
@@ -704,10 +718,31 @@ def _log_stream_cols(s):
         FK.epoch_micros("ts", TimestampNTZType()).alias("t_us"))
 
 
+def split_stream(spark, df, part, parts=3):
+    """A stream over `df` written as one file per value of `part` (0 .. parts - 1), rows shuffled within
+    a file, one file per micro-batch in that order."""
+    import os
+    from lingua_spark.streaming.streams import scratch
+    base = scratch(spark, "input")
+    df = df.withColumn("_part", F.least(F.greatest(part.cast("int"), F.lit(0)), F.lit(parts - 1))).withColumn("_mix", F.xxhash64(*df.columns))
+    for k in range(parts):
+        df.filter(F.col("_part") == k).drop("_part").repartition(1).sortWithinPartitions("_mix").drop("_mix") \
+            .write.parquet(os.path.join(base, f"part={k}"))
+    return spark.readStream.schema(df.drop("_part", "_mix").schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "part=*"))
+
+
+def log_stream(spark, sf):
+    """The call log in three micro-batches that overlap by up to a day on either side."""
+    log = _log_stream_cols(T.read(spark, sf, "events"))
+    lo, hi = log.agg(F.min("t_us"), F.max("t_us")).first()
+    jitter = F.pmod(F.xxhash64("call_id"), F.lit(86_400_000_000))
+    return split_stream(spark, log, (F.col("t_us") + jitter - lo) / F.lit((hi - lo) / 3 + 1))
+
+
 @query("st1_stream_translate")
 def st1(spark, sf):
     from lingua_spark.operators.engines import has_engine, mock_engine, register_engine
-    from lingua_spark.streaming.streams import stream_translate, table_stream
+    from lingua_spark.streaming.streams import stream_translate
     if not has_engine("mock"):
         register_engine("mock", mock_engine(), kind="native")
     gl = T.glossary(spark, sf)
@@ -720,7 +755,9 @@ def st1(spark, sf):
             F.when(F.col("lang") == "es", "fr").otherwise("es").alias("target_lang"),
             F.lit("").alias("provider"), F.lit("").alias("model"), F.lit("").alias("context"),
             F.lit("neutral").alias("tone"), F.lit(True).alias("use_cache"), F.lit(0).alias("alternatives"))
-    a = stream_translate(table_stream(spark, f"{sf}/documents.parquet"), to_requests,
+    docs = T.read(spark, sf, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    a = stream_translate(split_stream(spark, docs, F.col("doc_id") * 3 / F.lit((last or 0) + 1)), to_requests,
                          dict(engine="mock", glossary=gl, cache=cache, as_of=F.expr(T.AS_OF)))
     return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
                     "source_language", "target_language", "provider", "model", "cached",
@@ -731,7 +768,7 @@ def st1(spark, sf):
 @query("st2_stream_cache_upsert")
 def st2(spark, sf):
     from lingua_spark.plans.translate import keyed_requests
-    from lingua_spark.streaming.streams import stream_cache_upsert, table_stream
+    from lingua_spark.streaming.streams import stream_cache_upsert
     gl = T.glossary(spark, sf)
     cache = T.cache_from_labels(spark, sf, gl).drop("request_id")
 
@@ -755,33 +792,31 @@ def st2(spark, sf):
             (F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'") + F.make_dt_interval(secs=F.col("request_id").cast("int")))
             .alias("created_at"),
             F.lit(None).cast("timestamp_ntz").alias("expires_at"), F.lit(1).alias("tier"))
-    u = stream_cache_upsert(table_stream(spark, f"{sf}/documents.parquet"), cache, to_rows)
+    docs = T.read(spark, sf, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    u = stream_cache_upsert(split_stream(spark, docs, F.col("doc_id") * 3 / F.lit((last or 0) + 1)), cache, to_rows)
     return u.select("key_hash", F.col("response.translation").alias("translation"),
                     F.when(F.col("expires_at").isNull(), "new").otherwise("old").alias("generation"))
 
 
 @query("st3_stream_dedup")
 def st3(spark, sf):
-    from lingua_spark.streaming.streams import stream_dedup, table_stream
-    s = _log_stream_cols(table_stream(spark, f"{sf}/events.parquet")).withColumn("ets", F.timestamp_micros("t_us"))
-    # which duplicate survives is arbitrary; the surviving key set is the checked result
-    return stream_dedup(s, "key_hash", "ets", "24 hours").select("key_hash")
+    from lingua_spark.streaming.streams import stream_dedup
+    return stream_dedup(log_stream(spark, sf), "key_hash", "t_us", "call_id", 86400.0, 2 * 86400.0).select("call_id", "action")
 
 
 @query("st4_stream_counts")
 def st4(spark, sf):
-    from lingua_spark.streaming.streams import stream_counts, table_stream
-    s = _log_stream_cols(table_stream(spark, f"{sf}/events.parquet")).withColumn("ets", F.timestamp_micros("t_us"))
-    c = stream_counts(s, "ets", "tool", "1 day", "1 day")
+    from lingua_spark.streaming.streams import stream_counts
+    s = log_stream(spark, sf).withColumn("ets", F.timestamp_micros("t_us"))
+    c = stream_counts(s, "ets", "tool", "1 day", "3 days")
     return c.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "tool", "calls")
 
 
 @query("st5_stream_failure_runs")
 def st5(spark, sf):
-    from lingua_spark.streaming.streams import stream_failure_runs, table_stream
-    s = _log_stream_cols(table_stream(spark, f"{sf}/events.parquet"))
-    return stream_failure_runs(s.select("call_id", "provider", "ok", "t_us"), 3).select(
-        "call_id", "provider", "run_len", "tripped")
+    from lingua_spark.streaming.streams import stream_failure_runs
+    return stream_failure_runs(log_stream(spark, sf), 3, 2 * 86400.0).select("call_id", "provider", "run_len", "tripped")
 
 
 # ---------------------------------------------------------------- landed provider bodies
@@ -850,20 +885,16 @@ def jn7_list(spark, sf):
 
 @query("bt5_translate_detect")
 def bt5_detect(spark, sf):
-    """BT-5 with source 'auto' everywhere: LD-2 detects once per distinct normalized text
+    """BT-5 with source 'auto' everywhere: translate detects once per distinct normalized text
     (profiles trained on the labelled documents) and the detected language keys the request."""
-    from lingua_spark.operators.detect import detect_language, train_language_profiles
+    from lingua_spark.operators.detect import train_language_profiles
     from lingua_spark.operators.engines import has_engine, mock_engine, register_engine
-    from lingua_spark.operators.validate import split_valid, validate_requests
     from lingua_spark.plans.translate import translate
     if not has_engine("mock"):
         register_engine("mock", mock_engine(), kind="native")
     reqs = T.requests_from_documents(spark, sf).withColumn("source_lang", F.lit("auto"))
-    ok, _ = split_valid(validate_requests(reqs))
-    texts = ok.select("text").distinct().withColumn("row_id", F.sha2("text", 256))
-    det = detect_language(texts, train_language_profiles(_docs(spark, sf)), id_col="row_id")
-    detected = texts.join(det, "row_id").select("text", "language")
-    a = translate(reqs, engine="mock", glossary=T.glossary(spark, sf), detected=detected).answers
+    a = translate(reqs, engine="mock", glossary=T.glossary(spark, sf),
+                  profiles=train_language_profiles(_docs(spark, sf))).answers
     return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
                     "source_language", "target_language", "provider", "model", "cached",
                     F.round("confidence", 6).alias("confidence"),

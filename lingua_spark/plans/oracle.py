@@ -234,9 +234,9 @@ SELECT doc_id AS request_id, CASE WHEN lang = 'en' OR lang IS NULL OR lang = ''
 FROM documents""")
 
 sql("src2_load_glossary", f""",
-g AS (SELECT source_term, target_lang, translation FROM glossary_raw),
+g AS (SELECT entry_no AS no, source_term, target_lang, translation FROM glossary_raw),
 ok AS (SELECT * FROM g WHERE source_term <> '' AND target_lang <> '' AND translation <> '')
-SELECT CAST(row_number() OVER (ORDER BY source_term, target_lang, translation) AS BIGINT) AS entry_no,
+SELECT CAST(row_number() OVER (ORDER BY no DESC) AS BIGINT) AS entry_no,
        source_term, CASE WHEN target_lang = '' THEN '' ELSE {Q.lang('target_lang')} END AS target_lang, translation,
        CAST(NULL AS VARCHAR) AS error FROM ok
 UNION ALL
@@ -282,13 +282,14 @@ FROM keyed2 k LEFT JOIN cache_live c ON c.key_hash = k.key_hash""", ("requests_d
 
 sql("jn4_tiered_lookup", f"""{KEYED_FULL},
 {CACHE_D.strip()},
-tiers AS (SELECT key_hash, tier, expires_at FROM cache_d UNION ALL SELECT key_hash, 3, NULL FROM cache_d),
-best AS (SELECT key_hash, min(tier) AS hit_tier FROM tiers
+tiers AS (SELECT key_hash, tier, created_at, c_translation, expires_at FROM cache_d
+          UNION ALL SELECT key_hash, 3, created_at, c_translation, NULL FROM cache_d),
+best AS (SELECT key_hash, min(tier) AS hit_tier, arg_max(c_translation, struct_pack(t := -tier, c := created_at)) AS answer FROM tiers
          WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2024-01-01 06:00:00' GROUP BY key_hash),
-hitk AS (SELECT DISTINCT b.key_hash, b.hit_tier FROM best b JOIN keyed2 k ON k.key_hash = b.key_hash)
-SELECT 'hit' AS kind, k.request_id, k.key_hash, CAST(b.hit_tier AS BIGINT) AS tier FROM keyed2 k JOIN best b ON b.key_hash = k.key_hash
+hitk AS (SELECT DISTINCT b.key_hash, b.hit_tier, b.answer FROM best b JOIN keyed2 k ON k.key_hash = b.key_hash)
+SELECT 'hit' AS kind, k.request_id, k.key_hash, CAST(b.hit_tier AS BIGINT) AS tier, b.answer FROM keyed2 k JOIN best b ON b.key_hash = k.key_hash
 UNION ALL
-SELECT 'backfill', NULL, key_hash, CAST(unnest(generate_series(1, hit_tier - 1)) AS BIGINT) FROM hitk WHERE hit_tier > 1""",
+SELECT 'backfill', NULL, key_hash, CAST(unnest(generate_series(1, hit_tier - 1)) AS BIGINT), answer FROM hitk WHERE hit_tier > 1""",
     ("requests_d", "gl_version", "providers_d"))
 
 sql("jn7_language_names", f""",
@@ -396,15 +397,19 @@ SELECT query_id, CAST(id AS BIGINT) AS id, round(score, 6) AS score FROM pairs W
 
 sql("so1_rank_results", f"""WITH {TMQ.strip()}, {_tm_pairs(0.5).strip()}
 SELECT query_id, CAST(id AS BIGINT) AS id,
-       CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS result_rank
-FROM pairs WHERE score >= 0.5""")
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS result_rank,
+       sha256('translated:' || m.text) AS target_hash
+FROM pairs JOIN benchmark m ON m.item_id + 1 = id WHERE score >= 0.5""")
 
 sql("jn6_tm_exact", f""",
-q AS (SELECT 1000000 + item_id AS query_id, '  ' || text || chr(9) AS text FROM benchmark
-      UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations),
+q AS (SELECT 1000000 + item_id AS query_id, '  ' || text || chr(9) AS text,
+             CASE WHEN item_id % 3 = 0 THEN '' ELSE 'en' END AS sl, CASE WHEN item_id % 4 = 0 THEN '' WHEN item_id % 4 = 1 THEN 'de' ELSE 'es' END AS tl
+      FROM benchmark
+      UNION ALL SELECT conv_id * 1000 + turn, text, 'en', 'es' FROM conversations),
 j AS (SELECT q.query_id, t.id AS tm_id, t.target_text,
              row_number() OVER (PARTITION BY q.query_id, q.text ORDER BY t.id DESC) AS rn
-      FROM q JOIN tm_d t ON lower({Q.trim_u('q.text')}) = lower(t.source_text) AND t.source_lang = 'en' AND t.target_lang = 'es')
+      FROM q JOIN tm_d t ON lower({Q.trim_u('q.text')}) = lower(t.source_text)
+        AND (q.sl = '' OR t.source_lang = q.sl) AND (q.tl = '' OR t.target_lang = q.tl))
 SELECT query_id, tm_id, sha256(target_text) AS target_hash FROM j WHERE rn = 1""", ("tm_d",))
 
 sql("src3_append_tm", """,
@@ -467,7 +472,7 @@ FROM (SELECT * FROM mdo UNION ALL SELECT * FROM hdo)""")
 # detection ------------------------------------------------------------------------------
 PROFILES = f"""
 g AS (SELECT lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
-      FROM (SELECT {Q.lang('lang')} AS lang, lower(substring(text, 1, 2000)) AS t FROM documents)),
+      FROM (SELECT {Q.lang('lang')} AS lang, lower(text) AS t FROM documents)),
 cnts AS (SELECT lang, gram, CAST(count(*) AS BIGINT) AS cnt FROM g GROUP BY lang, gram),
 prof AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) AS BIGINT) AS rank
          FROM cnts) WHERE rank <= 300)"""
@@ -475,7 +480,17 @@ prof AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDE
 sql("ld1_train_language_profiles", f"WITH {PROFILES.strip()}\nSELECT lang, gram, cnt, rank FROM prof")
 
 sql("ld2_detect_language", f"""WITH {PROFILES.strip()},
-rows_ AS (SELECT conv_id * 1000 + turn AS row_id, lower(substring(text, 1, 2000)) AS t FROM conversations),
+rows_ AS (SELECT conv_id * 1000 + turn AS row_id, lower(text) AS t FROM conversations),
+rg AS (SELECT row_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram FROM rows_),
+per AS (SELECT row_id, gram, count(*) AS k FROM rg GROUP BY row_id, gram),
+hits AS (SELECT per.row_id, prof.lang, sum(per.k) AS hits FROM per JOIN prof ON prof.gram = per.gram GROUP BY per.row_id, prof.lang),
+best AS (SELECT row_id, arg_min(lang, struct_pack(h := -hits, l := lang)) AS lang, max(hits) AS top, sum(hits) AS total
+         FROM hits GROUP BY row_id)
+SELECT r.row_id, coalesce(b.lang, 'auto') AS language, round(coalesce(b.top / b.total, 0.0), 6) AS confidence
+FROM rows_ r LEFT JOIN best b ON b.row_id = r.row_id""")
+
+sql("ld2_detect_documents", f"""WITH {PROFILES.strip()},
+rows_ AS (SELECT doc_id AS row_id, lower(text) AS t FROM documents),
 rg AS (SELECT row_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram FROM rows_),
 per AS (SELECT row_id, gram, count(*) AS k FROM rg GROUP BY row_id, gram),
 hits AS (SELECT per.row_id, prof.lang, sum(per.k) AS hits FROM per JOIN prof ON prof.gram = per.gram GROUP BY per.row_id, prof.lang),
@@ -593,14 +608,14 @@ SELECT doc_id, CAST(pos AS BIGINT) AS pos, kind, sha256(s) AS seg_hash FROM d, f
 UNION ALL SELECT doc_id, CAST(3 AS BIGINT), 'text', sha256(lang) FROM d
 UNION ALL SELECT doc_id, CAST(9 AS BIGINT), 'text', sha256(text) FROM d""")
 
-sql("st3_stream_dedup", ", x AS (SELECT 1)\nSELECT DISTINCT key_hash FROM call_log", ("call_log",))
+ORACLE["st3_stream_dedup"] = ORACLE["wn3_ttl_dedup"]
 
 sql("bt5_translate_detect", f"""WITH {Q.derived_ctes({"requests_d", "gl_version", "providers_d", "glossary_d"})},
 {PROFILES.strip()},
 vt AS (SELECT DISTINCT {Q.norm('text')} AS t FROM documents
        WHERE {Q.norm('text')} <> '' AND length({Q.norm('text')}) <= 10000),
-rg AS (SELECT t, unnest(list_transform(range(1, length(lower(substring(t, 1, 2000))) - 1),
-                   lambda i: substring(lower(substring(t, 1, 2000)), i, 3))) AS gram FROM vt),
+rg AS (SELECT t, unnest(list_transform(range(1, length(lower(t)) - 1),
+                   lambda i: substring(lower(t), i, 3))) AS gram FROM vt),
 per AS (SELECT t, gram, count(*) AS k FROM rg GROUP BY t, gram),
 hits AS (SELECT per.t, prof.lang, sum(per.k) AS hits FROM per JOIN prof ON prof.gram = per.gram GROUP BY per.t, prof.lang),
 det AS (SELECT t, arg_min(lang, struct_pack(h := -hits, l := lang)) AS lang FROM hits GROUP BY t),

@@ -1,21 +1,30 @@
 """Structured Streaming forms of the batch operators: ST-1..ST-5.
 
-Each stream runs its micro-batches through the batch operators (foreachBatch) or a
-stateful operator, writes to a sink keyed by batch id (a replayed batch overwrites its own
-output: exactly-once at the sink), and keeps its checkpoint in the shared checkpoint folder.
-`drain` runs a stream with trigger(availableNow=True) to completion (tests, backfills).
+Each stream runs its micro-batches through the batch operators (foreachBatch) and writes outputs
+and carried state per batch id into its own folder: a replayed batch reads the state of the batch
+before it and overwrites its own output, so results are exactly-once. `base` names that folder.
+Given again, it resumes where the stream stopped (checkpoint, state and outputs live in it); without
+it a new folder below the shared checkpoint folder is taken.
+
+ST-3 and ST-5 depend on event order. `ordered_stream` holds rows back until the watermark (latest
+event time seen minus `delay`) has passed them and hands them on in order; rows that arrive after
+their time was handed on are late and go to a table of their own. `close` hands on the rest.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingua_spark.session import ensure_checkpoint_dir, list_dir, spread
 
+#: A cache of a stream is folded into one table every so many batches.
+COMPACT_EVERY = 20
+
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream over one parquet table (glob form, so a single file is accepted)."""
@@ -28,110 +37,191 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "lingua_streams", f"{name}-{uuid.uuid4().hex}")
 
 
-def drain(writer, checkpoint: str, timeout_s: float = 600.0) -> None:
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not drain")
+def drain(writer, base: str) -> None:
+    """Run a stream over everything available; it ends by itself, however long it takes."""
+    q = writer.option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 
 
-def _batch_sink(out: str, fn):
-    """foreachBatch body writing fn(batch) to out/batch=<id> (overwrite: idempotent replay)."""
-    def run(bdf: DataFrame, bid: int) -> None:
-        fn(bdf).write.mode("overwrite").parquet(os.path.join(out, f"batch={bid}"))
-    return run
+def _write(df: DataFrame, *path: str) -> None:
+    df.write.mode("overwrite").parquet(os.path.join(*path))
 
 
-def stream_translate(stream: DataFrame, to_requests, translate_kwargs: dict, name: str = "translate") -> DataFrame:
-    """ST-1: translate every micro-batch (stream-static joins to cache and glossary happen
-    inside the batch job); returns the drained answers."""
-    from lingua_spark.plans.translate import translate
-    spark = stream.sparkSession
-    base = scratch(spark, name)
-    out = os.path.join(base, "out")
+def _batches(spark: SparkSession, folder: str, kind: str = "batch") -> list[int]:
+    """Ids of the finished outputs in a folder."""
+    ids = [int(n.split("=")[1]) for n in list_dir(spark, folder) if n.startswith(f"{kind}=")]
+    return sorted(i for i in ids if "_SUCCESS" in list_dir(spark, os.path.join(folder, f"{kind}={i}")))
 
-    def fn(bdf):
-        return translate(to_requests(spread(bdf)), **translate_kwargs).answers
-    drain(stream.writeStream.foreachBatch(_batch_sink(out, fn)), os.path.join(base, "ckpt"))
-    return spark.read.parquet(out)
 
-
-def stream_cache_upsert(stream: DataFrame, initial_cache: DataFrame, to_rows, name: str = "cache") -> DataFrame:
-    """ST-2: keyed upsert of each micro-batch into a versioned cache table: version b is
-    written from version b-1 plus the batch (latest wins), so replaying batch b rewrites the
-    same version. Returns the newest version."""
-    from lingua_spark.operators.cache import cache_upsert
+def _outputs(spark: SparkSession, base: str, schema) -> DataFrame:
+    """All batch outputs of a stream, with their batch id; empty before the first batch."""
+    out = os.path.join(base, "out")
+    ids = _batches(spark, out)
+    if not ids:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return spark.read.schema(schema).option("basePath", out).parquet(*[os.path.join(out, f"batch={i}") for i in ids])
+
+
+class CacheLog:
+    """A cache table kept as a base and one table of changed rows per batch, so a batch writes its own
+    rows only. Every COMPACT_EVERY batches base and changes are folded into a new base."""
+
+    def __init__(self, spark: SparkSession, folder: str, initial: DataFrame):
+        self.spark, self.folder = spark, folder
+        if not _batches(spark, folder, "base"):
+            _write(initial, folder, "base=-1")
+        self.schema = spark.read.parquet(os.path.join(folder, f"base={_batches(spark, folder, 'base')[0]}")).schema
+
+    def before(self, batch: int | None = None) -> DataFrame:
+        """The cache as it was before a batch (None: now): changed keys from their last batch, others from the base."""
+        from lingua_spark.operators.cache import latest_by_key
+        end = 1 << 62 if batch is None else batch
+        start = max(b for b in _batches(self.spark, self.folder, "base") if b < end)
+        changes = [b for b in _batches(self.spark, self.folder, "delta") if start < b < end]
+        base = self.spark.read.schema(self.schema).parquet(os.path.join(self.folder, f"base={start}"))
+        if not changes:
+            return base
+        new = None
+        for b in changes:
+            df = self.spark.read.schema(self.schema).parquet(os.path.join(self.folder, f"delta={b}")).withColumn("_v", F.lit(b))
+            new = df if new is None else new.unionByName(df)
+        nparts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        new = latest_by_key(new.repartition(nparts, "key_hash"), "key_hash", ["_v", "created_at"]).select(*self.schema.names)
+        return base.join(new.select("key_hash"), "key_hash", "left_anti").select(*self.schema.names).unionByName(new)
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        from lingua_spark.operators.cache import latest_by_key
+        cols = self.schema.names
+        _write(latest_by_key(rows.select(*cols), "key_hash", ["created_at"]).select(*cols), self.folder, f"delta={batch}")
+        if batch % COMPACT_EVERY == COMPACT_EVERY - 1:
+            _write(self.before(batch + 1), self.folder, f"base={batch}")
+
+
+def stream_translate(stream: DataFrame, to_requests, translate_kwargs: dict, name: str = "translate",
+                     base: str | None = None) -> DataFrame:
+    """ST-1: translate every micro-batch; returns the answers. With a cache in `translate_kwargs`, the
+    answers of a batch are in the cache of the next one, so a text is translated once."""
+    from lingua_spark.plans.translate import translate
     spark = stream.sparkSession
-    base = scratch(spark, name)
-    v0 = os.path.join(base, "v", "-1")
-    initial_cache.write.mode("overwrite").parquet(v0)
+    base = base or scratch(spark, name)
+    kwargs = dict(translate_kwargs)
+    cache = kwargs.pop("cache", None)
+    log = None
+    if cache is not None:
+        from lingua_spark.schemas import CACHE
+        log = CacheLog(spark, os.path.join(base, "cache"), cache.select(*CACHE.names))
 
     def run(bdf: DataFrame, bid: int) -> None:
-        prev = os.path.join(base, "v", str(bid - 1))
-        cur = spark.read.parquet(prev)
-        cache_upsert(cur, to_rows(spread(bdf))).write.mode("overwrite").parquet(os.path.join(base, "v", str(bid)))
-    drain(stream.writeStream.foreachBatch(run), os.path.join(base, "ckpt"))
-    versions = sorted(int(v) for v in list_dir(spark, os.path.join(base, "v")) if v.lstrip("-").isdigit())
-    return spark.read.parquet(os.path.join(base, "v", str(versions[-1])))
-
-
-def stream_dedup(stream: DataFrame, key: str, ts_col: str, ttl: str, name: str = "dedup") -> DataFrame:
-    """ST-3: one row per key within the watermark delay (dropDuplicatesWithinWatermark).
-    Unlike WN-3 this expires keys by event-time watermark, not per-row anchors."""
+        more = {"cache": log.before(bid)} if log else {}
+        result = translate(to_requests(spread(bdf)), **kwargs, **more)
+        from lingua_spark.session import cut_lineage
+        answers, updates = cut_lineage(result.answers), result.cache_updates
+        _write(answers, base, "out", f"batch={bid}")
+        if log:
+            cols = log.schema
+            log.write(updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in cols.fields]), bid)
+    drain(stream.writeStream.foreachBatch(run), base)
+    return spark.read.parquet(os.path.join(base, "out")).drop("batch")
+
+
+def stream_cache_upsert(stream: DataFrame, initial_cache: DataFrame, to_rows, name: str = "cache",
+                        base: str | None = None) -> DataFrame:
+    """ST-2: keyed upsert of every micro-batch into a cache log (latest batch wins); returns the cache."""
     spark = stream.sparkSession
-    base = scratch(spark, name)
-    out = os.path.join(base, "out")
-    d = stream.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark([key])
-    drain(d.writeStream.format("parquet").option("path", out).outputMode("append"), os.path.join(base, "ckpt"))
-    return spark.read.parquet(out)
+    base = base or scratch(spark, name)
+    log = CacheLog(spark, os.path.join(base, "cache"), initial_cache)
+    drain(stream.writeStream.foreachBatch(lambda bdf, bid: log.write(to_rows(spread(bdf)), bid)), base)
+    return log.before()
+
 
+def ordered_stream(stream: DataFrame, time_us: str, delay_us: int, fn: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
+                   base: str, close: bool) -> None:
+    """Hand a stream's rows to fn in event-time order: fn(rows, carry) -> (output, next carry).
 
-def stream_counts(stream: DataFrame, ts_col: str, by: str, window: str, delay: str, name: str = "counts") -> DataFrame:
-    """ST-4: calls per tumbling window and group; late rows beyond the watermark are dropped.
-    Complete output of each trigger is written (overwrite per batch id); the last one is read."""
+    State per batch, each written once under its id: rows held back, the time handed on so far, the carry."""
+    from lingua_spark.session import cut_lineage
     spark = stream.sparkSession
-    base = scratch(spark, name)
-    out = os.path.join(base, "out")
+    state = os.path.join(base, "state")
+
+    def load(what: str, bid: int) -> DataFrame | None:
+        ids = [b for b in _batches(spark, os.path.join(state, what)) if b < bid]
+        return spark.read.parquet(os.path.join(state, what, f"batch={ids[-1]}")) if ids else None
+
+    def step(rows: DataFrame | None, bid: int, upto: int | None) -> None:
+        held, clock, carry = (load(w, bid) for w in ("held", "clock", "carry"))
+        done = clock.first()[0] if clock is not None else None
+        if rows is not None:
+            if done is not None:
+                _write(rows.filter(F.col(time_us) <= done), base, "late", f"batch={bid}")
+                rows = rows.filter(F.col(time_us) > done)
+            held = rows if held is None else held.unionByName(rows)
+        held = cut_lineage(held)
+        if upto is None:
+            newest = held.agg(F.max(time_us)).first()[0]
+            upto = max(x for x in (done, newest - delay_us if newest is not None else None, -(1 << 62)) if x is not None)
+        out, carry = fn(held.filter(F.col(time_us) <= upto), carry)
+        carry = cut_lineage(carry)
+        _write(out, base, "out", f"batch={bid}")
+        _write(held.filter(F.col(time_us) > upto), state, "held", f"batch={bid}")
+        _write(carry, state, "carry", f"batch={bid}")
+        _write(spark.range(1).select(F.lit(upto).cast("long").alias("t")), state, "clock", f"batch={bid}")
+
+    drain(stream.writeStream.foreachBatch(lambda bdf, bid: step(bdf, bid, None)), base)
+    ids = _batches(spark, os.path.join(base, "out"))
+    if close and ids:
+        step(None, ids[-1] + 1, (1 << 62))
+
+
+def stream_dedup(stream: DataFrame, key: str, time_us: str, id_col: str, ttl_seconds: float, delay_seconds: float,
+                 name: str = "dedup", base: str | None = None, close: bool = True) -> DataFrame:
+    """ST-3: WN-3 over a stream: (key, id, time, action), 'write' when no write of the key happened within the
+    ttl before, else 'hit'. The last write per key is carried; a row of it opens the next batch's fold."""
+    from lingua_spark.operators.cache import ttl_dedup
+    spark = stream.sparkSession
+    base = base or scratch(spark, name)
+    cols = [F.col(key), F.col(id_col).cast("long").alias(id_col), F.col(time_us).cast("long").alias(time_us)]
+    marker = -(1 << 62)
+
+    def fn(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        from lingua_spark.session import cut_lineage
+        nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        both = rows if carry is None else rows.unionByName(carry.select(key, F.lit(marker).alias(id_col), time_us)).repartition(nparts, key)
+        done = cut_lineage(ttl_dedup(both, ttl_seconds, key=key, ts_micros=time_us, id_col=id_col))
+        writes = done.filter("action = 'write'").groupBy(key).agg(F.max(time_us).alias(time_us))
+        return done.filter(F.col(id_col) != marker), writes
+    ordered_stream(stream.select(*cols), time_us, int(delay_seconds * 1_000_000), fn, base, close)
+    return _outputs(spark, base, f"{key} string, {id_col} long, {time_us} long, action string").drop("batch")
+
+
+def stream_counts(stream: DataFrame, ts_col: str, by: str, window: str, delay: str, name: str = "counts",
+                  base: str | None = None) -> DataFrame:
+    """ST-4: calls per tumbling window and group. Update mode: a batch writes the windows it changed, rows later
+    than the watermark are dropped and windows beyond it leave the state. Returns the newest count per window."""
+    spark = stream.sparkSession
+    base = base or scratch(spark, name)
     agg = (stream.withWatermark(ts_col, delay).groupBy(F.window(ts_col, window).alias("w"), by)
            .agg(F.count(F.lit(1)).alias("calls")))
-    drain(agg.writeStream.outputMode("complete").foreachBatch(_batch_sink(out, lambda b: b)),
-          os.path.join(base, "ckpt"))
-    batches = sorted(int(p.split("=")[1]) for p in list_dir(spark, out) if p.startswith("batch="))
-    return spark.read.parquet(os.path.join(out, f"batch={batches[-1]}"))
-
-
-def _runs_with_state(threshold: int):
-    import pandas as pd
-
-    def fn(key, pdfs, state):
-        run = state.get[0] if state.exists else 0
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["t_us", "call_id"])
-            lens, trips = [], []
-            for ok in pdf["ok"].tolist():
-                run = 0 if ok else run + 1
-                lens.append(run)
-                trips.append((not ok) and run == threshold)
-            outs.append(pd.DataFrame({"call_id": pdf["call_id"].to_numpy(), "provider": key[0],
-                                      "run_len": lens, "tripped": trips}))
-        state.update((run,))
-        yield from outs
-    return fn
-
-
-def stream_failure_runs(stream: DataFrame, threshold: int, name: str = "runs") -> DataFrame:
-    """ST-5: WN-4 with the current run per provider kept in state across micro-batches
-    (applyInPandasWithState, no timeout). Rows of one micro-batch are ordered by (t_us, call_id)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    drain(agg.writeStream.outputMode("update").foreachBatch(lambda b, bid: _write(b, base, "out", f"batch={bid}")), base)
+    kind = stream.schema[by].dataType.simpleString()
+    rows = _outputs(spark, base, f"w struct<start: timestamp, end: timestamp>, {by} {kind}, calls long")
+    return rows.groupBy("w", by).agg(F.max_by("calls", "batch").alias("calls"))
+
+
+def stream_failure_runs(stream: DataFrame, threshold: int, delay_seconds: float = 0.0, name: str = "runs",
+                        base: str | None = None, close: bool = True) -> DataFrame:
+    """ST-5: WN-4 over a stream of (call_id, provider, ok, t_us), with each provider's current run carried."""
+    from lingua_spark.operators.windows import failure_runs
     spark = stream.sparkSession
-    base = scratch(spark, name)
-    out = os.path.join(base, "out")
-    res = stream.groupBy("provider").applyInPandasWithState(
-        _runs_with_state(threshold), "call_id long, provider string, run_len long, tripped boolean",
-        "run long", "append", GroupStateTimeout.NoTimeout)
-    drain(res.writeStream.format("parquet").option("path", out).outputMode("append"), os.path.join(base, "ckpt"))
-    return spark.read.parquet(out)
+    base = base or scratch(spark, name)
+
+    def fn(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        from lingua_spark.session import cut_lineage
+        runs = cut_lineage(failure_runs(rows.withColumn("ts", F.timestamp_micros("t_us")), threshold, start=carry))
+        last = runs.groupBy("provider").agg(F.max_by("run_len", F.struct("t_us", "call_id")).alias("run"))
+        if carry is not None:
+            last = last.unionByName(carry.join(last, "provider", "left_anti"))
+        return runs.select("call_id", "provider", "run_len", "tripped"), last
+    ordered_stream(stream.select("call_id", "provider", "ok", "t_us"), "t_us", int(delay_seconds * 1_000_000), fn, base, close)
+    return _outputs(spark, base, "call_id long, provider string, run_len long, tripped boolean").drop("batch")
