@@ -95,17 +95,16 @@ def reassemble(segments: DataFrame, id_col: str = "doc_id", sep: str = "", text_
 def translate_segments(segments: DataFrame, translate_fn) -> DataFrame:
     """Run `translate_fn` once per distinct text segment and join the answers back.
     translate_fn(DataFrame[segment]) -> DataFrame[segment, translation, error]."""
-    texts = segments.filter(F.col("kind") == "text")
-    # whitespace-only pieces pass through verbatim (they would normalize to '')
-    todo = texts.filter(normalize_text(F.col("segment")) != "").select("segment").distinct()
-    answers = translate_fn(todo)
-    j = segments.join(answers, "segment", "left")
-    out = (F.when(F.col("kind") != "text", F.col("segment"))
-           .when(normalize_text(F.col("segment")) == "", F.col("segment"))
-           .otherwise(F.col("translation")))
-    err = F.when((F.col("kind") == "text") & (normalize_text(F.col("segment")) != ""), F.col("error")) \
-        .when(F.col("kind") == "error", F.col("segment"))
-    return j.withColumn("out", out).withColumn("error", err)
+    # structure and whitespace-only pieces (they would normalize to '') pass through verbatim,
+    # outside the join
+    work = (F.col("kind") == "text") & (normalize_text(F.col("segment")) != "")
+    texts = segments.filter(work).withColumn("_h", F.xxhash64("segment"))
+    answers = translate_fn(texts.select("segment").distinct()).withColumnRenamed("segment", "_s").withColumn("_h", F.xxhash64("_s"))
+    done = texts.join(answers, ["_h"], "left").filter(F.col("_s").isNull() | (F.col("_s") == F.col("segment")))
+    kept = segments.filter(~work | work.isNull())
+    return (done.select(*segments.columns, F.col("translation").alias("out"), "error")
+            .unionByName(kept.withColumn("out", F.col("segment"))
+                         .withColumn("error", F.when(F.col("kind") == "error", F.col("segment")))))
 
 
 def translate_documents(docs: DataFrame, translate_fn, id_col: str = "doc_id") -> DataFrame:

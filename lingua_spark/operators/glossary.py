@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from lingua_spark import constants as K
 from lingua_spark.functions.text import normalize_language
 from lingua_spark.operators.ids import range_sorted, sequential_ids
+from lingua_spark.session import cut_lineage
 
 # ASCII word boundary (Go's \b) for Java regex, whose \b is Unicode-aware.
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
-# Above this many entries the per-target arrays are not broadcast.
+# Above this many entries the per-target arrays are not broadcast but found by joins.
 MAX_BROADCAST_ENTRIES = 5000
-# Entries without an ASCII word run reach every row of their target (broadcast); bounded.
-MAX_KEYLESS_ENTRIES = 5000
 
 
 def load_glossary(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,14 +131,14 @@ def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss
 
     Small glossary (<= MAX_BROADCAST_ENTRIES, checked): one array per target, broadcast.
     Large glossary: no per-target array is built; each row gets only its candidate entries
-    (see glossary_candidates), which needs a unique `row_id` column. The mask result is
-    the same either way.
+    (see glossary_candidates), by its unique `row_id` column or one that is written with the
+    rows here. The mask result is the same either way.
     """
-    n = glossary.count()
-    if n > MAX_BROADCAST_ENTRIES:
-        if row_id is None:
-            raise ValueError(f"glossary of {n} entries needs row_id for the candidate-join path")
-        return glossary_candidates(requests, glossary, row_id, text_col, out_col)
+    if glossary.count() > MAX_BROADCAST_ENTRIES:
+        if row_id is not None:
+            return glossary_candidates(requests, glossary, row_id, text_col, out_col)
+        rows = cut_lineage(requests.withColumn("_row", F.monotonically_increasing_id()))
+        return glossary_candidates(rows, glossary, "_row", text_col, out_col).drop("_row")
     ranked = ranked_entries(requests, glossary)
     arrays = (ranked.groupBy("target_lang")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern", "term", "translation", "key")))
@@ -155,16 +154,16 @@ def glossary_candidates(requests: DataFrame, glossary: DataFrame, row_id: str, t
       * rows without special letters: the row's distinct ASCII tokens join the entry keys;
       * rows with special letters: the first 3 characters of the key join the folded
         text's 1-3 grams, then the whole key is checked as a substring;
-      * entries without a key (no ASCII word run) apply to every row of their target; their
-        number must stay within MAX_KEYLESS_ENTRIES (checked);
+      * entries without a key but with letters that have no case (ideographs, kana, Hebrew, ...)
+        join the text's 1-2 grams of such letters by the first two of theirs, which any match holds;
+      * the other entries without a key (cased non-ASCII letters or symbols alone) meet every row of
+        their target;
       * placeholders already present in the text keep their entry (restore replaces them).
     Ranks are the full-glossary ranks (D-4). Candidates are grouped per row_id."""
     ranked = ranked_entries(requests, glossary)
     keyed = ranked.filter(F.col("key") != "")
     keyless = ranked.filter(F.col("key") == "")
-    nk = keyless.count()
-    if nk > MAX_KEYLESS_ENTRIES:
-        raise ValueError(f"{nk} glossary entries without an ASCII word exceed {MAX_KEYLESS_ENTRIES}")
+    caseless = keyless.withColumn("_g", F.regexp_extract("term", r"\p{Lo}{1,2}", 0))
     text = F.col(text_col)
     rows = requests.select(row_id, "target_lang", text_col, text.rlike(f"[{SPECIALS}]").alias("_sp"))
     plain = rows.filter(~F.col("_sp")).select(
@@ -175,7 +174,11 @@ def glossary_candidates(requests: DataFrame, glossary: DataFrame, row_id: str, t
         *[F.regexp_extract_all(F.col("_f"), F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in (1, 2, 3)])))).alias("_g"))
     c_sp = (grams.join(keyed.withColumn("_g", F.substring("key", 1, 3)), ["target_lang", "_g"])
             .filter(F.instr(F.col("_f"), F.col("key")) > 0).drop("_g", "_f", "key"))
-    c_keyless = rows.select(row_id, "target_lang").join(F.broadcast(keyless.drop("key")), "target_lang")
+    letters = rows.select(row_id, "target_lang", F.explode(F.array_distinct(F.array_union(
+        F.regexp_extract_all(text, F.lit(r"(?=(\p{Lo}))"), 1), F.regexp_extract_all(text, F.lit(r"(?=(\p{Lo}{2}))"), 1)))).alias("_g"))
+    c_caseless = letters.join(caseless.filter("_g <> ''"), ["target_lang", "_g"]).drop("_g", "key")
+    c_keyless = (rows.select(row_id, "target_lang").join(caseless.filter("_g = ''").drop("key", "_g"), "target_lang")
+                 .unionByName(c_caseless))
     lit_ph = rows.select(row_id, "target_lang", F.explode(F.regexp_extract_all(
         text, F.lit("__TERM_([0-9]+)__"), 1)).alias("_rk")).select(
         row_id, "target_lang", F.col("_rk").cast("int").alias("rank")).distinct()

@@ -27,34 +27,39 @@ def output_budget(masked: Column) -> Column:
     return F.greatest(F.lit(512), F.char_length(masked) * 4 + 256).cast("long")
 
 
-def build_prompt(language_name: Column, context: Column, tone: Column, gloss: Column, alternatives: Column,
+def build_prompt(language_name: Column, context: Column, tone: Column, listing: Column, alternatives: Column,
                  masked: Column) -> Column:
-    """FN-12 prompt text; glossary placeholders listed in rank order."""
+    """FN-12 prompt text; `listing`: the target's glossary placeholders in rank order, null without any."""
     ctx = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(K.PROMPT_CONTEXT), context, F.lit(". "))) \
         .otherwise(F.lit(""))
     tn = F.when(~F.coalesce(tone, F.lit("")).isin("", "neutral"), F.concat(F.lit(K.PROMPT_TONE), tone, F.lit(". "))) \
         .otherwise(F.lit(""))
-    pairs = F.transform(gloss, lambda e: F.concat(e["placeholder"], F.lit(" -> "), e["translation"]))
-    ph = F.when(F.coalesce(F.size(gloss), F.lit(0)) > 0,
-                F.concat(F.lit(K.PROMPT_PLACEHOLDERS), F.array_join(pairs, "; "), F.lit(". "))).otherwise(F.lit(""))
+    ph = F.when(listing.isNotNull(), F.concat(F.lit(K.PROMPT_PLACEHOLDERS), listing, F.lit(". "))).otherwise(F.lit(""))
     alt = F.when(F.coalesce(alternatives, F.lit(0)) > 0, F.lit(K.PROMPT_ALTERNATIVES)).otherwise(F.lit(""))
     return F.concat(F.lit(K.PROMPT_INTRO), language_name, F.lit(". "), ctx, tn, ph, F.lit(K.PROMPT_RETURN), alt,
                     F.lit(K.PROMPT_TEXT), masked)
 
 
 def prepare_prompts(df: DataFrame, glossary: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """FN-12: mask (when a glossary is given), build the prompt and the output budget."""
+    """FN-12: mask (when a glossary is given), build the prompt and the output budget.
+
+    `n_entries`: entries listed in the prompt, all of the target. The listing is one text per
+    target, joined by it; the masks need the entries that occur in the text only (see JN-1)."""
     from lingua_spark.operators.chain import language_names
-    from lingua_spark.operators.glossary import glossary_for, glossary_mask
+    from lingua_spark.operators.glossary import glossary_for, glossary_mask, ranked_entries
     if glossary is not None:
         d = glossary_for(df, glossary)
+        pair = F.struct("rank", F.concat("placeholder", F.lit(" -> "), "translation").alias("t"))
+        listing = (ranked_entries(df, glossary).groupBy("target_lang").agg(F.array_sort(F.collect_list(pair)).alias("_l"))
+                   .select("target_lang", F.array_join("_l.t", "; ").alias("_listing"), F.size("_l").cast("long").alias("n_entries")))
+        d = d.join(listing, "target_lang", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0).cast("long")))
     else:
-        d = df.withColumn("gloss", F.array().cast(
+        d = df.withColumn("_listing", F.lit(None).cast("string")).withColumn("n_entries", F.lit(0).cast("long")).withColumn("gloss", F.array().cast(
             "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"))
     d = glossary_mask(d, text_col, "gloss", "masked")
     d = language_names(d, "target_lang", "_lname")
     alts = F.col("alternatives") if "alternatives" in d.columns else F.lit(0)
     ctx = F.col("context") if "context" in d.columns else F.lit("")
     tone = F.col("tone") if "tone" in d.columns else F.lit("neutral")
-    return (d.withColumn("prompt", build_prompt(F.col("_lname"), ctx, tone, F.col("gloss"), alts, F.col("masked")))
-            .withColumn("max_tokens", output_budget(F.col("masked"))).drop("_lname"))
+    return (d.withColumn("prompt", build_prompt(F.col("_lname"), ctx, tone, F.col("_listing"), alts, F.col("masked")))
+            .withColumn("max_tokens", output_budget(F.col("masked"))).drop("_lname", "_listing"))

@@ -193,7 +193,7 @@ def fn12(spark, sf):
     from lingua_spark.operators.validate import prepare_prompts
     p = prepare_prompts(_prompt_requests(spark, sf), T.glossary(spark, sf))
     return p.select("request_id", F.sha2("prompt", 256).alias("prompt_hash"), "max_tokens",
-                    F.size("gloss").cast("long").alias("n_entries"))
+                    "n_entries")
 
 
 PROVIDER_CYCLE = ["openai", "anthropic", "deepl", "google", "ollama", "libretranslate", "custom", "openrouter",
