@@ -271,7 +271,7 @@ def test_large_glossary_path_matches_oracle(spark, monkeypatch):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 5)
-    for name in ("jn2_glossary_mask", "bt5_translate"):
+    for name in ("jn2_glossary_mask", "fn12_prepare_prompts", "bt5_translate"):
         df = entry.queries()[name](spark, sf)
         cur = con.execute(entry.oracle_sql()[name])
         dcols = [d[0] for d in cur.description]
@@ -280,8 +280,10 @@ def test_large_glossary_path_matches_oracle(spark, monkeypatch):
 
 def test_large_glossary_special_letters(spark, monkeypatch):
     from lingua_spark.operators import glossary as G
-    g = gloss(spark, [("server", "es", "S", False), ("kb", "es", "K", False), ("日本", "es", "J", False)])
-    req = spark.createDataFrame([(0, "the ſerver and server", "es"), (1, "a\u212ab x 日本 a日本", "es"), (2, "__TERM_1__", "es")],
+    g = gloss(spark, [("server", "es", "S", False), ("kb", "es", "K", False), ("日本", "es", "J", False),
+                      ("ещё", "es", "E", False), ("€", "es", "U", True)])
+    req = spark.createDataFrame([(0, "the ſerver and server", "es"), (1, "a\u212ab x 日本 a日本", "es"), (2, "__TERM_1__", "es"),
+                                 (3, "ЕЩЁ ещё € 日本語", "es")],
                                 "id long, text string, target_lang string")
 
     def run():
