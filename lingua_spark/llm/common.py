@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -36,6 +37,13 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written and no longer referred to; it does so
+    when the driver collects its garbage, which may otherwise be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -91,6 +99,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if state == now:
             break
         state = now
+        release(links.sparkSession)
     else:
         raise RuntimeError("connected components did not converge")
     labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")

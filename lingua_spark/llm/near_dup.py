@@ -13,10 +13,11 @@ Steps:
 2. in each band bucket every class is compared with the smallest one (a star, never all pairs); verified
    links give components;
 3. buckets that still hold several components get the rest of their comparisons: members of different
-   components only, with `FAN` centres a round, so a bucket's work is linear per round; buckets larger than
-   FAN first split by finer bands (FINE_ROWS coordinates), which part documents that merely share a passage.
+   components only, with FAN centres in the first round and twice as many in each next; buckets larger than
+   FAN first split by finer bands (FINE_ROWS coordinates), which part documents that merely share a passage;
+4. before the full sets of a pair are fetched and compared, SKETCH coordinates must agree well enough.
 A pair at the threshold is missed by all bands with probability (1 - 0.75^ROWS)^BANDS = 5e-6 (coarse) and
-(1 - 0.75^FINE_ROWS)^FINE_BANDS = 3e-6 (fine), and only if no other path links it.
+(1 - 0.75^FINE_ROWS)^FINE_BANDS = 9e-6 (fine), and only if no other path links it.
 
 Defined cases: texts without words, and null texts, link with nothing; rows with the same doc_id are one node;
 a row without doc_id links with nothing, has a null component and is kept; repeated rows each get a row;
@@ -32,14 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lingua_spark.llm import textkernel as tk
-from lingua_spark.llm.common import connected_components, cut_lineage, fresh, member, membership
+from lingua_spark.llm.common import connected_components, cut_lineage, fresh, member, membership, release
 
 #: Jaccard threshold as a fraction of integers: 100 * intersection >= 75 * union.
 THRESHOLD = 75
 BANDS, ROWS = 32, 4
-FINE_BANDS, FINE_ROWS = 400, 12
-#: Centres that a member is compared with in one round.
+FINE_BANDS, FINE_ROWS = 110, 8
+#: Bits of the filter that lets band keys of buckets with more than one class pass: 4 MB, whatever their number.
+KEY_BITS = 1 << 25
+#: Centres that a member is compared with in the first round.
 FAN = 32
+#: Coordinates (one byte each) by which candidate pairs are looked at before their sets are fetched, and how many must agree:
+#: at the threshold 192 +- 6.9 do, so a linked pair is turned away with probability below 1e-9.
+SKETCH, ALIKE = 256, 150
 
 _M1, _M2, _M3, _M4 = (np.uint32(x) for x in (0x85EBCA6B, 0xC2B2AE35, 0x7FEB352D, 0x846CA68B))
 
@@ -95,18 +101,20 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in tk.chunks(batch.column(1), tk.NOT_SPACE):
-            n, s1, s2, bands = [], [], [], []
+            n, s1, s2, bands, sketches = [], [], [], [], []
             for i in range(len(c.rows)):
                 s = tk.shingle_set(c.words[c.bounds[i]:c.bounds[i + 1]])
                 n.append(len(s))
                 a, b = _set_hash(s) if len(s) else (0, 0)
                 s1.append(a)
                 s2.append(b)
-                bands.append(band_keys(signature(s, BANDS * ROWS), BANDS, ROWS) if len(s) else np.zeros(0, np.int64))
+                sig = signature(s, SKETCH) if len(s) else np.zeros(0, np.uint32)
+                bands.append(band_keys(sig[:BANDS * ROWS], BANDS, ROWS) if len(s) else np.zeros(0, np.int64))
+                sketches.append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(c.rows.start, len(c.rows)).cast(pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), tk.long_lists(bands)],
-                ["doc_id", "n_shingles", "s1", "s2", "bands"])
+                 pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), tk.long_lists(bands), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
 
 def _sets(bitmap, fine: bool):
@@ -120,20 +128,17 @@ def _sets(bitmap, fine: bool):
                 continue
             batch = batch.filter(pa.array(keep))
             for c in tk.chunks(batch.column(1), tk.NOT_SPACE):
-                s1, s2, values = [], [], []
+                s1, values = [], []
                 for i in range(len(c.rows)):
                     s = tk.shingle_set(c.words[c.bounds[i]:c.bounds[i + 1]])
-                    a, b = _set_hash(s) if len(s) else (0, 0)
-                    s1.append(a)
-                    s2.append(b)
+                    s1.append(_set_hash(s)[0] if len(s) else 0)
                     if fine:
                         s = (band_keys(signature(s, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS).view(np.uint64)
                              if len(s) else s)
                     values.append(s)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.rows.start, len(c.rows)).cast(pa.int64()),
-                     pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), tk.long_lists(values)],
-                    ["id", "s1", "s2", "items"])
+                     pa.array(s1, pa.int64()), tk.long_lists(values)], ["id", "s1", "items"])
     return run
 
 
@@ -147,25 +152,32 @@ def _mixed(ids: DataFrame) -> DataFrame:
 
 
 def _items_of(docs: DataFrame, nodes: DataFrame, fine: bool = False) -> DataFrame:
-    """(id, s1, s2, items) of the classes in nodes, from one filtered scan of the documents."""
+    """(id, s1, items) of the documents in nodes(id), from one filtered scan of all."""
     bitmap = membership(_mixed(nodes), "h")
     found = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-             .mapInArrow(_sets(bitmap, fine), "id long, s1 long, s2 long, items array<long>"))
-    return found.join(nodes.select("id", "s1", "s2").distinct(), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"])
+             .mapInArrow(_sets(bitmap, fine), "id long, s1 long, items array<long>"))
+    return found.join(nodes.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "s1"])
 
 
-PAIR = [f"{side}_{c}" for side in "ab" for c in ("id", "s1", "s2")]
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+        keep = pa.array((x == y).sum(axis=1) >= ALIKE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs(a_id, a_s1, a_s2, b_id, ...) those linked by their full sets, as (a, b)."""
+def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs(a, b) of doc_ids those linked by their full sets; sketches(id, sketch) turn most others away."""
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
+    pairs = pairs.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_agree, "a long, b long").distinct()
     for side in "ab":
-        pairs = pairs.join(sets.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "s1", "s2")),
-                                       F.col("items").alias(f"{side}_items")), [f"{side}_id", f"{side}_s1", f"{side}_s2"])
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("items").alias(f"{side}_items")), side)
     shared = F.size(F.array_intersect("a_items", "b_items"))
     return (pairs.withColumn("i", shared)
-            .where(100 * F.col("i") >= THRESHOLD * (F.size("a_items") + F.size("b_items") - F.col("i")))
-            .select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+            .where(100 * F.col("i") >= THRESHOLD * (F.size("a_items") + F.size("b_items") - F.col("i"))).select("a", "b"))
 
 
 def _close(m: str, o: str):
@@ -173,82 +185,101 @@ def _close(m: str, o: str):
     return 100 * F.least(m, o) >= THRESHOLD * F.greatest(m, o)
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """classes(id, s1, s2, n, keys) -> members of buckets with more than one: (key, rank, size, id, s1, s2, n)."""
-    rows = classes.select(F.explode("keys").alias("key"), "id", "s1", "s2", "n")
-    multi = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rank = F.row_number().over(W.partitionBy("key").orderBy("id", "s1", "s2"))
-    return rows.join(multi, "key").withColumn("rank", rank)
+def _rows(bitmap=None):
+    """Classes with their band keys -> a row per key, only those that the bitmap lets pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value if bitmap is not None else None
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            keys = lists.values.to_numpy()[offsets[0]:offsets[-1]]
+            row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            if bits is not None:
+                keep = member(bits, keys)
+                keys, row = keys[keep], row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["key", "id", "n"])
+    return run
 
 
-def _pairs(members: DataFrame, centres: DataFrame, labelled: bool) -> DataFrame:
-    c = centres.select("key", *(F.col(x).alias(f"b_{x}") for x in ("id", "s1", "s2", "n", "rank")),
-                       *([F.col("label").alias("b_label")] if labelled else []))
-    m = members.select("key", *(F.col(x).alias(f"a_{x}") for x in ("id", "s1", "s2", "n", "rank")),
-                       *([F.col("label").alias("a_label")] if labelled else []))
-    both = m.join(c, "key").where("a_rank > b_rank and a_id <> b_id").where(_close("a_n", "b_n"))
-    if labelled:
-        both = both.where("a_label <> b_label")
-    return both.select(*PAIR).distinct()
+def _members(classes: DataFrame) -> DataFrame:
+    """classes(id, n, keys) -> members of buckets with more than one: (key, id, n, size, c_id, c_n), c being the smallest id."""
+    kind = "key long, id long, n long"
+    classes = classes.select("id", "n", "keys")
+    buckets = (classes.mapInArrow(_rows(), kind).groupBy("key")
+               .agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("c")).where("size > 1"))
+    buckets = cut_lineage(buckets.select("key", "size", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n")))
+    return classes.mapInArrow(_rows(membership(buckets, "key", KEY_BITS)), kind).join(buckets, "key")
 
 
-def _label(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return (members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .withColumn("label", F.coalesce("label", "id")))
+def _stars(members: DataFrame) -> DataFrame:
+    """Every member with its bucket's smallest one."""
+    return members.where("id <> c_id").where(_close("n", "c_n")).select(F.col("id").alias("a"), F.col("c_id").alias("b")).distinct()
 
 
-def _unresolved(labelled: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components."""
-    open_keys = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                 .where("lo <> hi").select("key"))
-    return labelled.join(open_keys, "key", "left_semi")
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, labelled."""
+    labelled = cut_lineage(members.select("key", "id", "n", "size").join(labels.withColumnRenamed("node", "id"), "id", "left")
+                           .withColumn("label", F.coalesce("label", "id")))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return labelled.join(mixed, "key", "left_semi")
 
 
-def _rounds(members: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, first: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Compare members of different components with FAN centres a round until no bucket has work left."""
+def _rounds(members: DataFrame, sketches: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compare members of different components with FAN centres, then twice as many, ... until no bucket has work left."""
+    first, fan = 2, FAN  # the smallest member has been compared with all
+    todo = _unresolved(members, labels).withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id")))
     while True:
-        todo = cut_lineage(_unresolved(_label(members, labels)).where(f"size > {first - 1}"))
+        todo = cut_lineage(todo.where(f"size > {first - 1}"))
         if todo.isEmpty():
             return links, labels
-        centres = todo.where(f"rank >= {first} and rank < {first + FAN}")
-        found = cut_lineage(_verified(_pairs(todo.where(f"rank > {first}"), centres, True), sets).distinct())
+        centres = todo.where(f"rank >= {first} and rank < {first + fan}").select(
+            "key", *(F.col(x).alias(f"c_{x}") for x in ("id", "n", "rank", "label")))
+        pairs = (todo.where(f"rank > {first}").join(centres, "key").where("rank > c_rank and label <> c_label").where(_close("n", "c_n"))
+                 .select(F.col("id").alias("a"), F.col("c_id").alias("b")).distinct())
+        found = cut_lineage(_verified(pairs, sketches, sets).distinct())
+        release(sets.sparkSession)
+        ranks = todo.select("key", "id", "n", "size", "rank")
         if not found.isEmpty():
             links = links.union(found)
             labels = cut_lineage(connected_components(links))
-        first += FAN
-        members = todo.drop("label")
+        first, fan = first + fan, 2 * fan
+        todo = _unresolved(ranks, labels).join(ranks.select("key", "id", "rank").distinct(), ["key", "id"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...)."""
     signed = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-                         .mapInArrow(_sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
+                         .mapInArrow(_sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    first = cut_lineage(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")))
-    copies = (real.join(first, ["s1", "s2", "n_shingles"]).where("doc_id <> id")
-              .select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    classes = (real.withColumnRenamed("doc_id", "id").join(first, ["s1", "s2", "n_shingles", "id"], "left_semi")
-               .groupBy("id", "s1", "s2").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("keys")))
+    first = cut_lineage(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")))
+    again = cut_lineage(real.select("doc_id", "s1", "s2", "n_shingles").join(first.where("rows > 1"), ["s1", "s2", "n_shingles"])
+                        .where("doc_id <> id").select("doc_id", "s1", "id").distinct())
+    copies = again.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    classes = (real.join(again.select("doc_id", "s1"), ["doc_id", "s1"], "left_anti")
+               .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("bands").alias("keys")))
     members = cut_lineage(_members(classes))
-    sets = cut_lineage(_items_of(docs, members.select("id", "s1", "s2").distinct()))
+    release(docs.sparkSession)
+    ids = cut_lineage(members.select("id").distinct())
+    sets = cut_lineage(_items_of(docs, ids))
+    sketches = cut_lineage(real.select(F.col("doc_id").alias("id"), "sketch").join(ids, "id", "left_semi").distinct())
+    release(docs.sparkSession)
 
-    stars = _pairs(members.where("rank > 1"), members.where("rank = 1"), False)
-    links = cut_lineage(_verified(stars, sets).distinct())
+    links = cut_lineage(_verified(_stars(members), sketches, sets).distinct())
     labels = cut_lineage(connected_components(links))
-    small = members.where(f"size <= {FAN + 1}")
-    links, labels = _rounds(small, sets, links, labels)
-    large = cut_lineage(_unresolved(_label(members.where(f"size > {FAN + 1}"), labels)).select("id", "s1", "s2", "n").distinct())
+    release(docs.sparkSession)
+    links, labels = _rounds(members.where(f"size <= {FAN + 1}"), sketches, sets, links, labels)
+    large = cut_lineage(_unresolved(members.where(f"size > {FAN + 1}"), labels).select("id").distinct())
     if not large.isEmpty():
-        fine = (_items_of(docs, large, fine=True).withColumnRenamed("items", "keys").join(large, ["id", "s1", "s2"]))
-        finer = cut_lineage(_members(fine))
-        stars = _pairs(_label(finer.where("rank > 1"), labels), _label(finer.where("rank = 1"), labels), True)
-        links = links.union(cut_lineage(_verified(stars, sets).distinct()))
+        fine = _items_of(docs, large, fine=True).select("id", F.col("items").alias("keys"))
+        finer = cut_lineage(_members(fine.join(sets.select("id", F.size("items").cast("long").alias("n")), "id")))
+        links = links.union(cut_lineage(_verified(_stars(finer), sketches, sets).distinct()))
         labels = cut_lineage(connected_components(links))
-        links, labels = _rounds(finer, sets, links, labels)
+        release(docs.sparkSession)
+        links, labels = _rounds(finer, sketches, sets, links, labels)
 
     # copies join their class's component; a doc_id in several classes unites them
-    by_id = connected_components(links.union(cut_lineage(copies)))
-    return (signed.join(by_id.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    by_id = connected_components(links.union(copies))
+    return (signed.select("doc_id", "n_shingles").join(by_id.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 

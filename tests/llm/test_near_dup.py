@@ -37,6 +37,16 @@ def test_shared_passages_in_large_buckets(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_doc_ids_with_several_texts(spark):
+    """Rows of one doc_id are one node: it links whatever any of its texts is near to."""
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    check_rows = [row(5, a), row(7, a), row(7, b), row(9, b + " tail"), row(11, c), row(9, c), row(20, prose(rng, 50))]
+    docs = spark.createDataFrame(check_rows, SCHEMA)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 5), (20, 20)}
+
+
 def test_chain_of_near_copies(spark):
     """Neighbours are linked, the ends are not."""
     rng = random.Random(4)
