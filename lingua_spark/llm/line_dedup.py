@@ -4,12 +4,14 @@ A line (between line feeds) is the set of its five-word shingles, words being ru
 white space, A-Z as a-z. Lines of fewer than five words hold no shingle and are left alone. A line goes when an
 earlier one, by (doc_id, line number), has Jaccard >= 0.75 with it, whether or not that one stays itself.
 
-Join: shingles are ordered by rarity (corpus counts in COUNT_SLOTS hashed slots, then the hash). Two lines at the
-threshold share a shingle among the first n - ceil(0.75 n) + 1 of each, so only those are posted. In each posting
-list every line is first compared with the list's earliest one; only lines without a match yet go on to the next
-FAN entries, round by round, so a group of copies costs one comparison each, while every list is worked through for
-the lines that need it. Comparisons pass a length and a positional filter; equal set hashes decide exact copies,
-all others are verified on the full shingle sets, read again for the lines in question alone.
+Join: exact copies fall to one line per set first (a grouped minimum). Shingles are ordered by rarity (corpus counts
+in COUNT_SLOTS hashed slots, then the hash). Two lines at the threshold share a shingle among the first
+n - ceil(0.75 n) + 1 of each, so only those are posted, and of these only shingles that more than one line posts: a
+first, narrow shuffle counts them, a fixed-size filter of the shared ones lets the others stay in the scan. In each
+posting list every line is compared with the list's earliest one; only lines without a match yet go on to the next FAN
+entries, then to twice as many, and so on, so a group of near copies costs one comparison each, while every list is worked through for
+the lines that need it. Comparisons pass a length and a positional filter and are verified on the full shingle
+sets, read again for the lines in question alone. Filters that fill up let more pass; the result stays the same.
 
 Defined cases: null and empty texts have no lines to remove; rows without doc_id are neither removed from nor a
 reason for removal; rows with the same doc_id are one document: they never match each other's same line, and a line
@@ -26,18 +28,21 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lingua_spark.llm import textkernel as tk
-from lingua_spark.llm.common import cut_lineage, fresh, member, membership
+from lingua_spark.llm.common import cut_lineage, fresh, member, membership, release
 
 THRESHOLD = 75
 #: Slots of the corpus counts that order shingles; a fixed table of 0.5 MB.
 COUNT_SLOTS = 1 << 16
 FAN = 32
+#: Bits of the filter of shared shingles: 4 MB, whatever their number.
+KEY_BITS = 1 << 25
 
 
 def _line_shingles(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(line of each shingle, shingle hashes, document of each line, number of each line in its document)."""
     newline = np.flatnonzero(c.data == 10) + 1
-    begins = np.unique(np.concatenate([c.offsets[:-1], newline[newline < len(c.data)]]))
+    begins = np.unique(np.concatenate([c.offsets[:-1], newline]))
+    begins = begins[begins < len(c.data)]  # documents without text have no words
     doc = np.searchsorted(c.offsets, begins, side="right") - 1
     # an empty document shares its offset with the next one and has no words
     number = np.arange(len(begins)) - np.searchsorted(begins, c.offsets[doc])
@@ -57,49 +62,76 @@ def _ordered(line: np.ndarray, h: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return line[new], h[new]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _starts(line: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, line, n, s, t) per line with shingles, s and t being its set hash; and, without doc, a row (slot, n) per
+    count slot. Lines of documents without an id are counted only."""
+    names = ["doc", "line", "n", "s", "t"]
     counts = np.zeros(COUNT_SLOTS, np.int64)
+    flat = np.zeros(COUNT_SLOTS, np.int64)
     for batch in batches:
-        for c in tk.chunks(batch.column(0), tk.NOT_SPACE):
-            _, h, _, _ = _line_shingles(c)
+        ids, ok = _ids(batch)
+        for c in tk.chunks(batch.column(1), tk.NOT_SPACE):
+            line, h, doc, number = _line_shingles(c)
             counts += np.bincount((h & np.uint64(COUNT_SLOTS - 1)).astype(np.int64), minlength=COUNT_SLOTS)
+            line, h = _ordered(line, h, flat)
+            if not len(h):
+                continue
+            first = _starts(line)
+            s, t = (np.add.reduceat(tk.mix(h ^ np.uint64(x)), first) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+            at, size = line[first], np.diff(np.append(first, len(h)))
+            row = doc[at] + c.rows.start
+            k = ok[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (ids[row], number[at], size, tk.signed(s), tk.signed(t))], names)
     slots = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots])], ["slot", "n"])
+    none = pa.nulls(len(slots), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, pa.array(slots), pa.array(counts[slots]), none, none], names)
+
 
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """doc_ids (0 for none), and which there are."""
+    return (batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False),
+            batch.column(0).is_valid().to_numpy(zero_copy_only=False))
 
-def shingle_counts(docs: DataFrame) -> Broadcast:
+
+def shingle_counts(lines: DataFrame) -> Broadcast:
     """Corpus counts of all line shingles, in a table of fixed size."""
-    got = (docs.select(F.col("text").cast("string")).mapInArrow(_count, "slot int, n long")
-           .groupBy("slot").agg(F.sum("n").alias("n")).toPandas())
+    got = lines.where("doc is null").groupBy("line").agg(F.sum("n").alias("n")).toPandas()  # COUNT_SLOTS rows at most
     counts = np.zeros(COUNT_SLOTS, np.int64)
-    counts[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return docs.sparkSession.sparkContext.broadcast(counts)
+    counts[got["line"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return lines.sparkSession.sparkContext.broadcast(counts)
 
 
-def _post(counts: Broadcast):
+def _post(counts: Broadcast, copies: Broadcast, rescued: Broadcast, shared: Broadcast | None):
+    """Postings of all lines that are no copies: the shingle alone, or, given the shared ones, full entries of those."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        table, copy, keep_anyway = counts.value, copies.value, rescued.value
+        bits = shared.value if shared is not None else None
         for batch in batches:
-            valid = batch.column(0).is_valid()
-            ids = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            ok = valid.to_numpy(zero_copy_only=False)
+            ids, ok = _ids(batch)
             for c in tk.chunks(batch.column(1), tk.NOT_SPACE):
                 line, h, doc, number = _line_shingles(c)
-                line, h = _ordered(line, h, table)
+                row = doc + c.rows.start
+                key = _line_key(ids[row], number)
+                mine = (ok[row] & (~member(copy, key) | member(keep_anyway, key)))[line]
+                line, h = _ordered(line[mine], h[mine], table)
                 if not len(h):
                     continue
-                first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+                first = _starts(line)
                 size = np.diff(np.append(first, len(h)))
-                set_hash = np.add.reduceat(tk.mix(h ^ np.uint64(0x5851F42D4C957F2D)), first)
                 pos = np.arange(len(h)) - np.repeat(first, size)
-                prefix = size - -(-THRESHOLD * size // 100) + 1
-                row = doc[line] + c.rows.start
-                keep = (pos < np.repeat(prefix, size)) & ok[row]
+                size = np.repeat(size, size)
+                keep = pos < size - -(-THRESHOLD * size // 100) + 1
+                if bits is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(tk.signed(h[keep]))], ["key"])
+                    continue
+                keep &= member(bits, tk.signed(h))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tk.signed(h[keep])), pa.array(ids[row[keep]]), pa.array(number[line[keep]]),
-                     pa.array(np.repeat(size, size)[keep]), pa.array(pos[keep]),
-                     pa.array(tk.signed(np.repeat(set_hash, size)[keep]))],
-                    ["key", "doc", "line", "n", "pos", "s"])
+                    [pa.array(x) for x in (tk.signed(h[keep]), ids[row[line[keep]]], number[line[keep]], size[keep], pos[keep])],
+                    ["key", "doc", "line", "n", "pos"])
     return run
 
 
@@ -107,11 +139,22 @@ def _line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return tk.signed(tk.mix(tk.mix(doc.view(np.uint64)) + line.view(np.uint64)))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        doc, line = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        both = np.concatenate([_line_key(doc, line), _line_key(doc, np.full(len(doc), -1, np.int64))])
-        yield pa.RecordBatch.from_arrays([pa.array(both)], ["h"])
+def _line_filter(lines: DataFrame, documents: bool = False) -> Broadcast:
+    """Filter of lines(doc, line); with documents, of their documents too, as line -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, line = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            h = [_line_key(doc, line)] + [_line_key(doc, np.full(len(doc), -1, np.int64))] * documents
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h))], ["h"])
+    return membership(lines.select("doc", "line").mapInArrow(run, "h long"), "h")
+
+
+def _passing(bitmap: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for b in batches:
+            yield b.filter(pa.array(member(bits, _line_key(*(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))))))
+    return run
 
 
 def _sets(bitmap: Broadcast):
@@ -119,8 +162,8 @@ def _sets(bitmap: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            keep = member(bits, _line_key(ids, np.full(len(ids), -1, np.int64))) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids, ok = _ids(batch)
+            keep = member(bits, _line_key(ids, np.full(len(ids), -1, np.int64))) & ok
             if not keep.any():
                 continue
             batch, ids = batch.filter(pa.array(keep)), ids[keep]
@@ -132,7 +175,7 @@ def _sets(bitmap: Broadcast):
                 line, h = _ordered(line[mine], h[mine], np.zeros(COUNT_SLOTS, np.int64))
                 if not len(h):
                     continue
-                first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+                first = _starts(line)
                 at = line[first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row[at]), pa.array(number[at]), tk.long_lists(np.split(h, first[1:]))], ["doc", "line", "items"])
@@ -142,7 +185,7 @@ def _sets(bitmap: Broadcast):
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs(doc, line, e_doc, e_line) those at the threshold, by their full shingle sets."""
     lines = pairs.select("doc", "line").union(pairs.select("e_doc", "e_line")).distinct()
-    bitmap = membership(lines.mapInArrow(_keys, "h long"), "h")
+    bitmap = _line_filter(lines, documents=True)
     sets = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
                        .mapInArrow(_sets(bitmap), "doc long, line long, items array<long>")
                        .join(lines, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]))
@@ -162,34 +205,46 @@ def _possible() -> str:
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """(doc, line, e_doc, e_line): every line to remove, with an earlier line that it matches."""
-    counts = shingle_counts(docs)
-    posted = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-              .mapInArrow(_post(counts), "key long, doc long, line long, n long, pos long, s long"))
+    pair = ["doc", "line", "e_doc", "e_line"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    lines = cut_lineage(rows.mapInArrow(_lines, "doc long, line long, n long, s long, t long"))
+    counts = shingle_counts(lines)
+    named = lines.where("doc is not null")
+    again = named.groupBy("s", "t", "n").agg(F.min(F.struct("doc", "line")).alias("e"), F.count("*").alias("rows")).where("rows > 1")
+    copies = cut_lineage(named.join(again, ["s", "t", "n"]).select("doc", "line", F.col("e.doc").alias("e_doc"), F.col("e.line").alias("e_line"))
+                         .where("not (doc = e_doc and line = e_line)").groupBy("doc", "line").agg(F.min(F.struct("e_doc", "e_line")).alias("e"))
+                         .select("doc", "line", "e.*"))
+    copy = _line_filter(copies)
+    # lines that the filter of copies holds only by chance
+    rescued = _line_filter(named.select("doc", "line").mapInArrow(_passing(copy), "doc long, line long")
+                           .join(copies.select("doc", "line"), ["doc", "line"], "left_anti"))
+    release(docs.sparkSession)
+    shared = rows.mapInArrow(_post(counts, copy, rescued, None), "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    posted = rows.mapInArrow(_post(counts, copy, rescued, membership(shared, "key", KEY_BITS)), "key long, doc long, line long, n long, pos long")
+
     by_key = W.partitionBy("key").orderBy("doc", "line")
-    entry = F.struct(*(F.col(c).alias(f"e_{c}") for c in ("doc", "line", "n", "pos", "s")))
+    entry = F.struct(*(F.col(c).alias(f"e_{c}") for c in ("doc", "line", "n", "pos")))
     lists = cut_lineage(posted.withColumn("rank", F.row_number().over(by_key))
                         .withColumn("more", F.lead(F.lit(True)).over(by_key))
                         .withColumn("e", F.first(entry).over(by_key))
                         .where("rank > 1 or more").drop("more").select("*", "e.*").drop("e"))
-    pair = ["doc", "line", "e_doc", "e_line"]
-    tested = lists.where("rank > 1").where(_possible())
-    removed = None
-    first = 2
+    release(docs.sparkSession)
+    removed = copies
+    tested = cut_lineage(lists.where("rank > 1").where(_possible()).select(*pair).distinct())
+    first, fan = 2, FAN
     while True:
-        same = tested.where("s = e_s and n = e_n").groupBy("doc", "line").agg(F.min(F.struct("e_doc", "e_line")).alias("e"))
-        same = same.select("doc", "line", "e.*")
-        other = cut_lineage(tested.where("not (s = e_s and n = e_n)").select(*pair).distinct()
-                            .join(same, ["doc", "line"], "left_anti"))
-        found = same if other.isEmpty() else same.union(_verified(docs, other))
-        found = cut_lineage(found.groupBy("doc", "line").agg(F.min(F.struct("e_doc", "e_line")).alias("e")).select("doc", "line", "e.*"))
-        removed = found if removed is None else removed.union(found)
-        todo = lists.where(f"rank > {first}").drop("e_doc", "e_line", "e_n", "e_pos", "e_s").join(removed, ["doc", "line"], "left_anti")
-        early = lists.where(f"rank >= {first} and rank < {first + FAN}").select(
-            "key", F.col("rank").alias("e_rank"), *(F.col(c).alias(f"e_{c}") for c in ("doc", "line", "n", "pos", "s")))
-        tested = cut_lineage(todo.join(early, "key").where("rank > e_rank").where(_possible()).select(*pair, "n", "s", "e_n", "e_s").distinct())
-        first += FAN
-        if tested.isEmpty() and todo.where(f"rank > {first}").isEmpty():
+        if not tested.isEmpty():
+            found = _verified(docs, tested).groupBy("doc", "line").agg(F.min(F.struct("e_doc", "e_line")).alias("e")).select("doc", "line", "e.*")
+            removed = removed.union(cut_lineage(found))
+            release(docs.sparkSession)
+        todo = cut_lineage(lists.where(f"rank > {first}").select("key", "doc", "line", "n", "pos", "rank")
+                           .join(removed.select("doc", "line"), ["doc", "line"], "left_anti"))
+        if todo.isEmpty():
             return removed
+        early = lists.where(f"rank >= {first} and rank < {first + fan}").select(
+            "key", F.col("rank").alias("e_rank"), *(F.col(c).alias(f"e_{c}") for c in ("doc", "line", "n", "pos")))
+        tested = cut_lineage(todo.join(early, "key").where("rank > e_rank").where(_possible()).select(*pair).distinct())
+        first, fan = first + fan, 2 * fan
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 from helpers import SCHEMA, edge_docs, edge_rows, later_lines, no_docs, prose, row
 from lingua_spark.llm import line_dedup
+from lingua_spark.llm.common import membership
 
 
 def removed(rows):
@@ -55,9 +56,17 @@ def test_empty_table(spark):
     assert line_dedup.drop_later_lines(no_docs(spark)).columns == no_docs(spark).columns
 
 
-def test_prefixes_are_shared(spark):
-    """Postings hold n - ceil(0.75 n) + 1 shingles a line."""
-    docs = edge_docs(spark)
-    posted = docs.select("doc_id", "text").mapInArrow(line_dedup._post(line_dedup.shingle_counts(docs)), "key long, doc long, line long, n long, pos long, s long")
-    for r in posted.groupBy("doc", "line", "n", "s").count().collect():
-        assert r["count"] % (r["n"] - -(-75 * r["n"] // 100) + 1) == 0
+def test_prefixes(spark):
+    """A line posts n - ceil(0.75 n) + 1 shingles."""
+    rows = edge_docs(spark).select("doc_id", "text")
+    lines = rows.mapInArrow(line_dedup._lines, "doc long, line long, n long, s long, t long")
+    none = line_dedup._line_filter(lines.where("false"))
+    post = line_dedup._post(line_dedup.shingle_counts(lines), none, none, None)
+    want = sum(r["n"] - -(-75 * r["n"] // 100) + 1 for r in lines.where("doc is not null").collect())
+    assert rows.mapInArrow(post, "key long").count() == want
+
+
+def test_full_filters_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEY_BITS", 64)
+    monkeypatch.setattr(line_dedup, "membership", lambda df, c, bits=64: membership(df, c, 64))
+    check(spark, edge_rows())
