@@ -1,8 +1,9 @@
 """Near-duplicate lines by an exact set-similarity join (operator 3).
 
 A line (between line feeds) is the set of its five-word shingles, words being runs of bytes other than ASCII
-white space, A-Z as a-z. Lines of fewer than five words hold no shingle and are left alone. A line goes when an
-earlier one, by (doc_id, line number), has Jaccard >= 0.75 with it, whether or not that one stays itself.
+white space, A-Z as a-z. A line of one to four words is the set of one shingle, its whole word sequence; lines without
+words are left alone. A line goes when an earlier one, by (doc_id, line number), has Jaccard >= 0.75 with it, whether
+or not that one stays itself.
 
 Join: exact copies fall to one line per set first (a grouped minimum). Shingles are ordered by rarity (corpus counts
 in COUNT_SLOTS hashed slots, then the hash). Two lines at the threshold share a shingle among the first
@@ -49,7 +50,14 @@ def _line_shingles(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     line = np.searchsorted(begins, c.start, side="right") - 1
     h = tk.grams(c.words, tk.SHINGLE)
     whole = line[:len(h)] == line[tk.SHINGLE - 1:] if len(h) else np.zeros(0, bool)
-    return line[:len(h)][whole], h[whole], doc, number
+    lines, hashes = [line[:len(h)][whole]], [h[whole]]
+    first = _starts(line) if len(line) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(line)))
+    for k in range(1, tk.SHINGLE):  # short lines: their words alone, one after the other
+        at = first[size == k]
+        lines.append(line[at])
+        hashes.append(tk.grams(c.words[(at[:, None] + np.arange(k)).ravel()], k)[::k])
+    return np.concatenate(lines), np.concatenate(hashes), doc, number
 
 
 def _ordered(line: np.ndarray, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
