@@ -27,7 +27,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"         # [0-9a-f]+ of 24 characters or more
 MIN_TOKEN = 20
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+={{0,2}}"
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+={{0,2}}"
 
 #: Chance that two, and three, characters of text are equal; for hex digits, of words spelt in them.
 TEXT_PAIRS, TEXT_TRIPLES = 0.066, 0.0055
