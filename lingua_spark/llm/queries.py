@@ -15,6 +15,7 @@ from lingua_spark.llm.near_dup import near_duplicates
 from lingua_spark.llm.secrets import secret_digests
 from lingua_spark.llm.toxicity import toxicity
 from lingua_spark.llm.warc import round_trip
+from lingua_spark.llm.whitening import whiten
 
 
 def word_tokenizer() -> str:
@@ -68,6 +69,10 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_whitening(spark, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

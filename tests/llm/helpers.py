@@ -85,7 +85,7 @@ def line_sets(rows):
         if d is None:
             continue
         for k, line in enumerate((t or "").split("\n")):
-            if len(words(line)) >= 5:
+            if words(line):
                 out[d, k] = shingles(line)
     return out
 
