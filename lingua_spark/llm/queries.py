@@ -9,6 +9,7 @@ from lingua_spark.llm.chat import conflict_rows, conversation_digests
 from lingua_spark.llm.common import read
 from lingua_spark.llm.decontamination import decontaminate
 from lingua_spark.llm.fingerprints import compare_with_edits
+from lingua_spark.llm.lexical_search import search
 from lingua_spark.llm.line_dedup import removed_lines
 from lingua_spark.llm.lm_scoring import pseudo_likelihood
 from lingua_spark.llm.near_dup import near_duplicates
@@ -73,6 +74,10 @@ def op11_whitening(spark, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,6 +135,20 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(length('### : </turn>') + 1 + case when odd then length(sr) + length(st) else length(role) + length(text) end)::bigint as formatted_chars
 from u group by conv_id""",
+    "op12_lexical_search": rf"""
+with dt as (
+  select doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from documents),
+bt as (
+  select item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from benchmark),
+lens as (select doc_id, count(*) n from dt group by 1),
+total as (select count(*) nn, sum(n)::bigint ll from lens),
+tf as (select doc_id, t, count(*) c from dt where t in (select t from bt) group by 1, 2),
+w as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint w from tf, total group by t, nn),
+imp as (select doc_id, t, w * ((1000000000 * c) // (1000 * c + 8 * (100 - 75 + ((75 * n * nn) // ll)))) s
+  from tf join lens using (doc_id) join w using (t), total),
+sc as (select item_id, doc_id, sum(s)::bigint score from bt join imp using (t) group by 1, 2),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) "rank" from sc where score > 0)
+select item_id, "rank", doc_id, score from r where "rank" <= 10""",
     "op10_decontamination": rf"""
 with dw as (
   select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
