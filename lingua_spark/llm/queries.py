@@ -14,6 +14,7 @@ from lingua_spark.llm.line_dedup import removed_lines
 from lingua_spark.llm.lm_scoring import pseudo_likelihood
 from lingua_spark.llm.near_dup import near_duplicates
 from lingua_spark.llm.secrets import secret_digests
+from lingua_spark.llm.substring_dedup import remove_repeats
 from lingua_spark.llm.toxicity import toxicity
 from lingua_spark.llm.warc import round_trip
 from lingua_spark.llm.whitening import whiten
@@ -78,6 +79,11 @@ def op12_lexical_search(spark, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    return (remove_repeats(read(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -91,6 +97,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
     "op12_lexical_search": op12_lexical_search,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,6 +156,14 @@ imp as (select doc_id, t, w * ((1000000000 * c) // (1000 * c + 8 * (100 - 75 + (
 sc as (select item_id, doc_id, sum(s)::bigint score from bt join imp using (t) group by 1, 2),
 r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) "rank" from sc where score > 0)
 select item_id, "rank", doc_id, score from r where "rank" <= 10""",
+    "op13_substring_dedup": r"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (select rid, unnest(range(1, len(ws) - 33)) i, unnest([array_to_string(ws[i:i+34], ' ') for i in range(1, len(ws) - 33)]) g from d where len(ws) >= 35),
+again as (select g from win group by g having count(*) > 1),
+gone as (select rid, list(distinct p) ps from (select rid, unnest(range(i, i + 35)) p from win join again using (g)) group by 1)
+select doc_id, len(ws) n_words, coalesce(len(ps), 0) n_removed,
+  sha256(array_to_string(case when ps is null then ws else [ws[p] for p in range(1, len(ws) + 1) if not list_contains(ps, p)] end, ' ')) kept_sha256
+from d left join gone using (rid)""",
     "op10_decontamination": rf"""
 with dw as (
   select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),

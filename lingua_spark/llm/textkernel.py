@@ -19,6 +19,8 @@ SHINGLE = 5
 
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Byte values for words whose letters keep their case.
+CASED = _TABLE.copy()
 for _c in range(65, 91):  # A-Z count as a-z
     _TABLE[_c] = _TABLE[_c + 32]
 _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
@@ -81,8 +83,8 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray, prefixes: tuple[int, ...] = ()
-              ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def word_scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray, prefixes: tuple[int, ...] = (),
+              table: np.ndarray = _TABLE) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(start byte, hash, hashes of the first bytes) of the words of the documents laid out in data."""
     n = len(data)
     if not n:
@@ -96,7 +98,7 @@ def word_scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray, pre
     begins[:] = ends
     begins[:-1] &= ~inside[1:] | edge[1:n]
     end = np.flatnonzero(begins) + 1
-    value = _TABLE[data]
+    value = table[data]
     value *= _power(_BASE, n)[:n]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
@@ -107,14 +109,14 @@ def word_scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray, pre
     return start, words, heads
 
 
-def chunks(column: pa.Array, word_class: np.ndarray, prefixes: tuple[int, ...] = ()) -> Iterator[Chunk]:
+def chunks(column: pa.Array, word_class: np.ndarray, prefixes: tuple[int, ...] = (), table: np.ndarray = _TABLE) -> Iterator[Chunk]:
     """The documents of a text column, as scanned chunks in order."""
     data, offsets = text_buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
         part, off = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-        start, words, heads = word_scan(part, off, word_class, prefixes)
+        start, words, heads = word_scan(part, off, word_class, prefixes, table)
         yield Chunk(range(i, j), part, off, start, words, np.searchsorted(start, off), heads)
         i = j
 
