@@ -718,25 +718,34 @@ def _log_stream_cols(s):
         FK.epoch_micros("ts", TimestampNTZType()).alias("t_us"))
 
 
-def split_stream(spark, df, part, parts=3):
-    """A stream over `df` written as one file per value of `part` (0 .. parts - 1), rows shuffled within
-    a file, one file per micro-batch in that order."""
+def arrivals(spark, df, part, run, parts=3):
+    """`df` arrives in `parts` portions, each written with as many files as it has tasks: after every arrival
+    `run(stream, base, last)` starts the stream again on its own folder. Returns what the last run returned."""
     import os
     from lingua_spark.streaming.streams import scratch
-    base = scratch(spark, "input")
-    df = df.withColumn("_part", F.least(F.greatest(part.cast("int"), F.lit(0)), F.lit(parts - 1))).withColumn("_mix", F.xxhash64(*df.columns))
+    source, base = scratch(spark, "input"), scratch(spark, "stream")
+    df = df.withColumn("_part", F.least(F.greatest(part.cast("int"), F.lit(0)), F.lit(parts - 1)))
+    out = None
     for k in range(parts):
-        df.filter(F.col("_part") == k).drop("_part").repartition(1).sortWithinPartitions("_mix").drop("_mix") \
-            .write.parquet(os.path.join(base, f"part={k}"))
-    return spark.readStream.schema(df.drop("_part", "_mix").schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "part=*"))
+        df.filter(F.col("_part") == k).drop("_part").write.parquet(os.path.join(source, f"part={k}"))
+        stream = spark.readStream.schema(df.drop("_part").schema).parquet(os.path.join(source, "part=*"))
+        out = run(stream, base, k == parts - 1)
+    return out
 
 
-def log_stream(spark, sf):
-    """The call log in three micro-batches that overlap by up to a day on either side."""
+def log_arrivals(spark, sf, run):
+    """The call log in three portions that overlap by up to a day on either side."""
     log = _log_stream_cols(T.read(spark, sf, "events"))
     lo, hi = log.agg(F.min("t_us"), F.max("t_us")).first()
-    jitter = F.pmod(F.xxhash64("call_id"), F.lit(86_400_000_000))
-    return split_stream(spark, log, (F.col("t_us") + jitter - lo) / F.lit((hi - lo) / 3 + 1))
+    lo, hi = lo or 0, hi or 0
+    jitter = F.col("call_id") * 7919 % 86400 * 1_000_000
+    return arrivals(spark, log, (F.col("t_us") + jitter - lo) / F.lit((hi - lo) / 3 + 1), run)
+
+
+def doc_arrivals(spark, sf, run):
+    docs = T.read(spark, sf, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    return arrivals(spark, docs, F.col("doc_id") * 3 / F.lit((last or 0) + 1), run)
 
 
 @query("st1_stream_translate")
@@ -755,10 +764,8 @@ def st1(spark, sf):
             F.when(F.col("lang") == "es", "fr").otherwise("es").alias("target_lang"),
             F.lit("").alias("provider"), F.lit("").alias("model"), F.lit("").alias("context"),
             F.lit("neutral").alias("tone"), F.lit(True).alias("use_cache"), F.lit(0).alias("alternatives"))
-    docs = T.read(spark, sf, "documents")
-    last = docs.agg(F.max("doc_id")).first()[0]
-    a = stream_translate(split_stream(spark, docs, F.col("doc_id") * 3 / F.lit((last or 0) + 1)), to_requests,
-                         dict(engine="mock", glossary=gl, cache=cache, as_of=F.expr(T.AS_OF)))
+    a = doc_arrivals(spark, sf, lambda stream, base, last: stream_translate(
+        stream, to_requests, dict(engine="mock", glossary=gl, cache=cache, as_of=F.expr(T.AS_OF)), base=base))
     return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
                     "source_language", "target_language", "provider", "model", "cached",
                     F.round("confidence", 6).alias("confidence"),
@@ -792,31 +799,51 @@ def st2(spark, sf):
             (F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'") + F.make_dt_interval(secs=F.col("request_id").cast("int")))
             .alias("created_at"),
             F.lit(None).cast("timestamp_ntz").alias("expires_at"), F.lit(1).alias("tier"))
-    docs = T.read(spark, sf, "documents")
-    last = docs.agg(F.max("doc_id")).first()[0]
-    u = stream_cache_upsert(split_stream(spark, docs, F.col("doc_id") * 3 / F.lit((last or 0) + 1)), cache, to_rows)
+    u = doc_arrivals(spark, sf, lambda stream, base, last: stream_cache_upsert(stream, cache, to_rows, base=base))
     return u.select("key_hash", F.col("response.translation").alias("translation"),
                     F.when(F.col("expires_at").isNull(), "new").otherwise("old").alias("generation"))
 
 
+def _st3(spark, sf, delay_seconds):
+    from lingua_spark.streaming.streams import stream_dedup
+    return log_arrivals(spark, sf, lambda stream, base, last: stream_dedup(
+        stream, "key_hash", "t_us", "call_id", 86400.0, delay_seconds, base=base, close=last, late=True)).select("call_id", "action")
+
+
 @query("st3_stream_dedup")
 def st3(spark, sf):
-    from lingua_spark.streaming.streams import stream_dedup
-    return stream_dedup(log_stream(spark, sf), "key_hash", "t_us", "call_id", 86400.0, 2 * 86400.0).select("call_id", "action")
+    return _st3(spark, sf, 2 * 86400.0)
+
+
+@query("st3_stream_dedup_late")
+def st3_late(spark, sf):
+    """ST-3 with a delay shorter than the portions' overlap: late rows are marked and change nothing."""
+    return _st3(spark, sf, 6 * 3600.0)
 
 
 @query("st4_stream_counts")
 def st4(spark, sf):
     from lingua_spark.streaming.streams import stream_counts
-    s = log_stream(spark, sf).withColumn("ets", F.timestamp_micros("t_us"))
-    c = stream_counts(s, "ets", "tool", "1 day", "3 days")
+    c = log_arrivals(spark, sf, lambda stream, base, last: stream_counts(
+        stream.withColumn("ets", F.timestamp_micros("t_us")), "ets", "tool", "1 day", "3 days", base=base))
     return c.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "tool", "calls")
 
 
+def _st5(spark, sf, delay_seconds):
+    from lingua_spark.streaming.streams import stream_failure_runs
+    return log_arrivals(spark, sf, lambda stream, base, last: stream_failure_runs(
+        stream, 3, delay_seconds, base=base, close=last, late=True)).select("call_id", "provider", "run_len", "tripped")
+
+
 @query("st5_stream_failure_runs")
 def st5(spark, sf):
-    from lingua_spark.streaming.streams import stream_failure_runs
-    return stream_failure_runs(log_stream(spark, sf), 3, 2 * 86400.0).select("call_id", "provider", "run_len", "tripped")
+    return _st5(spark, sf, 2 * 86400.0)
+
+
+@query("st5_stream_failure_runs_late")
+def st5_late(spark, sf):
+    """ST-5 with late rows: they come without a run and are no part of any."""
+    return _st5(spark, sf, 6 * 3600.0)
 
 
 # ---------------------------------------------------------------- landed provider bodies

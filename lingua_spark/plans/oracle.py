@@ -610,6 +610,27 @@ UNION ALL SELECT doc_id, CAST(9 AS BIGINT), 'text', sha256(text) FROM d""")
 
 ORACLE["st3_stream_dedup"] = ORACLE["wn3_ttl_dedup"]
 
+# the portions in which the call log arrives, and the rows below the watermark of those before (delay of 6 hours)
+ARRIVAL = """
+arrival AS (
+  SELECT *, least(greatest(CAST(floor((epoch_us(ts) + call_id * 7919 % 86400 * 1000000 - lo) / ((hi - lo) / 3.0 + 1)) AS INTEGER), 0), 2) AS part
+  FROM all_calls, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM all_calls)),
+marks AS (
+  SELECT p AS part, (max(epoch_us(ts)) // 1000 - 6 * 3600000) * 1000 AS mark
+  FROM arrival, (SELECT unnest([1, 2]) AS p) WHERE part < p GROUP BY p),
+timed AS (SELECT a.*, coalesce(epoch_us(ts) <= mark, false) AS late FROM arrival a LEFT JOIN marks m ON m.part = a.part),
+call_log AS (SELECT * FROM timed WHERE NOT late)"""
+
+
+def with_late_rows(name: str, late_row: str) -> str:
+    body = ORACLE[name].replace("call_log AS (", "all_calls AS (", 1)
+    head, sep, rest = body.partition(Q.derived_ctes({"call_log"}).replace("call_log AS (", "all_calls AS (", 1))
+    return f"{head}{sep},{ARRIVAL}{rest}\nUNION ALL SELECT {late_row} FROM timed WHERE late"
+
+
+ORACLE["st3_stream_dedup_late"] = with_late_rows("wn3_ttl_dedup", "call_id, 'late'")
+ORACLE["st5_stream_failure_runs_late"] = with_late_rows("wn4_failure_runs", "call_id, provider, NULL, NULL")
+
 sql("bt5_translate_detect", f"""WITH {Q.derived_ctes({"requests_d", "gl_version", "providers_d", "glossary_d"})},
 {PROFILES.strip()},
 vt AS (SELECT DISTINCT {Q.norm('text')} AS t FROM documents

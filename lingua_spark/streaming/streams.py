@@ -6,21 +6,19 @@ before it and overwrites its own output, so results are exactly-once. `base` nam
 Given again, it resumes where the stream stopped (checkpoint, state and outputs live in it); without
 it a new folder below the shared checkpoint folder is taken.
 
-ST-3 and ST-5 depend on event order. `ordered_stream` holds rows back until the watermark (latest
-event time seen minus `delay`) has passed them and hands them on in order; rows that arrive after
-their time was handed on are late and go to a table of their own. `close` hands on the rest.
+ST-3 and ST-5 depend on event order: see `ordered`, whose state Spark keeps in the checkpoint.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lingua_spark.session import ensure_checkpoint_dir, list_dir, spread
+from lingua_spark.session import cut_lineage, ensure_checkpoint_dir, list_dir, spread
+from lingua_spark.streaming.ordered import NO_TIME, RunsPerSlice, WritesByTtl, rocksdb_state, started, state, with_watermark
 
 #: A cache of a stream is folded into one table every so many batches.
 COMPACT_EVERY = 20
@@ -136,63 +134,36 @@ def stream_cache_upsert(stream: DataFrame, initial_cache: DataFrame, to_rows, na
     return log.before()
 
 
-def ordered_stream(stream: DataFrame, time_us: str, delay_us: int, fn: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
-                   base: str, close: bool) -> None:
-    """Hand a stream's rows to fn in event-time order: fn(rows, carry) -> (output, next carry).
-
-    State per batch, each written once under its id: rows held back, the time handed on so far, the carry."""
-    from lingua_spark.session import cut_lineage
+def _ordered(stream: DataFrame, keys: list, processor, t_us: str, delay_seconds: float, base: str) -> None:
+    """Drain a stream through a processor of `ordered`, writing every batch once."""
     spark = stream.sparkSession
-    state = os.path.join(base, "state")
-
-    def load(what: str, bid: int) -> DataFrame | None:
-        ids = [b for b in _batches(spark, os.path.join(state, what)) if b < bid]
-        return spark.read.parquet(os.path.join(state, what, f"batch={ids[-1]}")) if ids else None
-
-    def step(rows: DataFrame | None, bid: int, upto: int | None) -> None:
-        held, clock, carry = (load(w, bid) for w in ("held", "clock", "carry"))
-        done = clock.first()[0] if clock is not None else None
-        if rows is not None:
-            if done is not None:
-                _write(rows.filter(F.col(time_us) <= done), base, "late", f"batch={bid}")
-                rows = rows.filter(F.col(time_us) > done)
-            held = rows if held is None else held.unionByName(rows)
-        held = cut_lineage(held)
-        if upto is None:
-            newest = held.agg(F.max(time_us)).first()[0]
-            upto = max(x for x in (done, newest - delay_us if newest is not None else None, -(1 << 62)) if x is not None)
-        out, carry = fn(held.filter(F.col(time_us) <= upto), carry)
-        carry = cut_lineage(carry)
-        _write(out, base, "out", f"batch={bid}")
-        _write(held.filter(F.col(time_us) > upto), state, "held", f"batch={bid}")
-        _write(carry, state, "carry", f"batch={bid}")
-        _write(spark.range(1).select(F.lit(upto).cast("long").alias("t")), state, "clock", f"batch={bid}")
-
-    drain(stream.writeStream.foreachBatch(lambda bdf, bid: step(bdf, bid, None)), base)
-    ids = _batches(spark, os.path.join(base, "out"))
-    if close and ids:
-        step(None, ids[-1] + 1, (1 << 62))
+    timed = with_watermark(stream, t_us, int(delay_seconds * 1_000_000))
+    out = timed.groupBy(*keys).transformWithStateInPandas(processor, processor.output, "Append", "EventTime")
+    with rocksdb_state(spark):
+        drain(out.writeStream.foreachBatch(lambda b, bid: _write(b, base, "out", f"batch={bid}")), base)
 
 
 def stream_dedup(stream: DataFrame, key: str, time_us: str, id_col: str, ttl_seconds: float, delay_seconds: float,
-                 name: str = "dedup", base: str | None = None, close: bool = True) -> DataFrame:
+                 name: str = "dedup", base: str | None = None, close: bool = True, late: bool = False) -> DataFrame:
     """ST-3: WN-3 over a stream: (key, id, time, action), 'write' when no write of the key happened within the
-    ttl before, else 'hit'. The last write per key is carried; a row of it opens the next batch's fold."""
+    ttl before, else 'hit'. With `late`, late rows come too, with that action. With `close`, rows still held are
+    answered as if nothing came any more; they stay held, so a stream started again answers them anew."""
     from lingua_spark.operators.cache import ttl_dedup
     spark = stream.sparkSession
     base = base or scratch(spark, name)
-    cols = [F.col(key), F.col(id_col).cast("long").alias(id_col), F.col(time_us).cast("long").alias(time_us)]
-    marker = -(1 << 62)
-
-    def fn(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        from lingua_spark.session import cut_lineage
-        nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        both = rows if carry is None else rows.unionByName(carry.select(key, F.lit(marker).alias(id_col), time_us)).repartition(nparts, key)
-        done = cut_lineage(ttl_dedup(both, ttl_seconds, key=key, ts_micros=time_us, id_col=id_col))
-        writes = done.filter("action = 'write'").groupBy(key).agg(F.max(time_us).alias(time_us))
-        return done.filter(F.col(id_col) != marker), writes
-    ordered_stream(stream.select(*cols), time_us, int(delay_seconds * 1_000_000), fn, base, close)
-    return _outputs(spark, base, f"{key} string, {id_col} long, {time_us} long, action string").drop("batch")
+    rows = stream.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(time_us).cast("long").alias("t_us"))
+    _ordered(rows, ["key"], WritesByTtl(int(round(ttl_seconds * 1_000_000))), "t_us", delay_seconds, base)
+    done = _outputs(spark, base, WritesByTtl.output).drop("batch")
+    if close and started(spark, base):
+        marker = -(1 << 62)  # the key's last write opens the fold of what is held
+        with rocksdb_state(spark):
+            held = state(spark, base, "held").select("key.key", "list_element.id", "list_element.t_us")
+            last = state(spark, base, "last").select("key.key", F.lit(marker).alias("id"), "value.t_us")
+            both = cut_lineage(held.unionByName(last.join(held.select("key").distinct(), "key", "left_semi")))
+        rest = ttl_dedup(both, ttl_seconds, key="key", ts_micros="t_us", id_col="id").filter(F.col("id") != marker)
+        done = done.unionByName(rest.select("key", "id", "t_us", "action"))
+    done = done if late else done.filter("action <> 'late'")
+    return done.select(F.col("key").alias(key), F.col("id").alias(id_col), F.when(F.col("t_us") != NO_TIME, F.col("t_us")).alias(time_us), "action")
 
 
 def stream_counts(stream: DataFrame, ts_col: str, by: str, window: str, delay: str, name: str = "counts",
@@ -210,18 +181,36 @@ def stream_counts(stream: DataFrame, ts_col: str, by: str, window: str, delay: s
 
 
 def stream_failure_runs(stream: DataFrame, threshold: int, delay_seconds: float = 0.0, name: str = "runs",
-                        base: str | None = None, close: bool = True) -> DataFrame:
-    """ST-5: WN-4 over a stream of (call_id, provider, ok, t_us), with each provider's current run carried."""
+                        base: str | None = None, close: bool = True, slice_seconds: float = 3600.0, late: bool = False) -> DataFrame:
+    """ST-5: WN-4 over a stream of (call_id, provider, ok, t_us).
+
+    The state is kept per (provider, time slice), so a provider that makes all calls is spread over its slices; the
+    run that goes on from one slice to the next is added when the result is read, from one summary row per slice.
+    `close` and `late` as in ST-3; late rows have no run."""
     from lingua_spark.operators.windows import failure_runs
     spark = stream.sparkSession
     base = base or scratch(spark, name)
-
-    def fn(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        from lingua_spark.session import cut_lineage
-        runs = cut_lineage(failure_runs(rows.withColumn("ts", F.timestamp_micros("t_us")), threshold, start=carry))
-        last = runs.groupBy("provider").agg(F.max_by("run_len", F.struct("t_us", "call_id")).alias("run"))
-        if carry is not None:
-            last = last.unionByName(carry.join(last, "provider", "left_anti"))
-        return runs.select("call_id", "provider", "run_len", "tripped"), last
-    ordered_stream(stream.select("call_id", "provider", "ok", "t_us"), "t_us", int(delay_seconds * 1_000_000), fn, base, close)
-    return _outputs(spark, base, "call_id long, provider string, run_len long, tripped boolean").drop("batch")
+    width = int(slice_seconds * 1_000_000)
+    rows = stream.select("provider", F.floor(F.coalesce("t_us", F.lit(NO_TIME)) / F.lit(width)).cast("long").alias("slice"),
+                         F.col("t_us").cast("long"), F.col("call_id").cast("long"), "ok")
+    _ordered(rows, ["provider", "slice"], RunsPerSlice(width), "t_us", delay_seconds, base)
+    out = _outputs(spark, base, RunsPerSlice.output).drop("batch")
+    done = out.filter("not late")
+    per = done.groupBy("provider", "slice").agg(F.coalesce(F.max("ok"), F.lit(False)).alias("any_ok"), F.max_by("run", F.struct("t_us", "call_id")).alias("tail"))
+    so_far = Window.partitionBy("provider").orderBy("slice")
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    per = (per.withColumn("total", F.sum("tail").over(so_far)).withColumn("at_ok", F.when(F.col("any_ok"), F.col("total") - F.col("tail")))
+           .withColumn("carry", F.coalesce(F.max("total").over(before), F.lit(0)) - F.coalesce(F.max("at_ok").over(before), F.lit(0))))
+    carries = per.select(F.col("provider").alias("_p"), F.col("slice").alias("_s"), "carry")
+    runs = (done.join(carries, F.col("provider").eqNullSafe(F.col("_p")) & (F.col("slice") == F.col("_s")))
+            .withColumn("run_len", F.when(F.col("ok"), 0).otherwise(F.col("run") + F.when(F.col("head"), F.col("carry")).otherwise(0)).cast("long"))
+            .withColumn("tripped", ~F.col("ok") & (F.col("run_len") == threshold)).select("call_id", "provider", "run_len", "tripped"))
+    if close and started(spark, base):
+        with rocksdb_state(spark):
+            held = cut_lineage(state(spark, base, "held").select("key.provider", "list_element.*"))
+        now = per.groupBy("provider").agg(F.max_by(F.col("tail") + F.when(F.col("any_ok"), 0).otherwise(F.col("carry")), "slice").alias("run"))
+        rest = failure_runs(held.withColumn("ts", F.timestamp_micros("t_us")), threshold, start=now)
+        runs = runs.unionByName(rest.select("call_id", "provider", "run_len", "tripped"))
+    if late:
+        runs = runs.unionByName(out.filter("late").select("call_id", "provider", F.lit(None).cast("long").alias("run_len"), F.lit(None).cast("boolean").alias("tripped")))
+    return runs
