@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from lingua_spark import constants as K
 from lingua_spark.functions.text import normalize_language
 from lingua_spark.operators.ids import range_sorted, sequential_ids
-from lingua_spark.session import cut_lineage
+from lingua_spark.operators.windows import rank_results
+from lingua_spark.session import cut_lineage, written_once
 
 # ASCII word boundary (Go's \b) for Java regex, whose \b is Unicode-aware.
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
-# Above this many entries the per-target arrays are not broadcast but found by joins.
-MAX_BROADCAST_ENTRIES = 5000
-
 
 def load_glossary(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-2: entries need source_term, target_lang and translation; number them in input order
@@ -92,12 +90,15 @@ def prune_fold(c: Column) -> Column:
     return F.translate(lowered, "\u017f\u0131\u212a", "sik")
 
 
-def term_key(term: Column) -> Column:
-    """Longest ASCII word run of the lowered term; '' (never pruned) when the term has none
-    or holds a special letter."""
-    runs = F.regexp_extract_all(F.lower(term), F.lit("([a-z0-9_]+)"), 1)
-    longest = F.aggregate(runs, F.lit(""), lambda acc, r: F.when(F.length(r) > F.length(acc), r).otherwise(acc))
-    return F.when(term.rlike(f"[{SPECIALS}]"), F.lit("")).otherwise(longest)
+def term_runs(term: Column) -> Column:
+    """The ASCII word runs of the folded term."""
+    return F.array_distinct(F.regexp_extract_all(prune_fold(term), F.lit("([a-z0-9_]+)"), 1))
+
+
+def anchor_fold(c: Column) -> Column:
+    """Case folding of one or two letters of any script: letters that match each other case-insensitively
+    fold alike."""
+    return F.translate(F.lower(F.upper(F.translate(c, "\u1e9e", "\u00df"))), "\u03c2", "\u03c3")
 
 
 def placeholder(rank: Column) -> Column:
@@ -105,108 +106,89 @@ def placeholder(rank: Column) -> Column:
 
 
 def ranked_entries(targets: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Rows (target_lang, rank, placeholder, pattern, term, translation) for each target in `targets`.
+    """Rows (target_lang, rank, placeholder, pattern, term, translation, case_sensitive) for each target in `targets`.
 
-    Each target looks up its own entries and the global ones through an equi join on a
-    two-element key list, so no cross join is needed. Rank = byte length desc, entry_no asc.
+    Each target looks up its own entries and the global ones through an equi join on a two-element key list, so no
+    cross join is needed. Rank = byte length desc, entry_no asc; ranks come from range buckets, so a target with very
+    many entries is not ranked by one task. The rows are written once.
     """
     keys = (targets.select("target_lang").distinct()
             .withColumn("gl_key", F.explode(F.array(F.col("target_lang"), F.lit("")))))
     g = glossary.select(F.col("target_lang").alias("gl_key"), "entry_no", "source_term", "translation",
                         "case_sensitive")
-    joined = keys.join(g, "gl_key")
-    w = Window.partitionBy("target_lang").orderBy(F.octet_length("source_term").desc(), F.col("entry_no").asc())
-    return (joined.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    ranked = rank_results(keys.join(g, "gl_key").withColumn("_bytes", F.octet_length("source_term")),
+                          part="target_lang", score="_bytes", id_col="entry_no")
+    return (ranked.withColumn("rank", (F.col("result_rank") - 1).cast("int"))
             .select("target_lang", "rank", placeholder(F.col("rank")).alias("placeholder"),
                     term_pattern(F.col("source_term"), F.col("case_sensitive")).alias("pattern"),
-                    F.col("source_term").alias("term"), "translation", term_key(F.col("source_term")).alias("key")))
-
-
-GLOSS_TYPE = "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"
+                    F.col("source_term").alias("term"), "translation", "case_sensitive"))
+
+
+GLOSS_TYPE = "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string>>"
+
+
+def entry_anchors(ranked: DataFrame) -> DataFrame:
+    """`ranked` with the lookup keys under which a text finds an entry (see text_anchors): the rarest of its ASCII
+    word runs among the entries of the target, also as that run's first three characters; without a run, its first two
+    characters. Each kind of key has its own prefix."""
+    runs = ranked.select("target_lang", "rank", F.explode(term_runs(F.col("term"))).alias("_run"))
+    often = runs.groupBy("target_lang", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (runs.join(often, ["target_lang", "_run"]).groupBy("target_lang", "rank")
+              .agg(F.min_by("_run", F.struct("_n", -F.length("_run"), "_run")).alias("_run")))
+    keyed = ranked.join(rarest, ["target_lang", "rank"], "left")
+    by_run = F.array(F.concat(F.lit("t"), "_run"), F.concat(F.lit("g"), F.substring("_run", 1, 3)))
+    by_start = F.array(F.concat(F.lit("a"), anchor_fold(F.substring("term", 1, 2))))
+    keys = F.array_append(F.when(F.col("_run").isNotNull(), by_run).otherwise(by_start), F.concat(F.lit("p"), F.col("rank").cast("string")))
+    return keyed.withColumn("_key", F.explode(keys)).drop("_run")
+
+
+def text_anchors(text: Column) -> Column:
+    """Keys of the entries that may match a text (a superset of those that do).
+
+    A match begins and ends at an ASCII word boundary. So an entry with an ASCII word run has that run as one of the
+    text's tokens; where the text holds a letter that folds onto ASCII (`SPECIALS`) its tokens may be cut, and the run is
+    only known to occur, so its first three characters are looked up among the text's grams instead. An entry
+    without such a run begins after a word character: one key per end of a token. Placeholders in the text keep their
+    entries, since restoring replaces them."""
+    tokens = F.transform(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: F.concat(F.lit("t"), x))
+    folded = prune_fold(text)
+    grams = F.transform(F.flatten(F.array(*[F.regexp_extract_all(folded, F.lit(f"(?=([a-z0-9_]{{{k}}}))"), 1) for k in (1, 2, 3)])),
+                        lambda x: F.concat(F.lit("g"), x))
+    starts = F.regexp_extract_all(text, F.lit(r"(?<=[A-Za-z0-9_])(?=([^A-Za-z0-9_]{1,2}))"), 1)
+    two = F.transform(starts, lambda x: F.concat(F.lit("a"), anchor_fold(x)))
+    one = F.transform(starts, lambda x: F.concat(F.lit("a"), anchor_fold(F.substring(x, 1, 1))))
+    marks = F.transform(F.regexp_extract_all(text, F.lit(f"{K.PLACEHOLDER_PREFIX}([0-9]+){K.PLACEHOLDER_SUFFIX}"), 1), lambda x: F.concat(F.lit("p"), x))
+    by_run = F.when(text.rlike(f"[{SPECIALS}]"), grams).otherwise(tokens)
+    return F.array_distinct(F.concat(by_run, two, one, marks))
 
 
 def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss", row_id: str | None = None,
-                 text_col: str = "text") -> DataFrame:
-    """JN-1: attach the ranked entries of each request's target_lang as an array.
-
-    Small glossary (<= MAX_BROADCAST_ENTRIES, checked): one array per target, broadcast.
-    Large glossary: no per-target array is built; each row gets only its candidate entries
-    (see glossary_candidates), by its unique `row_id` column or one that is written with the
-    rows here. The mask result is the same either way.
-    """
-    if glossary.count() > MAX_BROADCAST_ENTRIES:
-        if row_id is not None:
-            return glossary_candidates(requests, glossary, row_id, text_col, out_col)
+                 text_col: str = "text", ranked: DataFrame | None = None) -> DataFrame:
+    """JN-1: attach to each request the ranked entries of its target_lang that may match its text, as an array.
+
+    One path for glossaries of any size: each text's anchors (see text_anchors) are looked up in the table of entry
+    anchors by one equi join on (target, key), and the entries found are gathered per row. `row_id` names a unique
+    column; without it the rows are numbered and written here. `ranked` takes the rows of ranked_entries, if they
+    are there already."""
+    if row_id is None:
         rows = cut_lineage(requests.withColumn("_row", F.monotonically_increasing_id()))
-        return glossary_candidates(rows, glossary, "_row", text_col, out_col).drop("_row")
-    ranked = ranked_entries(requests, glossary)
-    arrays = (ranked.groupBy("target_lang")
-              .agg(F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern", "term", "translation", "key")))
-                   .alias(out_col)))
-    return (requests.join(F.broadcast(arrays), "target_lang", "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(GLOSS_TYPE))))
-
-
-def glossary_candidates(requests: DataFrame, glossary: DataFrame, row_id: str, text_col: str = "text",
-                        out_col: str = "gloss") -> DataFrame:
-    """JN-1 for large glossaries: per row, only the ranked entries that can match, found with
-    equi joins (the same exact pre-filter as `candidates`, computed relationally):
-      * rows without special letters: the row's distinct ASCII tokens join the entry keys;
-      * rows with special letters: the first 3 characters of the key join the folded
-        text's 1-3 grams, then the whole key is checked as a substring;
-      * entries without a key but with letters that have no case (ideographs, kana, Hebrew, ...)
-        join the text's 1-2 grams of such letters by the first two of theirs, which any match holds;
-      * the other entries without a key (cased non-ASCII letters or symbols alone) meet every row of
-        their target;
-      * placeholders already present in the text keep their entry (restore replaces them).
-    Ranks are the full-glossary ranks (D-4). Candidates are grouped per row_id."""
-    ranked = ranked_entries(requests, glossary)
-    keyed = ranked.filter(F.col("key") != "")
-    keyless = ranked.filter(F.col("key") == "")
-    caseless = keyless.withColumn("_g", F.regexp_extract("term", r"\p{Lo}{1,2}", 0))
-    text = F.col(text_col)
-    rows = requests.select(row_id, "target_lang", text_col, text.rlike(f"[{SPECIALS}]").alias("_sp"))
-    plain = rows.filter(~F.col("_sp")).select(
-        row_id, "target_lang", F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))).alias("key"))
-    c_plain = plain.join(keyed, ["target_lang", "key"]).drop("key")
-    sp = rows.filter(F.col("_sp")).select(row_id, "target_lang", prune_fold(text).alias("_f"))
-    grams = sp.select(row_id, "target_lang", "_f", F.explode(F.array_distinct(F.flatten(F.array(
-        *[F.regexp_extract_all(F.col("_f"), F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in (1, 2, 3)])))).alias("_g"))
-    c_sp = (grams.join(keyed.withColumn("_g", F.substring("key", 1, 3)), ["target_lang", "_g"])
-            .filter(F.instr(F.col("_f"), F.col("key")) > 0).drop("_g", "_f", "key"))
-    letters = rows.select(row_id, "target_lang", F.explode(F.array_distinct(F.array_union(
-        F.regexp_extract_all(text, F.lit(r"(?=(\p{Lo}))"), 1), F.regexp_extract_all(text, F.lit(r"(?=(\p{Lo}{2}))"), 1)))).alias("_g"))
-    c_caseless = letters.join(caseless.filter("_g <> ''"), ["target_lang", "_g"]).drop("_g", "key")
-    c_keyless = (rows.select(row_id, "target_lang").join(caseless.filter("_g = ''").drop("key", "_g"), "target_lang")
-                 .unionByName(c_caseless))
-    lit_ph = rows.select(row_id, "target_lang", F.explode(F.regexp_extract_all(
-        text, F.lit("__TERM_([0-9]+)__"), 1)).alias("_rk")).select(
-        row_id, "target_lang", F.col("_rk").cast("int").alias("rank")).distinct()
-    c_lit = lit_ph.join(ranked.drop("key"), ["target_lang", "rank"])
-    cands = c_plain.unionByName(c_sp).unionByName(c_keyless).unionByName(c_lit).withColumn("key", F.lit(""))
-    per_row = cands.distinct().groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern", "term", "translation", "key")))
-        .alias(out_col))
-    return (requests.join(per_row, row_id, "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast(GLOSS_TYPE))))
-
-
-def candidates(gloss: Column, tokens: Column, folded: Column) -> Column:
-    """Entries that can match a row (exact pre-filter): key '' or, for rows without special
-    letters, key is one of the row's tokens (`tokens`: map token -> true); for rows with
-    special letters, key is a substring of the folded text (`folded`)."""
-    # tokens and folded are each referenced twice, so the optimizer keeps them as columns
-    # computed once per row instead of inlining them into the per-entry lambda
-    return F.filter(gloss, lambda e: (e["key"] == "") | F.when(
-        tokens.isNotNull(), F.map_contains_key(tokens, e["key"])).when(
-        folded.isNotNull(), F.instr(folded, e["key"]) > 0).otherwise(F.lit(False)))
-
-
-def mask_terms(text: Column, gloss: Column, tokens: Column | None = None, folded: Column | None = None) -> Column:
-    """JN-2 mask: replace each entry's whole-word matches by its placeholder, in rank order.
-    With `tokens` / `folded` (columns of their own, see glossary_mask) only candidates run."""
-    entries = candidates(gloss, tokens, folded) if tokens is not None else gloss
-    return F.aggregate(entries, text, lambda acc, e: F.regexp_replace(acc, e["pattern"], e["placeholder"]))
+        return glossary_for(rows, glossary, out_col, "_row", text_col, ranked).drop("_row")
+    if ranked is None:
+        ranked = ranked_entries(requests, glossary)
+    anchors = entry_anchors(ranked.select("target_lang", "rank", "term", "translation", "case_sensitive"))
+    keys = requests.select(row_id, "target_lang", F.explode(text_anchors(F.col(text_col))).alias("_key"))
+    found = keys.join(anchors, ["target_lang", "_key"]).groupBy(row_id).agg(
+        F.array_sort(F.collect_set(F.struct("rank", "term", "translation", "case_sensitive"))).alias("_found"))
+    entries = F.transform("_found", lambda e: F.struct(
+        e["rank"].alias("rank"), placeholder(e["rank"]).alias("placeholder"), term_pattern(e["term"], e["case_sensitive"]).alias("pattern"),
+        e["term"].alias("term"), e["translation"].alias("translation")))
+    return (requests.join(found, row_id, "left")
+            .withColumn(out_col, F.coalesce(entries, F.array().cast(GLOSS_TYPE))).drop("_found"))
+
+
+def mask_terms(text: Column, gloss: Column) -> Column:
+    """JN-2 mask: replace each entry's whole-word matches by its placeholder, in rank order."""
+    return F.aggregate(gloss, text, lambda acc, e: F.regexp_replace(acc, e["pattern"], e["placeholder"]))
 
 
 def restore_terms(text: Column, gloss: Column) -> Column:
@@ -218,16 +200,8 @@ def restore_terms(text: Column, gloss: Column) -> Column:
 
 def glossary_mask(df: DataFrame, text_col: str = "text", gloss_col: str = "gloss",
                   out_col: str = "masked") -> DataFrame:
-    """JN-2 mask with the exact candidate pre-filter (token map or folded text per row)."""
-    text = F.col(text_col)
-    special = text.rlike(f"[{SPECIALS}]")
-    toks = F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
-    tok_map = F.map_from_arrays(toks, F.transform(toks, lambda _: F.lit(True)))
-    return (df.withColumn("_special", special)
-            .withColumn("_tok", F.when(~F.col("_special"), tok_map))
-            .withColumn("_fold", F.when(F.col("_special"), prune_fold(text)))
-            .withColumn(out_col, mask_terms(text, F.col(gloss_col), F.col("_tok"), F.col("_fold")))
-            .drop("_special", "_tok", "_fold"))
+    """JN-2 mask over the entries that JN-1 attached."""
+    return df.withColumn(out_col, mask_terms(F.col(text_col), F.col(gloss_col)))
 
 
 def glossary_restore(df: DataFrame, text_col: str = "translation", gloss_col: str = "gloss",
@@ -236,48 +210,28 @@ def glossary_restore(df: DataFrame, text_col: str = "translation", gloss_col: st
 
 
 def glossary_version_at(requests: DataFrame, glossary: DataFrame, ts_col: str = "ts",
-                        out_col: str = "glossary_version", id_col: str = "request_id") -> DataFrame:
+                        out_col: str = "glossary_version") -> DataFrame:
     """AG-7: number of glossary adds at or before each request's time (as-of count).
 
     Adds with a null time count as added before everything; a request without a time sees
-    the whole glossary. Small glossaries (distinct add times <= MAX_BROADCAST_ENTRIES,
-    checked): adds collapse to one cumulative step per add time and the sorted steps reach
-    every request as a scalar subquery, so there is no join. Larger ones: adds and requests
-    are range-sorted together by time and each request takes the running count of adds
-    before it (partition-local counts plus per-partition offsets), joined back by `id_col`.
+    the whole glossary. The add times and the distinct request times are range-sorted
+    together; each request time takes the running count of adds before it (counts per range bucket, with the
+    buckets' offsets), and the requests look their time up by an equi join, which Spark broadcasts where the
+    times are few. No request is compared with more than its own time.
     """
-    per_t = glossary.groupBy(F.col("added_at").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    if per_t.count() > MAX_BROADCAST_ENTRIES:
-        return _version_by_sort(requests, glossary, ts_col, out_col, id_col)
-    steps = (per_t.withColumn("v", F.sum("n").over(
-        Window.orderBy(F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
-        .agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_steps")))
-    total = glossary.agg(F.count(F.lit(1)).alias("_total"))
-    ts = F.col(ts_col)
-    last = F.aggregate(F.col("_steps"), F.lit(0).cast("long"),
-                       lambda acc, st: F.when(st["t"].isNull() | (st["t"] <= ts), st["v"]).otherwise(acc))
-    ver = F.when(ts.isNull(), F.col("_total")).otherwise(last)
-    return (requests.withColumn("_steps", steps.scalar()).withColumn("_total", total.scalar())
-            .withColumn(out_col, F.coalesce(ver, F.lit(0)).cast("long")).drop("_steps", "_total"))
-
-
-def _version_by_sort(requests: DataFrame, glossary: DataFrame, ts_col: str, out_col: str, id_col: str) -> DataFrame:
-    """Distributed as-of count for large glossaries (see glossary_version_at)."""
-    adds = glossary.select(F.col("added_at").alias("_t"), F.lit(1).alias("_add"), F.lit(None).cast("long").alias("_rid"))
-    reqs = requests.filter(F.col(ts_col).isNotNull()).select(
-        F.col(ts_col).alias("_t"), F.lit(0).alias("_add"), F.col(id_col).cast("long").alias("_rid"))
+    adds = glossary.groupBy(F.col("added_at").alias("_t")).agg(F.count(F.lit(1)).alias("_add"))
+    times = requests.filter(F.col(ts_col).isNotNull()).select(F.col(ts_col).alias("_t")).distinct().withColumn("_add", F.lit(0).cast("long"))
     # adds sort before requests of the same time ("at or before"); null add times first
-    ev = range_sorted(adds.unionByName(reqs), [F.col("_t").asc_nulls_first(), F.col("_add").desc(), F.col("_rid")], "_pid")
-    local = ev.withColumn("_c", F.sum("_add").over(
-        Window.partitionBy("_pid").orderBy(F.col("_t").asc_nulls_first(), F.col("_add").desc(), F.col("_rid"))
-        .rowsBetween(Window.unboundedPreceding, 0)))
+    order = [F.col("_t").asc_nulls_first(), F.col("_add").desc()]
+    ev = range_sorted(adds.unionByName(times), order, "_pid")
+    local = ev.withColumn("_c", F.sum("_add").over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     totals = local.groupBy("_pid").agg(F.sum("_add").alias("_n"))
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     versions = (local.filter(F.col("_add") == 0).join(F.broadcast(offsets), "_pid")
-                .select(F.col("_rid").alias(id_col), (F.col("_off") + F.col("_c")).cast("long").alias("_v")))
+                .select(F.col("_t").alias("_at"), (F.col("_off") + F.col("_c")).cast("long").alias("_v")))
     total = glossary.agg(F.count(F.lit(1)).alias("_total"))
-    return (requests.join(versions, id_col, "left").withColumn("_total", total.scalar())
+    return (requests.join(versions, F.col(ts_col) == F.col("_at"), "left").withColumn("_total", total.scalar())
             .withColumn(out_col, F.coalesce(F.when(F.col(ts_col).isNull(), F.col("_total")).otherwise(F.col("_v")),
                                             F.lit(0)).cast("long"))
-            .drop("_v", "_total"))
+            .drop("_at", "_v", "_total"))

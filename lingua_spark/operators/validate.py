@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lingua_spark import constants as K
 from lingua_spark.functions.text import normalize_text
+from lingua_spark.session import cut_lineage, written_once
 
 
 def validate_requests(df: DataFrame, max_len: int = K.MAX_TEXT_LENGTH, text_col: str = "text") -> DataFrame:
@@ -40,22 +41,25 @@ def build_prompt(language_name: Column, context: Column, tone: Column, listing:
                     F.lit(K.PROMPT_TEXT), masked)
 
 
-def prepare_prompts(df: DataFrame, glossary: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+def prepare_prompts(df: DataFrame, glossary: DataFrame | None = None, text_col: str = "text", row_id: str | None = None) -> DataFrame:
     """FN-12: mask (when a glossary is given), build the prompt and the output budget.
 
     `n_entries`: entries listed in the prompt, all of the target. The listing is one text per
-    target, joined by it; the masks need the entries that occur in the text only (see JN-1)."""
+    target, joined by it; the masks need the entries that occur in the text only (see JN-1).
+    Both come from one ranking of the glossary. `row_id`: see glossary_for."""
     from lingua_spark.operators.chain import language_names
-    from lingua_spark.operators.glossary import glossary_for, glossary_mask, ranked_entries
+    from lingua_spark.operators.glossary import GLOSS_TYPE, glossary_for, glossary_mask, ranked_entries
     if glossary is not None:
-        d = glossary_for(df, glossary)
+        df = written_once(df)
+        ranked = cut_lineage(ranked_entries(df, glossary))
+        d = glossary_for(df, glossary, row_id=row_id, text_col=text_col, ranked=ranked)
         pair = F.struct("rank", F.concat("placeholder", F.lit(" -> "), "translation").alias("t"))
-        listing = (ranked_entries(df, glossary).groupBy("target_lang").agg(F.array_sort(F.collect_list(pair)).alias("_l"))
+        listing = (ranked.groupBy("target_lang").agg(F.array_sort(F.collect_list(pair)).alias("_l"))
                    .select("target_lang", F.array_join("_l.t", "; ").alias("_listing"), F.size("_l").cast("long").alias("n_entries")))
         d = d.join(listing, "target_lang", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0).cast("long")))
     else:
-        d = df.withColumn("_listing", F.lit(None).cast("string")).withColumn("n_entries", F.lit(0).cast("long")).withColumn("gloss", F.array().cast(
-            "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"))
+        d = (df.withColumn("_listing", F.lit(None).cast("string")).withColumn("n_entries", F.lit(0).cast("long"))
+             .withColumn("gloss", F.array().cast(GLOSS_TYPE)))
     d = glossary_mask(d, text_col, "gloss", "masked")
     d = language_names(d, "target_lang", "_lname")
     alts = F.col("alternatives") if "alternatives" in d.columns else F.lit(0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lingua_spark import constants as K
 from lingua_spark.functions import keys as FK
 from lingua_spark.functions import text as FT
+from lingua_spark.session import written_once
 from lingua_spark.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,7 +159,7 @@ def jn1(spark, sf):
 @query("jn2_glossary_mask")
 def jn2(spark, sf):
     from lingua_spark.operators.glossary import glossary_for, glossary_mask, restore_terms
-    g = glossary_for(_valid_requests(spark, sf), T.glossary(spark, sf), row_id="request_id")
+    g = glossary_for(written_once(_valid_requests(spark, sf)), T.glossary(spark, sf), row_id="request_id")
     g = glossary_mask(g, "text", "gloss", "masked")
     return g.select("request_id", F.sha2("masked", 256).alias("masked_hash"),
                     F.regexp_count("masked", F.lit("__TERM_[0-9]+__")).cast("long").alias("n_placeholders"),
@@ -191,7 +192,7 @@ def _prompt_requests(spark, sf):
 @query("fn12_prepare_prompts")
 def fn12(spark, sf):
     from lingua_spark.operators.validate import prepare_prompts
-    p = prepare_prompts(_prompt_requests(spark, sf), T.glossary(spark, sf))
+    p = prepare_prompts(_prompt_requests(spark, sf), T.glossary(spark, sf), row_id="request_id")
     return p.select("request_id", F.sha2("prompt", 256).alias("prompt_hash"), "max_tokens",
                     "n_entries")
 

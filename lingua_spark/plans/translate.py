@@ -22,7 +22,7 @@ from lingua_spark.functions.text import first_nonempty, normalize_language
 from lingua_spark.operators import engines as E
 from lingua_spark.operators.cache import dedup_first, fresh, latest_by_key
 from lingua_spark.operators.chain import chain_array, providers_table, resolve_model
-from lingua_spark.operators.glossary import glossary_for, glossary_mask, glossary_version_at, restore_terms
+from lingua_spark.operators.glossary import GLOSS_TYPE, glossary_for, glossary_mask, glossary_version_at, restore_terms
 from lingua_spark.operators.validate import split_valid, validate_requests
 from lingua_spark.session import cut_lineage
 
@@ -183,8 +183,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     if glossary is not None:
         work = glossary_for(work, glossary, row_id="work_key")
     else:
-        work = work.withColumn("gloss", F.array().cast(
-            "array<struct<rank:int,placeholder:string,pattern:string,term:string,translation:string,key:string>>"))
+        work = work.withColumn("gloss", F.array().cast(GLOSS_TYPE))
     work = (glossary_mask(work, "text", "gloss", "masked")
             .withColumn("chain", chain_array(F.col("provider_name"), known, fallback)))
     pmeta = providers.select(F.col("provider").alias("chain_provider"), F.col("default_model").alias("_pm"),

@@ -75,6 +75,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared checkpoint folder and read again: several readers then evaluate it
+    once, and each reads only the columns it needs."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/lingua-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Tables up to this size are read by as many tasks as they have splits.
 SPREAD_BYTES = 128 * 1024
 

@@ -259,42 +259,47 @@ def test_ttl_dedup_brute_force(spark):
     assert got == exp
 
 
-def test_large_glossary_path_matches_oracle(spark, monkeypatch):
-    """Force the candidate-join path (bound 5) and compare the JN-2 and BT-5 queries with DuckDB."""
-    import duckdb
-
-    import __spark_entry__ as entry
-    from lingua_spark.operators import glossary as G
-    from scripts.check_oracle import TABLES, rows_of
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 5)
-    for name in ("jn2_glossary_mask", "fn12_prepare_prompts", "bt5_translate"):
-        df = entry.queries()[name](spark, sf)
-        cur = con.execute(entry.oracle_sql()[name])
-        dcols = [d[0] for d in cur.description]
-        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, cur.fetchall()), name
-
-
-def test_large_glossary_special_letters(spark, monkeypatch):
+def test_glossary_special_letters(spark):
     from lingua_spark.operators import glossary as G
     g = gloss(spark, [("server", "es", "S", False), ("kb", "es", "K", False), ("日本", "es", "J", False),
-                      ("ещё", "es", "E", False), ("€", "es", "U", True)])
+                      ("ещё", "es", "E", False), ("€", "es", "U", True), ("\u0131\u015f\u0131k", "es", "T", False)])
     req = spark.createDataFrame([(0, "the ſerver and server", "es"), (1, "a\u212ab x 日本 a日本", "es"), (2, "__TERM_1__", "es"),
-                                 (3, "ЕЩЁ ещё € 日本語", "es")],
+                                 (3, "ЕЩЁ ещё € 日本語 xЕЩЁy 5€6", "es"), (4, "an I\u015e\u0131K", "es"), (5, "an I\u015eiK.", "es"), (6, None, "es")],
                                 "id long, text string, target_lang string")
-
-    def run():
-        m = G.glossary_mask(G.glossary_for(req, g, row_id="id"), "text", "gloss", "masked")
-        return {r.id: r.masked for r in m.collect()}
-    small = run()
-    monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 0)
-    large = run()
-    assert small == large
-    assert large[0] == "the ſerver and __TERM_0__"
-    assert large[1] == "a__TERM_4__ x 日本 a日本"
+    m = G.glossary_mask(G.glossary_for(req, g, row_id="id"), "text", "gloss", "masked")
+    got = {r.id: r.masked for r in m.collect()}
+    # ranks by byte length: ışık, then server, 日本, ещё (6 bytes each), €, kb
+    assert got == {0: "the ſerver and __TERM_1__", 1: "a__TERM_5__ x 日本 a日本", 2: "__TERM_1__", 3: "ЕЩЁ ещё € 日本語 x__TERM_3__y 5__TERM_4__6",
+                   4: "an __TERM_0__", 5: "an __TERM_0__.", 6: None}
+    assert [len(r.gloss) for r in m.filter("id = 2").collect()] == [1]  # a placeholder keeps its entry
+
+
+def test_glossary_candidates_are_few(spark):
+    """2,000 Cyrillic terms on plain Cyrillic rows: no entry can match, and none is compared."""
+    words = [f"{a}{b}{c}" for a in "абвгдежз" for b in "ийклмнопрс" for c in "туфхцчшщъыьэюяабвгдежзийк"]
+    g = gloss(spark, [(w, "es", "x", False) for w in words])
+    req = spark.createDataFrame([(i, " ".join(words[i::7]), "es") for i in range(500)], "id long, text string, target_lang string")
+    found = glossary_for(req, g, row_id="id")
+    assert found.select(F.sum(F.size("gloss"))).first()[0] == 0 and g.count() == 2000
+    joined = req.withColumn("text", F.concat(F.lit("x"), F.lit(words[5]), F.lit("y")))
+    found = glossary_for(joined, g, row_id="id")
+    assert found.select(F.max(F.size("gloss"))).first()[0] <= 30  # those that begin with the same two letters
+
+
+def test_glossary_mask_against_all_entries(spark):
+    """The looked-up entries give what running every entry of the target gives, on mixed scripts."""
+    import random
+    from lingua_spark.operators.glossary import mask_terms, ranked_entries
+    rnd = random.Random(4)
+    bits = ["ab", "AB", "c", "d_e", "9", "é", "É", "ß", "ẞ", "ς", "Σ", "日", "本", "ſ", "K", "k", "İ", "i", "-", ".", "+", " ", "  ", "\n", "\\E"]
+    terms = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 4))) for _ in range(120)]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
+    g = gloss(spark, [(t, rnd.choice(["es", "", "fr"]), "x", rnd.random() < 0.3) for t in terms])
+    req = spark.createDataFrame([(i, t, rnd.choice(["es", "fr"])) for i, t in enumerate(texts)], "id long, text string, target_lang string")
+    got = {r.id: r.masked for r in glossary_mask(glossary_for(req, g, row_id="id"), "text", "gloss", "masked").collect()}
+    every = (ranked_entries(req, g).groupBy("target_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "placeholder", "pattern"))).alias("gloss")))
+    want = {r.id: r.masked for r in req.join(every, "target_lang").select("id", mask_terms(F.col("text"), F.col("gloss")).alias("masked")).collect()}
+    assert got == want and sum(v != t for v, t in zip(map(want.get, range(150)), texts)) > 50
 
 
 def test_tm_search_language_filters_brute_force(spark):
@@ -397,17 +402,26 @@ def test_rank_results_full_and_topk(spark):
     assert top == {key: v for key, v in exp.items() if v <= 5}
 
 
-def test_glossary_version_sort_path(spark, monkeypatch):
+def test_glossary_version_as_of(spark):
     from lingua_spark.operators import glossary as G
     g = spark.createDataFrame([(i, f"t{i}", "es", "x", "", False, f"2024-01-01 00:0{i}:00") for i in range(1, 6)] +
                               [(9, "n", "es", "x", "", False, None)], GL.replace("added_at timestamp", "added_at string")) \
         .withColumn("added_at", F.to_timestamp("added_at"))
-    req = spark.createDataFrame([(1, "2024-01-01 00:00:30"), (2, "2024-01-01 00:03:00"), (3, None), (4, "2023-12-31 00:00:00")],
+    req = spark.createDataFrame([(1, "2024-01-01 00:00:30"), (2, "2024-01-01 00:03:00"), (3, None), (4, "2023-12-31 00:00:00"), (2, "2024-01-01 00:03:00")],
                                 "request_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
-    small = {r.request_id: r.glossary_version for r in G.glossary_version_at(req, g).collect()}
-    monkeypatch.setattr(G, "MAX_BROADCAST_ENTRIES", 1)
-    big = {r.request_id: r.glossary_version for r in G.glossary_version_at(req, g).collect()}
-    assert small == big == {1: 1, 2: 4, 3: 6, 4: 1}
+    got = sorted((r.request_id, r.glossary_version) for r in G.glossary_version_at(req, g).collect())
+    assert got == [(1, 1), (2, 4), (2, 4), (3, 6), (4, 1)]
+
+
+def test_glossary_version_of_many_adds(spark):
+    """100,000 adds, nine tenths of them within one second."""
+    t = F.when(F.col("id") < 90_000, F.col("id") * 10).otherwise(F.col("id") * 1_000_000)
+    g = spark.range(100_000).select((F.col("id") + 1).alias("entry_no"), F.timestamp_micros(t).alias("added_at"))
+    req = spark.range(0, 200_000, 37).select(F.col("id").alias("request_id"), F.timestamp_micros(F.col("id") * 777_777).alias("ts"))
+    times = sorted([i * 10 for i in range(90_000)] + [i * 1_000_000 for i in range(90_000, 100_000)])
+    import bisect
+    got = glossary_version_at(req, g).collect()
+    assert len(got) == 5406 and all(r.glossary_version == bisect.bisect_right(times, r.request_id * 777_777) for r in got)
 
 
 def test_translate_cache_hit_unique_cache(spark):
