@@ -40,9 +40,9 @@ from lingua_spark.llm.common import cut_lineage, member, membership, release
 WINDOW = 35
 RUN = 8
 #: Pieces of a tree, about, and pieces beyond which a group is split by whole windows.
-GROUP, HEAVY = 16384, 4096
+GROUP, HEAVY = 4096, 1024
 #: Windows of heavy groups that a scan combines at a time.
-COMBINE = 1 << 18
+COMBINE = 1 << 17
 #: Bits of a filter per member, and at most (16 MB). A filter that fills up lets more pass; the result stays the same.
 BITS_EACH, MOST_BITS = 32, 1 << 27
 
