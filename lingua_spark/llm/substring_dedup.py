@@ -39,8 +39,9 @@ from lingua_spark.llm.common import cut_lineage, member, membership, release
 
 WINDOW = 35
 RUN = 8
-#: Pieces of a tree, about, and pieces beyond which a group is split by whole windows.
-GROUP, HEAVY = 4096, 1024
+#: Pieces of a tree, about, and pieces beyond which a group is split by whole windows: what a task holds in memory (a piece
+#: has 48 words on average, 62 at most, and a word takes about 100 bytes while a tree is sorted).
+GROUP, HEAVY = 4096, 8192
 #: Windows of heavy groups that a scan combines at a time.
 COMBINE = 1 << 17
 #: Bits of a filter per member, and at most (16 MB). A filter that fills up lets more pass; the result stays the same.
@@ -295,12 +296,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans), body], ["doc_id", "n_words", "n_removed", "removed", "kept"])
 
 
-def _having(bitmap, wanted: bool):
-    """Rows (text, doc_id, t, ...) whose text the filter may hold, or all others."""
+def _having(bitmap):
+    """Rows (text, doc_id, t, ...) whose text the filter may hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            yield batch.filter(pa.array(member(bits, batch.column(2).to_numpy()) == wanted))
+            yield batch.filter(pa.array(member(bits, batch.column(2).to_numpy())))
+    return run
+
+
+def _uncut(bitmap):
+    """Results of all other rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            left = batch.filter(pa.array(~member(bits, batch.column(2).to_numpy())))
+            yield from _cut(iter([left.select(["text", "doc_id"])]))
     return run
 
 
@@ -312,8 +323,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
     with_repeats = membership(found, "t", 1 << 25)
     columns = rows.select("text", "doc_id", "t", "u")
-    clean = columns.mapInArrow(_having(with_repeats, False), columns.schema).select("text", "doc_id").mapInArrow(_cut, kind)
+    clean = columns.mapInArrow(_uncut(with_repeats), kind)
     none = F.array().cast("array<struct<a: bigint, b: bigint>>")
-    others = (columns.mapInArrow(_having(with_repeats, True), columns.schema).join(found, ["t", "u"], "left")
+    others = (columns.mapInArrow(_having(with_repeats), columns.schema).join(found, ["t", "u"], "left")
               .select("text", "doc_id", F.coalesce("ranges", none).alias("ranges")).mapInArrow(_cut, kind))
     return clean.unionByName(others)
