@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from lingua_spark import constants as K
 
-# Unicode space class of a trim: Java \s plus vertical tab, NEL and every Z category char.
-_USPACE = r"[\s\x0B\x{85}\p{Z}]"
-TRIM_RE = rf"^{_USPACE}+|{_USPACE}+$"
-# Inner whitespace runs: the four ASCII controls and space (no vertical tab).
-WS_RUN_RE = r"[\t\n\f\r ]+"
+# Unicode space of a trim: the ASCII white space with vertical tab, NEL and every character of category Z.
+USPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# Inner white space that is not one space already: ASCII controls and runs (no vertical tab).
+WS_RUN_RE = r"[\t\n\f\r ]{2,}|[\t\n\f\r]"
 
 
 def _c(c) -> Column:
@@ -20,7 +19,7 @@ def _c(c) -> Column:
 
 def utrim(c) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(_c(c), TRIM_RE, "")
+    return F.btrim(_c(c), F.lit(USPACE))
 
 
 def normalize_text(c) -> Column:

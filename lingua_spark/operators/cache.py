@@ -3,8 +3,11 @@ WN-2 capacity, WN-3 ttl dedup, SRC-6 JSON serialisation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lingua_spark import constants as K
 
@@ -29,6 +32,32 @@ def with_expiry(rows: DataFrame, created_at: Column, ttl_seconds) -> DataFrame:
             .withColumn("expires_at", created_at + F.make_dt_interval(secs=ttl.cast("decimal(18,6)"))))
 
 
+def _table(path: str) -> str:
+    return f"lingua_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def write_bucketed(rows: DataFrame, path: str, buckets: int, key: str = "key_hash") -> DataFrame:
+    """`rows` stored at `path` as Parquet, bucketed and sorted by `key`. Lookups and groupings by the key read such a
+    table without shuffling it, whatever its size; only the other side moves."""
+    (rows.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(_table(path)))
+    return rows.sparkSession.table(_table(path))
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: StructType, buckets: int, key: str = "key_hash") -> DataFrame:
+    """A table of `write_bucketed`, also in a session that did not write it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_table(path)} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(_table(path))
+
+
+def drop_bucketed(spark: SparkSession, path: str) -> None:
+    from lingua_spark.session import delete_path
+    spark.sql(f"DROP TABLE IF EXISTS {_table(path)}")
+    delete_path(spark, path)
+
+
 def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """SRC-5: insert-or-replace by key_hash; a row of `new` replaces any stored row of its key.
 
@@ -51,15 +80,32 @@ def fresh(cache: DataFrame, as_of) -> DataFrame:
     return cache.filter(F.col("expires_at").isNull() | (F.col("expires_at") >= t))
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, as_of, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+def live_responses(requests: DataFrame, cache: DataFrame | list[DataFrame], as_of, unique: bool = False) -> DataFrame:
+    """`requests` with the `cached_response` of their key_hash, null without a fresh one.
+
+    `cache`: one table, of which the newest fresh row of a key counts (`unique` declares that no key has two), or the
+    runs of a cache log, newest first and each unique: there the newest run that holds the key decides,
+    whether its row is fresh or not. Every table is joined on key_hash alone, so bucketed ones are not shuffled."""
+    if isinstance(cache, list):
+        names = [f"_run{i}" for i in range(len(cache))]
+        for name, run in zip(names, cache, strict=True):
+            requests = requests.join(run.select("key_hash", F.struct("response", "expires_at").alias(name)), "key_hash", "left")
+        t = F.lit(as_of) if not isinstance(as_of, Column) else as_of
+        row = F.coalesce(*names)
+        alive = row["expires_at"].isNull() | (row["expires_at"] >= t)
+        return requests.withColumn("cached_response", F.when(alive, row["response"])).drop(*names)
+    live = fresh(cache, as_of) if unique else latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
+    return requests.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
+
+
+def cache_lookup(requests: DataFrame, cache: DataFrame, as_of, materialize: bool = True, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """JN-3: (hits, misses) of `requests` against the fresh rows of `cache` by key_hash.
 
     One left equi join on key_hash; hits and misses are its two halves. With materialize
     the joined table is written once to the shared checkpoint folder, so using both
-    outputs does not evaluate the requests and the cache twice.
+    outputs does not evaluate the requests and the cache twice. A cache of write_bucketed is not shuffled.
     """
-    live = latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
-    looked = requests.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
+    looked = live_responses(requests, cache, as_of, unique)
     if materialize:
         from lingua_spark.session import cut_lineage
         looked = cut_lineage(looked)
@@ -99,13 +145,17 @@ def tiered_lookup(requests: DataFrame, tiers: DataFrame, as_of,
 
 
 def dedup_first(requests: DataFrame, key: str = "key_hash", order: list[str] | None = None,
-                id_col: str = "request_id") -> DataFrame:
+                id_col: str = "request_id", materialize: bool = True) -> DataFrame:
     """JN-8 helper: mark the first request of each key (`is_first`, by `order` ascending,
     nulls first; default ts then request_id); later duplicates are answered from the first
     one's result and flagged cached.
 
-    The first id per key is a grouped min_by (partial aggregation collapses a hot key
-    map-side); it joins back on the key, where AQE's skew-join handling can split a hot key."""
+    With materialize the requests are written once; the first id per key is then a grouped min_by that
+    reads key, order and id only (partial aggregation collapses a hot key map-side), and joins back on the
+    key, where AQE's skew-join handling can split a hot key."""
+    if materialize:
+        from lingua_spark.session import written_once
+        requests = written_once(requests)
     order = order or ["ts", id_col]
     firsts = requests.groupBy(key).agg(F.min_by(F.col(id_col), F.struct(*order)).alias("_first_id"))
     return (requests.join(firsts, key).withColumn("is_first", F.col(id_col) == F.col("_first_id"))

@@ -150,16 +150,16 @@ def text_anchors(text: Column) -> Column:
     only known to occur, so its first three characters are looked up among the text's grams instead. An entry
     without such a run begins after a word character: one key per end of a token. Placeholders in the text keep their
     entries, since restoring replaces them."""
-    tokens = F.transform(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: F.concat(F.lit("t"), x))
+    tokens = F.transform(F.array_distinct(F.split(F.lower(text), r"\W+")), lambda x: F.concat(F.lit("t"), x))
     folded = prune_fold(text)
     grams = F.transform(F.flatten(F.array(*[F.regexp_extract_all(folded, F.lit(f"(?=([a-z0-9_]{{{k}}}))"), 1) for k in (1, 2, 3)])),
                         lambda x: F.concat(F.lit("g"), x))
-    starts = F.regexp_extract_all(text, F.lit(r"(?<=[A-Za-z0-9_])(?=([^A-Za-z0-9_]{1,2}))"), 1)
+    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w(\W{1,2})"), 1))
     two = F.transform(starts, lambda x: F.concat(F.lit("a"), anchor_fold(x)))
     one = F.transform(starts, lambda x: F.concat(F.lit("a"), anchor_fold(F.substring(x, 1, 1))))
     marks = F.transform(F.regexp_extract_all(text, F.lit(f"{K.PLACEHOLDER_PREFIX}([0-9]+){K.PLACEHOLDER_SUFFIX}"), 1), lambda x: F.concat(F.lit("p"), x))
     by_run = F.when(text.rlike(f"[{SPECIALS}]"), grams).otherwise(tokens)
-    return F.array_distinct(F.concat(by_run, two, one, marks))
+    return F.concat(by_run, F.array_distinct(F.concat(two, one)), marks)
 
 
 def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss", row_id: str | None = None,

@@ -131,7 +131,7 @@ def flagship(spark, sf):
     gl = T.glossary(spark, sf)
     cache = T.cache_from_labels(spark, sf, gl)
     res = translate(reqs, engine="mock", glossary=gl, cache=cache, as_of=F.expr(T.AS_OF))
-    a = res.answers
+    a = res.results
     return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
                     "source_language", "target_language", "provider", "model", "cached",
                     F.round("confidence", 6).alias("confidence"),
@@ -290,9 +290,11 @@ def src6(spark, sf):
 @query("jn3_cache_lookup")
 def jn3(spark, sf):
     from lingua_spark.operators.cache import cache_lookup
-    gl = T.glossary(spark, sf)
-    hits, misses = cache_lookup(_keyed(spark, sf), T.cache_from_labels(spark, sf, gl).drop("request_id"),
-                                F.expr(T.AS_OF))
+    from lingua_spark.operators.cache import write_bucketed
+    from lingua_spark.streaming.streams import scratch
+    cache = T.cache_from_labels(spark, sf, T.glossary(spark, sf)).drop("request_id")
+    stored = write_bucketed(cache, scratch(spark, "cache"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hits, misses = cache_lookup(_keyed(spark, sf), stored, F.expr(T.AS_OF))
     return (hits.select("request_id", F.lit(True).alias("hit"), F.col("cached_response.translation").alias("translation"))
             .unionByName(misses.select("request_id", F.lit(False).alias("hit"),
                                        F.lit(None).cast("string").alias("translation"))))
@@ -922,7 +924,7 @@ def bt5_detect(spark, sf):
         register_engine("mock", mock_engine(), kind="native")
     reqs = T.requests_from_documents(spark, sf).withColumn("source_lang", F.lit("auto"))
     a = translate(reqs, engine="mock", glossary=T.glossary(spark, sf),
-                  profiles=train_language_profiles(_docs(spark, sf))).answers
+                  profiles=train_language_profiles(_docs(spark, sf))).results
     return a.select("request_id", "key_hash", F.sha2("translation", 256).alias("translation_hash"),
                     "source_language", "target_language", "provider", "model", "cached",
                     F.round("confidence", 6).alias("confidence"),

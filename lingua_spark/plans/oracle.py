@@ -123,6 +123,12 @@ cache_live AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY created_at DESC) AS rn
                  FROM cache_d WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2024-01-01 06:00:00') WHERE rn = 1)"""
 
+# requests that validation refuses: a row with the error alone
+REFUSED = """
+SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, false, NULL, NULL,
+       CASE WHEN ntext = '' THEN 'invalid input: text is empty' ELSE 'invalid input: text exceeds max length' END
+FROM valid WHERE ntext = '' OR length(ntext) > 10000"""
+
 sql("bt5_translate", f""", {KEYED.strip()},
 {CACHE_D.strip()},
 firsts AS (
@@ -146,7 +152,9 @@ SELECT k.request_id, k.key_hash, sha256(b.translation) AS translation_hash, b.so
        b.provider, b.model, b.hit OR k.rn > 1 AS cached, round(b.confidence, 6) AS confidence,
        {Q.tokens('b.translation')} AS est_output_tokens, b.error
 FROM (SELECT *, row_number() OVER (PARTITION BY key_hash ORDER BY ts NULLS FIRST, request_id) AS rn FROM keyed2) k
-JOIN by_key b ON b.key_hash = k.key_hash""", ("requests_d", "gl_version", "providers_d", "glossary_d"))
+JOIN by_key b ON b.key_hash = k.key_hash
+UNION ALL
+{REFUSED.strip()}""", ("requests_d", "gl_version", "providers_d", "glossary_d"))
 
 # glossary ------------------------------------------------------------------------------
 VALID = f"""
@@ -661,4 +669,6 @@ engine AS (
 SELECT k.request_id, k.key_hash, sha256(e.translation) AS translation_hash, k.source_lang AS source_language,
        k.target_lang AS target_language, k.provider_name AS provider, k.model, k.rn > 1 AS cached,
        round(0.9, 6) AS confidence, {Q.tokens('e.translation')} AS est_output_tokens, CAST(NULL AS VARCHAR) AS error
-FROM keyed2 k JOIN engine e ON e.key_hash = k.key_hash""")
+FROM keyed2 k JOIN engine e ON e.key_hash = k.key_hash
+UNION ALL
+{REFUSED.strip()}""")

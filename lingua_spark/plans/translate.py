@@ -20,11 +20,11 @@ from lingua_spark import constants as K
 from lingua_spark.functions.keys import cache_key
 from lingua_spark.functions.text import first_nonempty, normalize_language
 from lingua_spark.operators import engines as E
-from lingua_spark.operators.cache import dedup_first, fresh, latest_by_key
+from lingua_spark.operators.cache import live_responses
 from lingua_spark.operators.chain import chain_array, providers_table, resolve_model
 from lingua_spark.operators.glossary import GLOSS_TYPE, glossary_for, glossary_mask, glossary_version_at, restore_terms
 from lingua_spark.operators.validate import split_valid, validate_requests
-from lingua_spark.session import cut_lineage
+from lingua_spark.session import cut_lineage, written_once
 
 ANSWER_COLUMNS = ["request_id", "key_hash", "translation", "source_language", "target_language", "provider",
                   "model", "cached", "confidence", "alternatives", "input_tokens", "output_tokens", "error"]
@@ -36,6 +36,12 @@ class TranslateResult:
     rejected: DataFrame       # invalid requests with `error`
     cache_updates: DataFrame  # new cache rows (key_hash, response, created_at, expires_at, tier)
 
+    @property
+    def results(self) -> DataFrame:
+        """One row per request: the answers, and the refused requests with their error."""
+        refused = self.rejected.withColumn("cached", F.lit(False))
+        return self.answers.unionByName(refused, allowMissingColumns=True)
+
 
 def keyed_requests(requests: DataFrame, glossary: DataFrame | None = None, providers: DataFrame | None = None,
                    default_provider: str = K.DEFAULT_PROVIDER, max_len: int = K.MAX_TEXT_LENGTH,
@@ -110,49 +116,48 @@ def _engine_for(provider_engines: dict[str, str] | None, default_engine: str):
 
 
 def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: dict[str, str] | None = None,
-              glossary: DataFrame | None = None, cache: DataFrame | None = None, as_of=None,
+              glossary: DataFrame | None = None, cache: DataFrame | list[DataFrame] | None = None, as_of=None,
               known: list[str] | None = None, fallback: list[str] | None = None,
               default_provider: str = K.DEFAULT_PROVIDER, providers: DataFrame | None = None,
               max_len: int = K.MAX_TEXT_LENGTH, ttl_seconds: float = K.DEFAULT_TTL_SECONDS, now=None,
               detected: DataFrame | None = None, profiles: DataFrame | None = None,
               tm: DataFrame | None = None, use_tm: bool = False,
               materialize: bool = True, carry: list[str] | None = None,
-              cache_unique: bool = False) -> TranslateResult:
+              cache_unique: bool = False, answers_once: bool = False) -> TranslateResult:
     """BT-5. `engine` names a registered engine (UD-1) used for every provider unless
     `provider_engines` maps a provider to another one. `known` = configured providers
     (default: the catalogue), `fallback` = fallback order (default: none). `as_of` = the time at
     which cache rows must be alive (default: now). `profiles` / `detected`: see keyed_requests.
     `cache_unique=True` declares the cache one row per key_hash (as cache_upsert keeps it),
-    which skips the latest-row aggregation; stored bucketed by key_hash, the cache then
-    joins without being shuffled."""
+    which skips the latest-row aggregation; stored with write_bucketed, the cache
+    joins without being shuffled. `cache` may also be the runs of a cache log, newest first.
+    `answers_once=True` writes the answer per key once, for callers that use answers and cache updates."""
     spark = requests.sparkSession
     providers = providers if providers is not None else providers_table(spark)
     known = known if known is not None else [r[0] for r in K.PROVIDERS]
     fallback = fallback or []
     keyed, rejected = keyed_requests(requests, glossary, providers, default_provider, max_len, detected, profiles)
-    # One shuffle on key_hash: first request per key, and (when a cache is given) the
-    # left join to the live cache rows on the same key. The result has several consumers
-    # below (hits, misses, the answer join), so it is written once to the shared checkpoint
-    # folder; neither the requests nor the cache table are read or shuffled twice.
     keyed = keyed.withColumn("use_cache", F.coalesce("use_cache", F.lit(True)))
     # a request that opted out of the cache shares nothing: it is keyed by its own id too
     keyed = keyed.withColumn("work_key", F.when(F.col("use_cache"), F.col("key_hash"))
                              .otherwise(F.concat_ws("#", "key_hash", F.col("request_id").cast("string"))))
-    keyed = dedup_first(keyed, "work_key")
+    # The keyed requests, texts included, are evaluated and written once. The first request per key and the
+    # cache lookup read and shuffle their narrow columns; only the texts of cache misses are joined.
+    keyed = written_once(keyed) if materialize else keyed
+    first = F.min_by(F.struct("request_id", "key_hash", "use_cache"), F.struct("ts", "request_id")).alias("_f")
+    looked = keyed.groupBy("work_key").agg(first).select("work_key", F.col("_f.request_id").alias("first_id"), "_f.key_hash", "_f.use_cache")
     use_cache_table = cache is not None
     if use_cache_table:
         as_of = F.current_timestamp() if as_of is None else as_of
-        # a cache maintained by cache_upsert (SRC-5) holds one row per key: no aggregation
-        live = fresh(cache, as_of) if cache_unique else latest_by_key(fresh(cache, as_of), "key_hash", ["created_at"])
-        keyed = keyed.join(live.select("key_hash", F.col("response").alias("cached_response")), "key_hash", "left")
-    keyed = cut_lineage(keyed) if materialize else keyed
+        looked = live_responses(looked, cache, as_of, cache_unique)
+    looked = cut_lineage(looked) if materialize else looked
 
     # exactly one work row per key, even when request ids repeat
-    firsts = keyed.filter("is_first").drop("is_first").dropDuplicates(["work_key"])
+    texts = keyed.withColumnRenamed("request_id", "first_id")
     hit_answers = None
     if use_cache_table:
         is_hit = F.col("use_cache") & F.col("cached_response").isNotNull()
-        hit_answers = firsts.filter(is_hit).select(
+        hit_answers = looked.filter(is_hit).select(
             "work_key", "key_hash", F.col("cached_response.translation").alias("translation"),
             F.col("cached_response.source_language").alias("source_language"),
             F.col("cached_response.target_language").alias("target_language"),
@@ -162,9 +167,14 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
             F.col("cached_response.input_tokens").alias("input_tokens"),
             F.col("cached_response.output_tokens").alias("output_tokens"),
             F.lit(None).cast("string").alias("error"), F.lit(False).alias("store"))
-        misses = firsts.filter(~is_hit).drop("cached_response")
+        missed = looked.filter(~is_hit)
     else:
-        misses = firsts
+        missed = looked
+    wanted = missed.select(F.col("work_key").alias("_wk"), F.col("first_id").alias("_fid"))
+    misses = (texts.join(wanted, (F.col("work_key") == F.col("_wk")) & F.col("first_id").eqNullSafe(F.col("_fid")), "left_semi")
+              .dropDuplicates(["work_key"]))
+    if materialize:
+        misses = cut_lineage(misses)  # read by the glossary lookup, the masks and the engine
 
     if use_tm and tm is not None:
         from lingua_spark.operators.memory import tm_exact
@@ -234,9 +244,12 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     if hit_answers is not None:
         by_key = by_key.unionByName(hit_answers)
 
+    if answers_once:
+        by_key = cut_lineage(by_key)
     carry = carry or []
-    answers = (keyed.select("request_id", "work_key", "is_first", *carry).join(by_key, "work_key")
-               .withColumn("cached", F.col("error").isNull() & (F.col("hit") | ~F.col("is_first")))
+    by_key = by_key.join(looked.select("work_key", "first_id"), "work_key")
+    answers = (keyed.select("request_id", "work_key", *carry).join(by_key, "work_key")
+               .withColumn("cached", F.col("error").isNull() & (F.col("hit") | (F.col("request_id") != F.col("first_id"))))
                .select(*ANSWER_COLUMNS, *carry))
     ts_now = F.current_timestamp() if now is None else F.lit(now)
     updates = by_key.filter(F.col("store") & F.col("error").isNull()).select(

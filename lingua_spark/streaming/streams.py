@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lingua_spark.session import cut_lineage, ensure_checkpoint_dir, list_dir, spread
+from lingua_spark.streaming.cache_log import CacheLog
 from lingua_spark.streaming.ordered import NO_TIME, RunsPerSlice, WritesByTtl, rocksdb_state, started, state, with_watermark
 
-#: A cache of a stream is folded into one table every so many batches.
-COMPACT_EVERY = 20
-
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream over one parquet table (glob form, so a single file is accepted)."""
@@ -62,64 +60,25 @@ def _outputs(spark: SparkSession, base: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("basePath", out).parquet(*[os.path.join(out, f"batch={i}") for i in ids])
 
 
-class CacheLog:
-    """A cache table kept as a base and one table of changed rows per batch, so a batch writes its own
-    rows only. Every COMPACT_EVERY batches base and changes are folded into a new base."""
-
-    def __init__(self, spark: SparkSession, folder: str, initial: DataFrame):
-        self.spark, self.folder = spark, folder
-        if not _batches(spark, folder, "base"):
-            _write(initial, folder, "base=-1")
-        self.schema = spark.read.parquet(os.path.join(folder, f"base={_batches(spark, folder, 'base')[0]}")).schema
-
-    def before(self, batch: int | None = None) -> DataFrame:
-        """The cache as it was before a batch (None: now): changed keys from their last batch, others from the base."""
-        from lingua_spark.operators.cache import latest_by_key
-        end = 1 << 62 if batch is None else batch
-        start = max(b for b in _batches(self.spark, self.folder, "base") if b < end)
-        changes = [b for b in _batches(self.spark, self.folder, "delta") if start < b < end]
-        base = self.spark.read.schema(self.schema).parquet(os.path.join(self.folder, f"base={start}"))
-        if not changes:
-            return base
-        new = None
-        for b in changes:
-            df = self.spark.read.schema(self.schema).parquet(os.path.join(self.folder, f"delta={b}")).withColumn("_v", F.lit(b))
-            new = df if new is None else new.unionByName(df)
-        nparts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        new = latest_by_key(new.repartition(nparts, "key_hash"), "key_hash", ["_v", "created_at"]).select(*self.schema.names)
-        return base.join(new.select("key_hash"), "key_hash", "left_anti").select(*self.schema.names).unionByName(new)
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        from lingua_spark.operators.cache import latest_by_key
-        cols = self.schema.names
-        _write(latest_by_key(rows.select(*cols), "key_hash", ["created_at"]).select(*cols), self.folder, f"delta={batch}")
-        if batch % COMPACT_EVERY == COMPACT_EVERY - 1:
-            _write(self.before(batch + 1), self.folder, f"base={batch}")
-
-
 def stream_translate(stream: DataFrame, to_requests, translate_kwargs: dict, name: str = "translate",
                      base: str | None = None) -> DataFrame:
-    """ST-1: translate every micro-batch; returns the answers. With a cache in `translate_kwargs`, the
-    answers of a batch are in the cache of the next one, so a text is translated once."""
+    """ST-1: translate every micro-batch; returns one row per request, refused ones with their error. With a cache
+    in `translate_kwargs`, the answers of a batch are in the cache of the next one, so a text is translated once.
+    The cache is a `CacheLog`: a batch looks its keys up in the log's runs without shuffling them."""
     from lingua_spark.plans.translate import translate
+    from lingua_spark.schemas import CACHE
     spark = stream.sparkSession
     base = base or scratch(spark, name)
     kwargs = dict(translate_kwargs)
     cache = kwargs.pop("cache", None)
-    log = None
-    if cache is not None:
-        from lingua_spark.schemas import CACHE
-        log = CacheLog(spark, os.path.join(base, "cache"), cache.select(*CACHE.names))
+    log = CacheLog(spark, os.path.join(base, "cache"), cache.select(*CACHE.names)) if cache is not None else None
 
     def run(bdf: DataFrame, bid: int) -> None:
-        more = {"cache": log.before(bid)} if log else {}
-        result = translate(to_requests(spread(bdf)), **kwargs, **more)
-        from lingua_spark.session import cut_lineage
-        answers, updates = cut_lineage(result.answers), result.cache_updates
-        _write(answers, base, "out", f"batch={bid}")
+        more = {"cache": log.runs(bid)} if log else {}
+        result = translate(to_requests(spread(bdf)), **kwargs, **more, answers_once=log is not None)
+        _write(result.results, base, "out", f"batch={bid}")
         if log:
-            cols = log.schema
-            log.write(updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in cols.fields]), bid)
+            log.write(result.cache_updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in log.schema.fields]), bid)
     drain(stream.writeStream.foreachBatch(run), base)
     return spark.read.parquet(os.path.join(base, "out")).drop("batch")
 
@@ -131,7 +90,7 @@ def stream_cache_upsert(stream: DataFrame, initial_cache: DataFrame, to_rows, na
     base = base or scratch(spark, name)
     log = CacheLog(spark, os.path.join(base, "cache"), initial_cache)
     drain(stream.writeStream.foreachBatch(lambda bdf, bid: log.write(to_rows(spread(bdf)), bid)), base)
-    return log.before()
+    return log.table()
 
 
 def _ordered(stream: DataFrame, keys: list, processor, t_us: str, delay_seconds: float, base: str) -> None:
