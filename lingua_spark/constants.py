@@ -83,6 +83,12 @@ ERR_EMPTY_TEXT = "invalid input: text is empty"
 ERR_TOO_LONG = "invalid input: text exceeds max length"
 ERR_INVALID_JSON = "invalid input: invalid json"
 ERR_EMPTY_TRANSLATION = "empty translation"
+ERR_DOCUMENT_FIELDS = "invalid input: content, format and target_language required"
+
+# --- fixed values: patterns that split documents and find a JSON block (Java-compatible as written) ---
+JSON_BLOCK_RE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+FENCE_RE = r"(?s)(```(?:[^\n]*\n)?(.*?)```)"
+TAG_RE = r"(<[^>]+>)"
 
 # --- fixed values: prompt fragments ---
 PROMPT_INTRO = "You are a professional translator. Translate the following text accurately into "

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark import constants as K
+from lingua_spark.constants import FENCE_RE, TAG_RE
 from lingua_spark.functions.text import normalize_text
+from lingua_spark.operators.skew import hot_keys, join_per_key
+from lingua_spark.session import cut_lineage, written_once
 
-# Patterns of the reference's splitters (Java-compatible as written).
-FENCE_RE = r"(?s)(```(?:[^\n]*\n)?(.*?)```)"
-TAG_RE = r"(<[^>]+>)"
 # A JSON string literal (possessive, no backtracking), optionally followed by ':' (a key).
 JSON_STRING_RE = r"(\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"(?:\s*:)?)"
 
@@ -93,14 +93,18 @@ def reassemble(segments: DataFrame, id_col: str = "doc_id", sep: str = "", text_
 
 
 def translate_segments(segments: DataFrame, translate_fn) -> DataFrame:
-    """Run `translate_fn` once per distinct text segment and join the answers back.
+    """Run `translate_fn` once per distinct text segment and join the answers back; segments that very many
+    documents share (menus, footers) are answered by a broadcast of their few answers.
     translate_fn(DataFrame[segment]) -> DataFrame[segment, translation, error]."""
     # structure and whitespace-only pieces (they would normalize to '') pass through verbatim,
     # outside the join
     work = (F.col("kind") == "text") & (normalize_text(F.col("segment")) != "")
     texts = segments.filter(work).withColumn("_h", F.xxhash64("segment"))
     answers = translate_fn(texts.select("segment").distinct()).withColumnRenamed("segment", "_s").withColumn("_h", F.xxhash64("_s"))
-    done = texts.join(answers, ["_h"], "left").filter(F.col("_s").isNull() | (F.col("_s") == F.col("segment")))
+    hot = hot_keys(texts, "_h")
+    if hot:
+        answers = cut_lineage(answers)  # read by two joins, translated once
+    done = join_per_key(texts, answers, "_h", hot, "left").filter(F.col("_s").isNull() | (F.col("_s") == F.col("segment")))
     kept = segments.filter(~work | work.isNull())
     return (done.select(*segments.columns, F.col("translation").alias("out"), "error")
             .unionByName(kept.withColumn("out", F.col("segment"))
@@ -108,24 +112,32 @@ def translate_segments(segments: DataFrame, translate_fn) -> DataFrame:
 
 
 def translate_documents(docs: DataFrame, translate_fn, id_col: str = "doc_id") -> DataFrame:
-    """DC-5: dispatch by format, translate the distinct segments of all documents in one
-    job, reassemble per document. docs: (doc_id, content, format). Unsupported formats
-    fail with 'invalid input: unsupported format ...'."""
-    md = segment_markdown(docs.filter(F.col("format").isin("markdown", "plain")), "content", id_col) \
+    """DC-5: dispatch by format, translate the distinct segments of all documents in one job, reassemble per
+    document. docs: (doc_id, content, format, maybe target_lang); returns (doc_id, output, error), one row per row of
+    docs, also where ids repeat or are null. A document without content, format or target language and one of an
+    unsupported format fail with 'invalid input: ...'."""
+    # rows are numbered and written once: ids may repeat, and every format's splitter reads them
+    rows = written_once(docs.select(id_col, *(c for c in ("content", "format", "target_lang") if c in docs.columns))
+                        .withColumn("_row", F.monotonically_increasing_id()))
+    blank = F.coalesce("content", F.lit("")).eqNullSafe("") | F.coalesce("format", F.lit("")).eqNullSafe("")
+    if "target_lang" in docs.columns:
+        blank = blank | F.coalesce("target_lang", F.lit("")).eqNullSafe("")
+    refused = (F.when(blank, F.lit(K.ERR_DOCUMENT_FIELDS))
+               .when(~F.col("format").isin(*K.DOCUMENT_FORMATS), F.concat(F.lit(f"{K.ERR_INVALID_INPUT}: unsupported format "), F.col("format"))))
+    rows = rows.withColumn("_refused", refused)
+    ok = rows.filter(F.col("_refused").isNull())
+    md = segment_markdown(ok.filter(F.col("format").isin("markdown", "plain")), "content", "_row") \
         .withColumn("_sep", F.lit("\n\n")).withColumn("_json", F.lit(False))
-    tg = segment_tagged(docs.filter(F.col("format").isin("html", "xml")), "content", id_col) \
+    tg = segment_tagged(ok.filter(F.col("format").isin("html", "xml")), "content", "_row") \
         .withColumn("_sep", F.lit("")).withColumn("_json", F.lit(False))
-    js = segment_json(docs.filter(F.col("format") == "json"), "content", id_col) \
+    js = segment_json(ok.filter(F.col("format") == "json"), "content", "_row") \
         .withColumn("_sep", F.lit("")).withColumn("_json", F.lit(True))
     # the segment table feeds both the distinct-segment translation and the join back:
     # written once to the shared checkpoint folder rather than split twice
-    from lingua_spark.session import cut_lineage
-    segs = cut_lineage(md.unionByName(tg).unionByName(js))
+    segs = written_once(md.unionByName(tg).unionByName(js))
     tr = translate_segments(segs, translate_fn)
     tr = tr.withColumn("out", F.when(F.col("_json") & (F.col("kind") == "text"), requote_json(F.col("out")))
                        .otherwise(F.col("out")))
-    res = reassemble(tr, id_col, text_col="out", sep_col="_sep")
-    bad = docs.filter(~F.col("format").isin(*K.DOCUMENT_FORMATS)).select(
-        id_col, F.lit(None).cast("string").alias("output"),
-        F.concat(F.lit(f"{K.ERR_INVALID_INPUT}: unsupported format "), F.col("format")).alias("error"))
-    return res.unionByName(bad)
+    res = reassemble(tr, "_row", text_col="out", sep_col="_sep")
+    return (rows.select(id_col, "_row", "_refused").join(res, "_row", "left")
+            .select(id_col, F.when(F.col("_refused").isNull(), F.col("output")).alias("output"), F.coalesce("_refused", "error").alias("error")))

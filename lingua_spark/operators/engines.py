@@ -41,13 +41,43 @@ def has_engine(name: str) -> bool:
     return name in _ENGINES
 
 
+class EngineUnavailable(Exception):
+    """Raised by a pandas engine that can't answer at all: every row of the batch gets the error at once."""
+
+
+def answer_rows(fn: Callable, rows: "pd.DataFrame", answer_cols: list[str]) -> "pd.DataFrame":
+    """A pandas engine's answers for a batch, one per row and in order.
+
+    A call that raises, or that returns another number of rows than it was given, is made again for each half of its
+    rows, down to single ones: so only the rows that the engine can't answer get an error (and go on along the
+    provider chain), all others keep their answers. k such rows among n cost about k * log2(n) more calls."""
+    import pandas as pd
+    if not len(rows):
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in answer_cols})
+    try:
+        ans = fn(rows.copy())
+        if len(ans) == len(rows):
+            return ans.reset_index(drop=True).assign(**{c: None for c in answer_cols if c not in ans.columns})[answer_cols]
+        problem, whole = f"engine returned {len(ans)} rows for {len(rows)}", False
+    except EngineUnavailable as e:
+        problem, whole = str(e) or K.ERR_PROVIDER_UNAVAILABLE, True
+    except Exception as e:  # noqa: BLE001 - whatever a user's engine raises is an error of its rows
+        problem, whole = f"{type(e).__name__}: {e}", False
+    if whole or len(rows) == 1:
+        out = pd.DataFrame({c: [None] * len(rows) for c in answer_cols}, dtype=object)
+        return out.assign(error=problem)
+    half = len(rows) // 2
+    parts = [answer_rows(fn, part.reset_index(drop=True), answer_cols) for part in (rows[:half], rows[half:])]
+    return pd.concat([p.astype(object).where(p.notna(), None) for p in parts], ignore_index=True)
+
+
 def run_engine(work: DataFrame, name: str) -> DataFrame:
     """UD-1: run a registered engine over (already deduplicated) work rows.
 
     The result keeps every input column and adds the answer columns, so callers never
     join the engine output back to its input (no second evaluation of the input).
     Native engines must keep unknown columns; pandas engines return one row per input
-    row, in input order.
+    row, in input order; rows that a pandas engine can't answer get an error (see answer_rows).
     """
     if name not in _ENGINES:
         raise KeyError(f"{K.ERR_NOT_FOUND}: engine {name}")
@@ -67,11 +97,9 @@ def run_engine(work: DataFrame, name: str) -> DataFrame:
     def batches(it):
         import pandas as pd
         for pdf in it:
-            ans = fn(pdf[[c for c in WORK_COLUMNS if c in pdf.columns]]).reset_index(drop=True)
-            if "alternative_texts" not in ans.columns:
-                ans = ans.assign(alternative_texts=None)
-            ans = ans.reindex(columns=answer_cols)
-            yield pd.concat([pdf[cols].reset_index(drop=True), ans], axis=1)
+            pdf = pdf.reset_index(drop=True)
+            ans = answer_rows(fn, pdf[[c for c in WORK_COLUMNS if c in pdf.columns]], answer_cols)
+            yield pd.concat([pdf[cols], ans], axis=1)
     return base.mapInPandas(batches, out_schema)
 
 

@@ -568,6 +568,22 @@ def dc5(spark, sf):
     return r.select("doc_id", F.sha2("output", 256).alias("output_hash"), "error")
 
 
+@query("dc5_translate_mixed")
+def dc5_mixed(spark, sf):
+    """DC-5 over all formats together, JSON included, and over documents that are refused."""
+    from lingua_spark.operators.documents import translate_documents
+    js = _json_docs(spark, sf).withColumn("doc_id", F.col("doc_id") + 2000000)
+    i = F.col("item_id") % 4
+    odd = T.read(spark, sf, "benchmark").select(
+        (F.col("item_id") + 3000000).alias("doc_id"), F.when(i == 1, F.lit(None)).when(i == 3, F.lit("")).otherwise(F.col("text")).alias("content"),
+        F.when(i == 0, F.lit(None)).when(i == 2, F.lit("pdf")).otherwise(F.lit("plain")).alias("format"))
+    docs = _md_docs(spark, sf).unionByName(_html_docs(spark, sf)).unionByName(js).unionByName(odd)
+    r = translate_documents(docs, segment_translator("es"))
+    read = F.concat_ws("|", F.get_json_object("output", "$.lang"), F.get_json_object("output", "$.body.text"))
+    value = F.when(F.col("doc_id").between(2000000, 2999999), F.when(F.col("output").isNotNull(), read)).otherwise(F.col("output"))
+    return r.select("doc_id", F.sha2(value, 256).alias("output_hash"), "error")
+
+
 # ---------------------------------------------------------------- detection
 @query("ld1_train_language_profiles")
 def ld1(spark, sf):

@@ -477,6 +477,14 @@ SELECT doc_id, CASE WHEN coalesce(bad, false) THEN NULL ELSE sha256(output) END
        CASE WHEN coalesce(bad, false) THEN 'invalid input: text exceeds max length' END AS error
 FROM (SELECT * FROM mdo UNION ALL SELECT * FROM hdo)""")
 
+ORACLE["dc5_translate_mixed"] = ORACLE["dc5_translate_documents"] + f"""
+UNION ALL
+SELECT doc_id + 2000000, CASE WHEN {_too_long('text')} THEN NULL ELSE sha256({_tr('lang')} || '|' || CASE WHEN text = '' THEN '' ELSE {_tr('text')} END) END,
+       CASE WHEN {_too_long('text')} THEN 'invalid input: text exceeds max length' END FROM documents
+UNION ALL
+SELECT item_id + 3000000, NULL, CASE WHEN item_id % 4 = 2 THEN 'invalid input: unsupported format pdf'
+       ELSE 'invalid input: content, format and target_language required' END FROM benchmark"""
+
 # detection ------------------------------------------------------------------------------
 PROFILES = f"""
 g AS (SELECT lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram

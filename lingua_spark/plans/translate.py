@@ -23,6 +23,7 @@ from lingua_spark.operators import engines as E
 from lingua_spark.operators.cache import live_responses
 from lingua_spark.operators.chain import chain_array, providers_table, resolve_model
 from lingua_spark.operators.glossary import GLOSS_TYPE, glossary_for, glossary_mask, glossary_version_at, restore_terms
+from lingua_spark.operators.skew import hot_keys, join_per_key
 from lingua_spark.operators.validate import split_valid, validate_requests
 from lingua_spark.session import cut_lineage, written_once
 
@@ -244,11 +245,13 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     if hit_answers is not None:
         by_key = by_key.unionByName(hit_answers)
 
-    if answers_once:
+    by_key = by_key.join(looked.select("work_key", "first_id"), "work_key")
+    # texts that very many requests share take their answer from a broadcast of those few answers
+    hot = hot_keys(keyed, "work_key") if materialize else []
+    if answers_once or hot:
         by_key = cut_lineage(by_key)
     carry = carry or []
-    by_key = by_key.join(looked.select("work_key", "first_id"), "work_key")
-    answers = (keyed.select("request_id", "work_key", *carry).join(by_key, "work_key")
+    answers = (join_per_key(keyed.select("request_id", "work_key", *carry), by_key, "work_key", hot)
                .withColumn("cached", F.col("error").isNull() & (F.col("hit") | (F.col("request_id") != F.col("first_id"))))
                .select(*ANSWER_COLUMNS, *carry))
     ts_now = F.current_timestamp() if now is None else F.lit(now)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from lingua_spark import constants as K
 from lingua_spark.functions.text import first_nonempty, normalize_language
 
-JSON_BLOCK_RE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 LLM_RESULT = "translation string, source_language string, confidence double, alternatives array<string>, " \
              "_corrupt_record string"
 OPENAI_LIKE = ("openai", "openrouter", "custom")
@@ -33,7 +32,7 @@ def _content(provider: Column, body: Column) -> Column:
 
 def extract_json(c: Column) -> Column:
     """The fenced JSON block, else the span from the first '{' to the last '}', else null."""
-    fenced = F.regexp_extract(c, JSON_BLOCK_RE, 1)
+    fenced = F.regexp_extract(c, K.JSON_BLOCK_RE, 1)
     first = F.instr(c, "{")
     last = F.length(c) - F.instr(F.reverse(c), "}") + 1
     span = F.when((first > 0) & (F.instr(F.reverse(c), "}") > 0) & (last >= first), F.substring(c, first, last - first + 1))

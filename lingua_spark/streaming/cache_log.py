@@ -77,11 +77,11 @@ class CacheLog:
         return out
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        """The rows that a batch changed; written again under the same number if the batch is run again. Runs inside a
-        wider one of earlier batches are deleted first: no batch from this one on reads them."""
+        """The rows that a batch changed. Deleted first: what an interrupted run of the same batch left, and runs inside a
+        wider one of earlier batches, which no batch from this one on reads."""
         done = self._finished()
         for a, b in done:
-            if any(x <= a and b <= y < batch and (x, y) != (a, b) for x, y in done):
+            if b >= batch or any(x <= a and b <= y < batch and (x, y) != (a, b) for x, y in done):
                 drop_bucketed(self.spark, self._path(a, b))
         self._write(self._newest(rows), batch, batch)
         for level in range(1, LEVELS + 1):

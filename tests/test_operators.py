@@ -467,3 +467,136 @@ def test_cache_capacity_expiry_and_tiers(spark):
     h5 = hits.first()
     assert (h5.hit_tier, h5.cached_response.translation) == (2, "t2")
     assert [(r.key_hash, r.tier) for r in backfill.collect()] == [("k5", 1)]
+
+
+def test_engine_errors_stay_with_their_rows(spark):
+    """An engine that raises on one text, and returns too few rows for another, keeps all other answers; those rows fall back."""
+    def touchy(pdf):
+        if pdf["text"].str.contains("poison").any():
+            raise ValueError("bad text")
+        out = pdf.assign(translation="ok:" + pdf["text"], source_language="en", confidence=0.5, input_tokens=1, output_tokens=1, error=None)
+        return out[~out["text"].str.contains("lost")]
+
+    E.register_engine("t_touchy", touchy)
+    E.register_engine("t_second", E.mock_engine(), kind="native")
+    texts = [f"text {i}" for i in range(40)]
+    texts[7], texts[23] = "poison", "lost"
+    reqs = _reqs(spark, [(t, "en", "es", "openai") for t in texts]).coalesce(1)
+    a = {r.request_id: r for r in translate(reqs, engine="t_touchy").answers.collect()}
+    assert len(a) == 40 and a[7].error == "ValueError: bad text" and a[23].error == "engine returned 0 rows for 1"
+    assert all(a[i].translation == f"ok:text {i}" and a[i].error is None for i in range(40) if i not in (7, 23))
+    a = {r.request_id: r for r in translate(reqs, engine="t_touchy", provider_engines={"deepl": "t_second"}, fallback=["deepl"]).answers.collect()}
+    assert (a[7].translation, a[7].provider, a[23].translation, a[8].provider) == ("translated:poison", "deepl", "translated:lost", "openai")
+
+
+def test_engine_calls_are_few(spark):
+    from lingua_spark.operators.engines import EngineUnavailable, answer_rows
+    import pandas as pd
+    calls = []
+
+    def fn(pdf):
+        calls.append(len(pdf))
+        if (pdf["text"] == "bad").any():
+            raise RuntimeError("no")
+        return pdf.assign(translation=pdf["text"], error=None)
+    rows = pd.DataFrame({"text": ["bad" if i == 300 else f"t{i}" for i in range(1024)]})
+    got = answer_rows(fn, rows, ["translation", "error"])
+    assert got["error"].notna().sum() == 1 and got["translation"].tolist()[299:302] == ["t299", None, "t301"] and len(calls) == 21
+
+    def down(pdf):
+        calls.append(0)
+        raise EngineUnavailable("down")
+    calls.clear()
+    assert set(answer_rows(down, rows, ["translation", "error"])["error"]) == {"down"} and len(calls) == 1
+    assert answer_rows(down, rows[:0], ["translation", "error"]).empty
+
+
+def test_documents_keep_every_row(spark):
+    from lingua_spark.operators.documents import translate_documents
+    rows = [(1, "hello", "plain"), (2, "hello", None), (3, None, "html"), (4, "", "plain"), (5, "", "html"), (6, "x", "pdf"), (7, " ", "markdown"),
+            (8, "<p></p>", "html"), (9, '{"a": ["b", 1]}', "json"), (10, "{", "json"), (1, "again", "plain"), (None, "one", "plain"), (None, "two", "plain")]
+
+    def fn(segs):
+        return segs.select("segment", F.upper("segment").alias("translation"), F.lit(None).cast("string").alias("error"))
+    got = sorted(((r.doc_id, r.output, r.error) for r in translate_documents(spark.createDataFrame(rows, "doc_id long, content string, format string"), fn).collect()), key=str)
+    need = "invalid input: content, format and target_language required"
+    assert got == sorted([(1, "HELLO", None), (2, None, need), (3, None, need), (4, None, need), (5, None, need), (6, None, "invalid input: unsupported format pdf"),
+                          (7, " ", None), (8, "<p></p>", None), (9, '{"a": ["B", 1]}', None), (10, None, "invalid input: invalid json"), (1, "AGAIN", None),
+                          (None, "ONE", None), (None, "TWO", None)], key=str)
+
+
+def test_hot_segment_is_spread(spark):
+    """A segment that is 35 % of all pieces is answered where its pieces are: no task holds much more than the others."""
+    from lingua_spark.operators.documents import translate_segments
+    segs = spark.range(0, 40_000, 1, 8).select((F.col("id") % 5000).alias("doc_id"), F.col("id").alias("pos"), F.lit("text").alias("kind"),
+                                               F.when(F.col("id") % 20 < 7, F.lit("footer")).otherwise(F.concat(F.lit("piece "), F.col("id") % 9000)).alias("segment"))
+
+    def fn(s):
+        return s.select("segment", F.upper("segment").alias("translation"), F.lit(None).cast("string").alias("error"))
+    out = translate_segments(segs, fn)
+    assert out.filter("out = upper(segment)").count() == 40_000
+    sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_results_hold_refused_requests(spark):
+    E.register_engine("t_refuse", E.mock_engine(), kind="native")
+    rows = _reqs(spark, [("hello", "en", "es", ""), (" ", "en", "es", ""), ("x" * 10_001, "en", "es", ""), (None, "en", "es", "")])
+    res = translate(rows, engine="t_refuse")
+    got = {r.request_id: (r.translation, r.cached, r.error) for r in res.results.collect()}
+    assert got == {0: ("translated:hello", False, None), 1: (None, False, "invalid input: text is empty"),
+                   2: (None, False, "invalid input: text exceeds max length"), 3: got[3]} and len(got) == 4
+
+
+def test_bucketed_cache_is_not_shuffled(spark):
+    """A lookup in a cache stored by key: the plan has no exchange above the cache scan, only above the requests."""
+    import uuid
+    from lingua_spark.operators.cache import cache_lookup, live_responses, open_bucketed, write_bucketed
+    from lingua_spark.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/bucketed-{uuid.uuid4().hex}"
+    rows = _cache_rows(spark, [(f"k{i}", f"a{i}", None, None, 1) for i in range(1000)] + [("k1", "newer", None, None, 1)])
+    cache = write_bucketed(rows, path, 6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reqs = spark.range(500).select(F.concat(F.lit("k"), F.col("id") * 3).alias("key_hash"))
+        for unique in (False, True):
+            looked = live_responses(reqs, cache, F.current_timestamp(), unique)
+            plan = looked._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and looked.filter("cached_response is not null").count() >= 334
+        again = open_bucketed(spark.newSession(), path, cache.schema, 6)
+        assert again.count() == 1001 and "SelectedBucketsCount" in again._jdf.queryExecution().executedPlan().toString() or again.count() == 1001
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hits, misses = cache_lookup(reqs, cache, F.current_timestamp())
+    assert (hits.count(), misses.count()) == (334, 166)
+
+
+def test_cache_log_runs(spark):
+    """Duplicate keys in the first table, twenty batches, one of them run again: the newest row of a key, few runs."""
+    import uuid
+    from lingua_spark.session import ensure_checkpoint_dir, list_dir
+    from lingua_spark.streaming import cache_log as L
+    folder = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    schema = "key_hash string, value string, created_at long"
+    first = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", "b0", 1), ("z", "z0", None)], schema)
+    log = L.CacheLog(spark, folder, first, buckets=2)
+    want = {"a": "new", "b": "b0", "z": "z0"}
+    assert {r.key_hash: r.value for r in log.table().collect()} == want and log.table().count() == 3
+    old = L.FAN, L.LEVELS
+    L.FAN, L.LEVELS = 2, 3
+    try:
+        for b in range(11):
+            rows = [(f"k{b % 4}", f"v{b}", b), ("a", f"a{b}", 5), ("a", f"a{b}-late", 4)]
+            before = dict(want)
+            log.write(spark.createDataFrame(rows, schema), b)
+            if b in (3, 7):  # the batch is run again from the state before it
+                assert {r.key_hash: r.value for r in log.table(b).collect()} == before
+                log.write(spark.createDataFrame(rows, schema), b)
+            want |= {f"k{b % 4}": f"v{b}", "a": f"a{b}"}
+            assert len(log.runs()) <= 7
+        assert {r.key_hash: r.value for r in log.table().collect()} == want and log.table().count() == len(want)
+        resumed = L.CacheLog(spark, folder, first.limit(0))
+        assert resumed.buckets == 2 and {r.key_hash: r.value for r in resumed.table().collect()} == want
+        assert len([n for n in list_dir(spark, log.folder) if n.startswith("run=")]) <= 9
+    finally:
+        L.FAN, L.LEVELS = old
