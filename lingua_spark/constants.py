@@ -70,6 +70,7 @@ RATE_PER_SECOND = 100.0
 RATE_BURST = 20
 MOCK_CONFIDENCE = 0.9
 UNPARSED_CONFIDENCE = 0.5
+DEEPL_DETECT_CONFIDENCE = 0.95
 
 # --- fixed values: latency histogram upper bounds in seconds (+Inf appended) ---
 LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]

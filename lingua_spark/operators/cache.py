@@ -163,9 +163,39 @@ def dedup_first(requests: DataFrame, key: str = "key_hash", order: list[str] | N
 
 
 def cap_entries(cache: DataFrame, max_entries: int, as_of) -> DataFrame:
-    """WN-2: drop expired rows, keep the newest `max_entries` (created_at desc, key_hash)."""
-    return (fresh(cache, as_of).orderBy(F.col("created_at").desc_nulls_last(), F.col("key_hash"))
-            .limit(max_entries))
+    """WN-2: drop expired rows, keep the newest `max_entries` (created_at desc, key_hash).
+
+    The last row to stay is found on the two order columns alone: they are range-sorted, the range buckets' counts tell
+    in which bucket it lies, and that bucket names it. All rows are then compared with it where they are, so
+    nothing else moves and no task holds `max_entries` rows. A key has one row in a cache; of several equal
+    ones at the very end as many stay as there is room for."""
+    from lingua_spark.operators.ids import range_sorted
+    live = fresh(cache, as_of)
+    if max_entries <= 0:
+        return live.limit(0)
+    order = [F.col("created_at").desc_nulls_last(), F.col("key_hash")]
+    narrow = range_sorted(live.select("created_at", "key_hash"), order, "_b")
+    counts = sorted((r["_b"], r["count"]) for r in narrow.groupBy("_b").count().collect())  # a row per range bucket
+    before = 0
+    for bucket, n in counts:
+        if before + n >= max_entries:
+            break
+        before += n
+    else:
+        return live
+    ranked = narrow.filter(F.col("_b") == bucket).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    t, k = ranked.filter(F.col("_r") == max_entries - before).select("created_at", "key_hash").first()
+    at, key = F.lit(t).cast(cache.schema["created_at"].dataType), F.col("key_hash")
+    if t is None:
+        earlier = F.col("created_at").isNotNull() | (key < F.lit(k))
+    else:
+        earlier = (F.col("created_at") > at) | ((F.col("created_at") == at) & (key < F.lit(k)))
+    earlier = F.coalesce(earlier, F.lit(False))
+    border = F.col("created_at").eqNullSafe(at) & key.eqNullSafe(F.lit(k))
+    equal = ranked.filter(border).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_r") <= max_entries - before, 1)).alias("room")).first()
+    if equal["n"] == equal["room"]:
+        return live.filter(earlier | border)
+    return live.filter(earlier).unionByName(live.filter(border).limit(equal["room"]))
 
 
 def ttl_dedup(requests: DataFrame, ttl_seconds: float, key: str = "key_hash", ts_micros: str = "ts_us",

@@ -910,6 +910,29 @@ def src7(spark, sf):
                     F.regexp_extract("error", r"^([^:]*)", 1).alias("error_kind"))
 
 
+@query("src7_ingest_detections")
+def src7_detections(spark, sf):
+    """Landed detection bodies: one per conversation turn; by turn and provider good ones, fenced, mistyped and empty ones."""
+    from lingua_spark.sources.ingest import ingest_detections
+    c = T.read(spark, sf, "conversations")
+    p = F.element_at(F.lit(INGEST_PROVIDERS), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    k = F.char_length("text") % 5
+    obj = F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, F.lit(" PT-BR")).otherwise(F.lit("es")).alias("language"), F.lit(0.97).alias("confidence")))
+    out = (F.when(k == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(k == 2, F.lit('{"language": "es", "confidence": "high"}'))
+           .when(k == 3, F.lit(None)).otherwise(obj))
+    body = (F.when(p.isin("openai", "openrouter", "custom"), F.to_json(F.struct(F.array(F.struct(F.struct(out.alias("content")).alias("message"))).alias("choices"))))
+            .when(p == "anthropic", F.to_json(F.struct(F.array(F.struct(out.alias("text"))).alias("content"))))
+            .when(p == "google", F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(out.alias("text"))).alias("parts")).alias("content"))).alias("candidates"))))
+            .when(p == "ollama", F.to_json(F.struct(F.struct(out.alias("content")).alias("message"))))
+            .when(p == "deepl", F.when(k == 3, F.lit('{"translations": []}')).otherwise(F.lit('{"translations": [{"detected_source_language": "FR", "text": "x"}]}')))
+            .otherwise(F.when(k == 3, F.lit("[]")).when(k == 2, F.lit("[{")).otherwise(F.concat(F.lit("["), obj, F.lit("]")))))
+    ln = F.char_length("text")
+    landed = c.select(F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256).alias("key_hash"), p.alias("provider"),
+                      F.when(ln % 17 == 0, 429).when(ln % 13 == 0, 500).otherwise(200).alias("status"), body.alias("body"))
+    r = ingest_detections(landed)
+    return r.select("key_hash", "provider", "language", F.round("confidence", 6).alias("confidence"), "error")
+
+
 @query("jn5_tm_search_parts")
 def jn5_parts(spark, sf):
     """JN-5 at volume: every part name searched against all part names (t = 0.8)."""

@@ -614,6 +614,23 @@ SELECT sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS key_h
   CASE WHEN status = 429 THEN 'rate limited' WHEN status >= 400 THEN p || ' translate failed' END AS error_kind
 FROM c""")
 
+sql("src7_ingest_detections", """
+WITH c AS (
+  SELECT conv_id, turn, length(text) % 5 AS k,
+         ['openai','anthropic','google','ollama','deepl','libretranslate','openrouter','custom'][(conv_id + turn) % 8 + 1] AS p,
+         CASE WHEN length(text) % 17 = 0 THEN 429 WHEN length(text) % 13 = 0 THEN 500 ELSE 200 END AS status
+  FROM conversations),
+e AS (
+  SELECT *, CASE WHEN status = 429 THEN 'rate limited: ' || p || ' rate limited' WHEN status = 500 THEN p || ' detect failed: HTTP 500'
+    WHEN p = 'deepl' THEN CASE WHEN k = 3 THEN 'no translation returned' END
+    WHEN p = 'libretranslate' THEN CASE WHEN k = 3 THEN 'no detection result' WHEN k = 2 THEN p || ' detect failed: invalid json' END
+    WHEN k = 3 THEN 'no response' WHEN k = 1 THEN p || ' detect failed: invalid json' WHEN k = 2 THEN p || ' detect failed: mistyped field' END AS error
+  FROM c)
+SELECT sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS key_hash, p AS provider,
+  CASE WHEN error IS NOT NULL THEN NULL WHEN p = 'deepl' THEN 'fr' WHEN turn % 2 = 0 THEN 'pt' ELSE 'es' END AS language,
+  CAST(CASE WHEN error IS NOT NULL THEN NULL WHEN p = 'deepl' THEN 0.95 ELSE 0.97 END AS DOUBLE) AS confidence, error
+FROM e""")
+
 # JSON documents {"lang": .., "body": {"text": ..}}: fixed structure pieces + the two string values
 sql("dc3_segment_json", """
 WITH d AS (SELECT doc_id, lang, text FROM documents),

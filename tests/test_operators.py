@@ -600,3 +600,20 @@ def test_cache_log_runs(spark):
         assert len([n for n in list_dir(spark, log.folder) if n.startswith("run=")]) <= 9
     finally:
         L.FAN, L.LEVELS = old
+
+
+def test_cap_entries_against_sort(spark):
+    """Half a million rows, many with the same time and some without; the cut falls inside a tie."""
+    rows = spark.range(500_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key_hash"),
+                                       F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.timestamp_micros(F.col("id") % 400 * 1_000_000)).alias("created_at"),
+                                       F.lit(None).cast("timestamp").alias("expires_at"))
+    from lingua_spark.operators.cache import cap_entries
+    every = sorted(((r.created_at is None, -r.created_at.timestamp() if r.created_at else 0, r.key_hash) for r in rows.collect()))
+    for n in (1, 123_456, 489_999, 490_001, 500_000, 600_000):
+        got = cap_entries(rows, n, F.current_timestamp())
+        keys = {r.key_hash for r in got.select("key_hash").collect()}
+        assert got.count() == min(n, 500_000) and keys == {k for _, _, k in every[:n]}
+    plan = got._jdf.queryExecution().toString()
+    assert "Limit" not in plan
+    twice = rows.filter("created_at is null").limit(1)
+    assert cap_entries(twice.unionByName(twice), 1, F.current_timestamp()).count() == 1 and cap_entries(rows, 0, F.current_timestamp()).count() == 0

@@ -48,3 +48,28 @@ def test_write_responses_round_trip(spark):
     assert (back.translation, back.source_language, back.target_language, back.confidence) == ("hola", "en", "es", 0.9)
     js = df.select(F.to_json(F.struct(*df.columns)).alias("j")).first().j
     assert '"translation":"hola"' in js and '"source_language":"en"' in js
+
+
+def test_ingest_parses_each_body_once_and_checks_types(spark):
+    from lingua_spark.sources.ingest import ingest_detections, ingest_responses
+    llm = lambda content: '{"choices": [{"message": {"content": %s}}], "usage": {"prompt_tokens": 7, "completion_tokens": "x"}}' % content
+    bodies = [llm('"{\\"translation\\": \\"hola\\", \\"confidence\\": 3, \\"alternatives\\": [\\"a\\"]}"'),
+              llm('"{\\"translation\\": 5}"'), llm('"{\\"translation\\": \\"x\\", \\"confidence\\": \\"high\\"}"'), llm("12"),
+              llm('"{\\"translation\\": null}"'), "not json", None, llm('"plain"')]
+    landed = spark.createDataFrame([(str(i), "openai", "m", 200, b, "en", "es") for i, b in enumerate(bodies)],
+                                   "key_hash string, provider string, model string, status int, body string, source_lang string, target_lang string")
+    out = ingest_responses(landed)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(body") + plan.count("ParseJson(body") + plan.lower().count("parsejson(body") <= 1
+    got = {r.key_hash: (r.translation, r.confidence, r.alternatives, r.input_tokens, r.output_tokens, r.error) for r in out.collect()}
+    assert got["0"] == ("hola", 1.0, ["a"], 7, 0, None)
+    assert got["1"][:2] == ('{"translation": 5}', 0.5) and got["2"][1] == 0.5  # mistyped: the raw text
+    assert got["3"][5] == got["5"][5] == got["6"][5] == "openai returned no content" and got["4"][5] == "empty translation"
+    assert got["7"][:2] == ("plain", 0.5)
+    detect = landed.withColumn("body", F.when(F.col("key_hash") == "0", F.lit(llm('"{\\"language\\": \\"ES\\", \\"confidence\\": 0.97}"')))
+                               .when(F.col("key_hash") == "1", F.lit(llm('"[1]"'))).otherwise(F.col("body")))
+    got = {r.key_hash: (r.language, r.confidence, r.error) for r in ingest_detections(detect).collect()}
+    assert got["0"] == ("es", 0.97, None) and got["1"][2] == "openai detect failed: mistyped field"
+    assert got["3"][2] == "no response" and got["5"][2] == got["6"][2] == "openai detect failed: invalid json"
+    libre = detect.withColumn("provider", F.lit("libretranslate")).withColumn("body", F.lit('[{"language": "fr", "confidence": 90}, {"language": "en"}]'))
+    assert {(r.language, r.confidence) for r in ingest_detections(libre).collect()} == {("fr", 90.0)}
