@@ -617,3 +617,58 @@ def test_cap_entries_against_sort(spark):
     assert "Limit" not in plan
     twice = rows.filter("created_at is null").limit(1)
     assert cap_entries(twice.unionByName(twice), 1, F.current_timestamp()).count() == 1 and cap_entries(rows, 0, F.current_timestamp()).count() == 0
+
+
+def _brute_tm(queries, entries, t):
+    def lev(a, b):
+        prev = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            cur = [i]
+            for j, cb in enumerate(b, 1):
+                cur.append(min(cur[j - 1] + 1, prev[j] + 1, prev[j - 1] + (ca != cb)))
+            prev = cur
+        return prev[-1]
+    out = set()
+    for qi, q in queries:
+        for ei, e in entries:
+            a, b = q.strip().lower(), e.lower()
+            m = max(len(a.encode()), len(b.encode()))
+            s = 1.0 if a == b else 0.95 if a in b else 1.0 if m == 0 else 1 - lev(a, b) / m
+            if s >= t:
+                out.add((qi, ei))
+    return out
+
+
+def test_tm_search_ideographs(spark):
+    """CJK texts: found by rare characters, whole results, and few candidates beside them."""
+    import random
+    from lingua_spark.operators import memory as M
+    rnd = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    entries = [(i, "".join(rnd.choice(letters) for _ in range(rnd.randint(10, 40)))) for i in range(150)]
+
+    def edited(s):
+        return "".join(rnd.choice(letters) if rnd.random() < 0.35 else c for c in s)
+    queries = [(i, edited(rnd.choice(entries)[1])) for i in range(60)] + [(100 + i, "".join(rnd.choice(letters) for _ in range(25))) for i in range(40)]
+    tm = spark.createDataFrame(entries, "id long, source_text string")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    for t in (0.8, 0.9):
+        got = {(r.query_id, r.id) for r in M.tm_search(q, tm, t, with_entries=False).collect()}
+        assert got == _brute_tm(queries, entries, t) and len(got) >= (50 if t == 0.8 else 1)
+    item = lambda df, i, s: df.select(F.col(i).alias("i"), F.lit("*").alias("lk"), F.col(s).alias("s"), F.char_length(s).alias("r"), F.octet_length(s).alias("b"))
+    long = item(q, "query_id", "text").withColumn("d", M._d(F.col("b"), 0.8))
+    n = sum(c.count() for c in M._without_grams(long, item(tm, "id", "source_text"), False))
+    assert n <= 3 * 60 and n < 0.02 * 100 * 150
+
+
+def test_tm_search_low_threshold_mixed_scripts(spark):
+    import random
+    from lingua_spark.operators.memory import tm_search
+    rnd = random.Random(8)
+    bits = ["a", "b", "e", "t", " ", "é", "日", "本", "語", "中", "文", "я"]
+    entries = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 24)))) for i in range(70)]
+    queries = [(i, "".join(c if rnd.random() < 0.8 else rnd.choice(bits) for c in rnd.choice(entries)[1])) for i in range(40)]
+    tm = spark.createDataFrame(entries, "id long, source_text string")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    for t in (0.5, 0.65, 0.8):
+        assert {(r.query_id, r.id) for r in tm_search(q, tm, t, with_entries=False).collect()} == _brute_tm(queries, entries, t)
