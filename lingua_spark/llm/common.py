@@ -76,7 +76,7 @@ def member(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links(a, b): label is the smallest node reachable.
 
     Alternating large-star and small-star steps over an edge table, each one map-side-combined
@@ -87,7 +87,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
                         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     digest = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
     state = edges.agg(*digest).first()
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut_lineage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -100,8 +100,6 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         state = now
         release(links.sparkSession)
-    else:
-        raise RuntimeError("connected components did not converge")
     labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = labels.select(F.col("label").alias("node")).distinct().withColumn("label", F.col("node"))
     return labels.union(roots)

@@ -12,16 +12,19 @@ Steps:
 1. one scan gives set size, a 128-bit set hash and ROWS-coordinate bands; equal sets become one class;
 2. in each band bucket every class is compared with the smallest one (a star, never all pairs); verified
    links give components;
-3. buckets that still hold several components get the rest of their comparisons: members of different
-   components only, with FAN centres in the first round and twice as many in each next; buckets larger than
-   FAN first split by finer bands (FINE_ROWS coordinates), which part documents that merely share a passage;
+3. members of buckets that still hold several components get the rest of their comparisons, each pair once for all
+   buckets: a prefix-filtered join of their shingle sets. Shingles are ordered by rarity (counts in COUNT_SLOTS
+   hashed slots); of a pair at the threshold the smaller set has one of its n - ceil(6/7 n) + 1 rarest among the
+   n - ceil(0.75 n) + 1 rarest of the larger. Lists of one component are dropped, a length and a positional
+   filter apply. So documents that merely share a passage, however many, do not meet: what is rare in them is their own;
 4. before the full sets of a pair are fetched and compared, SKETCH coordinates must agree well enough.
-A pair at the threshold is missed by all bands with probability (1 - 0.75^ROWS)^BANDS = 5e-6 (coarse) and
-(1 - 0.75^FINE_ROWS)^FINE_BANDS = 9e-6 (fine), and only if no other path links it.
+A pair at the threshold is missed by all bands with probability (1 - 0.75^ROWS)^BANDS = 5e-6, and only if no other path
+links it. Sets are known by 128-bit and shingles by 64-bit hashes: two of m shingles fall together with probability m^2 / 2^65.
 
 Defined cases: texts without words, and null texts, link with nothing; rows with the same doc_id are one node;
 a row without doc_id links with nothing, has a null component and is kept; repeated rows each get a row;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored. A very long text is scanned alone, in memory that
+follows its length. Of rows with one doc_id and different texts, `keep_one_of_each` keeps the smallest text.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lingua_spark.llm import textkernel as tk
 from lingua_spark.llm.common import connected_components, cut_lineage, fresh, member, membership, release
@@ -38,11 +41,10 @@ from lingua_spark.llm.common import connected_components, cut_lineage, fresh, me
 #: Jaccard threshold as a fraction of integers: 100 * intersection >= 75 * union.
 THRESHOLD = 75
 BANDS, ROWS = 32, 4
-FINE_BANDS, FINE_ROWS = 110, 8
+#: Slots of the shingle counts that order sets by rarity: a table of 4 MB, whatever the number of shingles.
+COUNT_SLOTS = 1 << 20
 #: Bits of the filter that lets band keys of buckets with more than one class pass: 4 MB, whatever their number.
 KEY_BITS = 1 << 25
-#: Centres that a member is compared with in the first round.
-FAN = 32
 #: Coordinates (one byte each) by which candidate pairs are looked at before their sets are fetched, and how many must agree:
 #: at the threshold 192 +- 6.9 do, so a linked pair is turned away with probability below 1e-9.
 SKETCH, ALIKE = 256, 150
@@ -117,8 +119,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
 
-def _sets(bitmap, fine: bool):
-    """Shingle sets (or fine band keys) of the documents that the bitmap lets pass."""
+def _sets(bitmap):
+    """Shingle sets of the documents that the bitmap lets pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
@@ -132,9 +134,6 @@ def _sets(bitmap, fine: bool):
                 for i in range(len(c.rows)):
                     s = tk.shingle_set(c.words[c.bounds[i]:c.bounds[i + 1]])
                     s1.append(_set_hash(s)[0] if len(s) else 0)
-                    if fine:
-                        s = (band_keys(signature(s, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS).view(np.uint64)
-                             if len(s) else s)
                     values.append(s)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.rows.start, len(c.rows)).cast(pa.int64()),
@@ -151,11 +150,11 @@ def _mixed(ids: DataFrame) -> DataFrame:
     return ids.select("id").mapInArrow(run, "h long")
 
 
-def _items_of(docs: DataFrame, nodes: DataFrame, fine: bool = False) -> DataFrame:
+def _items_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, s1, items) of the documents in nodes(id), from one filtered scan of all."""
     bitmap = membership(_mixed(nodes), "h")
     found = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-             .mapInArrow(_sets(bitmap, fine), "id long, s1 long, items array<long>"))
+             .mapInArrow(_sets(bitmap), "id long, s1 long, items array<long>"))
     return found.join(nodes.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "s1"])
 
 
@@ -217,33 +216,57 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, labelled."""
-    labelled = cut_lineage(members.select("key", "id", "n", "size").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    """(id, label) of the members of buckets that hold several components."""
+    labelled = cut_lineage(members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
                            .withColumn("label", F.coalesce("label", "id")))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return labelled.join(mixed, "key", "left_semi")
-
-
-def _rounds(members: DataFrame, sketches: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compare members of different components with FAN centres, then twice as many, ... until no bucket has work left."""
-    first, fan = 2, FAN  # the smallest member has been compared with all
-    todo = _unresolved(members, labels).withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id")))
-    while True:
-        todo = cut_lineage(todo.where(f"size > {first - 1}"))
-        if todo.isEmpty():
-            return links, labels
-        centres = todo.where(f"rank >= {first} and rank < {first + fan}").select(
-            "key", *(F.col(x).alias(f"c_{x}") for x in ("id", "n", "rank", "label")))
-        pairs = (todo.where(f"rank > {first}").join(centres, "key").where("rank > c_rank and label <> c_label").where(_close("n", "c_n"))
-                 .select(F.col("id").alias("a"), F.col("c_id").alias("b")).distinct())
-        found = cut_lineage(_verified(pairs, sketches, sets).distinct())
-        release(sets.sparkSession)
-        ranks = todo.select("key", "id", "n", "size", "rank")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = cut_lineage(connected_components(links))
-        first, fan = first + fan, 2 * fan
-        todo = _unresolved(ranks, labels).join(ranks.select("key", "id", "rank").distinct(), ["key", "id"])
+    return labelled.join(mixed, "key", "left_semi").select("id", "label").distinct()
+
+
+def _post(counts):
+    """(id, label, items) -> a row (h, id, label, n, pos, small) per shingle of the longer prefix, rarest first; small: it
+    is in the shorter one, too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            lists = batch.column(2)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            h = lists.values.to_numpy()[off[0]:off[-1]]
+            row = np.repeat(np.arange(len(lists)), np.diff(off))
+            order = np.lexsort((h, table[h & (COUNT_SLOTS - 1)], row))
+            h = h[order]  # rows stay together
+            n = np.diff(off)[row]
+            pos = np.arange(len(h)) - (off[:-1] - off[0])[row]
+            keep = pos < n - -(-THRESHOLD * n // 100) + 1
+            small = pos < n - -(-2 * THRESHOLD * n // (100 + THRESHOLD)) + 1
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[keep]), pa.array(pos[keep]), pa.array(small[keep])],
+                                             ["h", "id", "label", "n", "pos", "small"])
+    return run
+
+
+def _shingle_counts(sets: DataFrame):
+    """Counts of the shingles of all sets in hashed slots, as a broadcast table of fixed size."""
+    got = (sets.select(F.explode("items").alias("h")).select(F.col("h").bitwiseAND(COUNT_SLOTS - 1).alias("slot"))
+           .groupBy("slot").agg(F.count("*").alias("n")).toPandas())  # COUNT_SLOTS rows at most
+    counts = np.zeros(COUNT_SLOTS, np.int32)
+    counts[got["slot"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), (1 << 31) - 1)
+    return sets.sparkSession.sparkContext.broadcast(counts)
+
+
+def _candidates(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of left(id, label) of different labels that the prefix, length and positional filters let pass."""
+    mine = sets.join(left, "id").select("id", "label", "items")
+    posted = cut_lineage(mine.mapInArrow(_post(_shingle_counts(mine)), "h long, id long, label long, n long, pos long, small boolean"))
+    lists = (posted.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("found"))
+             .where("lo <> hi and found").select("h"))
+    posted = cut_lineage(posted.join(lists, "h", "left_semi"))
+    small = posted.where("small").select("h", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))
+    large = posted.select("h", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"))
+    most = "least(a_n - a_pos, b_n - b_pos)"
+    near = (f"a_label <> b_label and (a_n < b_n or a_n = b_n and a < b) and 100 * a_n >= {THRESHOLD} * b_n "
+            f"and {100 + THRESHOLD} * {most} >= {THRESHOLD} * (a_n + b_n)")
+    return small.join(large, "h").where(near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -267,15 +290,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut_lineage(_verified(_stars(members), sketches, sets).distinct())
     labels = cut_lineage(connected_components(links))
     release(docs.sparkSession)
-    links, labels = _rounds(members.where(f"size <= {FAN + 1}"), sketches, sets, links, labels)
-    large = cut_lineage(_unresolved(members.where(f"size > {FAN + 1}"), labels).select("id").distinct())
-    if not large.isEmpty():
-        fine = _items_of(docs, large, fine=True).select("id", F.col("items").alias("keys"))
-        finer = cut_lineage(_members(fine.join(sets.select("id", F.size("items").cast("long").alias("n")), "id")))
-        links = links.union(cut_lineage(_verified(_stars(finer), sketches, sets).distinct()))
-        labels = cut_lineage(connected_components(links))
+    left = cut_lineage(_unresolved(members, labels))
+    if not left.isEmpty():
+        pairs = cut_lineage(_candidates(left, sets))
+        release(docs.sparkSession)
+        links = links.union(cut_lineage(_verified(pairs, sketches, sets).distinct()))
         release(docs.sparkSession)
-        links, labels = _rounds(finer, sketches, sets, links, labels)
 
     # copies join their class's component; a doc_id in several classes unites them
     by_id = connected_components(links.union(copies))
@@ -294,4 +314,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return left
     same = F.col("doc_id").cast("long") == F.col(key)
-    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    every, (whole,) = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), fresh(docs, "row")
+    one = (left.join(repeated, same, "left_semi").groupBy(F.col("doc_id").cast("long"))
+           .agg(F.min_by(every, F.struct("text", F.to_json(every))).alias(whole)).select(f"{whole}.*"))
+    return left.join(repeated, same, "left_anti").unionByName(one)

@@ -26,9 +26,33 @@ def test_edge_documents(spark):
     assert kept.count(None) == 2
 
 
-def test_shared_passages_in_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("own", [18, 12, 9])
+def test_candidates_of_a_shared_passage(spark, monkeypatch, own):
+    """N documents share a passage of 62 words and have 18, 12 or 9 words of their own (Jaccard 0.62, 0.71, 0.76): pairs
+    that are looked at grow at most linearly."""
+    rng = random.Random(own)
+    passage = prose(rng, 62)
+    seen = []
+    real = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, *more: (seen.append(pairs.count()), real(pairs, *more))[1])
+    counts = []
+    for n in (100, 200, 400):
+        seen.clear()
+        rows = [row(i, f"{passage} {prose(rng, own)}") for i in range(n)]
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+        counts.append(sum(seen))
+        linked = 100 * 58 >= 75 * (58 + 2 * own)
+        assert all((r["component_id"] == 0) == (linked or r["doc_id"] == 0) for r in got)
+    assert counts[2] <= 40 * 400 and counts[2] <= 2.6 * max(counts[1], 100)
+
+
+def test_rows_of_one_doc_id_keep_the_smallest_text(spark):
+    docs = spark.createDataFrame([row(1, "zz some words of a text"), row(1, "aa other words of a text"), row(2, "third text of words here")], SCHEMA)
+    assert sorted((r["doc_id"], r["text"][:2]) for r in near_dup.keep_one_of_each(docs).collect()) == [(1, "aa"), (2, "th")]
+
+
+def test_shared_passages_in_large_buckets(spark):
     """Many documents share most of their text without being near copies, with near copies among them."""
-    monkeypatch.setattr(near_dup, "FAN", 2)
     rng = random.Random(8)
     passage = prose(rng, 60)
     rows = [row(i, f"{passage} {prose(rng, 40)}") for i in range(40)]
