@@ -15,7 +15,15 @@ from lingua_spark.session import cut_lineage, ensure_checkpoint_dir, table_path
 FILTER_BITS = 1 << 25
 
 
+#: Bytes of an Arrow batch that a Python worker is given, where the session has Spark's own bound of 64 MB. A scan holds a
+#: batch and copies of its parts, so its memory follows this, not the length of the texts.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH_KEY, "").rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     return spark.read.parquet(table_path(sf_dir, name))
 
 
