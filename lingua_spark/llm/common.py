@@ -22,7 +22,7 @@ _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 <<
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get(_BATCH_KEY, "").rstrip("b") == str(_BATCH_DEFAULT):
+    if spark.conf.get(_BATCH_KEY).rstrip("b") == str(_BATCH_DEFAULT):
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     return spark.read.parquet(table_path(sf_dir, name))
 

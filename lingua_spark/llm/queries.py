@@ -84,6 +84,16 @@ def op13_substring_dedup(spark, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+def op7_secrets_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of op7_secrets that SQL can express."""
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def op9_fingerprints_edits(spark, sf_dir: str) -> DataFrame:
+    """The columns of op9_fingerprints that SQL can express."""
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -98,11 +108,39 @@ QUERIES = {
     "op11_whitening": op11_whitening,
     "op12_lexical_search": op12_lexical_search,
     "op13_substring_dedup": op13_substring_dedup,
+    "op7_secrets_base": op7_secrets_base,
+    "op9_fingerprints_edits": op9_fingerprints_edits,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _spans(kind: int, name: str, pattern: str, keep: str) -> str:
+    """Rows (rid, k, name, s, e) of the matches of one kind, from the pieces between them."""
+    return f"""
+select rid, {kind} k, '{name}' name, e - length(m[i]) s, e from (
+  select rid, m, o, i, list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) e
+  from (select rid, m, o, p, unnest(range(1, len(m) + 1)) i from (
+    select rid, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {2 if kind == 0 else 0}) o, string_split_regex(t, '{pattern}') p from d)))
+where {keep}"""
+
+
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLE: dict[str, str] = {
+    "op7_secrets_base": f"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+found as ({_spans(0, "assign", _ASSIGN, "length(o[i]) >= 6")}
+union all {_spans(1, "access", "AKIA[A-Z0-9]+", "length(m[i]) >= 20")}
+union all {_spans(2, "hex", "[0-9a-f]+", "length(m[i]) >= 24")})
+select doc_id, count(*) filter (where k = 0) n_assign, count(*) filter (where k = 1) n_access, count(*) filter (where k = 2) n_hex,
+  sha256(coalesce(string_agg(name || ':' || s || ':' || e, ',' order by s, k), '')) base_sha256
+from d left join found using (rid) group by rid, doc_id""",
+    "op9_fingerprints_edits": """
+with d as (
+  select doc_id, coalesce(text, '') t, lead(coalesce(text, '')) over (order by doc_id) nx,
+    first_value(coalesce(text, '')) over (order by doc_id) ft from documents)
+select doc_id, length(t) n_chars, sha256(substring(t, 1, length(t) - length(t) // 2) || substring(coalesce(nx, ft), 1, length(t) // 2)) edited_sha256
+from d""",
     "op6_warc": """
 with p as (select page_id, coalesce(html, '') h from pages),
 d as (select page_id, strlen(h) payload_bytes, sha256(h) payload_digest from p),
