@@ -5,7 +5,7 @@ Tokens: a word (a run of ASCII letters, digits and non-ASCII characters, A-Z as
 Fit (on the labelled rows whose crc32(doc_id) mod 4 is not 2, at most MAX_TRAIN of them, those with the smallest
 hash of their id): the documents of both classes that hold a token give its log-odds with a Dirichlet prior (Monroe et
 al.): each class is smoothed by pseudo-documents spread as in all training text. Tokens whose log-odds stand Z standard
-errors from zero and are at least LEAST_ODDS, up to MAX_TOKENS by the former, are kept. A word then counts as its most specific kept token
+errors from zero and are at least LEAST_ODDS are kept, all of them. A word then counts as its most specific kept token
 (whole, then the longest prefix), or as "other", and these counts, smoothed the same way, give the weights: log ratios
 of two distributions, so the expected weight in clean text is negative.
 
@@ -37,7 +37,6 @@ from lingua_spark.llm.common import cut_lineage
 
 #: Bound on labelled training rows; up to it all are used.
 MAX_TRAIN = 20_000
-MAX_TOKENS = 50_000
 #: Pseudo-documents and pseudo-words of the prior, as a share of those seen.
 PRIOR = 0.01
 #: Standard errors and size of the log-odds from which on a token is kept.
@@ -148,7 +147,7 @@ def telling_tokens(counts: DataFrame, clean: int, toxic: int) -> np.ndarray:
     n_c, n_t = F.lit(clean + prior + 1e-6), F.lit(toxic + prior + 1e-6)
     delta = F.log(y_t / (n_t - y_t)) - F.log(y_c / (n_c - y_c))
     best = (counts.withColumn("share", share).withColumn("z", F.abs(delta) / F.sqrt(1 / y_t + 1 / y_c))
-            .where((F.col("z") >= Z) & (F.abs(delta) >= LEAST_ODDS)).orderBy(F.col("z").desc(), "token").limit(MAX_TOKENS).select("token").toPandas())
+            .where((F.col("z") >= Z) & (F.abs(delta) >= LEAST_ODDS)).select("token").toPandas())
     return np.sort(best["token"].to_numpy(np.int64).view(np.uint64))
 
 
