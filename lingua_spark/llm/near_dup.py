@@ -41,8 +41,8 @@ from lingua_spark.llm.common import connected_components, cut_lineage, fresh, me
 #: Jaccard threshold as a fraction of integers: 100 * intersection >= 75 * union.
 THRESHOLD = 75
 BANDS, ROWS = 32, 4
-#: Slots of the shingle counts that order sets by rarity: a table of 4 MB, whatever the number of shingles.
-COUNT_SLOTS = 1 << 20
+#: Slots of the shingle counts that order sets by rarity: a table of 1 MB, whatever the number of shingles.
+COUNT_SLOTS = 1 << 18
 #: Bits of the filter that lets band keys of buckets with more than one class pass: 4 MB, whatever their number.
 KEY_BITS = 1 << 25
 #: Coordinates (one byte each) by which candidate pairs are looked at before their sets are fetched, and how many must agree:
