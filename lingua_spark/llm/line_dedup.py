@@ -16,7 +16,9 @@ sets, read again for the lines in question alone. Filters that fill up let more
 
 Defined cases: null and empty texts have no lines to remove; rows without doc_id are neither removed from nor a
 reason for removal; rows with the same doc_id are one document: they never match each other's same line, and a line
-number removed goes from all of them; an empty table gives empty results; extra columns are kept.
+number removed goes from all of them; an empty table gives empty results; extra columns are kept, whatever their names. A very
+long text is scanned alone, in memory that follows its length. Lines and shingles are compared by 128- and 64-bit hashes: two of
+m shingles fall together with probability m^2 / 2^65.
 """
 
 from __future__ import annotations
