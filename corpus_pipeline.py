@@ -2,7 +2,14 @@
 near-duplicate group stays, documents with benchmark passages go, and what is left is encoded.
 
 `run` writes every stage's result as Parquet in the shared folder and gives it, read again, to the next stage, so a
-lost executor costs work of the running stage alone. Every stage but the last returns the columns of documents.
+lost executor costs work of the running stage alone. Every stage but the last returns the columns of documents, extra
+ones included; the last one returns the encoding.
+
+Defined cases: a null or empty text is not toxic, has no lines, links with nothing, holds no passage and encodes to no token;
+line dedup drops a document that it leaves without any line, and keeps one whose text it does not change, null included.
+Rows without doc_id are not compared with others and stay. Of rows with one doc_id, near-dedup keeps the smallest text. Repeated
+rows are near copies of each other. Extra columns may have any name, those used inside the stages included. An empty table goes
+through all stages; labels without either class fail no stage (see `toxicity`). Texts are worked on whole, however long.
 """
 
 from __future__ import annotations
