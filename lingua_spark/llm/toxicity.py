@@ -191,14 +191,27 @@ def _feature_rows(model: Model):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton steps, each halved until the penalised loss falls enough: whole steps run away where the classes lie apart."""
     b = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep) + 1e-9 * np.eye(len(b)), x.T @ (y - p) - keep * b)
-        b += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-7:
+
+    def loss(c: np.ndarray) -> float:
+        z = x @ c
+        return float((np.logaddexp(0.0, z) - y * z).sum() + 0.5 * (keep * c * c).sum())
+
+    now = loss(b)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+        slope = x.T @ (y - p) - keep * b
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), slope)
+        gain, part = float(slope @ step), 1.0
+        while part > 1e-9 and not (then := loss(b + part * step)) <= now - 1e-4 * part * gain:
+            part /= 2
+        if part <= 1e-9:
+            break
+        b, now = b + part * step, then
+        if gain < 1e-10:
             break
     return b
 
@@ -242,7 +255,7 @@ def _segment_rate(model: Model):
 
 
 def _curve(x: list[float], m: Model) -> float:
-    return float(1 / (1 + np.exp(-np.clip(np.dot(x, m.curve), -40, 40))))
+    return float(1 / (1 + np.exp(-np.clip(np.dot(x, m.curve), -500, 500))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

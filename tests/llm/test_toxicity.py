@@ -53,6 +53,23 @@ def test_held_out_accuracy(spark):
     assert auc(held.toxic.to_numpy(), held.score.to_numpy()) > 0.85
 
 
+@pytest.mark.parametrize("least", [18, 25, 40])
+def test_curve_of_classes_that_lie_apart(least):
+    """The fit ends at the least loss: the slope is zero there, and toxic texts rank above clean ones."""
+    rng = np.random.default_rng(least)
+    clean, toxic = rng.exponential(1.0, 18_000), least + rng.exponential(30.0, 2_000)
+    weak = np.where(rng.random(len(clean)) < 0.05, rng.uniform(3, 8, len(clean)), 0.0)
+    x = np.concatenate([np.column_stack([np.ones(len(clean)), clean, np.log1p(weak), np.sqrt(weak / 40)]),
+                        np.column_stack([np.ones(len(toxic)), np.minimum(toxic, 40), np.log1p(toxic), np.minimum(1, np.sqrt(toxic / 60))])])
+    y = np.repeat([0.0, 1.0], [len(clean), len(toxic)])
+    for copies in (1, 10, 100):
+        w = np.concatenate([np.arange(len(clean)), np.tile(np.arange(len(clean), len(y)), copies)])
+        b = tox._logistic(x[w], y[w])
+        p = 1 / (1 + np.exp(-x[w] @ b))
+        assert np.abs(x[w].T @ (y[w] - p) - np.array([1e-6, 1e-2, 1e-2, 1e-2]) * b).max() < 1e-3
+        assert auc(y, x @ b) > 0.999
+
+
 def test_held_out_labels_are_not_learnt(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     other = labels.selectExpr("doc_id", "quality", "case when pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2 then 1 - toxic else toxic end toxic")
