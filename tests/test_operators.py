@@ -672,3 +672,53 @@ def test_tm_search_low_threshold_mixed_scripts(spark):
     q = spark.createDataFrame(queries, "query_id long, text string")
     for t in (0.5, 0.65, 0.8):
         assert {(r.query_id, r.id) for r in tm_search(q, tm, t, with_entries=False).collect()} == _brute_tm(queries, entries, t)
+
+
+def _cells(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        new = [i]
+        for j, e in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return row[-1]
+
+
+def test_distances_side_by_side():
+    import random
+
+    import pyarrow as pa
+
+    from lingua_spark.functions import edit_distance as ed
+    r = random.Random(3)
+    left, right = [], []
+    for _ in range(600):
+        letters = r.choice(["ab", "abcdef ", "aé漢😀x"])
+        x, y = ("".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 63, 64, 65, 128, 129, r.randint(0, 140)]))) for _ in "xy")
+        cut = r.randint(0, len(x))
+        left.append(x)
+        right.append(y if r.random() < 0.5 else x[:cut] + r.choice(letters) + x[cut:])
+    want = [_cells(x, y) for x, y in zip(left, right, strict=True)]
+    assert ed.levenshtein(pa.array(left), pa.array(right)).tolist() == want
+    assert ed.levenshtein(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
+
+
+def test_tm_candidates_verified_in_batches(spark):
+    """No pair of texts goes through levenshtein one by one or through a second shuffle, but for very long ones; all scores agree."""
+    from lingua_spark.operators.memory import TOGETHER_RUNES, tm_search
+    base = "the quick brown fox jumps over the lazy dog "
+    texts = [base, base.upper() + "!", base[5:], base * 2, "漢字かな交じり文", "漢字かな", "", "a", "xyz" * 30, "ab" * TOGETHER_RUNES, "ab" * TOGETHER_RUNES + "c"]
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "query_id long, text string")
+    tm = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, source_text string")
+    got = tm_search(q, tm, 0.5, with_entries=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    want = {}
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            a, b = x.lower().strip(), y.lower()
+            m = max(len(a.encode()), len(b.encode()))
+            s = 1.0 if a == b else 0.95 if a in b else 0.0 if abs(len(a) - len(b)) > 0.5 * m else 1 - (abs(len(a) - len(b)) if len(a) > 999 else _cells(a, b)) / m
+            if s >= 0.5:
+                want[i, j] = round(s, 9)
+    assert {(r["query_id"], r["id"]): round(r["score"], 9) for r in got.collect()} == want
