@@ -722,3 +722,31 @@ def test_tm_candidates_verified_in_batches(spark):
             if s >= 0.5:
                 want[i, j] = round(s, 9)
     assert {(r["query_id"], r["id"]): round(r["score"], 9) for r in got.collect()} == want
+
+
+def test_detection_makes_no_row_per_gram(spark, monkeypatch):
+    """Grams are counted inside the tasks: the plans have no Generate, and answers agree with plain counting."""
+    from collections import Counter
+
+    from lingua_spark.operators import detect
+    monkeypatch.setattr(detect, "CHUNK_RUNES", 20)
+    train = [("de", "der Fluß und das Haus"), ("en", "the river and the house"), ("EN ", "The hat"), (None, "xyz"), ("en", None), ("", "the"), ("fr", "ça 😀 été")]
+    docs = spark.createDataFrame(train, "lang string, text string").coalesce(1)
+    profiles = detect.train_language_profiles(docs, top=12)
+    assert "Generate" not in profiles._jdf.queryExecution().optimizedPlan().toString()
+    grams = lambda x: [x.lower()[i:i + 3] for i in range(len(x) - 2)]
+    prof = {(r["lang"], r["gram"]): r["cnt"] for r in profiles.collect()}
+    assert max(Counter(k[0] for k in prof).values()) <= 12 and prof["en", "the"] == 3 and prof["fr", "ça "] == 1 and prof["fr", " 😀 "] == 1
+    texts = ["the house", "DER FLUSS", "", None, "ab", "😀", "das 😀 été été", "the und", "qqqq", "the " * 50]
+    rows = [(i if i != 5 else None, x) for i, x in enumerate(texts)] + [(0, "das Haus")]
+    found = detect.detect_language(spark.createDataFrame(rows, "row_id long, text string"), profiles)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for i, x in rows:
+        hits = Counter()
+        for g in grams(x or ""):
+            hits.update(lang for lang, gram in prof if gram == g)
+        best = min(hits, key=lambda k: (-hits[k], k is not None, k), default=None)
+        want.append((i, best or "auto", round(hits[best] / sum(hits.values()), 9) if hits else 0.0))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r[0], r[1], round(r[2], 9)) for r in found.collect()), key=key) == sorted(want, key=key)
