@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lingua_spark.functions.text import normalize_language
+from lingua_spark.session import small_batches
 
 #: Code points of the texts whose grams are in memory together (a longer text comes alone), and their number at most.
 CHUNK_RUNES, CHUNK_TEXTS = 1 << 18, 256
@@ -81,6 +82,7 @@ def train_language_profiles(docs: DataFrame, n: int = 3, top: int = 300, text_co
     """LD-1: (lang, gram, cnt, rank): the `top` most frequent grams per language
     (ties by gram). Every chunk of texts counts its own grams, a grouped aggregate adds them up."""
     _check(n)
+    small_batches(docs.sparkSession)
     counts = (docs.select(normalize_language(lang_col).alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text"))
               .mapInArrow(_count_grams(n), "lang string, gram string, cnt long").groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")))
     w = Window.partitionBy("lang").orderBy(F.col("cnt").desc(), F.col("gram"))
@@ -93,6 +95,7 @@ def detect_language(df: DataFrame, profiles: DataFrame, id_col: str = "row_id",
     profile (with multiplicity); best = most hits, ties by code; confidence = best / all hits.
     No hit -> ('auto', 0.0). The profile table (languages x top) is small and goes to every task."""
     _check(n)
+    small_batches(df.sparkSession)
     rows = profiles.select("lang", "gram").distinct().collect()
     langs = sorted({r["lang"] for r in rows}, key=lambda x: (x is not None, x))
     grams = sorted({r["gram"] for r in rows if r["gram"] is not None and len(r["gram"]) == n})

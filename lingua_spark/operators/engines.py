@@ -10,17 +10,22 @@ engines receive pandas batches through mapInPandas (Arrow), never single rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingua_spark import constants as K
+from lingua_spark.session import small_batches
 
 ENGINE_OUTPUT = ("key_hash string, translation string, source_language string, confidence double, "
                  "alternative_texts array<string>, input_tokens long, output_tokens long, error string")
 ENGINE_COLUMNS = ["key_hash", "translation", "source_language", "confidence", "alternative_texts", "input_tokens",
                   "output_tokens", "error"]
+#: About so many bytes of texts make one frame of a detector: pandas holds a text and what is derived from it several times.
+DETECTOR_BYTES = 2 << 20
 DETECTOR_OUTPUT = "row_key string, language string, confidence double"
 WORK_COLUMNS = ["key_hash", "text", "source_lang", "target_lang", "provider", "model", "context", "tone",
                 "alternatives"]
@@ -138,17 +143,26 @@ def register_detector(name: str, fn: Callable) -> None:
     _DETECTORS[name] = fn
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about DETECTOR_BYTES, a row at least."""
+    rows = max(1, batch.num_rows * DETECTOR_BYTES // max(1, batch.get_total_buffer_size()))
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def run_detector(df: DataFrame, name: str, key: str = "row_key", text: str = "text") -> DataFrame:
-    """UD-3: run a registered detector in Arrow batches; language is normalized afterwards."""
+    """UD-3: run a registered detector on pandas frames of about DETECTOR_BYTES, from Arrow batches of a few MB;
+    language is normalized afterwards."""
     from lingua_spark.functions.text import normalize_language
     if name not in _DETECTORS:
         raise KeyError(f"{K.ERR_NOT_FOUND}: detector {name}")
     fn = _DETECTORS[name]
-
-    def batches(it):
-        for pdf in it:
-            out = fn(pdf.rename(columns={key: "row_key", text: "text"}))
-            yield out[["row_key", "language", "confidence"]]
-    out = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text")).mapInPandas(
-        batches, DETECTOR_OUTPUT)
+    small_batches(df.sparkSession)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in _slices(batch):
+                out = fn(part.to_pandas())
+                yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(out[c], type=t) for c, t in (("row_key", pa.string()), ("language", pa.string()), ("confidence", pa.float64()))],
+                                                 ["row_key", "language", "confidence"])
+    out = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text")).mapInArrow(batches, DETECTOR_OUTPUT)
     return out.withColumn("language", normalize_language("language"))

@@ -750,3 +750,16 @@ def test_detection_makes_no_row_per_gram(spark, monkeypatch):
         want.append((i, best or "auto", round(hits[best] / sum(hits.values()), 9) if hits else 0.0))
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     assert sorted(((r[0], r[1], round(r[2], 9)) for r in found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_detector_frames_are_small(spark):
+    """A detector gets frames of about DETECTOR_BYTES, not Arrow's whole batches."""
+    from lingua_spark.operators.engines import DETECTOR_BYTES, register_detector, run_detector
+
+    def sizes(pdf):
+        import pandas as pd
+        return pd.DataFrame({"row_key": pdf["row_key"], "language": "EN", "confidence": float(pdf["text"].str.len().sum())})
+    register_detector("sizes", sizes)
+    long = spark.range(3000, numPartitions=1).select(F.col("id").alias("row_key"), F.repeat(F.lit("x"), 4000).alias("text"))
+    got = run_detector(long, "sizes").agg(F.count("*"), F.countDistinct("row_key"), F.max("confidence"), F.min("language")).first()
+    assert got[:2] == (3000, 3000) and got[2] <= DETECTOR_BYTES and got[3] == "en"
