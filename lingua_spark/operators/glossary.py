@@ -74,7 +74,10 @@ def term_pattern(term: Column, case_sensitive: Column) -> Column:
     first_word = F.concat(F.lit(r"\w[\s\S]{"), n1, F.lit("}"))
     start = F.concat(F.lit("(?:(?<="), before_word, F.lit(")(?<!"), first_word, F.lit(")|(?<!"), before_word,
                      F.lit(")(?<="), first_word, F.lit("))"))
-    return F.concat(lit, start, F.lit(ASCII_BOUNDARY))
+    # a match that surely begins with a word char needs one look back; the boundary at the end is the cheaper one
+    plain = F.when(case_sensitive, term.rlike("^[A-Za-z0-9_]")).otherwise(term.rlike("^[A-HJLM-RT-Za-hjlm-rt-z0-9_]"))
+    start = F.when(plain, F.concat(F.lit("(?<!"), before_word, F.lit(")"))).otherwise(start)
+    return F.concat(lit, F.lit(ASCII_BOUNDARY), start)
 
 
 # The only non-ASCII letters that case-fold onto ASCII letters (long s, dotless i, Kelvin
@@ -175,7 +178,8 @@ def glossary_for(requests: DataFrame, glossary: DataFrame, out_col: str = "gloss
         return glossary_for(rows, glossary, out_col, "_row", text_col, ranked).drop("_row")
     if ranked is None:
         ranked = ranked_entries(requests, glossary)
-    anchors = entry_anchors(ranked.select("target_lang", "rank", "term", "translation", "case_sensitive"))
+    # written, so that its size is known: beside a small glossary the texts' keys stay where they are
+    anchors = written_once(entry_anchors(ranked.select("target_lang", "rank", "term", "translation", "case_sensitive")))
     keys = requests.select(row_id, "target_lang", F.explode(text_anchors(F.col(text_col))).alias("_key"))
     found = keys.join(anchors, ["target_lang", "_key"]).groupBy(row_id).agg(
         F.array_sort(F.collect_set(F.struct("rank", "term", "translation", "case_sensitive"))).alias("_found"))

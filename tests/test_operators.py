@@ -763,3 +763,27 @@ def test_detector_frames_are_small(spark):
     long = spark.range(3000, numPartitions=1).select(F.col("id").alias("row_key"), F.repeat(F.lit("x"), 4000).alias("text"))
     got = run_detector(long, "sizes").agg(F.count("*"), F.countDistinct("row_key"), F.max("confidence"), F.min("language")).first()
     assert got[:2] == (3000, 3000) and got[2] <= DETECTOR_BYTES and got[3] == "en"
+
+
+def test_small_glossary_leaves_text_keys_where_they_are(spark):
+    """The keys of the texts meet a small glossary by broadcast; masks agree with boundary + literal + boundary."""
+    import re
+
+    from lingua_spark.operators.glossary import glossary_for, glossary_mask, term_pattern
+    terms = ["the", "The", "ski", "k2", "_x", "été", "a.b", ".b", "#a", "9"]
+    gl = spark.createDataFrame([(i, x, "", "t", i % 2 == 0) for i, x in enumerate(terms)],
+                               "entry_no long, source_term string, target_lang string, translation string, case_sensitive boolean")
+    texts = ["the ththe thethe THE the.", "Ski ſki K2 xk2 k2x k2", "__x _x x_x", "été l'été étés éÉtÉ", "a.b xa.b a.bx .b a..b", "#a a#a ##a#a", "9 99 9a é9é", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "request_id long, text string").withColumn("target_lang", F.lit("es"))
+    got = glossary_mask(glossary_for(rows, gl, row_id="request_id"), "text", "gloss", "masked")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [target_lang" not in plan
+    assert len(got.collect()) == len(texts)
+    for case in (True, False):
+        old = [(i, x, bool(re.match(r"\w", x, re.A))) for i, x in enumerate(terms)]
+        pat = spark.createDataFrame(old, "i long, term string, w boolean").select("i", "term", term_pattern(F.col("term"), F.lit(case)).alias("p"))
+        b = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+        lit = F.concat(F.lit(r"\Q"), "term", F.lit(r"\E"))
+        plain = F.concat(F.lit(b), lit if case else F.concat(F.lit("(?iu:"), lit, F.lit(")")), F.lit(b))
+        both = pat.crossJoin(rows.select("text")).select("term", "text", F.regexp_replace("text", F.col("p"), F.lit("*")).alias("x"), F.regexp_replace("text", plain, F.lit("*")).alias("y"))
+        assert both.filter("x <> y").collect() == []
