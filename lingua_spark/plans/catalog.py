@@ -501,8 +501,12 @@ def _md_docs(spark, sf):
                                    F.lit("markdown").alias("format"))
 
 
+#: A page falls into very many pieces: a task takes this much of the files.
+PAGE_TASK_BYTES = 4 << 20
+
+
 def _html_docs(spark, sf):
-    return T.read(spark, sf, "pages").select((F.lit(1000000) + F.col("page_id")).alias("doc_id"),
+    return T.read(spark, sf, "pages", PAGE_TASK_BYTES).select((F.lit(1000000) + F.col("page_id")).alias("doc_id"),
                                              F.col("html").alias("content"), F.lit("html").alias("format"))
 
 

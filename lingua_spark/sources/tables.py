@@ -14,8 +14,8 @@ EPOCH_DAY = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 AS_OF = "TIMESTAMP_NTZ'2024-01-01 06:00:00'"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(table_path(sf_dir, name)))
+def read(spark: SparkSession, sf_dir: str, name: str, task_bytes: int | None = None) -> DataFrame:
+    return spread(spark.read.parquet(table_path(sf_dir, name)), task_bytes)
 
 
 def requests_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

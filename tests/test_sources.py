@@ -73,3 +73,15 @@ def test_ingest_parses_each_body_once_and_checks_types(spark):
     assert got["3"][2] == "no response" and got["5"][2] == got["6"][2] == "openai detect failed: invalid json"
     libre = detect.withColumn("provider", F.lit("libretranslate")).withColumn("body", F.lit('[{"language": "fr", "confidence": 90}, {"language": "en"}]'))
     assert {(r.language, r.confidence) for r in ingest_detections(libre).collect()} == {("fr", 90.0)}
+
+
+def test_spread_bounds_the_bytes_of_a_task(spark, tmp_path):
+    """One file with one row group is dealt to as many tasks as `task_bytes` asks for; no row is lost."""
+    from pyspark.sql import functions as F
+
+    from lingua_spark.session import spread
+    spark.range(40_000, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    few, many = spread(df), spread(df, 64 << 10)
+    assert many.rdd.getNumPartitions() > max(20, few.rdd.getNumPartitions())
+    assert many.exceptAll(df).count() == 0 and many.count() == 40_000
