@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lingua_spark.session import cut_lineage, ensure_checkpoint_dir, list_dir, spread
 from lingua_spark.streaming.cache_log import CacheLog
-from lingua_spark.streaming.ordered import NO_TIME, RunsPerSlice, WritesByTtl, rocksdb_state, started, state, with_watermark
+from lingua_spark.streaming.ordered import BUCKETS, NO_TIME, RunsPerSlice, WritesByTtl, rocksdb_state, started, state, with_watermark
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -110,14 +110,17 @@ def stream_dedup(stream: DataFrame, key: str, time_us: str, id_col: str, ttl_sec
     from lingua_spark.operators.cache import ttl_dedup
     spark = stream.sparkSession
     base = base or scratch(spark, name)
-    rows = stream.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(time_us).cast("long").alias("t_us"))
-    _ordered(rows, ["key"], WritesByTtl(int(round(ttl_seconds * 1_000_000))), "t_us", delay_seconds, base)
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(time_us).cast("long").alias("t_us"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    _ordered(rows, ["bucket"], WritesByTtl(int(round(ttl_seconds * 1_000_000))), "t_us", delay_seconds, base)
     done = _outputs(spark, base, WritesByTtl.output).drop("batch")
     if close and started(spark, base):
         marker = -(1 << 62)  # the key's last write opens the fold of what is held
         with rocksdb_state(spark):
-            held = state(spark, base, "held").select("key.key", "list_element.id", "list_element.t_us")
-            last = state(spark, base, "last").select("key.key", F.lit(marker).alias("id"), "value.t_us")
+            held = (state(spark, base, "held").select(F.explode(F.arrays_zip("list_element.key", "list_element.id", "list_element.t_us")).alias("row"))
+                    .select("row.*"))
+            last = (state(spark, base, "last").select(F.explode(F.arrays_zip("value.key", "value.t_us")).alias("row"))
+                    .select("row.key", F.lit(marker).alias("id"), "row.t_us"))
             both = cut_lineage(held.unionByName(last.join(held.select("key").distinct(), "key", "left_semi")))
         rest = ttl_dedup(both, ttl_seconds, key="key", ts_micros="t_us", id_col="id").filter(F.col("id") != marker)
         done = done.unionByName(rest.select("key", "id", "t_us", "action"))

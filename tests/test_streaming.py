@@ -107,3 +107,23 @@ def test_nothing_arrived(spark):
     assert stream_dedup(s, "key_hash", "t_us", "call_id", 10.0, 1.0).collect() == []
     s = _arrive(spark, _folder(spark, "none"), 1, [], "call_id long, provider string, ok boolean, t_us long")
     assert stream_failure_runs(s, 3).collect() == []
+
+
+def test_dedup_shares_state_between_keys(spark, monkeypatch):
+    """Many keys share a few calls of the processor, and answers are those of the fold; last writes that can make no hit any more leave
+    the state."""
+    import random
+    from lingua_spark.streaming.ordered import rocksdb_state, state
+    from lingua_spark.streaming.streams import stream_dedup
+    monkeypatch.setattr("lingua_spark.streaming.streams.BUCKETS", 4, raising=False)
+    rng = random.Random(3)
+    source, base = _folder(spark, "shared"), _folder(spark, "shared-base")
+    portions = [[(f"k{rng.randrange(700)}", 10_000 * k + i, rng.randrange(300 * k * S, 300 * (k + 1) * S)) for i in range(1500)] for k in range(2)]
+    for k, rows in enumerate(portions):
+        s = _arrive(spark, source, k, rows, DEDUP)
+        got = {r.call_id: r.action for r in stream_dedup(s, "key_hash", "t_us", "call_id", 40.0, 50.0, base=base, late=True).collect()}
+        assert got == _fold(sum(portions[:k + 1], []), 40 * S)
+    with rocksdb_state(spark):
+        last = state(spark, base, "last")
+        assert 0 < last.count() <= 4
+        assert last.selectExpr("explode(value.t_us) t").agg(F.min("t")).first()[0] + 40 * S > max(r[2] for r in portions[1]) // 1000 * 1000 - 50 * S
