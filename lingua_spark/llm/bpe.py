@@ -23,6 +23,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Entries of each of the two generations of a Python worker's cache. They bound memory and change no result.
 CACHE_WORDS = 150_000
-#: Characters whose new words are encoded together.
-BATCH_CHARS = 1 << 22
+#: Characters whose new words are encoded together, and those whose results are made together.
+BATCH_CHARS, RESULT_CHARS = 1 << 22, 1 << 19
 
 
 def _byte_alphabet() -> list[str]:
@@ -63,9 +64,10 @@ class PairIndexBpe:
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pieces).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        #: white-space-free stretch of text -> (tokens, their ids joined, their texts joined)
-        self.seen: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.numbers = {i: str(i) for i in self.tokens}
+        #: white-space-free stretch of text -> its ids, as the bytes of 32-bit integers: what a worker keeps is small
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merges(self, made: list[tuple[int, int, int]], width: int) -> None:
         """Take over a merge table of (left, right, merged), by rank."""
@@ -84,6 +86,12 @@ class PairIndexBpe:
         """Ids of each non-empty word, by one pair occurrence index over all of them."""
         if not words:
             return []
+        ids, at = self._word_ids(words)
+        ids = ids.tolist()
+        return [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all words one after the other, and where each word's begin."""
         data = [w.encode() for w in words]
         size = np.array([len(b) for b in data])
         end = np.cumsum(size)
@@ -95,9 +103,7 @@ class PairIndexBpe:
         else:
             symbol = np.array(self.merge_in_turn(symbol.tolist(), (end - size).tolist()))
         left = symbol >= 0
-        at = [0, *np.cumsum(left)[end - 1].tolist()]
-        ids = symbol[left].tolist()
-        return [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        return symbol[left].astype(np.int32), [0, *np.cumsum(left)[end - 1].tolist()]
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, -1 without one."""
@@ -246,14 +252,14 @@ class PairIndexBpe:
             return
         parts = [self._stretch_words(s) for s in new]
         words = list({w for p in parts for w in p})
-        coded = {}
-        tokens = self.tokens
-        for w, ids in zip(words, self.encode_words(words), strict=True):
-            coded[w] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
+        if not words:
+            seen.update(dict.fromkeys(new, b""))
+            return
+        ids, at = self._word_ids(words)
+        raw = ids.tobytes()
+        coded = {w: raw[4 * i:4 * j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
         for s, p in zip(new, parts, strict=True):
-            got = [coded[w] for w in p]
-            self.seen[s] = got[0] if len(got) == 1 else (
-                sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+            seen[s] = coded[p[0]] if len(p) == 1 else b"".join([coded[w] for w in p])
 
     def stretches(self, text: str) -> list[str]:
         """White-space-free stretches in order; special tokens are stretches of their own."""
@@ -271,30 +277,36 @@ class PairIndexBpe:
             return [p for p in regex.split(r"[^\S\x1c-\x1f]+", text) if p]
         return text.split()
 
+    def encode_ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as the bytes of 32-bit integers."""
+        # texts are split a second time below: the stretches of a batch would take several times its memory
+        self.learn(set().union(*map(self.stretches, texts)) - self.special.keys())
+        seen = self.seen
+        for s, i in self.special.items():
+            seen[s] = np.int32(i).tobytes()
+        for t in texts:
+            yield b"".join(map(seen.__getitem__, self.stretches(t)))
+
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(token count, ids joined by blanks, decoded text) of each text."""
-        parts = [self.stretches(t) for t in texts]
-        self.learn(set().union(*parts) - self.special.keys())
-        for s, i in self.special.items():
-            self.seen[s] = (1, str(i), s)
-        seen = self.seen
-        for p in parts:
-            got = [g for g in map(seen.__getitem__, p) if g[0]]
-            yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+        for raw in self.encode_ids(texts):
+            ids = np.frombuffer(raw, np.int32).tolist()
+            yield len(ids), " ".join(map(self.numbers.__getitem__, ids)), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    i = chars = 0
-    for j, t in enumerate(texts):
-        chars += len(t)
-        if chars >= BATCH_CHARS:
+def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours that end where `most` is reached."""
+    i = total = 0
+    for j, n in enumerate(sizes):
+        total += n
+        if total >= most:
             yield i, j + 1
-            i, chars = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
+            i, total = j + 1, 0
+    if i < len(sizes):
+        yield i, len(sizes)
 
 
 _loaded: dict[str, PairIndexBpe] = {}
@@ -307,29 +319,41 @@ def tokenizer(path: str) -> PairIndexBpe:
     return _loaded[path]
 
 
-def _map(docs: DataFrame, path: str, ddl: str, row: Callable, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+def _map(docs: DataFrame, path: str, ddl: str, columns: Callable) -> DataFrame:
+    """`columns` makes the result's columns, doc_id aside, of a tokenizer and some texts' ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
-            for i, j in _groups(texts):
-                rows = [row(*x) for x in t.encode_texts(texts[i:j])]
-                values = [list(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).cast(pa.int64()), *(pa.array(v, k) for v, (_, k) in zip(values, fields, strict=True))],
-                    ["doc_id", *(n for n, _ in fields)])
+            sizes = [len(x) for x in texts]
+            for i, j in _groups(sizes, BATCH_CHARS):
+                ids = t.encode_ids(texts[i:j])
+                for k, m in _groups(sizes[i:j], RESULT_CHARS):
+                    made = columns(t, list(islice(ids, m - k)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + k, m - k).cast(pa.int64()), *made.values()], ["doc_id", *made])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded) per document."""
-    return _map(docs, path, "doc_id long, n_tokens long, ids array<int>, decoded string",
-                lambda n, ids, text: (n, [int(i) for i in ids.split()], text),
-                [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    def columns(t: PairIndexBpe, raw: list[bytes]) -> dict[str, pa.Array]:
+        at = np.cumsum([0, *(len(r) // 4 for r in raw)])
+        ids = np.frombuffer(b"".join(raw), np.int32)
+        decoded = [t.decode(ids[i:j].tolist()) for i, j in zip(at[:-1], at[1:], strict=True)]
+        return {"n_tokens": pa.array(np.diff(at), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
+                "decoded": pa.array(decoded, pa.string())}
+    return _map(docs, path, "doc_id long, n_tokens long, ids array<int>, decoded string", columns)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document."""
-    return _map(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-                lambda n, ids, text: (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()),
-                [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    def columns(t: PairIndexBpe, raw: list[bytes]) -> dict[str, pa.Array]:
+        ids = [np.frombuffer(r, np.int32).tolist() for r in raw]
+        return {"n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": pa.array([_sha256(" ".join(map(t.numbers.__getitem__, x))) for x in ids], pa.string()),
+                "decoded_sha256": pa.array([_sha256(t.decode(x)) for x in ids], pa.string())}
+    return _map(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()

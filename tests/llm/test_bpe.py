@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -82,3 +83,23 @@ def test_cache_starts_anew(monkeypatch, library):
     mine = bpe.PairIndexBpe(PATH)
     for t in ["some words here", "other words there and more words", "<|endoftext|> again words"] * 3:
         assert list(mine.encode_texts([t])) == [expected(library, t)]
+
+
+def test_a_worker_keeps_little_per_stretch(library):
+    """The caches stay in a Python worker after the stage: ids alone, not their texts."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefgh'0é") for _ in range(rng.randint(3, 9))) for _ in range(100)) for _ in range(50)]
+    mine = bpe.PairIndexBpe(PATH)
+    assert list(mine.encode_texts(texts)) == [expected(library, t) for t in texts]
+    held = [x for v in mine.seen.values() for x in ([v, *v] if isinstance(v, tuple) else [v])]
+    assert len(mine.seen) > 4000 and sum(map(sys.getsizeof, held)) < 80 * len(mine.seen)
+
+
+def test_results_leave_in_small_batches(spark, library, monkeypatch):
+    texts = [f"document {i} says " + "word " * i for i in range(40)] + ["", None]
+    monkeypatch.setattr(bpe, "RESULT_CHARS", 100, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in bpe.encode(df, PATH).collect()}
+    for i, t in enumerate(texts):
+        n, ids, text = expected(library, t)
+        assert (got[i]["n_tokens"], " ".join(map(str, got[i]["ids"])), got[i]["decoded"]) == (n, ids, text)
