@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from helpers import SCHEMA, edge_docs, edge_rows, later_lines, no_docs, prose, row
 from lingua_spark.llm import line_dedup
 from lingua_spark.llm.common import membership
@@ -70,3 +72,52 @@ def test_full_filters_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "KEY_BITS", 64)
     monkeypatch.setattr(line_dedup, "membership", lambda df, c, bits=64: membership(df, c, 64))
     check(spark, edge_rows())
+
+
+def test_shared_keys_cross_as_packed_bits(spark, monkeypatch):
+    """The filter of shared shingles holds those of several lines, found without a row per shingle."""
+    monkeypatch.setattr(line_dedup, "HELD_KEYS", 50)
+    rng = random.Random(7)
+    same = prose(rng, 30)
+    docs = spark.createDataFrame([row(i, prose(rng, 200) + f"\n{same} only{i}") for i in range(30)], SCHEMA).repartition(3).select("doc_id", "text")
+    lines = docs.mapInArrow(line_dedup._lines, "doc long, line long, n long, s long, t long")
+    none, counts = line_dedup._line_filter(lines.where("false")), line_dedup.shingle_counts(lines)
+    posted = [r["key"] for r in docs.mapInArrow(line_dedup._post(counts, none, none, None), "key long").collect()]
+    shared = line_dedup._shared_keys(docs, counts, none, none).value
+    keys = np.array(sorted(set(posted)))
+    several = np.array([posted.count(k) > 1 for k in keys.tolist()])
+    held = line_dedup.member(shared, keys)
+    assert several.any() and held[several].all() and held.sum() - several.sum() < 5
+
+
+def test_parity_bounds_the_difference():
+    """The filter never drops a pair at the threshold, and drops pairs that the posted places alone let through."""
+    rng = np.random.default_rng(3)
+    dropped = 0
+    for _ in range(2000):
+        n, out, new = rng.integers(1, 120), rng.integers(0, 40), rng.integers(0, 40)
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[min(out, n - 1):], rng.integers(0, 2**63, new, dtype=np.uint64)])
+        i = len(np.intersect1d(a, b))
+        p, q = (int(line_dedup._parity(x, np.array([0]))[0]) for x in (a, b))
+        keep = (100 + 75) * (p ^ q).bit_count() <= (100 - 75) * (len(a) + len(b))
+        assert keep or 100 * i < 75 * (len(a) + len(b) - i)
+        dropped += not keep
+    assert dropped > 500
+
+
+def test_few_pairs_are_verified_together(spark, monkeypatch):
+    """Rounds with few pairs don't read the documents again, each for itself."""
+    monkeypatch.setattr(line_dedup, "FAN", 1)
+    calls, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda docs, pairs: calls.append(1) or verified(docs, pairs))
+    rng = random.Random(9)
+    stretch = prose(rng, 30).split()
+    rows = []
+    for i in range(12):
+        w = stretch[:]
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(5)}"
+        rows.append(row(i, " ".join(w)))
+    check(spark, rows)
+    assert len(calls) == 1
