@@ -108,15 +108,15 @@ def test_parity_bounds_the_difference():
 
 def test_few_pairs_are_verified_together(spark, monkeypatch):
     """Rounds with few pairs don't read the documents again, each for itself."""
-    monkeypatch.setattr(line_dedup, "FAN", 1)
+    monkeypatch.setattr(line_dedup, "FAN", 2)
     calls, verified = [], line_dedup._verified
     monkeypatch.setattr(line_dedup, "_verified", lambda docs, pairs: calls.append(1) or verified(docs, pairs))
-    rng = random.Random(9)
+    rng = random.Random(5)
     stretch = prose(rng, 30).split()
     rows = []
-    for i in range(12):
+    for i in range(40):
         w = stretch[:]
-        for _ in range(3):
+        for _ in range(rng.randrange(0, 4)):
             w[rng.randrange(len(w))] = f"z{rng.randrange(5)}"
         rows.append(row(i, " ".join(w)))
     check(spark, rows)
