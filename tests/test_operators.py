@@ -787,3 +787,18 @@ def test_small_glossary_leaves_text_keys_where_they_are(spark):
         plain = F.concat(F.lit(b), lit if case else F.concat(F.lit("(?iu:"), lit, F.lit(")")), F.lit(b))
         both = pat.crossJoin(rows.select("text")).select("term", "text", F.regexp_replace("text", F.col("p"), F.lit("*")).alias("x"), F.regexp_replace("text", plain, F.lit("*")).alias("y"))
         assert both.filter("x <> y").collect() == []
+
+
+def test_tm_search_shared_text_is_fanned_out_by_many_tasks(spark, monkeypatch):
+    """One text on all rows: its pairs are made by all tasks alike; null and repeated ids, and scores by digits."""
+    from lingua_spark.operators import memory as M
+    monkeypatch.setattr(M, "FAN_IDS", 50)
+    ids = F.when(F.col("id") == 7, None).when(F.col("id") == 8, 9).otherwise(F.col("id"))
+    q = spark.range(0, 1200).select(ids.alias("query_id"), F.lit("white linen cloth").alias("text"))
+    tm = spark.range(0, 600).select(F.col("id"), F.when(F.col("id") < 590, "white linen cloth").otherwise("white linen clots").alias("source_text"))
+    got = M.tm_search(q, tm, 0.8, with_entries=False, digits=2)
+    sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == 1200 * 600 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    assert {(r.score, r.n) for r in got.groupBy("score").agg(F.count("*").alias("n")).collect()} == {(1.0, 1200 * 590), (0.94, 1200 * 10)}
+    assert got.filter("query_id is null").count() == 600 and got.filter("query_id = 9").count() == 1200
+    assert got.select("query_id", "id").distinct().count() == 1199 * 600
