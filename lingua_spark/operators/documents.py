@@ -22,19 +22,13 @@ from lingua_spark.session import cut_lineage, written_once
 JSON_STRING_RE = r"(\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"(?:\s*:)?)"
 
 
-def _interleave(parts: Column, seps: Column) -> Column:
-    """[p0, s0, p1, s1, ...] as array<struct<pos, kind_sep, piece>> (pos 0-based)."""
-    return F.flatten(F.transform(parts, lambda p, i: F.array(
-        F.struct((i * 2).alias("pos"), F.lit(False).alias("is_sep"), p.alias("piece")),
-        F.struct((i * 2 + 1).alias("pos"), F.lit(True).alias("is_sep"), F.get(seps, i).alias("piece")))))
-
-
-def _pieces(df: DataFrame, content: str, pattern: str, id_col: str) -> DataFrame:
+def _pieces(df: DataFrame, content: str, pattern: str, *keep: str) -> DataFrame:
+    """Rows (*keep, pos, is_sep, segment): p0, s0, p1, s1, ... of the text split by `pattern`. The two lists meet in
+    zip_with, outside of its lambda: a text is split and searched once, not once per piece."""
     parts = F.split(F.col(content), pattern, -1)
     seps = F.regexp_extract_all(F.col(content), F.lit(pattern), 1)
-    return (df.select(id_col, F.explode(_interleave(parts, seps)).alias("_p"))
-            .select(id_col, F.col("_p.pos").alias("pos"), F.col("_p.is_sep").alias("is_sep"),
-                    F.col("_p.piece").alias("segment"))
+    return (df.select(*keep, F.posexplode(F.flatten(F.zip_with(parts, seps, lambda p, s: F.array(p, s)))).alias("pos", "segment"))
+            .select(*keep, "pos", (F.col("pos") % 2 == 1).alias("is_sep"), "segment")
             .filter(F.col("segment").isNotNull()))
 
 

@@ -802,3 +802,16 @@ def test_tm_search_shared_text_is_fanned_out_by_many_tasks(spark, monkeypatch):
     assert {(r.score, r.n) for r in got.groupBy("score").agg(F.count("*").alias("n")).collect()} == {(1.0, 1200 * 590), (0.94, 1200 * 10)}
     assert got.filter("query_id is null").count() == 600 and got.filter("query_id = 9").count() == 1200
     assert got.select("query_id", "id").distinct().count() == 1199 * 600
+
+
+def test_a_page_is_split_once(spark):
+    """A page of 80,001 pieces is split in seconds, since its text is not searched again for each piece."""
+    import time
+    from lingua_spark.operators.documents import segment_tagged
+    page = "".join(f"<b>w{i}</b>" for i in range(20_000))
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "doc_id long, content string")
+    start = time.time()
+    rows = {r.pos: (r.kind, r.segment) for r in segment_tagged(df).filter("doc_id = 1").collect()}
+    assert time.time() - start < 20
+    assert len(rows) == 80_001 and rows[0] == ("keep", "") and rows[1] == ("keep", "<b>") and rows[2] == ("text", "w0") and rows[80_000] == ("keep", "")
+    assert [tuple(r) for r in segment_tagged(df).filter("doc_id <> 1").collect()] == [(3, 0, "keep", "")]
