@@ -517,22 +517,25 @@ def _json_docs(spark, sf):
 
 
 def segment_translator(target: str = "es"):
-    """translate_fn for documents: BT-5 with the mock engine over the distinct segments."""
+    """translate_fn for documents: BT-5 with the mock engine over the segments, whose equal
+    texts share one answer; the other columns of the segments come back beside it."""
     from lingua_spark.operators.engines import has_engine, mock_engine, register_engine
     from lingua_spark.plans.translate import translate
     if not has_engine("mock"):
         register_engine("mock", mock_engine(), kind="native")
 
     def fn(segs):
-        reqs = segs.select(F.lit(0).cast("long").alias("request_id"), F.lit(None).cast("timestamp").alias("ts"),
-                           F.col("segment").alias("text"), F.col("segment"), F.lit("auto").alias("source_lang"),
+        carry = [c for c in segs.columns if c != "segment"]
+        reqs = segs.select(*carry, F.lit(0).cast("long").alias("request_id"), F.lit(None).cast("timestamp").alias("ts"),
+                           F.col("segment").alias("text"), F.lit("auto").alias("source_lang"),
                            F.lit(target).alias("target_lang"), F.lit("").alias("provider"), F.lit("").alias("model"),
                            F.lit("").alias("context"), F.lit("neutral").alias("tone"), F.lit(True).alias("use_cache"),
                            F.lit(0).alias("alternatives"))
-        res = translate(reqs, engine="mock", carry=["segment"])
-        ok = res.answers.select("segment", "translation", "error")
-        bad = res.rejected.select("segment", F.lit(None).cast("string").alias("translation"), "error")
+        res = translate(reqs, engine="mock", carry=carry)
+        ok = res.answers.select(*carry, "translation", "error")
+        bad = res.rejected.select(*carry, F.lit(None).cast("string").alias("translation"), "error")
         return ok.unionByName(bad)
+    fn.keeps_rows = True
     return fn
 
 

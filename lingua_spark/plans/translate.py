@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lingua_spark import constants as K
 from lingua_spark.functions.keys import cache_key
-from lingua_spark.functions.text import first_nonempty, normalize_language
+from lingua_spark.functions.text import first_nonempty, normalize_language, utrim
 from lingua_spark.operators import engines as E
 from lingua_spark.operators.cache import live_responses
 from lingua_spark.operators.chain import chain_array, providers_table, resolve_model
@@ -55,7 +55,10 @@ def keyed_requests(requests: DataFrame, glossary: DataFrame | None = None, provi
     """
     spark = requests.sparkSession
     providers = providers if providers is not None else providers_table(spark)
-    ok, rejected = split_valid(validate_requests(requests, max_len))
+    ok = split_valid(validate_requests(requests, max_len))[0]
+    # normalizing only shortens a text: others than these are never refused, and are not normalized a second time
+    odd = requests.filter((utrim("text") == "") | (F.char_length("text") > max_len))
+    rejected = split_valid(validate_requests(odd, max_len))[1]
     src = F.lower(F.trim(F.col("source_lang")))
     det = None
     if detected is not None:
@@ -94,7 +97,7 @@ def _answer_rows(res: DataFrame, error: "F.Column") -> DataFrame:
         .otherwise(c("translation", "string"))
     src = c("source_language", "string")
     return res.select(
-        "work_key", "key_hash",
+        "work_key", "key_hash", "first_id",
         F.when(ok, translation).alias("translation"),
         F.when(ok, F.when(F.coalesce(src, F.lit("")).isin("", "auto"), F.col("source_lang")).otherwise(src))
         .alias("source_language"),
@@ -144,22 +147,23 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
                              .otherwise(F.concat_ws("#", "key_hash", F.col("request_id").cast("string"))))
     # The keyed requests, texts included, are evaluated and written once. The first request per key and the
     # cache lookup read and shuffle their narrow columns; only the texts of cache misses are joined.
-    keyed = written_once(keyed) if materialize else keyed
-    first = F.min_by(F.struct("request_id", "key_hash", "use_cache"), F.struct("ts", "request_id")).alias("_f")
-    looked = keyed.groupBy("work_key").agg(first).select("work_key", F.col("_f.request_id").alias("first_id"), "_f.key_hash", "_f.use_cache")
+    keyed = written_once(keyed, "zstd") if materialize else keyed
+    carry = carry or []
     use_cache_table = cache is not None
+    oldest = F.struct("ts", "request_id")
     if use_cache_table:
+        first = F.min_by(F.struct("request_id", "key_hash", "use_cache"), oldest).alias("_f")
+        looked = keyed.groupBy("work_key").agg(first).select("work_key", F.col("_f.request_id").alias("first_id"), "_f.key_hash", "_f.use_cache")
         as_of = F.current_timestamp() if as_of is None else as_of
         looked = live_responses(looked, cache, as_of, cache_unique)
-    looked = cut_lineage(looked) if materialize else looked
+        looked = cut_lineage(looked) if materialize else looked
 
     # exactly one work row per key, even when request ids repeat
-    texts = keyed.withColumnRenamed("request_id", "first_id")
     hit_answers = None
     if use_cache_table:
         is_hit = F.col("use_cache") & F.col("cached_response").isNotNull()
         hit_answers = looked.filter(is_hit).select(
-            "work_key", "key_hash", F.col("cached_response.translation").alias("translation"),
+            "work_key", "key_hash", "first_id", F.col("cached_response.translation").alias("translation"),
             F.col("cached_response.source_language").alias("source_language"),
             F.col("cached_response.target_language").alias("target_language"),
             F.col("cached_response.provider").alias("provider"), F.col("cached_response.model").alias("model"),
@@ -168,20 +172,27 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
             F.col("cached_response.input_tokens").alias("input_tokens"),
             F.col("cached_response.output_tokens").alias("output_tokens"),
             F.lit(None).cast("string").alias("error"), F.lit(False).alias("store"))
-        missed = looked.filter(~is_hit)
+        wanted = looked.filter(~is_hit).select(F.col("work_key").alias("_wk"), F.col("first_id").alias("_fid"))
+        misses = (keyed.withColumnRenamed("request_id", "first_id")
+                  .join(wanted, (F.col("work_key") == F.col("_wk")) & F.col("first_id").eqNullSafe(F.col("_fid")), "left_semi")
+                  .dropDuplicates(["work_key"]))
     else:
-        missed = looked
-    wanted = missed.select(F.col("work_key").alias("_wk"), F.col("first_id").alias("_fid"))
-    misses = (texts.join(wanted, (F.col("work_key") == F.col("_wk")) & F.col("first_id").eqNullSafe(F.col("_fid")), "left_semi")
-              .dropDuplicates(["work_key"]))
-    if materialize:
-        misses = cut_lineage(misses)  # read by the glossary lookup, the masks and the engine
+        # nothing is looked up in between: the first request of a key comes with its text, by one shuffle
+        cols = [c for c in keyed.columns if c not in ("work_key", "key_hash", *carry)]
+        misses = (keyed.groupBy("work_key").agg(F.min_by(F.struct(*cols), oldest).alias("_f"))
+                  .select("work_key", F.substring_index("work_key", "#", 1).alias("key_hash"),
+                          *[F.col("_f")[c].alias("first_id" if c == "request_id" else c) for c in cols]))
+    ranks = 1 + len(fallback)
+    pick = _engine_for(provider_engines, engine)
+    engines = sorted({pick(p) for p in known})
+    if materialize and (use_cache_table or glossary is not None or (use_tm and tm is not None) or ranks + len(engines) > 2):
+        misses = cut_lineage(misses)  # read by the glossary lookup, the masks and the engines
 
     if use_tm and tm is not None:
         from lingua_spark.operators.memory import tm_exact
-        tm_hits = tm_exact(misses.select("work_key", "key_hash", "text", "source_lang", "target_lang"), tm)
+        tm_hits = tm_exact(misses.select("work_key", "key_hash", "first_id", "text", "source_lang", "target_lang"), tm)
         misses = misses.join(tm_hits.select("work_key"), "work_key", "left_anti")
-        tm_answers = (tm_hits.select("work_key", "key_hash", F.col("target_text").alias("translation"),
+        tm_answers = (tm_hits.select("work_key", "key_hash", "first_id", F.col("target_text").alias("translation"),
                               F.col("source_lang").alias("source_language"),
                               F.col("target_lang").alias("target_language"), F.lit("memory").alias("provider"),
                               F.lit("").alias("model"), F.lit(True).alias("hit"), F.lit(1.0).alias("confidence"),
@@ -199,8 +210,6 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
             .withColumn("chain", chain_array(F.col("provider_name"), known, fallback)))
     pmeta = providers.select(F.col("provider").alias("chain_provider"), F.col("default_model").alias("_pm"),
                              F.col("uses_glossary").alias("_ug"))
-    pick = _engine_for(provider_engines, engine)
-    ranks = 1 + len(fallback)
     unavailable = F.lit(f"{K.ERR_PROVIDER_UNAVAILABLE}: no provider available")
     parts: list[DataFrame] = []
     pending = work.withColumn("last_error", F.lit(None).cast("string"))
@@ -219,7 +228,7 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
                 .withColumn("provider", F.col("chain_provider"))
                 .withColumn("model", first_nonempty(F.col("model_in"), F.col("_pm"))))
         outs = []
-        for eng in sorted({pick(p) for p in known}):
+        for eng in engines:
             provs = [p for p in known if pick(p) == eng]
             outs.append(E.run_engine(step.filter(F.col("chain_provider").isin(provs)), eng))
         res = outs[0]
@@ -245,12 +254,10 @@ def translate(requests: DataFrame, *, engine: str = "mock", provider_engines: di
     if hit_answers is not None:
         by_key = by_key.unionByName(hit_answers)
 
-    by_key = by_key.join(looked.select("work_key", "first_id"), "work_key")
     # texts that very many requests share take their answer from a broadcast of those few answers
     hot = hot_keys(keyed, "work_key") if materialize else []
     if answers_once or hot:
-        by_key = cut_lineage(by_key)
-    carry = carry or []
+        by_key = written_once(by_key, "zstd")
     answers = (join_per_key(keyed.select("request_id", "work_key", *carry), by_key, "work_key", hot)
                .withColumn("cached", F.col("error").isNull() & (F.col("hit") | (F.col("request_id") != F.col("first_id"))))
                .select(*ANSWER_COLUMNS, *carry))

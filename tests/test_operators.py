@@ -1,5 +1,7 @@
 """Golden rows of the operators (reference tests, FIXTURES.md parts B and C)."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from lingua_spark.operators import engines as E
@@ -815,3 +817,32 @@ def test_a_page_is_split_once(spark):
     assert time.time() - start < 20
     assert len(rows) == 80_001 and rows[0] == ("keep", "") and rows[1] == ("keep", "<b>") and rows[2] == ("text", "w0") and rows[80_000] == ("keep", "")
     assert [tuple(r) for r in segment_tagged(df).filter("doc_id <> 1").collect()] == [(3, 0, "keep", "")]
+
+
+def test_documents_move_their_texts_few_times(spark):
+    """All formats through BT-5: outputs as of a plain function once per distinct segment, and the tables written on the
+    way hold each text about twice (the pieces, the requests)."""
+    import glob
+    from lingua_spark.operators.documents import translate_documents
+    from lingua_spark.plans.catalog import segment_translator
+    from lingua_spark.session import ensure_checkpoint_dir
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), " ")
+    docs = spark.range(0, 1200, 1, 4).select(
+        (F.col("id") % 1100).alias("doc_id"), F.element_at(F.array(*map(F.lit, ("plain", "html", "json", "markdown", "pdf"))), (F.col("id") % 5 + 1).cast("int")).alias("format"),
+        F.when(F.col("id") % 5 == 1, F.concat(F.lit("<p>menu</p>\n<p>"), text, F.lit("</p>"))).when(F.col("id") % 5 == 2, F.to_json(F.struct(text.alias("t"))))
+        .when(F.col("id") == 0, F.repeat(F.lit("x"), 10_001)).otherwise(F.concat(F.lit(" "), text)).alias("content"))
+
+    def plain(segs):
+        long = F.char_length("segment") > 10_000
+        return segs.select("segment", F.when(~long, F.concat(F.lit("translated:"), F.trim("segment"))).alias("translation"),
+                           F.when(long, F.lit("invalid input: text exceeds max length")).alias("error"))
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def written():
+        return sum(os.path.getsize(f) for f in glob.glob(f"{root}/**/*", recursive=True) if os.path.isfile(f))
+    before = written()
+    got = sorted(map(str, translate_documents(docs, segment_translator("es")).collect()))
+    moved = written() - before
+    assert got == sorted(map(str, translate_documents(docs, plain).collect()))
+    assert len(got) == 1200 and sum("unsupported format pdf" in x for x in got) == 240 and sum("exceeds max" in x for x in got) == 1
+    assert moved < 2.5 * docs.filter("format <> 'pdf'").agg(F.sum(F.octet_length("content"))).first()[0]
