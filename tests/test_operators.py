@@ -806,6 +806,30 @@ def test_tm_search_shared_text_is_fanned_out_by_many_tasks(spark, monkeypatch):
     assert got.select("query_id", "id").distinct().count() == 1199 * 600
 
 
+def test_tm_search_result_rows_are_made_from_blocks_of_ids(spark):
+    """Python hands over blocks of ids that cover every pair of two lists once, nulls too, and never a row per pair; the rows
+    are made by Spark from one block at a time."""
+    import pyarrow as pa
+    from lingua_spark.operators import memory as M
+    sizes = [(1, 1), (16, 256), (17, 257), (40, 1), (1, 700), (2048, 1500)]
+    lists = [([{"id": None if i == 3 else f"q{k}-{i}"} for i in range(q)], [{"id": i if i else None} for i in range(t)], 0.5 + k / 100) for k, (q, t) in enumerate(sizes)]
+    kind = [pa.list_(pa.struct([("id", x)])) for x in (pa.string(), pa.int64())] + [pa.float64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*lists), kind)], ["_qs", "_ts", "score"])
+    rows = [r for x in M._blocks(iter([batch.slice(1), batch.slice(0, 0), batch.slice(0, 1)])) for r in x.to_pylist()]
+    assert all(0 < len(r["_qs"]) <= M.FAN_BLOCK[0] and 0 < len(r["_ts"]) <= M.FAN_BLOCK[1] for r in rows)
+    pairs = [(q, t, r["score"]) for r in rows for q in r["_qs"] for t in r["_ts"]]
+    assert len(pairs) == sum(q * t for q, t in sizes) and len(rows) < len(pairs) / 1000
+    assert set(pairs) == {(q["id"], t["id"], s) for qs, ts, s in lists for q in qs for t in ts}
+
+    q = spark.range(0, 900).select(F.col("id").cast("string").alias("query_id"), F.lit("white linen cloth").alias("text"))
+    tm = spark.range(0, 600).select("id", F.lit("white linen cloth").alias("source_text"))
+    got = M.tm_search(q, tm, 0.8, with_entries=False)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("query_id", "string"), ("id", "bigint"), ("score", "double")]
+    assert got.distinct().count() == got.count() == 900 * 600
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") >= 2 and plan.index("Generate explode") < plan.index("MapInArrow")
+
+
 def test_a_page_is_split_once(spark):
     """A page of 80,001 pieces is split in seconds, since its text is not searched again for each piece."""
     import time
