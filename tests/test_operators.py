@@ -815,7 +815,7 @@ def test_tm_search_result_rows_are_made_from_blocks_of_ids(spark):
     lists = [([{"id": None if i == 3 else f"q{k}-{i}"} for i in range(q)], [{"id": i if i else None} for i in range(t)], 0.5 + k / 100) for k, (q, t) in enumerate(sizes)]
     kind = [pa.list_(pa.struct([("id", x)])) for x in (pa.string(), pa.int64())] + [pa.float64()]
     batch = pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*lists), kind)], ["_qs", "_ts", "score"])
-    rows = [r for x in M._blocks(iter([batch.slice(1), batch.slice(0, 0), batch.slice(0, 1)])) for r in x.to_pylist()]
+    rows = [r for x in M._blocks(iter([batch.slice(2), batch.slice(0, 0), batch.slice(1, 1), batch.slice(0, 1)])) for r in x.to_pylist()]
     assert all(0 < len(r["_qs"]) <= M.FAN_BLOCK[0] and 0 < len(r["_ts"]) <= M.FAN_BLOCK[1] for r in rows)
     pairs = [(q, t, r["score"]) for r in rows for q in r["_qs"] for t in r["_ts"]]
     assert len(pairs) == sum(q * t for q, t in sizes) and len(rows) < len(pairs) / 1000
