@@ -30,8 +30,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from lingua_spark.llm.common import give_back
+
 #: Entries of each of the two generations of a Python worker's cache. They bound memory and change no result.
 CACHE_WORDS = 150_000
+#: Entries up to which the newer generation stays between a worker's tasks.
+KEPT_WORDS = 20_000
 #: Characters whose new words are encoded together, and those whose results are made together.
 BATCH_CHARS, RESULT_CHARS = 1 << 22, 1 << 19
 
@@ -261,6 +265,13 @@ class PairIndexBpe:
         for s, p in zip(new, parts, strict=True):
             seen[s] = coded[p[0]] if len(p) == 1 else b"".join([coded[w] for w in p])
 
+    def rest(self) -> None:
+        """Between tasks: keep few entries, since the worker goes on to other stages, and give back what is freed."""
+        self.older = {}
+        if len(self.seen) > KEPT_WORDS:
+            self.seen = {}
+        give_back()
+
     def stretches(self, text: str) -> list[str]:
         """White-space-free stretches in order; special tokens are stretches of their own."""
         if any(s in text for s in self.special):
@@ -323,14 +334,18 @@ def _map(docs: DataFrame, path: str, ddl: str, columns: Callable) -> DataFrame:
     """`columns` makes the result's columns, doc_id aside, of a tokenizer and some texts' ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            sizes = [len(x) for x in texts]
-            for i, j in _groups(sizes, BATCH_CHARS):
-                ids = t.encode_ids(texts[i:j])
-                for k, m in _groups(sizes[i:j], RESULT_CHARS):
-                    made = columns(t, list(islice(ids, m - k)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + k, m - k).cast(pa.int64()), *made.values()], ["doc_id", *made])
+        try:
+            for batch in batches:
+                texts = batch.column(1).fill_null("").to_pylist()
+                sizes = [len(x) for x in texts]
+                for i, j in _groups(sizes, BATCH_CHARS):
+                    ids = t.encode_ids(texts[i:j])
+                    for k, m in _groups(sizes[i:j], RESULT_CHARS):
+                        made = columns(t, list(islice(ids, m - k)))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + k, m - k).cast(pa.int64()), *made.values()], ["doc_id", *made])
+        finally:
+            batch = texts = ids = made = None  # noqa: F841 - they hold the last batch and the caches
+            t.rest()
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 

@@ -103,3 +103,26 @@ def test_results_leave_in_small_batches(spark, library, monkeypatch):
     for i, t in enumerate(texts):
         n, ids, text = expected(library, t)
         assert (got[i]["n_tokens"], " ".join(map(str, got[i]["ids"])), got[i]["decoded"]) == (n, ids, text)
+
+
+def test_a_worker_keeps_few_stretches_between_tasks(spark, library, monkeypatch):
+    """The worker that ran a task goes on to other stages: large caches go with the task, small ones stay."""
+    import pyarrow as pa
+
+    class Table:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            return run
+
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 1000, raising=False)
+    monkeypatch.setattr(bpe, "_loaded", {})
+    rng = random.Random(4)
+    for words, kept in ((200, True), (3000, False), (200, True)):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(words)), None, "<|endoftext|> again"]
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts, pa.string())], ["doc_id", "text"])
+        got = [r for b in bpe.encode(Table(), PATH)(iter([batch])) for r in b.to_pylist()]
+        assert [(r["n_tokens"], " ".join(map(str, r["ids"])), r["decoded"]) for r in got] == [expected(library, t) for t in texts]
+        mine = bpe.tokenizer(PATH)
+        assert not mine.older and (len(mine.seen) >= words if kept else not mine.seen)
